@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probspark.llm.common import fresh_path, stored
+from probspark.llm.common import fresh_path, held_out, stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,22 @@ def with_word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"))
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from probspark.llm.quality import quality_scores
+
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    scored = quality_scores(docs, labels, ~held_out(F.col("doc_id"), 4, 2))
+    return scored.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from probspark.llm.toxicity import toxicity_scores
+
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    scored = toxicity_scores(docs, labels, ~held_out(F.col("doc_id"), 5, 0))
+    return scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from probspark.llm.token_counts import token_counts
 
@@ -61,6 +77,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
+    "op4_toxicity": op4_toxicity,
     "op5_token_counts": op5_token_counts,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_source_mixing": op8_source_mixing,
