@@ -81,14 +81,18 @@ def _padded(pairs: np.ndarray, n: int) -> np.ndarray:
     return table
 
 
-def range_search(x: np.ndarray, table: np.ndarray, queries: np.ndarray, beam: int, threshold: float = RANGE, slack: float = 0.03) -> np.ndarray:
-    """Boolean queries x rows: the rows found within ``threshold``; all queries walk together."""
+def range_search(x: np.ndarray, table: np.ndarray, queries: np.ndarray, beam: int, threshold: float = RANGE, slack: float = 0.05) -> np.ndarray:
+    """Boolean queries x rows: the rows found within ``threshold``; all queries walk together.
+
+    ``queries`` are rows of ``x``: each starts from the medoids and from its own place in the graph.
+    """
     n, rows = len(x), np.arange(len(queries))[:, None]
     centre = x @ x.mean(0)
     medoids = np.unique([centre.argmax(), centre.argmin(), np.abs(centre).argmin()])
     cosine = np.full((len(queries), n + 1), -2.0)  # of the rows seen; the last column takes the padding
     expanded = np.zeros((len(queries), n + 1), bool)
     cosine[:, medoids] = x[queries] @ x[medoids].T
+    cosine[np.arange(len(queries)), queries] = 1.0
     expanded[:, n] = True
 
     def visit(who: np.ndarray, nodes: np.ndarray) -> None:
@@ -167,7 +171,7 @@ def cluster_shards(vectors: DataFrame, most: int = MOST_MEMBERS) -> DataFrame:
     return out
 
 
-def near_duplicates(vectors: DataFrame, degree: int = 20, candidates: int = 48, beam: int = 24, threshold: float = RANGE, most: int = MOST_MEMBERS, least_recall: float = 0.95) -> DataFrame:
+def near_duplicates(vectors: DataFrame, degree: int = 20, candidates: int = 48, beam: int = 32, threshold: float = RANGE, most: int = MOST_MEMBERS, least_recall: float = 0.95) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for each row of ``vectors`` (``vec_id, embedding, label``).
 
     Vectors link when labels and lengths are equal and their cosine is ``threshold`` or
@@ -190,21 +194,13 @@ def near_duplicates(vectors: DataFrame, degree: int = 20, candidates: int = 48,
     sample = groups.orderBy(F.xxhash64("rep")).limit(AUDITED)
     truth = {r[0]: r[1] for r in _brute_force(groups, sample, threshold).collect()}
     while True:
-        def build(table: pa.Table, degree: int = degree, candidates: int = candidates) -> pa.Table:
-            rep = table.column("rep").to_numpy()
-            lists = robust_graph(unit_rows(_matrix(table.column("embedding"))), degree, candidates)
-            return pa.table({"rep": rep, "near": pa.array([rep[x] for x in lists], pa.list_(pa.int64()))})
-
-        graph = members.groupBy("cell").applyInArrow(build, "rep long, near array<long>")
+        graph = members.groupBy("cell").applyInArrow(_builder(degree, candidates), "rep long, near array<long>")
         graph = graph.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
         known = members.join(graph, "rep").join(shards, "rep").join(sizes, "cell")
         parts = F.ceil(F.col("count") / (4 * most)).cast("int")
         known = known.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("asks", F.pmod(F.xxhash64("rep"), parts) == F.col("part"))
 
-        def search(table: pa.Table, beam: int = beam) -> pa.Table:
-            return _search_shard(table, beam, threshold)
-
-        found = stored(known.select("cell", F.xxhash64("cell").alias("own"), "part", "rep", "copies", "embedding", "near", "shards", "asks").groupBy("cell", "part").applyInArrow(search, "rep long, links long, least long"), "links")
+        found = stored(known.select("cell", F.xxhash64("cell").alias("own"), "part", "rep", "copies", "embedding", "near", "shards", "asks").groupBy("cell", "part").applyInArrow(_searcher(beam, threshold), "rep long, links long, least long"), "links")
         links = found.groupBy("rep").agg(F.sum("links").alias("links"))
         got = {r[0]: r[1] for r in links.join(F.broadcast(sample.select("rep")), "rep").collect()}
         wanted = sum(truth.values())
@@ -218,6 +214,19 @@ def near_duplicates(vectors: DataFrame, degree: int = 20, candidates: int = 48,
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
+def _builder(degree: int, candidates: int):
+    def build(table: pa.Table) -> pa.Table:
+        rep = table.column("rep").to_numpy()
+        lists = robust_graph(unit_rows(_matrix(table.column("embedding"))), degree, candidates)
+        return pa.table({"rep": rep, "near": pa.array([rep[x] for x in lists], pa.list_(pa.int64()))})
+
+    return build
+
+
+def _searcher(beam: int, threshold: float):
+    return lambda table: _search_shard(table, beam, threshold)
+
+
 def _search_shard(table: pa.Table, beam: int, threshold: float) -> pa.Table:
     """Per asking vector of a shard: copies of the vectors it links with here and in no earlier shard, and the smallest one it reaches."""
     order = np.argsort(table.column("rep").to_numpy(), kind="stable")

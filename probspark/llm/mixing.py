@@ -180,7 +180,9 @@ def mixture_slots(docs: DataFrame, block: int = BLOCK, shards: int = OUTPUT_SHAR
     ]
     runs = spark.createDataFrame(runs, "output_shard int, source_no int, first_slot long, n long")
     pieces_of_run = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(SLOT_RUN).cast("long")))
-    runs = runs.select("output_shard", "source_no", "first_slot", "n", pieces_of_run.alias("skip")).repartition("output_shard", "source_no", "skip")
+    runs = runs.select("output_shard", "source_no", "first_slot", "n", pieces_of_run.alias("skip"))
+    # a stated number, or adaptive execution would put these few short rows, and all that they make, in one task
+    runs = runs.repartition(shards + sum(p.slots for p in plans) // (32 * SLOT_RUN), "output_shard", "source_no", "skip")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
