@@ -53,6 +53,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), fresh_path(spark, "token-cache"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from probspark.llm.jaccard_join import jaccard_groups
+
+    return jaccard_groups(_table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from probspark.llm.exact_dedup import exact_groups
 
@@ -87,6 +93,7 @@ QUERIES = {
     "op2_embedding_dedup": op2_embedding_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_token_counts": op5_token_counts,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_source_mixing": op8_source_mixing,
     "op9_packing": op9_packing,
