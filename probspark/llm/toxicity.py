@@ -31,7 +31,8 @@ PASSAGE = 8
 GRAMS = (3, 4, 5, 6)
 BUCKETS = 1 << 17
 DIM = 8
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 3000
+WORDS_AT_ONCE = 20_000
 TRAINING_BYTES = 1 << 20
 
 
@@ -80,7 +81,13 @@ class Passages:
         data = LOWER[data]
         start, end, before = spans(data, offsets)
         _, first, which = np.unique(word_hashes(data, start, end), return_index=True, return_inverse=True)
-        buckets, word_bounds = word_subwords(data, start[first], end[first]) if len(first) else (np.zeros(0, np.int32), np.zeros(1, np.int64))
+        buckets, word_bounds = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+        for low in range(0, len(first), WORDS_AT_ONCE):
+            own = first[low : low + WORDS_AT_ONCE]
+            some, bounds = word_subwords(data, start[own], end[own])
+            word_bounds.append(bounds[1:] + word_bounds[-1][-1])
+            buckets.append(some)
+        buckets, word_bounds = np.concatenate(buckets), np.concatenate(word_bounds)
         count = np.maximum(1, -(-np.diff(before) // PASSAGE))
         documents = np.zeros(len(count) + 1, np.int64)
         np.cumsum(count, out=documents[1:])
