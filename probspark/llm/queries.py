@@ -39,6 +39,12 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from probspark.llm.substring_dedup import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from probspark.llm.toxicity import toxicity_scores
 
@@ -91,6 +97,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_embedding_dedup": op2_embedding_dedup,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_token_counts": op5_token_counts,
     "op6_jaccard_join": op6_jaccard_join,
