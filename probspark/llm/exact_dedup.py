@@ -33,36 +33,54 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    sha = F.sha2(lower_ascii(F.col("text")).cast("binary"), 256).alias("text_sha256")
+    decided = _partition(rows.withColumn("carried", sha), first_digit)
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")
+    return decided.select("doc_id", "keep_id", "group_size", kept, F.col("carried").alias("text_sha256"))
+
+
+def drop_copies(docs: DataFrame, first_digit: int = FIRST_DIGIT) -> DataFrame:
+    """``docs`` (all columns) without the rows whose text equals that of a row with a larger ``doc_id``.
+
+    One row of each group stays, also where rows repeat the largest id or all ids are null.
+    """
+    names = docs.columns
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.struct(*names).alias("carried"))
+    kept = _partition(rows, first_digit).filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    kept = stored(kept.select("round", "group_id", "carried"), "radix-kept")
+    again = kept.groupBy("round", "group_id").count().filter("count > 1")
+    if not again.isEmpty():
+        kept = kept.dropDuplicates(["round", "group_id"])
+    return kept.select(*(F.col("carried")[n].alias(n) for n in names))
+
+
+def _partition(rows: DataFrame, first_digit: int) -> DataFrame:
+    """``rows`` (``doc_id, text, carried``) as ``doc_id, carried, keep_id, group_size, round, group_id``."""
     # lower-casing ASCII keeps every byte position, so a prefix can be normalised alone
     head = F.substring(F.col("text").cast("binary"), 1, first_digit)
-    rows = rows.select("doc_id", "text", F.octet_length("text").alias("bytes"), _lower_bytes(head).alias("digit"))
+    rows = rows.withColumn("bytes", F.octet_length("text")).withColumn("digit", _lower_bytes(head))
     groups = stored(_groups(rows, ["bytes", "digit"]), "radix-groups")
     # every group has one row here, so rows find their group without knowing their number
     found = rows.join(groups, ["bytes", "digit"])
     open_ = (F.col("group_size") > 1) & (F.col("bytes") > first_digit)
-    text = lower_ascii(F.col("text"))
-    first = stored(
-        found.select(
-            "doc_id", "bytes", "keep_id", "group_size", "group_id", open_.alias("open"),
-            F.sha2(text.cast("binary"), 256).alias("text_sha256"),
-            F.when(open_, text.cast("binary")).alias("rest"),
-        ),
-        "radix-first",
-    )
+    columns = ["doc_id", "carried", "bytes", "keep_id", "group_size", "group_id", open_.alias("open")]
+    rest = F.when(open_, lower_ascii(F.col("text")).cast("binary")).alias("rest")
+    first = stored(found.select(*columns, F.lit(0).alias("round"), rest), "radix-first")
     decided = [first.filter(~F.col("open"))]
     undecided = first.filter("open")
     longest = undecided.agg(F.max("bytes")).first()[0] or 0
-    low, width = first_digit, first_digit * 4
+    low, width, number = first_digit, first_digit * 4, 0
     while low < longest:
         digit = F.substring(F.col("rest"), low + 1, width)
-        rows = undecided.drop("keep_id", "group_size").withColumnRenamed("group_id", "parent").withColumn("digit", digit)
+        rows = undecided.drop("keep_id", "group_size", "round").withColumnRenamed("group_id", "parent").withColumn("digit", digit)
         groups = stored(_groups(rows, ["parent", "digit"]), "radix-groups")
-        low, width = low + width, width * 4
+        low, width, number = low + width, width * 4, number + 1
         open_ = (F.col("group_size") > 1) & (F.col("bytes") > low)
-        found = stored(rows.join(groups, ["parent", "digit"]).drop("parent", "digit").withColumn("open", open_), "radix-round")
+        found = rows.join(groups, ["parent", "digit"]).drop("parent", "digit")
+        found = stored(found.withColumn("open", open_).withColumn("round", F.lit(number)), "radix-round")
         decided.append(found.filter(~F.col("open")))
         undecided = found.filter("open")
-    out = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"]
+    out = ["doc_id", "carried", "keep_id", "group_size", "round", "group_id"]
     result = decided[0].select(out)
     for part in decided[1:]:
         result = result.unionByName(part.select(out))
@@ -82,17 +100,3 @@ def _groups(rows: DataFrame, key: list[str]) -> DataFrame:
         .withColumn("group_id", F.monotonically_increasing_id())
     )
 
-
-def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text equals that of a row with a larger ``doc_id``; one row of each id stays.
-
-    The decision is joined back on the id, so a row whose id is null stays only
-    where all its equals have null ids too; such rows are told apart by their text.
-    """
-    groups = exact_groups(docs)
-    keep = groups.filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    sha = F.sha2(lower_ascii(F.coalesce(F.col("text"), F.lit(""))).cast("binary"), 256)
-    matched = docs.withColumn("__own", sha).join(
-        keep, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left_semi"
-    )
-    return matched.dropDuplicates(["doc_id", "__own"]).drop("__own")

@@ -24,11 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from probspark.llm.common import stored
+from probspark.llm.words import pieces as pieces_of
+from probspark.llm.words import spans, text_bytes
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BLOCK = 256
 OUTPUT_SHARDS = 64
 SLOT_RUN = 8192
+WORD = r"[^\x20\x09-\x0D]+"
 _MASK = np.uint64(0xFFFFFFFF)
 
 
@@ -138,10 +141,11 @@ def shard_counts(slots: list[int], shards: int, seed: int) -> np.ndarray:
 
 
 def mixture_slots(docs: DataFrame, block: int = BLOCK, shards: int = OUTPUT_SHARDS, seed: int = 11, weights=WEIGHTS) -> tuple[DataFrame, DataFrame]:
-    """(pieces, slots) of the mix of ``docs`` with columns ``doc_id, source, size``.
+    """(pieces, slots) of the mix of ``docs`` with columns ``doc_id, source, size, again`` (a number that tells equal rows apart).
 
-    pieces: ``doc_id, source, size, source_size, target, source_no, block_no, low, high``: the words low..high of a
-    block that a document fills (no block for documents without words).
+    pieces: ``doc_id, source, size, source_size, target, source_no, again, start, block_no, low, high``: the words
+    low..high of a block that a document fills (no block for documents without words), which starts at word ``start``
+    of its source.
     slots: ``output_shard, position, source_no, block_no, words``: the blocks of every output shard in order.
     """
     spark = docs.sparkSession
@@ -158,7 +162,7 @@ def mixture_slots(docs: DataFrame, block: int = BLOCK, shards: int = OUTPUT_SHAR
     )
     before = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.select("source", "cell", F.coalesce(F.sum("cell_size").over(before), F.lit(0)).alias("cell_start"))
-    within = Window.partitionBy("source", "cell").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "cell").orderBy("doc_id", "size", "again").rowsBetween(Window.unboundedPreceding, -1)
     placed = docs.withColumn("start", F.coalesce(F.sum("size").over(within), F.lit(0)))
     same = lambda a, b, *names: [a[n].eqNullSafe(b[n]) for n in names]
     placed = placed.join(starts, same(placed, starts, "source", "cell")).drop(starts["source"]).drop(starts["cell"])
@@ -166,9 +170,9 @@ def mixture_slots(docs: DataFrame, block: int = BLOCK, shards: int = OUTPUT_SHAR
     placed = placed.withColumn("start", F.col("start") + F.col("cell_start"))
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
     numbers = F.when(F.col("size") > 0, F.sequence(first, last))
-    pieces = placed.select("doc_id", "source", "size", "source_size", "target", "source_no", "start", F.explode_outer(numbers).alias("block_no"))
+    pieces = placed.select("doc_id", "source", "size", "source_size", "target", "source_no", "again", "start", F.explode_outer(numbers).alias("block_no"))
     pieces = pieces.withColumn("low", F.greatest(F.col("start") - F.col("block_no") * block, F.lit(0)))
-    pieces = pieces.withColumn("high", F.least(F.col("start") + F.col("size") - F.col("block_no") * block, F.lit(block))).drop("start")
+    pieces = pieces.withColumn("high", F.least(F.col("start") + F.col("size") - F.col("block_no") * block, F.lit(block)))
 
     counts = shard_counts([p.slots for p in plans], shards, seed)
     first_slot = counts.cumsum(axis=0) - counts
@@ -208,22 +212,77 @@ def mixture_slots(docs: DataFrame, block: int = BLOCK, shards: int = OUTPUT_SHAR
     return pieces, slots.withColumn("position", F.xxhash64(F.lit(seed), "source_no", "slot"))
 
 
+def _with_cuts(pieces: DataFrame, slots: DataFrame) -> DataFrame:
+    """``pieces`` with ``cuts``: how far into the block each of its slots reaches (none where the mix has no slot)."""
+    blocks = slots.groupBy("source_no", "block_no").agg(F.collect_list("words").alias("cuts"))  # as many as passes, so three at most
+    pieces = pieces.join(blocks, ["source_no", "block_no"], "left")
+    return pieces.withColumn("cuts", F.coalesce("cuts", F.array().cast("array<bigint>")))
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Rows that agree in all columns told apart by ``again``."""
+    return docs.withColumn("again", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("doc_id")))
+
+
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
     """One row per row of ``docs`` (``doc_id, source, size``): ``doc_id, size, source_size, target, taken``.
 
     A null source is a source of its own, last in the order of weights; an empty
-    string is an ordinary one.  Documents without words are taken 0 times.  Rows
-    that repeat a ``doc_id`` within a source with the same size are interchangeable;
-    their taken words are shared out in one row each.  An empty table gives no rows.
+    string is an ordinary one.  Documents without words are taken 0 times.  Repeated
+    rows are mixed each for itself.  An empty table gives no rows.
     """
     rows = docs.select("doc_id", "source", F.col("size").cast("long").alias("size"))
-    pieces, slots = mixture_slots(rows, **options)
-    blocks = slots.groupBy("source_no", "block_no").agg(F.collect_list("words").alias("cuts"))  # as many as passes, so three at most
-    pieces = pieces.join(blocks, ["source_no", "block_no"], "left")
-    part = F.aggregate(
-        F.coalesce("cuts", F.array().cast("array<bigint>")),
-        F.lit(0).cast("long"),
-        lambda total, cut: total + F.greatest(F.least(F.col("high"), cut) - F.col("low"), F.lit(0)),
-    )
-    key = ["doc_id", "source_no", "size", "source_size", "target"]
-    return pieces.withColumn("part", F.when(F.col("block_no").isNotNull(), part).otherwise(0)).groupBy(*key).agg(F.sum("part").alias("taken")).drop("source_no")
+    pieces = _with_cuts(*mixture_slots(_numbered(rows), **options))
+    part = F.aggregate("cuts", F.lit(0).cast("long"), lambda total, cut: total + F.greatest(F.least(F.col("high"), cut) - F.col("low"), F.lit(0)))
+    key = ["doc_id", "again", "source_no", "size", "source_size", "target"]
+    parts = pieces.withColumn("part", F.when(F.col("block_no").isNotNull(), part).otherwise(0))
+    return parts.groupBy(*key).agg(F.sum("part").alias("taken")).drop("source_no", "again")
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix as rows with the columns of ``docs`` (``doc_id, text, source`` and more).
+
+    A document comes once for every pass that takes some of its words; its text is whole
+    where all are taken, else the taken words joined by one space (``n_chars``, where there
+    is one, follows).  Documents of which nothing is taken don't come.  Rows that repeat
+    ``doc_id``, ``source`` and number of words are mixed as one, and each comes as that one does.
+    """
+    names = docs.columns
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+    rows = docs.select("doc_id", "source", size.alias("size")).distinct()
+    pieces = _with_cuts(*mixture_slots(rows.withColumn("again", F.lit(1)), **options))
+    spans_ = F.transform("cuts", lambda cut: F.struct((F.col("before") + F.col("low")).alias("a"), (F.col("before") + F.least(F.col("high"), cut)).alias("b")))
+    pieces = pieces.filter(F.size("cuts") > 0).withColumn("before", F.col("block_no") * F.lit(options.get("block", BLOCK)) - F.col("start"))
+    taken = pieces.select("doc_id", F.col("source").alias("__source"), F.col("size").alias("__size"), F.explode(spans_).alias("s")).filter("s.b > s.a")
+    taken = taken.groupBy("doc_id", "__source", "__size").agg(F.collect_list("s").alias("__taken")).withColumnRenamed("doc_id", "__id")
+    known = docs.withColumn("__words", size)
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size"))
+    joined = known.join(taken.hint("shuffle_hash"), same).select(*names, "__taken")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces_of(batch):
+                data, offsets = text_bytes(piece.column("text"))
+                start, end, before = spans(data, offsets)
+                rows, texts = [], []
+                for row, taken in enumerate(piece.column(len(names)).to_pylist()):
+                    n = int(before[row + 1] - before[row])
+                    times = np.zeros(n + 1, np.int64)
+                    np.add.at(times, [s["a"] for s in taken], 1)
+                    np.add.at(times, [s["b"] for s in taken], -1)
+                    times = np.cumsum(times)[:n]
+                    for k in range(int(times.max(initial=0))):
+                        own = np.flatnonzero(times > k)
+                        if len(own) == n:
+                            text = data[offsets[row] : offsets[row + 1]].tobytes()
+                        else:
+                            text = b" ".join(data[a:b].tobytes() for a, b in zip(start[before[row] + own], end[before[row] + own], strict=True))
+                        rows.append(row)
+                        texts.append(text.decode())
+                out = pa.Table.from_batches([piece.select(names)]).take(pa.array(rows, pa.int64())).combine_chunks()
+                columns = {n: out.column(n) for n in names} | {"text": pa.array(texts, pa.string())}
+                if "n_chars" in columns:
+                    columns["n_chars"] = pa.array([len(t) for t in texts], pa.int64()).cast(out.column("n_chars").type)
+                yield from pa.table(columns).to_batches()
+
+    return joined.mapInArrow(cut, docs.schema)

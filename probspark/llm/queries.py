@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from probspark.llm.mixing import WORD
 from probspark.llm.common import fresh_path, held_out, stored
 
 
@@ -21,8 +22,7 @@ def _tokenizer(name: str) -> str:
 def with_word_counts(docs: DataFrame) -> DataFrame:
     """``doc_id, source, size``: words of the whole text, counted in the JVM (null: 0)."""
     text = F.coalesce("text", F.lit(""))
-    # a word starts where a non-space follows a space or the beginning
-    return docs.select("doc_id", "source", F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"))
+    return docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
