@@ -95,17 +95,19 @@ def range_search(x: np.ndarray, table: np.ndarray, queries: np.ndarray, beam: in
     cosine[np.arange(len(queries)), queries] = 1.0
     expanded[:, n] = True
 
-    def visit(who: np.ndarray, nodes: np.ndarray) -> None:
-        expanded[who, nodes] = True
-        next_ = table[nodes]
-        who = np.repeat(who, next_.shape[1])
-        next_ = next_.reshape(-1)
-        new = (next_ >= 0) & (cosine[who, next_] == -2.0)
-        key = np.unique(who[new] * n + next_[new])
-        who, next_ = key // n, key % n
-        for at in range(0, len(who), 200_000):
-            a, b = who[at : at + 200_000], next_[at : at + 200_000]
-            cosine[a, b] = np.einsum("ij,ij->i", x[queries[a]], x[b])
+    def visit(whose: np.ndarray, nodes: np.ndarray) -> None:
+        expanded[whose, nodes] = True
+        step = max(1, 400_000 // table.shape[1])  # neighbours at a time
+        for low in range(0, len(nodes), step):
+            next_ = table[nodes[low : low + step]]
+            who = np.repeat(whose[low : low + step], next_.shape[1])
+            next_ = next_.reshape(-1)
+            new = (next_ >= 0) & (cosine[who, next_] == -2.0)
+            key = np.unique(who[new] * n + next_[new])
+            who, next_ = key // n, key % n
+            for at in range(0, len(who), 20_000):
+                a, b = who[at : at + 20_000], next_[at : at + 20_000]
+                cosine[a, b] = np.einsum("ij,ij->i", x[queries[a]], x[b])
 
     width = min(beam, n)
     while True:  # greedy: the best rows seen so far that aren't expanded, for every query at once
@@ -249,7 +251,7 @@ def _search_shard(table: pa.Table, beam: int, threshold: float) -> pa.Table:
                 earlier[i, number[s]] = True
     queries = np.flatnonzero(table.column("asks").to_numpy(zero_copy_only=False))
     links, least = np.zeros(len(queries), np.int64), rep[queries].copy()
-    block = max(1, min(1024, 8_000_000 // max(1, len(rep))))
+    block = max(1, min(512, 2_000_000 // max(1, len(rep))))
     for low in range(0, len(queries), block):
         some = queries[low : low + block]
         found = range_search(x, graph, some, beam, threshold)
