@@ -38,7 +38,7 @@ from probspark.llm.words import gram_hashes, mix, pieces, spans, text_bytes, wor
 
 WINDOW = 20
 GRAM = 5
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 _NO_ID = -(1 << 63)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _PACKED = "bucket long, first binary, second binary, third binary"
@@ -246,7 +246,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, limit=2 * shard_bytes):
+            for piece in pieces(batch, limit=shard_bytes):
                 words = ShardWords(piece.column("text"), window, gram)
                 at = words.anchors()
                 keys, ids, places = words.grams[at], _ids(piece.column("doc_id"))[words.row[at]], words.place[at].astype(np.int32)
