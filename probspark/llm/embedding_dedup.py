@@ -13,7 +13,7 @@
    precision, and a pair that shares several shards counts in the first one.
 5. A bounded set of vectors is audited by brute force against all rows; a recall
    below ``least_recall`` repeats the search with wider lists.
-6. Shards give one edge per linked vector (to the smallest it reaches there), and
+6. A shard gives each vector the smallest one that its links reach there, and
    components of these edges are the classes.
 """
 
@@ -230,7 +230,7 @@ def _searcher(beam: int, threshold: float):
 
 
 def _search_shard(table: pa.Table, beam: int, threshold: float) -> pa.Table:
-    """Per asking vector of a shard: copies of the vectors it links with here and in no earlier shard, and the smallest one it reaches."""
+    """Per vector of a shard: copies of the vectors it links with here and in no earlier shard (for those that ask here), and the smallest one it reaches."""
     order = np.argsort(table.column("rep").to_numpy(), kind="stable")
     table = table.take(pa.array(order))
     rep, copies = table.column("rep").to_numpy(), table.column("copies").to_numpy()
@@ -250,17 +250,29 @@ def _search_shard(table: pa.Table, beam: int, threshold: float) -> pa.Table:
             if number[s] < own:
                 earlier[i, number[s]] = True
     queries = np.flatnonzero(table.column("asks").to_numpy(zero_copy_only=False))
-    links, least = np.zeros(len(queries), np.int64), rep[queries].copy()
+    links, root = np.zeros(len(rep), np.int64), np.arange(len(rep))
     block = max(1, min(512, 2_000_000 // max(1, len(rep))))
     for low in range(0, len(queries), block):
         some = queries[low : low + block]
         found = range_search(x, graph, some, beam, threshold)
-        first = found.any(1)
-        least[low : low + block] = np.where(first, np.minimum(rep[some], rep[found.argmax(1)]), rep[some])
         a, b = np.nonzero(found)
         counted = ~(earlier[some[a]] & earlier[b]).any(1)
-        links[low : low + block] = np.bincount(a[counted], copies[b[counted]], len(some)).astype(np.int64)
-    return pa.table({"rep": rep[queries], "links": links, "least": least})
+        links[some] = np.bincount(a[counted], copies[b[counted]], len(some)).astype(np.int64)
+        root = unite(root, some[a], b)
+    return pa.table({"rep": rep, "links": links, "least": rep[root]})
+
+
+def unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest member of each member's class once the pairs (a, b) are joined to the classes of ``root``."""
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = low < high
+        if not apart.any():
+            return root
+        root = root.copy()
+        np.minimum.at(root, high[apart], low[apart])
+        while (root[root] != root).any():
+            root = root[root]
 
 
 def _brute_force(groups: DataFrame, sample: DataFrame, threshold: float) -> DataFrame:
