@@ -33,7 +33,6 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probspark.llm.common import stored
 from probspark.llm.words import gram_hashes, mix, pieces, spans, text_bytes, word_hashes
 
 WINDOW = 20
@@ -122,32 +121,34 @@ class SuffixAutomaton:
         return length[link[state]]
 
 
-def repeats_in_shard(hashes: np.ndarray, candidate: np.ndarray, inside: np.ndarray, window: int) -> np.ndarray:
+def repeats_in_shard(words: ShardWords, candidate: np.ndarray) -> np.ndarray:
     """Candidate windows (mask by first word) that also start earlier in the shard, from matching statistics.
 
-    Words that lie in no candidate window are skipped; a gap puts a symbol of its own
-    between stretches, so that no match runs over it.
+    Words that lie in no candidate window are skipped; a gap and the start of a row put a
+    symbol of their own between stretches, so that no match runs over it.
     """
+    window, hashes = words.window, words.hashes
     covered = np.zeros(len(hashes) + 1, np.int64)
     at = np.flatnonzero(candidate)
     np.add.at(covered, at, 1)
     np.add.at(covered, at + window, -1)
-    words = np.flatnonzero(np.cumsum(covered[:-1]) > 0)
-    if not len(words):
+    some = np.flatnonzero(np.cumsum(covered[:-1]) > 0)
+    if not len(some):
         return np.zeros(len(candidate), bool)
-    _, symbols = np.unique(hashes[words], return_inverse=True)
-    automaton, found, before, gap = SuffixAutomaton(), [], -2, -1
-    extend = automaton.extend
-    for word, symbol in zip(words.tolist(), symbols.reshape(-1).tolist(), strict=True):
-        if word != before + 1:
+    _, symbols = np.unique(hashes[some], return_inverse=True)
+    breaks = np.diff(some, prepend=-2) != 1
+    breaks |= words.place[some] == 0
+    found, gap = [], -1
+    extend = SuffixAutomaton().extend
+    for word, symbol, apart in zip(some.tolist(), symbols.reshape(-1).tolist(), breaks.tolist(), strict=True):
+        if apart:
             extend(gap)
             gap -= 1
-        before = word
         if extend(symbol) >= window:
             found.append(word - window + 1)
     out = np.zeros(len(candidate), bool)
     out[np.array(found, np.int64)] = True
-    return out & candidate & inside
+    return out & candidate
 
 
 def _ids(column) -> np.ndarray:
@@ -270,7 +271,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
         twice = np.zeros(len(ids), bool)
         twice[1:] = ids[1:] == ids[:-1]
         candidate &= ~twice[words.row[: len(candidate)]]
-        gone = repeats_in_shard(words.hashes, candidate, words.inside, window)
+        gone = repeats_in_shard(words, candidate)
         first = np.flatnonzero(candidate & ~gone)
         gone = np.flatnonzero(gone)
         keys = words.fingerprints()[first]
@@ -280,7 +281,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
         ])
 
     texts = _compressed(docs, buckets)
-    firsts = stored(texts.groupBy("bucket").cogroup(repeated.groupBy("bucket")).applyInArrow(windows, _PACKED), "windows")
+    # one plan from here on, so that the texts are sent to their shards once
+    firsts = texts.groupBy("bucket").cogroup(repeated.groupBy("bucket")).applyInArrow(windows, _PACKED)
     gone = firsts.groupBy("bucket").applyInArrow(_meeting(False, buckets), _PACKED)
 
     def cut(texts: pa.Table, replies: pa.Table) -> pa.Table:
