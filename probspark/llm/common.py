@@ -20,6 +20,12 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def by_bytes(docs: DataFrame) -> DataFrame:
+    """``docs``, with the session's Arrow batches held to 4 MB: ten thousand rows of long texts are too much for one batch."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    return docs
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

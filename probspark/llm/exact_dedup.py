@@ -15,7 +15,7 @@ execution can split by rows of the large side.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probspark.llm.common import lower_ascii, stored
@@ -33,8 +33,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sha = F.sha2(lower_ascii(F.col("text")).cast("binary"), 256).alias("text_sha256")
-    decided = _partition(rows.withColumn("carried", sha), first_digit)
+    decided = _partition(rows, F.sha2(lower_ascii(F.col("text")).cast("binary"), 256), first_digit)
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")
     return decided.select("doc_id", "keep_id", "group_size", kept, F.col("carried").alias("text_sha256"))
 
@@ -45,8 +44,11 @@ def drop_copies(docs: DataFrame, first_digit: int = FIRST_DIGIT) -> DataFrame:
     One row of each group stays, also where rows repeat the largest id or all ids are null.
     """
     names = docs.columns
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.struct(*names).alias("carried"))
-    kept = _partition(rows, first_digit).filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    others = F.struct(*(n for n in names if n != "text"), F.col("text").isNull().alias("__null"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), others.alias("others"))
+    text = F.when(~F.col("others.__null"), F.col("text")).alias("text")  # a text is sent once
+    whole = F.struct(*(text if n == "text" else F.col("others")[n].alias(n) for n in names))
+    kept = _partition(rows, whole, first_digit).filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
     kept = stored(kept.select("round", "group_id", "carried"), "radix-kept")
     again = kept.groupBy("round", "group_id").count().filter("count > 1")
     if not again.isEmpty():
@@ -54,8 +56,8 @@ def drop_copies(docs: DataFrame, first_digit: int = FIRST_DIGIT) -> DataFrame:
     return kept.select(*(F.col("carried")[n].alias(n) for n in names))
 
 
-def _partition(rows: DataFrame, first_digit: int) -> DataFrame:
-    """``rows`` (``doc_id, text, carried``) as ``doc_id, carried, keep_id, group_size, round, group_id``."""
+def _partition(rows: DataFrame, carried: Column, first_digit: int) -> DataFrame:
+    """``rows`` (``doc_id, text`` and what ``carried`` needs) as ``doc_id, carried, keep_id, group_size, round, group_id``."""
     # lower-casing ASCII keeps every byte position, so a prefix can be normalised alone
     head = F.substring(F.col("text").cast("binary"), 1, first_digit)
     rows = rows.withColumn("bytes", F.octet_length("text")).withColumn("digit", _lower_bytes(head))
@@ -63,7 +65,7 @@ def _partition(rows: DataFrame, first_digit: int) -> DataFrame:
     # every group has one row here, so rows find their group without knowing their number
     found = rows.join(groups, ["bytes", "digit"])
     open_ = (F.col("group_size") > 1) & (F.col("bytes") > first_digit)
-    columns = ["doc_id", "carried", "bytes", "keep_id", "group_size", "group_id", open_.alias("open")]
+    columns = ["doc_id", carried.alias("carried"), "bytes", "keep_id", "group_size", "group_id", open_.alias("open")]
     rest = F.when(open_, lower_ascii(F.col("text")).cast("binary")).alias("rest")
     first = stored(found.select(*columns, F.lit(0).alias("round"), rest), "radix-first")
     decided = [first.filter(~F.col("open"))]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from probspark.llm.common import stored
+from probspark.llm.common import by_bytes, stored
 from probspark.llm.words import pieces as pieces_of
 from probspark.llm.words import spans, text_bytes
 
@@ -247,7 +247,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     is one, follows).  Documents of which nothing is taken don't come.  Rows that repeat
     ``doc_id``, ``source`` and number of words are mixed as one, and each comes as that one does.
     """
-    names = docs.columns
+    names = by_bytes(docs).columns
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
     rows = docs.select("doc_id", "source", size.alias("size")).distinct()
     pieces = _with_cuts(*mixture_slots(rows.withColumn("again", F.lit(1)), **options))

@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from probspark.llm.common import by_bytes
 from probspark.llm.token_ids import encoder
 from probspark.llm.words import pieces
 
@@ -134,4 +135,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, e
         packer.close()
         yield packer.drain()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECE_SCHEMA)
+    return by_bytes(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECE_SCHEMA)

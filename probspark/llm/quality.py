@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from probspark.llm.common import by_bytes
 from probspark.llm.words import pieces, spans, text_bytes, word_hashes
 
 PASSAGE = 64
@@ -216,4 +217,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, learn: Column, label: str
     ``learn`` is a condition on ``labels`` rows that may be learned from.  A column named ``score`` is replaced.
     Repeated rows get equal scores; an empty table gives no rows.
     """
-    return score_quality(docs.drop("score"), fit_quality(docs, labels, learn, label, rows))
+    docs = by_bytes(docs.drop("score"))
+    return score_quality(docs, fit_quality(docs, labels, learn, label, rows))

@@ -33,6 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from probspark.llm.common import by_bytes
 from probspark.llm.words import gram_hashes, mix, pieces, spans, text_bytes, word_hashes
 
 WINDOW = 20
@@ -242,7 +243,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
     words.  Null ids come before all others.  ``doc_id`` names a document: rows that repeat
     it repeat its text and don't remove each other's words.  An empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = by_bytes(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = 1 + (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // shard_bytes
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

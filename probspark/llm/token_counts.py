@@ -17,6 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from probspark.llm.common import by_bytes
 from probspark.llm.token_ids import encoder
 from probspark.llm.words import pieces
 
@@ -38,7 +39,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     ``tokenizer_path`` must be on every executor.
     """
     version = tokenizer_version(tokenizer_path)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = by_bytes(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
     misses = texts.select("digest", "text").dropDuplicates(["digest"])
     if (cached := _cached(docs, cache_path, version)) is not None:

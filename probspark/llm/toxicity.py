@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from probspark.llm.common import by_bytes
 from probspark.llm.quality import class_weights, labelled_sample
 from probspark.llm.words import _BYTE_VALUES, LOWER, mix, pieces, spans, text_bytes, word_hashes
 
@@ -195,7 +196,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, learn: Column, label: st
     texts score as a passage without subwords.  A column named ``score`` is replaced.
     Repeated rows get equal scores; an empty table gives no rows.
     """
-    docs = docs.drop("score")
+    docs = by_bytes(docs.drop("score"))
     model = fit_toxicity(docs, labels, learn, label, rows)
     if model is None:
         return docs.withColumn("score", F.lit(0.5))
