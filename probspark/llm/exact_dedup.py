@@ -49,8 +49,7 @@ def drop_copies(docs: DataFrame, first_digit: int = FIRST_DIGIT) -> DataFrame:
     text = F.when(~F.col("others.__null"), F.col("text")).alias("text")  # a text is sent once
     whole = F.struct(*(text if n == "text" else F.col("others")[n].alias(n) for n in names))
     kept = _partition(rows, whole, first_digit).filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    kept = stored(kept.select("round", "group_id", "carried"), "radix-kept")
-    again = kept.groupBy("round", "group_id").count().filter("count > 1")
+    again = kept.groupBy("round", "group_id").count().filter("count > 1")  # reads no text
     if not again.isEmpty():
         kept = kept.dropDuplicates(["round", "group_id"])
     return kept.select(*(F.col("carried")[n].alias(n) for n in names))
