@@ -215,7 +215,8 @@ def mixture_slots(docs: DataFrame, block: int = BLOCK, shards: int = OUTPUT_SHAR
 def _with_cuts(pieces: DataFrame, slots: DataFrame) -> DataFrame:
     """``pieces`` with ``cuts``: how far into the block each of its slots reaches (none where the mix has no slot)."""
     blocks = slots.groupBy("source_no", "block_no").agg(F.collect_list("words").alias("cuts"))  # as many as passes, so three at most
-    pieces = pieces.join(blocks, ["source_no", "block_no"], "left")
+    # the size that Spark expects of Python's rows is that of the few runs they come from: it would broadcast them
+    pieces = pieces.join(blocks.hint("merge"), ["source_no", "block_no"], "left")
     return pieces.withColumn("cuts", F.coalesce("cuts", F.array().cast("array<bigint>")))
 
 
