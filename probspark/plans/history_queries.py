@@ -29,7 +29,8 @@ def s1(panel):
 
 @query("s2_range_replace", "panel", keep="entity dt", doubles="close", sql=f"""
     WITH st AS ({_STORED}), ba AS ({_BATCH}), sp AS (SELECT entity, min(dt) AS a, max(dt) AS b FROM ba GROUP BY entity)
-SELECT entity, dt, close FROM st WHERE NOT EXISTS (SELECT 1 FROM sp WHERE sp.entity = st.entity AND st.dt BETWEEN a AND b) UNION ALL SELECT entity, dt, close FROM ba""".replace("UNION ALL SELECT", "UNION ALL\n    SELECT"))
+SELECT entity, dt, close FROM st WHERE NOT EXISTS (SELECT 1 FROM sp WHERE sp.entity = st.entity AND st.dt BETWEEN a AND b)
+    UNION ALL SELECT entity, dt, close FROM ba""")
 def s2(panel):
     return H.replace_range(_stored(panel), _batch(panel), ["entity"], "dt")
 
@@ -141,8 +142,7 @@ def s21(panel):
     """Item and value rows of an entity become one record; its text "rank/total" becomes a strength."""
     day = panel.filter("dt = date '1998-03-01'")
     ranked = day.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("amount"), "entity"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))  # one row per entity
-    place = F.concat_ws("/", "rank", "n")
-    rows = ranked.select("entity", F.expr(f"stack(3, 'close', cast(close as string), 'amount', cast(amount as string), 'place', concat_ws('/', rank, n)) as (item, value)"), place.alias("p"))
+    rows = ranked.select("entity", F.expr("stack(3, 'close', cast(close as string), 'amount', cast(amount as string), 'place', concat_ws('/', rank, n)) as (item, value)"))
     wide = rows.groupBy("entity").pivot("item", ["close", "amount", "place"]).agg(F.first("value"))
     part = lambda i: F.regexp_extract("place", r"^(\d+)/(\d+)$", i).try_cast("double")
     return wide.select("entity", F.col("close").try_cast("double").alias("close"), F.col("amount").try_cast("double").alias("amount"), (1 - F.try_divide(part(1) - 1, part(2) - 1)).alias("strength"))

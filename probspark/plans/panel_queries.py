@@ -132,7 +132,7 @@ def j8(features):
         SELECT entity, equity, max(equity) OVER (PARTITION BY entity ORDER BY dt) AS peak FROM (
             SELECT entity, dt, product(1 + coalesce(ret_1, 0)) OVER (PARTITION BY entity ORDER BY dt) AS equity FROM features) a) b GROUP BY entity""")
 def w12(features):
-    return W.max_drawdown(features, KEY, ["dt"][0], "ret_1")
+    return W.max_drawdown(features, KEY, "dt", "ret_1")
 
 
 @query("w13_price_grid", "panel", keep="entity dt", doubles="close", sql="""
