@@ -130,6 +130,7 @@ def range_search(x: np.ndarray, table: np.ndarray, queries: np.ndarray, beam: in
 
 def _split(table: pa.Table) -> pa.Table:
     """Members of one block of an oversized shard, each with its two nearest pivots."""
+    table = table.sort_by("n")  # pivots arrive in any order, and a cell's blocks must choose and name alike
     pivot = table.column("pivot").to_numpy()
     x = unit_rows(_matrix(table.column("embedding")))
     heads = x[pivot]
@@ -137,12 +138,12 @@ def _split(table: pa.Table) -> pa.Table:
     for i in range(len(heads)):
         if not apart or (heads[apart] @ heads[i]).max() < 0.8:
             apart.append(i)
-    rows = table.filter(pa.array(~pivot))
+    rows, names = table.filter(pa.array(~pivot)), table.column("n").to_numpy()[pivot][apart]
     cosines = x[~pivot] @ heads[apart].T
     nearest = np.argsort(-cosines, axis=1, kind="stable")[:, :2]
     own = np.repeat(np.arange(len(rows)), nearest.shape[1])
     mark = "!" if len(apart) == 1 else "/"
-    cells = [f"{c.as_py()}{mark}{p}" for c, p in zip(rows.column("cell").take(pa.array(own)), nearest.reshape(-1), strict=True)]
+    cells = [f"{c.as_py()}{mark}{p}" for c, p in zip(rows.column("cell").take(pa.array(own)), names[nearest.reshape(-1)], strict=True)]
     out = rows.take(pa.array(own))
     return pa.table({"rep": out.column("rep"), "copies": out.column("copies"), "embedding": out.column("embedding"), "cell": pa.array(cells, pa.string())})
 
@@ -161,8 +162,8 @@ def cluster_shards(vectors: DataFrame, most: int = MOST_MEMBERS) -> DataFrame:
         order = F.xxhash64(F.lit(level), "rep")
         pivots = open_.groupBy("cell", "count", F.pmod(order, F.lit(PIVOTS)).alias("n")).agg(F.min_by("embedding", F.struct(order, "rep")).alias("embedding"))
         blocks = F.ceil(F.col("count") / 4096).cast("int")
-        pivots = pivots.select(F.lit(-1).cast("long").alias("rep"), F.lit(0).cast("long").alias("copies"), "embedding", "cell", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(True).alias("pivot"))
-        members = open_.select("rep", "copies", "embedding", "cell", F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"), F.lit(False).alias("pivot"))
+        pivots = pivots.select(F.lit(-1).cast("long").alias("rep"), F.lit(0).cast("long").alias("copies"), "embedding", "cell", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(True).alias("pivot"), "n")
+        members = open_.select("rep", "copies", "embedding", "cell", F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"), F.lit(False).alias("pivot"), F.lit(PIVOTS).cast("long").alias("n"))
         split = members.unionByName(pivots).groupBy("cell", "block").applyInArrow(_split, vectors.schema)
         open_ = stored(split.dropDuplicates(["rep", "cell"]), "shard-members")
     else:

@@ -1,6 +1,7 @@
 """Near-duplicate vectors against all pairs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +56,20 @@ def test_large_near_copy_group_stays_whole(spark):
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == brute(rows)
 
 
+def test_blocks_name_cells_alike_in_any_order_of_pivots():
+    rng = np.random.default_rng(2)
+    heads, member = rng.normal(size=(6, 16)), rng.normal(size=(3, 16))
+    heads[3] = heads[2] + 0.01
+
+    def split(order):
+        x = np.concatenate([heads[order], member])
+        table = {"rep": [-1] * 6 + [7, 8, 9], "copies": [0] * 6 + [1] * 3, "embedding": x.tolist(), "cell": ["c"] * 9, "pivot": [True] * 6 + [False] * 3, "n": [*order, 16, 16, 16]}
+        out = E._split(pa.table(table)).to_pydict()
+        return sorted(zip(out["rep"], out["cell"], strict=True))
+
+    assert split([0, 1, 2, 3, 4, 5]) == split([5, 3, 2, 0, 4, 1])
+
+
 def test_odd_tables(spark):
     assert E.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = [(None, [1.0, 0.0], 0, 0, ""), (4, [1.0, 0.0], 0, 0, ""), (4, [1.0, 0.0], 0, 0, "")]
