@@ -163,6 +163,19 @@ def test_jaccard_groups_match_all_pairs(docs, most, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in want.values()})
 
 
+def test_similar_sets_always_share_a_signature():
+    rng = np.random.default_rng(11)
+    for both, one, other in [(4, 0, 1), (5, 0, 1), (8, 0, 2), (8, 1, 1), (12, 0, 3), (12, 1, 2), (13, 0, 3), (16, 2, 2), (20, 0, 5), (24, 3, 3), (40, 5, 5), (240, 30, 30), (240, 0, 60), (800, 100, 100)]:
+        times = 6000 if both < 40 else 300
+        x = rng.integers(0, 1 << 50, (times, both + one + other), dtype=np.uint64)
+        sets = [np.sort(x[:, : both + one], axis=1), np.sort(np.delete(x, np.s_[both : both + one], axis=1), axis=1)]
+        seen = []
+        for s in sets:
+            signs, rows = jaccard_join.signatures(s.reshape(-1), np.arange(times + 1) * s.shape[1])
+            seen.append(set(zip(rows.tolist(), signs.tolist(), strict=True)))
+        assert len({r for r, _ in seen[0] & seen[1]}) == times, (both, one, other)
+
+
 def test_jaccard_odd_tables(spark):
     assert jaccard_join.jaccard_groups(spark.createDataFrame([], EMPTY)).count() == 0
     rows = spark.createDataFrame([(None, "a b c d e f"), (2, "A b c d e f"), (2, "A b c d e f"), (9, "a B c d e f"), (4, None)], "doc_id long, text string")
