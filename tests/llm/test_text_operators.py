@@ -163,6 +163,33 @@ def test_jaccard_groups_match_all_pairs(docs, most, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in want.values()})
 
 
+def test_large_clusters_reach_tasks_in_bounded_blocks(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(240):
+        w = base[:]
+        for _ in range(rng.choice([1, 1, 2, 4])):
+            w[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    monkeypatch.setattr(jaccard_join, "MOST_MEMBERS", 20)
+    monkeypatch.setattr(jaccard_join, "ANCHORS", 4, raising=False)
+    log, link_task = str(tmp_path), jaccard_join._link_task
+
+    def noted(table):
+        import tempfile
+
+        with tempfile.NamedTemporaryFile("w", dir=log, delete=False) as f:
+            f.write(str(len(table)))
+        return link_task(table)
+
+    monkeypatch.setattr(jaccard_join, "_link_task", noted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_groups(docs).collect()}
+    assert got == brute_components(docs.collect())
+    assert max(int(f.read_text()) for f in tmp_path.iterdir()) <= 80
+
+
 def test_similar_sets_always_share_a_signature():
     rng = np.random.default_rng(11)
     for both, one, other in [(4, 0, 1), (5, 0, 1), (8, 0, 2), (8, 1, 1), (12, 0, 3), (12, 1, 2), (13, 0, 3), (16, 2, 2), (20, 0, 5), (24, 3, 3), (40, 5, 5), (240, 30, 30), (240, 0, 60), (800, 100, 100)]:
