@@ -62,12 +62,15 @@ def kelly(p: Column, multiplier: Column) -> tuple[Column, Column]:
 
 
 def rank_pct(x: Column, partition: list[str]) -> Column:
-    """Average rank of ties over the number of non-null values; null stays null."""
-    order = Window.partitionBy(*partition).orderBy(x)
-    present = F.count(x).over(Window.partitionBy(*partition))
-    nulls = F.count(F.lit(1)).over(Window.partitionBy(*partition)) - present
-    ties = F.count(x).over(Window.partitionBy(*partition, x))
-    return F.when(x.isNotNull(), (F.rank().over(order) - nulls + (ties - 1) / 2) / present)
+    """Average rank of ties over the number of non-null values; null stays null.
+
+    The first rank of the ties and the count up to their last one share a sort, and their mean is the average rank.
+    """
+    whole = Window.partitionBy(*partition)
+    order = whole.orderBy(x.asc_nulls_first())
+    present = F.count(x).over(whole)
+    nulls = F.count(F.lit(1)).over(whole) - present
+    return F.when(x.isNotNull(), (F.rank().over(order) - nulls + F.count(x).over(order)) / 2 / present)
 
 
 def rolling(aggregate: Column, counted: Column, window: WindowSpec, least: int) -> Column:

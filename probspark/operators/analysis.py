@@ -85,18 +85,6 @@ def normal_bars(raw: DataFrame) -> DataFrame:
     return bars.dropna(subset=["day", "close"])
 
 
-def rebalanced(features: DataFrame, step: int = 3, top: int = 5) -> DataFrame:
-    """Every ``step``-th date, two strategies (largest and smallest past return): mean forward return of their picks against that of all."""
-    dates = features.select("dt").distinct().withColumn("i", F.row_number().over(Window.orderBy("dt")))  # a table of dates
-    chosen = features.join(F.broadcast(dates.filter((F.col("i") - 1) % step == 0)), "dt")  # bounded by the calendar
-    both = chosen.withColumn("s", F.explode(F.array(F.struct(F.lit("up").alias("strategy"), F.col("ret_5").alias("v")), F.struct(F.lit("down").alias("strategy"), (-F.col("ret_5")).alias("v")))))
-    both = both.select("dt", "entity", "fwd_3", "s.strategy", "s.v")
-    bench = F.avg("fwd_3").over(Window.partitionBy("strategy", "dt"))
-    picks = first_rank(both.withColumn("bench", bench), ["strategy", "dt"], "v", ["entity"]).filter((F.col("rank") <= top) & F.col("fwd_3").isNotNull())
-    out = picks.groupBy(F.col("dt").alias("start_date"), "strategy").agg(F.avg("fwd_3").alias("ret"), F.max("bench").alias("bench"), F.count(F.lit(1)).alias("picks"))
-    return out.withColumn("excess", F.col("ret") - F.col("bench"))
-
-
 def match_forecast(df: DataFrame, advantage: float = 100.0) -> DataFrame:
     """Shares of home win, draw and away win from ``rating``, ``away_rating`` and ``away_rd``."""
     scale = 173.7178  # of ratings to the logistic scale; a fixed value

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+BUCKETS = 4096
+
 
 def outcome_scores(df: DataFrame, key: list[str]) -> DataFrame:
     """Brier and log score, first maximum and the actual outcome's probability (``outcome, p, hit``)."""
@@ -42,23 +44,56 @@ def brier_decomposition(df: DataFrame, bins: int = 10) -> DataFrame:
     return out.withColumn("net", F.col("resolution") - F.col("reliability"))
 
 
-def rank_quality(df: DataFrame) -> DataFrame:
-    """Rows, base rate, Brier score and exact AUC (ties count half) from counts per distinct score."""
+def _bucket(score: Column) -> Column:
+    """One of BUCKETS equal ranges of a score within 0 and 1: sorts run inside a range, sums of ranges are a short table."""
+    return F.floor(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)) * BUCKETS).cast("int")
+
+
+def rank_quality(df: DataFrame, date: str | None = None, entity: str | None = None, rank: str | None = None, forward: str | None = None, top_n: int = 0) -> DataFrame:
+    """Rows, base rate, Brier score and exact AUC (ties count half) of scores ``p`` within 0 and 1 against ``y``.
+
+    With the other columns also distinct dates and entities, and hit rate and forward return of the first ``top_n`` ranks,
+    over rows and as a mean over dates.
+    """
     counts = df.groupBy("p").agg(F.sum("y").cast("double").alias("pos"), F.sum(1 - F.col("y")).cast("double").alias("neg"), F.sum((F.col("p") - F.col("y")) ** 2).alias("error"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))  # one row per distinct score
-    counts = counts.withColumn("pairs", F.col("pos") * (below + F.col("neg") / 2))
+    counts = counts.withColumn("bucket", _bucket(F.col("p")))
+    before = F.coalesce(F.sum("neg").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))  # BUCKETS rows
+    starts = counts.groupBy("bucket").agg(F.sum("neg").alias("neg")).select("bucket", before.alias("start"))
+    inside = F.coalesce(F.sum("neg").over(Window.partitionBy("bucket").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    counts = counts.withColumn("inside", inside).join(starts, "bucket").withColumn("pairs", F.col("pos") * (F.col("start") + F.col("inside") + F.col("neg") / 2))
     out = counts.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("pairs").alias("pairs"), F.sum("error").alias("error"))
     n = F.col("pos") + F.col("neg")
-    return out.select(n.cast("long").alias("n"), (F.col("pos") / n).alias("base_rate"), (F.col("error") / n).alias("brier"), F.try_divide(F.col("pairs"), F.col("pos") * F.col("neg")).alias("auc"))
+    out = out.select(n.cast("long").alias("n"), (F.col("pos") / n).alias("base_rate"), (F.col("error") / n).alias("brier"), F.try_divide(F.col("pairs"), F.col("pos") * F.col("neg")).alias("auc"))
+    if rank is None:
+        return out
+    top = F.col(rank) <= top_n
+    over = df.agg(F.count_distinct(date).alias("dates"), F.count_distinct(entity).alias("entities"), F.avg(F.when(top, F.col("y"))).alias("top_hit_rate"), F.avg(F.when(top, F.col(forward))).alias("top_ret"))
+    daily = df.filter(top).groupBy(date).agg(F.avg("y").alias("hit")).agg(F.avg("hit").alias("daily_top_hit_rate"))
+    return out.join(over, F.lit(True)).join(daily, F.lit(True))  # one row each
 
 
 def conformal_threshold(df: DataFrame, key: list[str], alpha: float) -> DataFrame:
-    """The k-th smallest ``score`` of each key, k = ceil((n+1)(1-alpha)) within 1 and n."""
+    """The k-th smallest ``score`` (within 0 and 1) of each key, k = ceil((n+1)(1-alpha)) within 1 and n.
+
+    Counts of score ranges find the range that holds it, and only that range is sorted.
+    """
+    values = df.groupBy(*key, _bucket(F.col("score")).alias("bucket"), "score").agg(F.count(F.lit(1)).alias("m"))
+    ranges = values.groupBy(*key, "bucket").agg(F.sum("m").alias("m"))
     w = Window.partitionBy(*key)
-    n = F.count(F.lit(1)).over(w)
-    k = F.least(F.greatest(F.ceil((n + 1) * (1 - alpha)), F.lit(1)), n)
-    placed = df.withColumn("n", n).withColumn("k", k).withColumn("place", F.row_number().over(w.orderBy("score")))
-    return placed.filter("place = k").select(*key, "n", F.col("score").alias("threshold"))
+    n, upto = F.sum("m").over(w), F.sum("m").over(w.orderBy("bucket"))  # BUCKETS rows a key
+    k = F.least(F.greatest(F.ceil((F.col("n") + 1) * (1 - alpha)), F.lit(1)), F.col("n"))
+    ranges = ranges.withColumns({"n": n, "upto": upto}).withColumn("rest", k - (F.col("upto") - F.col("m"))).filter("rest between 1 and m").drop("m", "upto")
+    inside = values.join(ranges, [*key, "bucket"]).withColumn("running", F.sum("m").over(Window.partitionBy(*key, "bucket").orderBy("score")))
+    return inside.filter("running >= rest").groupBy(*key, "n").agg(F.min("score").alias("threshold"))
+
+
+def prediction_sets(df: DataFrame, key: list[str], threshold: DataFrame, alpha: float) -> DataFrame:
+    """Per forecast the outcomes with 1 - p within the threshold (one row): their list and number, whether none or all are in, the coverage asked for."""
+    inside = 1 - F.col("p") <= F.col("threshold") + 1e-12
+    met = df.join(F.broadcast(threshold.select("threshold")), F.lit(True))  # one row
+    out = met.groupBy(*key).agg(F.count(F.lit(1)).alias("outcomes_of"), F.sort_array(F.collect_list(F.when(inside, F.col("outcome")))).alias("set"))  # a question's outcomes
+    size = F.size("set")
+    return out.withColumns({"size": size, "outcomes": F.concat_ws(",", "set"), "is_empty": size == 0, "is_full": size == F.col("outcomes_of"), "target": F.lit(1 - alpha)})
 
 
 def expert_losses(forecasts: DataFrame) -> DataFrame:

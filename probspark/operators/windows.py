@@ -115,21 +115,3 @@ def turn_labels(df: DataFrame, forward: str, partition: list[str], quantile: flo
     """1 where the forward return is among the best of its date, 0 elsewhere, null where it isn't known."""
     df = df.withColumn("forward_rank_pct", rank_pct(F.col(forward), partition))
     return df.withColumn("label", F.when(F.col(forward).isNotNull(), (F.col("forward_rank_pct") >= quantile).cast("int")))
-
-
-def market_context(df: DataFrame, date: str) -> DataFrame:
-    """Per date the number of rows, medians, dispersion, breadths and the regime score with its five-row mean and change."""
-    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
-    daily = df.groupBy(date).agg(
-        F.count(F.lit(1)).alias("entities"),
-        F.median("ret_1").alias("ret_1_median"),
-        F.median("ret_5").alias("ret_5_median"),
-        F.stddev_samp("ret_5").alias("ret_5_dispersion"),
-        F.median("position_in_bar").alias("position_median"),
-        share(F.col("ret_5") > 0).alias("up_share"),
-        share(F.col("amount_ratio") > 1).alias("expand_share"),
-    )
-    score = 0.3 * F.col("up_share") + 0.2 * F.col("expand_share") + 0.5 * F.coalesce("position_median", F.lit(0.0))
-    daily = daily.withColumn("regime_score", score)
-    w = Window.orderBy(date)  # a table of dates
-    return daily.withColumns({"regime_score_ma5": F.avg("regime_score").over(w.rowsBetween(-4, 0)), "regime_score_5_delta": F.col("regime_score") - F.lag("regime_score", 5).over(w)})

@@ -81,39 +81,6 @@ def p1(panel):
     return met.withColumn("signal_score", part("runup_8", 0.1, 0.25) * 0.4 + part("amplitude", 0.05, 0.12) * 0.3 + gap * 0.3)
 
 
-@query("p9_turning_signal", "features", keep="entity dt state", sql="""
-    SELECT entity, dt, CASE WHEN position_in_bar >= 0.65 AND ret_1 > 0 AND ret_5 <= 0.75 THEN CASE WHEN amount_ratio < 0.9 THEN 'risk_off_divergence_watch' ELSE 'turning_visible' END
-        WHEN position_in_bar >= 0.55 AND ret_5 <= 0.75 THEN CASE WHEN amount_ratio < 0.9 THEN 'risk_off_divergence_watch' ELSE 'early_divergence_watch' END
-        WHEN ret_5 >= 0.82 AND position_in_bar < 0.60 THEN 'already_extended' WHEN position_in_bar < 0.35 AND ret_1 < 0 THEN 'cooling_or_failed' ELSE 'neutral_or_wait' END AS state FROM features""")
-def p9(features):
-    p, r1, r5 = F.col("position_in_bar"), F.col("ret_1"), F.col("ret_5")
-    weak = lambda name: F.when(F.col("amount_ratio") < 0.9, "risk_off_divergence_watch").otherwise(name)
-    state = F.when((p >= 0.65) & (r1 > 0) & (r5 <= 0.75), weak("turning_visible")).when((p >= 0.55) & (r5 <= 0.75), weak("early_divergence_watch"))
-    return features.withColumn("state", state.when((r5 >= 0.82) & (p < 0.60), "already_extended").when((p < 0.35) & (r1 < 0), "cooling_or_failed").otherwise("neutral_or_wait"))
-
-
-_INTRADAY = """SELECT *, row_number() OVER (PARTITION BY dt ORDER BY position_in_bar DESC NULLS LAST, entity) AS rank, position_in_bar - lag(position_in_bar) OVER w AS score_delta,
-    ret_1 - lag(ret_1) OVER w AS board_delta, amount_ratio - lag(amount_ratio) OVER w AS up_delta FROM features WINDOW w AS (PARTITION BY entity ORDER BY dt)"""
-
-
-@query("p12_p13_intraday_state_priority", "features", keep="entity dt state priority", sql=f"""
-    SELECT entity, dt, state, CASE state WHEN 'confirming' THEN 1 WHEN 'accelerating' THEN 2 WHEN 'watch' THEN 3 WHEN 'first_snapshot' THEN 4 ELSE 5 END AS priority FROM (
-        SELECT *, CASE WHEN score_delta IS NULL THEN 'first_snapshot' WHEN rank <= 10 AND coalesce(board_delta >= 0, FALSE) AND coalesce(up_delta >= 0, FALSE) THEN 'confirming'
-            WHEN rank <= 15 AND score_delta >= 0.03 AND coalesce(board_delta > 0, FALSE) THEN 'accelerating'
-            WHEN coalesce(board_delta <= -0.5, FALSE) OR coalesce(up_delta <= -0.08, FALSE) THEN 'fading' ELSE 'watch' END AS state FROM ({_INTRADAY}) i) q""")
-def p12(features):
-    """Changes since the row before; a change that isn't known meets no condition."""
-    w = W.by(["entity"], ["dt"])
-    change = lambda c: F.col(c) - F.lag(c).over(w)
-    df = W.first_rank(features, ["dt"], "position_in_bar", ["entity"]).withColumns({"score_delta": change("position_in_bar"), "board_delta": change("ret_1"), "up_delta": change("amount_ratio")})
-    true = lambda c: F.coalesce(c, F.lit(False))
-    board, up = F.col("board_delta"), F.col("up_delta")
-    state = F.when(F.col("score_delta").isNull(), "first_snapshot").when((F.col("rank") <= 10) & true(board >= 0) & true(up >= 0), "confirming")
-    state = state.when((F.col("rank") <= 15) & (F.col("score_delta") >= 0.03) & true(board > 0), "accelerating").when(true(board <= -0.5) | true(up <= -0.08), "fading").otherwise("watch")
-    order = F.create_map(*[x for k, v in {"confirming": 1, "accelerating": 2, "watch": 3, "first_snapshot": 4}.items() for x in (F.lit(k), F.lit(v))])
-    return df.withColumn("state", state).withColumn("priority", F.coalesce(F.try_element_at(order, F.col("state")), F.lit(5)))
-
-
 _BUNDLES = """SELECT o_orderkey, count(*) AS legs, product(l_quantity / 20 + 0.5e0) AS odds, count(DISTINCT l_suppkey) AS matches, min(l_discount) AS weakest
     FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey GROUP BY o_orderkey"""
 
@@ -159,30 +126,6 @@ def a21(shares):
     return scores.groupBy("subject").agg(F.count(F.lit(1)).alias("forecasts"), F.avg(right).alias("accuracy"), F.avg("brier").alias("mean_brier"), F.avg("log_score").alias("mean_log"), F.avg("p_actual").alias("mean_p"))
 
 
-_STRATEGY = """SELECT start_date, strategy, avg(ret) AS ret, max(bench) AS bench, count(*) AS picks FROM (
-    SELECT f.dt AS start_date, s.strategy, f.fwd_3 AS ret, avg(f.fwd_3) OVER (PARTITION BY s.strategy, f.dt) AS bench, row_number() OVER (PARTITION BY s.strategy, f.dt ORDER BY CASE s.strategy WHEN 'up' THEN ret_5 ELSE -ret_5 END DESC NULLS LAST, f.entity) AS place
-    FROM (SELECT *, dense_rank() OVER (ORDER BY dt) AS i FROM features) f CROSS JOIN (SELECT 'up' AS strategy UNION ALL SELECT 'down') s WHERE (i - 1) % 3 = 0) q WHERE place <= 5 AND ret IS NOT NULL GROUP BY start_date, strategy"""
-
-
-@query("j14_rebalanced_backtest", "features", keep="start_date strategy picks", doubles="ret bench excess", digits=5, sql=f"SELECT *, ret - bench AS excess FROM ({_STRATEGY}) s")
-def j14(features):
-    return N.rebalanced(features)
-
-
-@query("a28_strategy_summary", "features", keep="strategy periods", doubles="mean_ret win_rate mean_excess best worst", digits=5, sql=f"""
-    SELECT strategy, count(*) AS periods, avg(ret) AS mean_ret, avg(CAST(ret > 0 AS INT)) AS win_rate, avg(ret - bench) AS mean_excess, max(ret) AS best, min(ret) AS worst FROM ({_STRATEGY}) s GROUP BY strategy""")
-def a28(features):
-    win = (F.col("ret") > 0).cast("int")
-    return N.rebalanced(features).groupBy("strategy").agg(F.count(F.lit(1)).alias("periods"), F.avg("ret").alias("mean_ret"), F.avg(win).alias("win_rate"), F.avg("excess").alias("mean_excess"), F.max("ret").alias("best"), F.min("ret").alias("worst"))
-
-
-@query("a29_state_summary", "panel features", keep="touched events", doubles="hit_rate mean_ret", sql=f"""
-    SELECT touched, count(*) AS events, avg(CAST(planned > 0 AS INT)) AS hit_rate, avg(planned) AS mean_ret FROM ({_EVENTS}) e GROUP BY touched""")
-def a29(panel, features):
-    hit = (F.col("planned") > 0).cast("int")
-    return signal_events(panel, features).groupBy("touched").agg(F.count(F.lit(1)).alias("events"), F.avg(hit).alias("hit_rate"), F.avg("planned").alias("mean_ret"))
-
-
 @query("f12_expected_scores", "supplier", keep="home away", doubles="home_win draw away_win", sql="""
     SELECT home, away, e * (1 - d) AS home_win, d AS draw, (1 - e) * (1 - d) AS away_win FROM (
         SELECT a.s_suppkey AS home, b.s_suppkey AS away, greatest(0.15e0, 0.3e0 * exp(-abs(a.r + 100 - b.r) / 500)) AS d,

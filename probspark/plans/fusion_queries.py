@@ -203,14 +203,6 @@ def a18(forecasts):
     return S.brier_decomposition(forecasts)
 
 
-@query("a30_rank_quality", "class_forecasts", keep="n", doubles="base_rate brier auc", sql="""
-    SELECT count(*) AS n, avg(y) AS base_rate, avg((p - y) * (p - y)) AS brier,
-        (sum(CASE WHEN y = 1 THEN r END) - sum(y) * (sum(y) + 1) / 2.0e0) / (sum(y) * (count(*) - sum(y))) AS auc FROM (
-        SELECT *, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0e0 AS r FROM class_forecasts) q""")
-def a30(forecasts):
-    return S.rank_quality(forecasts)
-
-
 @query("a20_crps", "events", keep="event_type", doubles="crps", sql="""
     WITH pts AS (SELECT event_type, k / 10.0e0 AS f, q[k] AS x FROM (SELECT event_type, quantile_cont(value, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS q
         FROM events GROUP BY event_type) g CROSS JOIN range(1, 11) t(k)),
@@ -237,20 +229,18 @@ def a22(documents, forecasts):
     return S.conformal_threshold(df, ["source"], 0.1)
 
 
-@query("a23_prediction_set", "documents class_forecasts", keep="forecast_id size outcomes", sql="""
-    WITH s AS (SELECT CASE WHEN y = 1 THEN 1 - p ELSE p END AS score FROM class_forecasts),
-    t AS (SELECT score AS threshold FROM (SELECT score, row_number() OVER (ORDER BY score) AS place, count(*) OVER () AS n FROM s) q WHERE place = least(greatest(ceil((n + 1) * (1 - 0.1e0)), 1), n))
-SELECT forecast_id, CAST(p >= 1 - threshold - 1e-12 AS INT) + CAST(1 - p >= 1 - threshold - 1e-12 AS INT) AS size,
-    concat_ws(',', CASE WHEN 1 - p >= 1 - threshold - 1e-12 THEN '0' END, CASE WHEN p >= 1 - threshold - 1e-12 THEN '1' END) AS outcomes FROM class_forecasts CROSS JOIN t""")
-def a23(documents, forecasts):
-    """Outcomes whose score is within the threshold of all scores; the threshold is one row."""
-    score = F.when(F.col("y") == 1, 1 - F.col("p")).otherwise(F.col("p"))
-    n = forecasts.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    k = min(max(-(-(n + 1) * 9 // 10), 1), n)
-    limit = forecasts.select(score.alias("s")).agg(F.expr(f"percentile_disc({(k - 0.5) / n}) WITHIN GROUP (ORDER BY s)").alias("threshold"))
-    df = forecasts.join(F.broadcast(limit), F.lit(True))
-    no, yes = (1 - F.col("p") >= 1 - F.col("threshold") - 1e-12), (F.col("p") >= 1 - F.col("threshold") - 1e-12)
-    return df.select("forecast_id", (no.cast("int") + yes.cast("int")).alias("size"), F.concat_ws(",", F.when(no, "0"), F.when(yes, "1")).alias("outcomes"))
+_SET = """t AS (SELECT score AS threshold FROM (SELECT 1 - p AS score, row_number() OVER (ORDER BY 1 - p) AS place, count(*) OVER () AS n FROM f WHERE hit) q WHERE place = least(greatest(ceil((n + 1) * (1 - 0.1e0)), 1), n))"""
+
+
+@query("a23_prediction_set", "shares", keep="subject ts size outcomes is_empty is_full", doubles="target", sql=f"""
+    WITH f AS ({_FORECAST}), {_SET}
+SELECT subject, ts, count(*) FILTER (1 - p <= threshold + 1e-12) AS size, coalesce(string_agg(CASE WHEN 1 - p <= threshold + 1e-12 THEN outcome END, ',' ORDER BY outcome), '') AS outcomes,
+    count(*) FILTER (1 - p <= threshold + 1e-12) = 0 AS is_empty, bool_and(1 - p <= threshold + 1e-12) AS is_full, 0.9e0 AS target FROM f CROSS JOIN t GROUP BY subject, ts""")
+def a23(shares):
+    """Outcomes within the threshold of all forecasts' scores of what happened."""
+    df = _with_hit(shares)
+    threshold = S.conformal_threshold(df.filter("hit").select((1 - F.col("p")).alias("score")), [], 0.1)
+    return S.prediction_sets(df, ["subject", "ts"], threshold, 0.1)
 
 
 _LOSSES = """SELECT *, sum(loss) OVER w AS total_loss, avg(loss) OVER w AS mean_loss,

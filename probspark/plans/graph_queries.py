@@ -156,41 +156,6 @@ def p8(features):
     return _states(features).withColumns({"group_state": group, "member_state": member})
 
 
-@query("p11_confirmation_state", "features", keep="entity dt state", sql=f"""
-    SELECT entity, dt, CASE WHEN probability IS NULL THEN 'breadth_unknown' WHEN amount_ratio < 0.8 AND probability >= 0.62 THEN 'risk_off_breadth_resilient'
-        WHEN probability >= 0.68 AND coalesce(ret_5, 0) >= 0.58 THEN 'breadth_confirmed' WHEN probability >= 0.55 AND (coalesce(amount_ratio, 0) >= 0.55 OR coalesce(flow, 0) > 0) THEN 'breadth_improving'
-        WHEN probability <= 0.42 THEN 'breadth_weak' ELSE 'breadth_neutral' END AS state FROM ({_STATE_IN}) s""")
-def p11(features):
-    score, zero = F.col("probability"), F.lit(0.0)
-    state = F.when(score.isNull(), "breadth_unknown").when((F.col("amount_ratio") < 0.8) & (score >= 0.62), "risk_off_breadth_resilient")
-    state = state.when((score >= 0.68) & (F.coalesce("ret_5", zero) >= 0.58), "breadth_confirmed")
-    state = state.when((score >= 0.55) & ((F.coalesce("amount_ratio", zero) >= 0.55) | (F.coalesce("flow", zero) > 0)), "breadth_improving")
-    return _states(features).withColumn("state", state.when(score <= 0.42, "breadth_weak").otherwise("breadth_neutral"))
-
-
-@query("p2_configured_candidates", "features", keep="config entity dt place", sql="""
-    SELECT * FROM (SELECT config, entity, dt, row_number() OVER (PARTITION BY config, dt ORDER BY ret_5 DESC, entity) AS place, top_n FROM features
-        CROSS JOIN (SELECT 'wide' AS config, 8 AS top_n, 0.2e0 AS least, 99.0e0 AS most UNION ALL SELECT 'narrow', 3, 0.5e0, 1.5e0) c
-        WHERE position_in_bar >= least AND coalesce(amount_ratio, 0) <= most AND ret_5 IS NOT NULL) q WHERE place <= top_n""")
-def p2(features):
-    """A small table of named configurations meets all rows; one predicate and one rank serve them all."""
-    configs = features.sparkSession.createDataFrame([("wide", 8, 0.2, 99.0), ("narrow", 3, 0.5, 1.5)], "config string, top_n int, least double, most double")
-    passes = (F.col("position_in_bar") >= F.col("least")) & (F.coalesce("amount_ratio", F.lit(0.0)) <= F.col("most")) & F.col("ret_5").isNotNull()
-    met = features.join(F.broadcast(configs), passes)  # two rows
-    return W.first_rank(met, ["config", "dt"], "ret_5", ["entity"], "place").filter("place <= top_n")
-
-
-@query("p3_p4_category_flags", "features", keep="entity dt first_flag flags", sql="""
-    SELECT entity, dt, coalesce(CASE WHEN a THEN 'leader' END, CASE WHEN b THEN 'launch' END, CASE WHEN c THEN 'crowded' END, CASE WHEN d THEN 'cooling' END, 'watchlist') AS first_flag,
-        concat_ws(',', CASE WHEN a THEN 'leader' END, CASE WHEN b THEN 'launch' END, CASE WHEN c THEN 'crowded' END, CASE WHEN d THEN 'cooling' END) AS flags FROM (
-        SELECT *, ret_5 > 1 AND position_in_bar > 0.6 AS a, ret_1 > 0.5 AND amount_ratio > 1 AS b, amount_ratio > 1.2 AS c, ret_1 < -0.5 AND position_in_bar < 0.3 AS d FROM features) q""")
-def p3(features):
-    r1, r5, ratio, place = (F.col(c) for c in ("ret_1", "ret_5", "amount_ratio", "position_in_bar"))
-    rules = {"leader": (r5 > 1) & (place > 0.6), "launch": (r1 > 0.5) & (ratio > 1), "crowded": ratio > 1.2, "cooling": (r1 < -0.5) & (place < 0.3)}
-    flags = [F.when(c, n) for n, c in rules.items()]
-    return features.withColumn("first_flag", F.coalesce(*flags, F.lit("watchlist"))).withColumn("flags", F.concat_ws(",", *flags))
-
-
 @query("p14_weighted_checks", "features", keep="entity dt score level", sql="""
     SELECT entity, dt, score, CASE WHEN score >= 4 THEN 'A' WHEN score >= 2 THEN 'B' ELSE 'C' END AS level FROM (
         SELECT *, 2 * CAST(coalesce(ret_1 < 0, FALSE) AS INT) + CAST(coalesce(ret_5 > 0, FALSE) AS INT) + CAST(coalesce(amount_ratio > 1, FALSE) AS INT) + CAST(coalesce(position_in_bar > 0.5, FALSE) AS INT) AS score FROM features) q""")
@@ -200,11 +165,6 @@ def p14(features):
     return features.withColumn("score", score).withColumn("level", F.when(score >= 4, "A").when(score >= 2, "B").otherwise("C"))
 
 
-@query("p15_label_tail", "features", keep="entity dt", doubles="fwd_3", sql="SELECT entity, dt, fwd_3 FROM features WHERE amount >= 10000 AND fwd_3 IS NOT NULL")
-def p15(features):
-    return features.filter("amount >= 10000").dropna(subset=["fwd_3"])
-
-
 @query("p17_coalesced_columns", "features", keep="entity dt", doubles="first_known", sql="SELECT entity, dt, coalesce(amount_ratio, ret_5, ret_1) AS first_known FROM features")
 def p17(features):
     return features.withColumn("first_known", F.coalesce("amount_ratio", "ret_5", "ret_1"))
@@ -221,15 +181,6 @@ def a36(flows):
     return flows.groupBy("direction").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("f10_composite_score", "features", keep="entity dt", doubles="composite", sql="""
-    SELECT entity, dt, 0.42e0 * r + 0.58e0 * (1 - (place - 1.0e0) / greatest(n - 1, 1)) AS composite FROM (
-        SELECT entity, dt, coalesce(position_in_bar, 0) AS r, row_number() OVER (PARTITION BY dt ORDER BY ret_5 DESC NULLS LAST, entity) AS place, count(*) OVER (PARTITION BY dt) AS n FROM features) q""")
-def f10(features):
-    df = W.group_size(W.first_rank(features, ["dt"], "ret_5", ["entity"], "place"), ["dt"])
-    strength = 1 - (F.col("place") - 1) / F.greatest(F.col("group_rows") - 1, F.lit(1))
-    return df.withColumn("composite", 0.42 * F.coalesce("position_in_bar", F.lit(0.0)) + 0.58 * strength)
-
-
 @query("f13_string_parsing", "part", keep="p_partkey code digits", doubles="number", sql="""
     SELECT p_partkey, right(lpad(regexp_replace(p_brand, '[^0-9]', '', 'g'), 6, '0'), 6) AS code, regexp_replace(p_brand, '[^0-9]', '', 'g') AS digits,
         TRY_CAST(nullif(regexp_extract(p_brand, '([-+]?[0-9]+(\\.[0-9]+)?)', 1), '') AS DOUBLE) AS number FROM part""")
@@ -244,21 +195,3 @@ def f13(part):
 def f14(events):
     return events.select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.hour("ts").cast("long").alias("hour"), F.date_format(F.date_add(F.to_date("ts"), 7), "yyyyMMdd").alias("next_week"))
 
-
-@query("j3_j4_multi_horizon", "features", keep="entity place", doubles="consensus", sql="""
-    WITH latest AS (SELECT * FROM features WHERE dt = DATE '1999-06-01'),
-    s AS (SELECT entity, 1 - (row_number() OVER (ORDER BY ret_1 DESC NULLS LAST, entity) - 1.0e0) / greatest(count(*) OVER () - 1, 1) AS a, 1 - (row_number() OVER (ORDER BY ret_3 DESC NULLS LAST, entity) - 1.0e0) / greatest(count(*) OVER () - 1, 1) AS b,
-        1 - (row_number() OVER (ORDER BY ret_5 DESC NULLS LAST, entity) - 1.0e0) / greatest(count(*) OVER () - 1, 1) AS c FROM latest)
-SELECT entity, 0.5e0 * a + 0.3e0 * b + 0.2e0 * c AS consensus, row_number() OVER (ORDER BY floor((0.5e0 * a + 0.3e0 * b + 0.2e0 * c) * 1e9) DESC, entity) AS place FROM s""")
-def j3(features):
-    """Rank scores of three horizons at one date, joined by entity, and their weighted consensus."""
-    latest = features.filter("dt = date '1999-06-01'")
-    total = None
-    for column, weight in (("ret_1", 0.5), ("ret_3", 0.3), ("ret_5", 0.2)):
-        ranked = W.group_size(W.first_rank(latest, ["dt"], column, ["entity"]), ["dt"])
-        score = (1 - (F.col("rank") - 1) / F.greatest(F.col("group_rows") - 1, F.lit(1))) * weight
-        part = ranked.select("entity", score.alias(f"score_{column}"))
-        total = part if total is None else total.join(part, "entity")
-    df = total.withColumn("consensus", F.col("score_ret_1") + F.col("score_ret_3") + F.col("score_ret_5"))
-    order = Window.partitionBy().orderBy(F.floor(F.col("consensus") * 1e9).desc(), "entity")  # one row per entity of one date
-    return df.withColumn("place", F.row_number().over(order))

@@ -135,19 +135,6 @@ def s20(features):
     return features.filter(inside).orderBy(F.desc("ret_3"), F.desc("amount"), "entity", "dt").limit(50)
 
 
-@query("s21_wide_record", "panel", keep="entity", doubles="close amount strength", sql="""
-    SELECT entity, close, amount, 1 - (rank - 1) / (n - 1.0e0) AS strength FROM (
-        SELECT entity, close, amount, row_number() OVER (ORDER BY amount DESC, entity) AS rank, count(*) OVER () AS n FROM panel WHERE dt = DATE '1998-03-01') q""")
-def s21(panel):
-    """Item and value rows of an entity become one record; its text "rank/total" becomes a strength."""
-    day = panel.filter("dt = date '1998-03-01'")
-    ranked = day.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("amount"), "entity"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))  # one row per entity
-    rows = ranked.select("entity", F.expr("stack(3, 'close', cast(close as string), 'amount', cast(amount as string), 'place', concat_ws('/', rank, n)) as (item, value)"))
-    wide = rows.groupBy("entity").pivot("item", ["close", "amount", "place"]).agg(F.first("value"))
-    part = lambda i: F.regexp_extract("place", r"^(\d+)/(\d+)$", i).try_cast("double")
-    return wide.select("entity", F.col("close").try_cast("double").alias("close"), F.col("amount").try_cast("double").alias("amount"), (1 - F.try_divide(part(1) - 1, part(2) - 1)).alias("strength"))
-
-
 @query("s22_membership", "members", keep="grp member place", sql="""
     SELECT grp, member, place FROM (SELECT grp, member, row_number() OVER (PARTITION BY grp ORDER BY sum(amount) DESC, member) AS place FROM members GROUP BY grp, member) q WHERE place <= 8""")
 def s22(members):

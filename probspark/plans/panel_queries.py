@@ -100,33 +100,6 @@ def w10(shares):
     return W.probability_flow(shares, ["subject", "outcome"], "ts", "p")
 
 
-_CONTEXT = """SELECT dt, count(*) AS entities, median(ret_1) AS ret_1_median, median(ret_5) AS ret_5_median, stddev_samp(ret_5) AS ret_5_dispersion,
-    median(position_in_bar) AS position_median, avg(CASE WHEN ret_5 > 0 THEN 1.0e0 ELSE 0.0e0 END) AS up_share,
-    avg(CASE WHEN amount_ratio > 1 THEN 1.0e0 ELSE 0.0e0 END) AS expand_share FROM features GROUP BY dt"""
-
-
-@query("a24_market_context", "features", keep="dt entities", doubles="ret_1_median ret_5_median ret_5_dispersion position_median up_share expand_share", sql=_CONTEXT)
-def a24(features):
-    return W.market_context(features, "dt")
-
-
-_SCORED = f"SELECT *, 0.3 * up_share + 0.2 * expand_share + 0.5 * coalesce(position_median, 0) AS regime_score FROM ({_CONTEXT}) c"
-
-
-@query("w11_series_context", "features", keep="dt state", doubles="regime_score regime_score_ma5 regime_score_5_delta", sql=f"""
-    SELECT dt, regime_score, avg(regime_score) OVER (ORDER BY dt ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS regime_score_ma5,
-        regime_score - lag(regime_score, 5) OVER (ORDER BY dt) AS regime_score_5_delta,
-        CASE WHEN regime_score >= 0.62 THEN 'risk_on' WHEN regime_score >= 0.45 THEN 'mixed' ELSE 'risk_off' END AS state FROM ({_SCORED}) s""")
-def w11(features):
-    return W.market_context(features, "dt").withColumn("state", X.market_regime(F.col("regime_score")))
-
-
-@query("j8_context_join", "features", keep="entity dt entities", doubles="ret_5 ret_5_median", sql=f"""
-    SELECT f.entity, f.dt, f.ret_5, c.entities, c.ret_5_median FROM features f LEFT JOIN ({_CONTEXT}) c ON f.dt = c.dt""")
-def j8(features):
-    return features.join(W.market_context(features, "dt"), "dt", "left")
-
-
 @query("w12_max_drawdown", "features", keep="entity", doubles="max_drawdown", sql="""
     SELECT entity, min(equity / peak - 1) AS max_drawdown FROM (
         SELECT entity, equity, max(equity) OVER (PARTITION BY entity ORDER BY dt) AS peak FROM (
@@ -154,13 +127,6 @@ def w15(panel):
     return W.keep_last(panel, KEY, [F.desc("dt")])
 
 
-@query("w22_labels", "features", keep="entity dt label", doubles="forward_rank_pct", sql=f"""
-    SELECT entity, dt, forward_rank_pct, CASE WHEN fwd_3 IS NOT NULL THEN CAST(forward_rank_pct >= 0.8 AS INT) END AS label
-    FROM (SELECT *, {_rank('fwd_3')} AS forward_rank_pct FROM features) q""")
-def w22(features):
-    return W.turn_labels(features, "fwd_3", ["dt"])
-
-
 @query("k1_top_per_date", "features", keep="entity dt rank", doubles="ret_5 fwd_3", sql="""
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dt ORDER BY ret_5 DESC NULLS LAST, entity) AS rank FROM features) q WHERE rank <= 5""")
 def k1(features):
@@ -193,22 +159,6 @@ def k5(shares):
     return shares.withColumn("place", F.row_number().over(w)).withColumn("best", F.first("outcome").over(w))
 
 
-@query("f11_bar_shape", "panel", keep="entity dt", doubles="position_in_bar upper_shadow lower_shadow from_high_20", sql="""
-    SELECT entity, dt, (close - low) / nullif(high - low, 0) AS position_in_bar, (high - greatest(open, close)) / nullif(high - low, 0) AS upper_shadow,
-        (least(open, close) - low) / nullif(high - low, 0) AS lower_shadow,
-        CASE WHEN count(*) OVER w = 20 THEN close / max(high) OVER w - 1 END AS from_high_20 FROM panel
-    WINDOW w AS (PARTITION BY entity ORDER BY dt ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""")
-def f11(panel):
-    span = F.nullif(F.col("high") - F.col("low"), F.lit(0.0))
-    w = W.by(KEY, ["dt"]).rowsBetween(-19, 0)
-    return panel.withColumns({
-        "position_in_bar": (F.col("close") - F.col("low")) / span,
-        "upper_shadow": (F.col("high") - F.greatest("open", "close")) / span,
-        "lower_shadow": (F.least("open", "close") - F.col("low")) / span,
-        "from_high_20": X.rolling(F.max("high"), F.col("high"), w, 20),
-    }).withColumn("from_high_20", F.col("close") / F.col("from_high_20") - 1)
-
-
 @query("j1_asof_adjustment", "panel factors", keep="entity dt", doubles="adjusted change_pct", digits=4, sql="""
     SELECT entity, dt, adjusted, 100 * (adjusted / lag(adjusted) OVER (PARTITION BY entity ORDER BY dt) - 1) AS change_pct FROM (
         SELECT p.entity, p.dt, p.close / coalesce(f.factor, g.factor) AS adjusted FROM panel p
@@ -234,13 +184,6 @@ def j2(members, groups):
     return joined.withColumn("rows_of_pair", F.count(F.lit(1)).over(Window.partitionBy("grp", "member"))).filter("rows_of_pair >= 20")
 
 
-@query("j6_previous_snapshot", "panel", keep="entity dt", doubles="close_delta volume_delta amount_delta", sql=f"""
-    SELECT entity, dt, close - lag(close) OVER {_W} AS close_delta, volume - lag(volume) OVER {_W} AS volume_delta, amount - lag(amount) OVER {_W} AS amount_delta FROM panel""", digits=2)
-def j6(panel):
-    w = W.by(KEY, ["dt"])
-    return panel.withColumns({f"{c}_delta": F.col(c) - F.lag(c).over(w) for c in ("close", "volume", "amount")})
-
-
 _SIGNALS = "SELECT *, close * 1.01e0 AS buy_high, close * 0.99e0 AS buy_low FROM features WHERE ret_1 <= -0.05e0"
 _EVENTS = f"""SELECT s.entity, s.dt AS signal_date, n.entry_date, n.exit_date, n.touched, CASE WHEN n.touched THEN n.exit_close / n.buy_high - 1 END AS ret,
     CASE WHEN n.touched THEN n.exit_close / n.buy_high - 1 ELSE 0 END AS planned FROM ({_SIGNALS}) s JOIN (
@@ -314,27 +257,6 @@ def j10(panel):
     return ended.groupBy("start_date", "end_date").agg(F.count(F.lit(1)).alias("names"), F.avg(F.col("close") / F.col("first_close") - 1).alias("mean_return"))
 
 
-@query("f8_divergence_scores", "features", keep="entity dt position_state", doubles="divergence_score divergence_rank_pct", sql=f"""
-    WITH ranked AS (SELECT entity, dt, {_rank('ret_5')} AS r5, {_rank('amount_ratio')} AS ar, {_rank('position_in_bar')} AS ip FROM features),
-    scored AS (SELECT *, (1 - r5) * 0.4e0 + ar * 0.34e0 + ip * 0.26e0 AS divergence_score FROM ranked),
-    placed AS (SELECT *, {_rank('divergence_score')} AS divergence_rank_pct FROM scored)
-SELECT *, CASE WHEN r5 IS NULL OR divergence_rank_pct IS NULL THEN 'insufficient_history' WHEN r5 >= 0.82 AND ip >= 0.65 THEN 'already_extended'
-    WHEN divergence_rank_pct >= 0.72 AND ip >= 0.65 THEN 'visible_turn_candidate' WHEN divergence_rank_pct >= 0.70 AND r5 <= 0.55 THEN 'hidden_divergence_candidate'
-    WHEN r5 <= 0.35 AND ar <= 0.45 THEN 'cooling_or_failed' ELSE 'neutral' END AS position_state FROM placed""", digits=5)
-def f8(features):
-    """Divergence score of quiet price, volume and close position, ranked within its date, and the position state."""
-    ranked = W.cross_section_ranks(features, ["dt"], ["ret_5", "amount_ratio", "position_in_bar"])
-    r5, ar, ip = (F.col(f"{c}_rank_pct") for c in ("ret_5", "amount_ratio", "position_in_bar"))
-    scored = ranked.withColumn("divergence_score", (1 - r5) * 0.4 + ar * 0.34 + ip * 0.26)
-    d = F.col("divergence_rank_pct")
-    state = (
-        F.when(r5.isNull() | d.isNull(), "insufficient_history").when((r5 >= 0.82) & (ip >= 0.65), "already_extended")
-        .when((d >= 0.72) & (ip >= 0.65), "visible_turn_candidate").when((d >= 0.70) & (r5 <= 0.55), "hidden_divergence_candidate")
-        .when((r5 <= 0.35) & (ar <= 0.45), "cooling_or_failed").otherwise("neutral")
-    )
-    return scored.withColumn("divergence_rank_pct", X.rank_pct(F.col("divergence_score"), ["dt"])).withColumn("position_state", state)
-
-
 @query("f6_buy_plan", "panel", keep="entity dt", doubles="swing_low swing_high fib382 buy_low buy_high stop_price", digits=4, sql="""
     WITH ext AS (SELECT *, coalesce(CASE WHEN count(*) OVER w8 >= 5 THEN min(low) OVER w8 END, low) AS swing_low,
         greatest(CASE WHEN count(*) OVER w10 >= 5 THEN max(high) OVER w10 END, high) AS swing_high FROM panel
