@@ -14,6 +14,11 @@ def clip(x: Column, low: float, high: float) -> Column:
     return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """``x`` to so many digits, halves up: the same two operations in every engine."""
+    return F.floor(x * 10.0**digits + 0.5) / F.lit(10.0**digits)
+
+
 def logit(p: Column) -> Column:
     q = clip(p, EPSILON, 1 - EPSILON)
     return F.ln(q / (1 - q))

@@ -9,7 +9,6 @@ from probspark.functions import expr as X
 from probspark.operators import analysis as N
 from probspark.operators import windows as W
 from probspark.plans.fusion_queries import _ANOMALIES, _LOGIT, _WEIGHTED, AS_OF
-from probspark.plans.panel_queries import _EVENTS, signal_events
 from probspark.plans.registry import query
 
 
@@ -66,21 +65,6 @@ def a14(evidence):
     return N.assess(evidence, AS_OF)
 
 
-@query("p1_signal_selection", "panel", keep="entity dt", doubles="signal_score", sql="""
-    WITH f AS (SELECT entity, dt, close / lag(close) OVER w - 1 AS ret_1, lag(close, 1) OVER w / lag(close, 8) OVER w - 1 AS runup, high / low - 1 AS amplitude,
-        close / CASE WHEN count(*) OVER w10 = 10 THEN avg(close) OVER w10 END - 1 AS gap, amount FROM panel
-        WINDOW w AS (PARTITION BY entity ORDER BY dt), w10 AS (PARTITION BY entity ORDER BY dt ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))
-SELECT entity, dt, least(greatest((runup - 0.1e0) / 0.25e0, 0), 1) * 0.4e0 + least(greatest((amplitude - 0.05e0) / 0.12e0, 0), 1) * 0.3e0 + (1 - least(greatest(abs(gap) / 0.12e0, 0), 1)) * 0.3e0 AS signal_score
-    FROM f WHERE runup >= 0.1 AND ret_1 <= -0.03 AND amplitude >= 0.05 AND amount >= 1000 AND gap >= -0.9""")
-def p1(panel):
-    """Conditions on run-up, fall, amplitude, amount and gap to the mean, and a score of clipped terms (also the signal score)."""
-    df = W.low_buy_features(panel, ["entity"], "dt").withColumn("ret_1", F.col("close") / F.col("prev_close") - 1)
-    met = df.filter("runup_8 >= 0.1 and ret_1 <= -0.03 and amplitude >= 0.05 and amount >= 1000 and close_to_ma10 >= -0.9")
-    part = lambda c, low, width: X.clip((F.col(c) - low) / width, 0.0, 1.0)
-    gap = 1 - X.clip(F.abs("close_to_ma10") / 0.12, 0.0, 1.0)
-    return met.withColumn("signal_score", part("runup_8", 0.1, 0.25) * 0.4 + part("amplitude", 0.05, 0.12) * 0.3 + gap * 0.3)
-
-
 _BUNDLES = """SELECT o_orderkey, count(*) AS legs, product(l_quantity / 20 + 0.5e0) AS odds, count(DISTINCT l_suppkey) AS matches, min(l_discount) AS weakest
     FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey GROUP BY o_orderkey"""
 

@@ -156,15 +156,6 @@ def p8(features):
     return _states(features).withColumns({"group_state": group, "member_state": member})
 
 
-@query("p14_weighted_checks", "features", keep="entity dt score level", sql="""
-    SELECT entity, dt, score, CASE WHEN score >= 4 THEN 'A' WHEN score >= 2 THEN 'B' ELSE 'C' END AS level FROM (
-        SELECT *, 2 * CAST(coalesce(ret_1 < 0, FALSE) AS INT) + CAST(coalesce(ret_5 > 0, FALSE) AS INT) + CAST(coalesce(amount_ratio > 1, FALSE) AS INT) + CAST(coalesce(position_in_bar > 0.5, FALSE) AS INT) AS score FROM features) q""")
-def p14(features):
-    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
-    score = 2 * flag(F.col("ret_1") < 0) + flag(F.col("ret_5") > 0) + flag(F.col("amount_ratio") > 1) + flag(F.col("position_in_bar") > 0.5)
-    return features.withColumn("score", score).withColumn("level", F.when(score >= 4, "A").when(score >= 2, "B").otherwise("C"))
-
-
 @query("p17_coalesced_columns", "features", keep="entity dt", doubles="first_known", sql="SELECT entity, dt, coalesce(amount_ratio, ret_5, ret_1) AS first_known FROM features")
 def p17(features):
     return features.withColumn("first_known", F.coalesce("amount_ratio", "ret_5", "ret_1"))

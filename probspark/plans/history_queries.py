@@ -128,13 +128,6 @@ def s19(customer, orders):
     return df.select(F.lpad(F.col("c_custkey").cast("string"), 6, "0").alias("code"), F.col("c_mktsegment").alias("segment"))
 
 
-@query("s20_prefilter", "features", keep="entity dt", doubles="ret_3 amount", sql="""
-    SELECT * FROM features WHERE ret_3 BETWEEN -0.9 AND 5 AND amount > 1000 AND position_in_bar < 0.9 ORDER BY ret_3 DESC, amount DESC, entity, dt LIMIT 50""")
-def s20(features):
-    inside = F.col("ret_3").between(-0.9, 5) & (F.col("amount") > 1000) & (F.col("position_in_bar") < 0.9)
-    return features.filter(inside).orderBy(F.desc("ret_3"), F.desc("amount"), "entity", "dt").limit(50)
-
-
 @query("s22_membership", "members", keep="grp member place", sql="""
     SELECT grp, member, place FROM (SELECT grp, member, row_number() OVER (PARTITION BY grp ORDER BY sum(amount) DESC, member) AS place FROM members GROUP BY grp, member) q WHERE place <= 8""")
 def s22(members):
@@ -191,51 +184,3 @@ def j7(customer, orders):
     key = orders.withColumnRenamed("o_custkey", "c_custkey")
     none = customer.join(key, "c_custkey", "left_anti").select("c_custkey", F.lit("none").alias("kind"))
     return none.union(customer.join(key.filter("o_totalprice > 400000"), "c_custkey", "left_semi").select("c_custkey", F.lit("large").alias("kind")))
-
-
-_NEXT = """SELECT entity, dt, ret_1, lead(high, 1) OVER w / close - 1 AS h1, lead(high, 2) OVER w / close - 1 AS h2, lead(high, 3) OVER w / close - 1 AS h3, amount_ratio
-    FROM features WINDOW w AS (PARTITION BY entity ORDER BY dt)"""
-_OUTCOMES = f"""SELECT *, greatest(h1, h2, h3) AS best, CASE WHEN greatest(h1, h2, h3) >= 0.5 THEN 'large' WHEN greatest(h1, h2, h3) IS NOT NULL THEN 'small' END AS outcome FROM ({_NEXT}) n WHERE ret_1 < 0"""
-
-
-def outcomes(features):
-    """Falls with the highest price of the next three rows, and whether that was a large rebound."""
-    w = W.by(["entity"], ["dt"])
-    df = features.withColumns({f"h{k}": F.lead("high", k).over(w) / F.col("close") - 1 for k in (1, 2, 3)}).filter("ret_1 < 0")
-    df = df.withColumn("best", F.greatest("h1", "h2", "h3"))
-    return df.withColumn("outcome", F.when(F.col("best") >= 0.5, "large").when(F.col("best").isNotNull(), "small"))
-
-
-@query("d1_next_rows", "features", keep="entity dt outcome", doubles="h1 h2 h3 best", sql=_OUTCOMES)
-def d1(features):
-    return outcomes(features)
-
-
-@query("d2_feature_summary", "features", keep="outcome feature n", doubles="mean median p25 p75", sql=f"""
-    SELECT outcome, feature, count(value) AS n, avg(value) AS mean, median(value) AS median, quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.75) AS p75 FROM (
-        SELECT outcome, 'ret_1' AS feature, ret_1 AS value FROM ({_OUTCOMES}) a UNION ALL SELECT outcome, 'amount_ratio' AS feature, amount_ratio AS value FROM ({_OUTCOMES}) b) q
-    WHERE outcome IS NOT NULL GROUP BY outcome, feature""")
-def d2(features):
-    long = outcomes(features).filter("outcome is not null").unpivot("outcome", ["ret_1", "amount_ratio"], "feature", "value")
-    at = lambda q: F.percentile("value", F.lit(q))
-    return long.groupBy("outcome", "feature").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.median("value").alias("median"), at(0.25).alias("p25"), at(0.75).alias("p75"))
-
-
-@query("d3_condition_scan", "features", keep="deep busy n", doubles="hit_rate mean_best", sql=f"""
-    SELECT coalesce(CAST(deep AS VARCHAR), 'any') AS deep, coalesce(CAST(busy AS VARCHAR), 'any') AS busy, count(*) AS n, avg(CASE WHEN outcome = 'large' THEN 1.0e0 ELSE 0.0e0 END) AS hit_rate, avg(best) AS mean_best FROM (
-        SELECT *, ret_1 < -0.5 AS deep, coalesce(amount_ratio > 1, FALSE) AS busy FROM ({_OUTCOMES}) o WHERE outcome IS NOT NULL) q GROUP BY GROUPING SETS ((q.deep), (q.busy), (q.deep, q.busy), ())""")
-def d3(features):
-    df = outcomes(features).filter("outcome is not null").withColumn("deep", F.col("ret_1") < -0.5).withColumn("busy", F.coalesce(F.col("amount_ratio") > 1, F.lit(False)))
-    hit = F.avg(F.when(F.col("outcome") == "large", 1.0).otherwise(0.0))
-    counts = df.cube("deep", "busy").agg(F.count(F.lit(1)).alias("n"), hit.alias("hit_rate"), F.avg("best").alias("mean_best"))
-    return counts.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("any")) for c in ("deep", "busy")})
-
-
-@query("d4_lift_table", "features", keep="bucket n", doubles="hit_rate lift", sql=f"""
-    WITH o AS (SELECT *, least(CAST(floor(-ret_1 * 5) AS INT), 4) AS bucket, CASE WHEN outcome = 'large' THEN 1.0e0 ELSE 0.0e0 END AS hit FROM ({_OUTCOMES}) x WHERE outcome IS NOT NULL)
-SELECT bucket, count(*) AS n, avg(hit) AS hit_rate, avg(hit) / (SELECT avg(hit) FROM o) AS lift FROM o GROUP BY bucket""")
-def d4(features):
-    df = outcomes(features).filter("outcome is not null").withColumn("hit", F.when(F.col("outcome") == "large", 1.0).otherwise(0.0))
-    base = df.agg(F.avg("hit").alias("base"))
-    buckets = df.withColumn("bucket", F.least(F.floor(-F.col("ret_1") * 5).cast("int"), F.lit(4))).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.avg("hit").alias("hit_rate"))
-    return buckets.join(F.broadcast(base), F.lit(True)).withColumn("lift", F.col("hit_rate") / F.col("base"))  # one row

@@ -159,23 +159,6 @@ def k5(shares):
     return shares.withColumn("place", F.row_number().over(w)).withColumn("best", F.first("outcome").over(w))
 
 
-@query("j1_asof_adjustment", "panel factors", keep="entity dt", doubles="adjusted change_pct", digits=4, sql="""
-    SELECT entity, dt, adjusted, 100 * (adjusted / lag(adjusted) OVER (PARTITION BY entity ORDER BY dt) - 1) AS change_pct FROM (
-        SELECT p.entity, p.dt, p.close / coalesce(f.factor, g.factor) AS adjusted FROM panel p
-        ASOF LEFT JOIN factors f ON p.entity = f.entity AND p.dt >= f.factor_date
-        LEFT JOIN (SELECT entity, arg_min(factor, factor_date) AS factor FROM factors GROUP BY entity) g ON p.entity = g.entity) q""")
-def j1(panel, factors):
-    """Each bar takes the latest factor up to its date (the first one before that): one sort of both sides together."""
-    events = panel.select("entity", "dt", "close", F.lit(None).cast("double").alias("factor")).unionByName(
-        factors.select("entity", F.col("factor_date").alias("dt"), F.lit(None).cast("double").alias("close"), "factor")
-    )
-    until = Window.partitionBy("entity").orderBy("dt", F.col("factor").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy("entity").orderBy("dt", F.col("factor").isNull()).rowsBetween(0, Window.unboundedFollowing)
-    events = events.withColumn("known", F.coalesce(F.last("factor", True).over(until), F.first("factor", True).over(after)))
-    bars = events.filter("close is not null").withColumn("adjusted", F.col("close") / F.col("known"))
-    return bars.withColumn("change_pct", 100 * (F.col("adjusted") / F.lag("adjusted").over(W.by(KEY, ["dt"])) - 1))
-
-
 @query("j2_group_join", "members groups", keep="grp member dt rows_of_pair", doubles="close group_close", sql="""
     SELECT * FROM (SELECT m.grp, m.member, m.dt, m.close, g.close AS group_close, count(*) OVER (PARTITION BY m.grp, m.member) AS rows_of_pair
         FROM members m JOIN groups g ON m.grp = g.grp AND m.dt = g.dt) q WHERE rows_of_pair >= 20""")
@@ -184,65 +167,6 @@ def j2(members, groups):
     return joined.withColumn("rows_of_pair", F.count(F.lit(1)).over(Window.partitionBy("grp", "member"))).filter("rows_of_pair >= 20")
 
 
-_SIGNALS = "SELECT *, close * 1.01e0 AS buy_high, close * 0.99e0 AS buy_low FROM features WHERE ret_1 <= -0.05e0"
-_EVENTS = f"""SELECT s.entity, s.dt AS signal_date, n.entry_date, n.exit_date, n.touched, CASE WHEN n.touched THEN n.exit_close / n.buy_high - 1 END AS ret,
-    CASE WHEN n.touched THEN n.exit_close / n.buy_high - 1 ELSE 0 END AS planned FROM ({_SIGNALS}) s JOIN (
-    SELECT entity, dt, close * 1.01e0 AS buy_high, lead(dt) OVER w AS entry_date, lead(dt, 3) OVER w AS exit_date, lead(close, 3) OVER w AS exit_close,
-        lead(open) OVER w / close - 1 <= 0.05e0 AND lead(low) OVER w <= close * 1.01e0 AND lead(high) OVER w >= close * 0.99e0 AS touched
-    FROM panel WINDOW w AS (PARTITION BY entity ORDER BY dt)) n ON s.entity = n.entity AND s.dt = n.dt WHERE n.exit_date IS NOT NULL"""
-
-
-def signal_events(panel, features, hold: int = 2, gap: float = 0.05):
-    """Signals (falls of 5 % or more) with the next row as entry and the row ``hold`` later as exit; no event without an exit."""
-    w = W.by(KEY, ["dt"])
-    close = F.col("close")
-    rows = panel.withColumns({
-        "entry_date": F.lead("dt").over(w),
-        "exit_date": F.lead("dt", 1 + hold).over(w),
-        "exit_close": F.lead("close", 1 + hold).over(w),
-        "ret_1": close / F.lag("close").over(w) - 1,
-        "touched": (F.lead("open").over(w) / close - 1 <= gap) & (F.lead("low").over(w) <= close * 1.01) & (F.lead("high").over(w) >= close * 0.99),
-    })
-    events = rows.filter("ret_1 <= -0.05 and exit_date is not null").withColumn("ret", F.when(F.col("touched"), F.col("exit_close") / (close * 1.01) - 1))
-    return events.withColumn("planned", F.coalesce("ret", F.lit(0.0))).withColumnRenamed("dt", "signal_date")
-
-
-@query("j9_next_row_events", "panel features", keep="entity signal_date entry_date exit_date touched", doubles="ret planned", sql=_EVENTS)
-def j9(panel, features):
-    return signal_events(panel, features)
-
-
-@query("a25_event_summary", "panel features", keep="signals triggered", doubles="rate mean_ret median_ret win_rate best worst mean_planned", sql=f"""
-    SELECT count(*) AS signals, count(*) FILTER (touched) AS triggered, avg(CAST(touched AS DOUBLE)) AS rate, avg(ret) AS mean_ret, median(ret) AS median_ret,
-        avg(CASE WHEN ret IS NOT NULL THEN CAST(ret > 0 AS DOUBLE) END) AS win_rate, max(ret) AS best, min(ret) AS worst, avg(planned) AS mean_planned FROM ({_EVENTS}) e""")
-def a25(panel, features):
-    hit = F.col("touched").cast("int").cast("double")
-    return signal_events(panel, features).agg(
-        F.count(F.lit(1)).alias("signals"), F.count_if("touched").alias("triggered"), F.avg(hit).alias("rate"), F.avg("ret").alias("mean_ret"),
-        F.median("ret").alias("median_ret"), F.avg((F.col("ret") > 0).cast("int").cast("double")).alias("win_rate"), F.max("ret").alias("best"),
-        F.min("ret").alias("worst"), F.avg("planned").alias("mean_planned"),
-    )
-
-
-@query("a27_daily_portfolio", "panel features", keep="signal_date selected triggered", doubles="mean_planned", sql=f"""
-    SELECT signal_date, count(*) AS selected, count(*) FILTER (touched) AS triggered, avg(planned) AS mean_planned FROM ({_EVENTS}) e GROUP BY signal_date""")
-def a27(panel, features):
-    return signal_events(panel, features).groupBy("signal_date").agg(F.count(F.lit(1)).alias("selected"), F.count_if("touched").alias("triggered"), F.avg("planned").alias("mean_planned"))
-
-
-@query("a26_split_summary", "panel features", keep="split signals triggered", doubles="mean_planned", sql=f"""
-    SELECT split, count(*) AS signals, count(*) FILTER (touched) AS triggered, avg(planned) AS mean_planned FROM ({_EVENTS}) e
-    JOIN (SELECT 'all' AS split UNION ALL SELECT 'in_sample' UNION ALL SELECT 'out_of_sample') s
-    ON split = 'all' OR (split = 'in_sample' AND signal_date <= DATE '1998-06-01') OR (split = 'out_of_sample' AND signal_date >= DATE '1998-07-01') GROUP BY split""")
-def a26(panel, features):
-    """The split labels of a row are exploded, so one aggregation serves all splits (also the sample split on its own)."""
-    day = F.col("signal_date")
-    labels = F.array_compact(F.array(F.lit("all"), F.when(day <= "1998-06-01", "in_sample"), F.when(day >= "1998-07-01", "out_of_sample")))
-    return signal_events(panel, features).withColumn("split", F.explode(labels)).groupBy("split").agg(
-        F.count(F.lit(1)).alias("signals"), F.count_if("touched").alias("triggered"), F.avg("planned").alias("mean_planned")
-    )
-
-
 @query("j10_calendar_returns", "panel", keep="start_date end_date names", doubles="mean_return", sql="""
     WITH cal AS (SELECT dt, dense_rank() OVER (ORDER BY dt) AS i FROM (SELECT DISTINCT dt FROM panel) d)
 SELECT a.dt AS start_date, b.dt AS end_date, count(*) AS names, avg(q.close / p.close - 1) AS mean_return FROM cal a JOIN cal b ON b.i = a.i + 5
@@ -256,22 +180,3 @@ def j10(panel):
     ended = starts.join(panel.select(F.col("dt").alias("end_date"), "entity", "close"), ["end_date", "entity"])
     return ended.groupBy("start_date", "end_date").agg(F.count(F.lit(1)).alias("names"), F.avg(F.col("close") / F.col("first_close") - 1).alias("mean_return"))
 
-
-@query("f6_buy_plan", "panel", keep="entity dt", doubles="swing_low swing_high fib382 buy_low buy_high stop_price", digits=4, sql="""
-    WITH ext AS (SELECT *, coalesce(CASE WHEN count(*) OVER w8 >= 5 THEN min(low) OVER w8 END, low) AS swing_low,
-        greatest(CASE WHEN count(*) OVER w10 >= 5 THEN max(high) OVER w10 END, high) AS swing_high FROM panel
-        WINDOW w8 AS (PARTITION BY entity ORDER BY dt ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), w10 AS (PARTITION BY entity ORDER BY dt ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)),
-    lev AS (SELECT *, CASE WHEN swing_high <= swing_low THEN low ELSE swing_high - (swing_high - swing_low) * 0.382e0 END AS fib382,
-        CASE WHEN swing_high <= swing_low THEN low * 0.94e0 ELSE swing_high - (swing_high - swing_low) * 0.618e0 END AS fib618 FROM ext)
-SELECT *, least(low, fib382) * 0.99e0 AS buy_low, least(low, fib382) * 1.01e0 AS buy_high, fib618 * 0.98e0 AS stop_price FROM lev""")
-def f6(panel):
-    """Retracement levels between the recent low and high, and the buying band and stop below them."""
-    w = W.by(KEY, ["dt"])
-    low = X.rolling(F.min("low"), F.col("low"), w.rowsBetween(-8, -1), 5)
-    high = X.rolling(F.max("high"), F.col("high"), w.rowsBetween(-10, -1), 5)
-    df = panel.withColumn("swing_low", F.coalesce(low, F.col("low"))).withColumn("swing_high", F.greatest(high, F.col("high")))
-    span, flat = F.col("swing_high") - F.col("swing_low"), F.col("swing_high") <= F.col("swing_low")
-    df = df.withColumn("fib382", F.when(flat, F.col("low")).otherwise(F.col("swing_high") - span * 0.382))
-    anchor = F.least("low", "fib382")
-    stop = F.when(flat, F.col("low") * 0.94).otherwise(F.col("swing_high") - span * 0.618) * 0.98
-    return df.withColumns({"buy_low": anchor * 0.99, "buy_high": anchor * 1.01, "stop_price": stop})
