@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -15,10 +15,14 @@ TIERS = {"conservative": 0.10, "balanced": 0.25, "aggressive": 0.50, "extreme":
 def allocate(legs: DataFrame, key: list[str], budget: float, most: int = 10, tier: str = "balanced", cap: float = 0.2) -> DataFrame:
     """The ``most`` legs of each subject with the largest expected value (``outcome, p, multiplier, confidence``).
 
+    Legs with a ``direction`` of downward are left out.
+
     Fractions above 1 in sum are scaled to 1, each is held to ``cap``, and if they are still above 1 they are scaled again.
     """
     value, optimal = kelly(F.col("p"), F.col("multiplier"))
     df = legs.withColumns({"value": value, "optimal": optimal}).filter((F.col("value") > 0) & (F.col("p") >= 0.05) & (F.col("multiplier") >= 1.1))
+    if "direction" in legs.columns:
+        df = df.filter(F.coalesce(F.col("direction") != "downward", F.lit(True)))
     w = Window.partitionBy(*key)
     df = df.withColumn("place", F.row_number().over(w.orderBy(F.desc("value"), "outcome"))).filter(F.col("place") <= most)
     df = df.withColumn("raw", F.col("optimal") * TIERS[tier] * F.col("confidence"))
@@ -39,3 +43,19 @@ def rebalance(df: DataFrame, key: list[str], target: float) -> DataFrame:
     df = df.withColumn("shifted", F.col("fraction") - F.col("over") / 2 + F.coalesce(F.try_divide(moved * F.col("under"), room), F.lit(0.0)))
     skip = (F.col("diversity") >= target) | (F.col("n") <= 1)
     return df.withColumn("rebalanced", F.when(skip, F.col("fraction")).otherwise(F.col("shifted") / F.sum("shifted").over(w)))
+
+
+def eligibility(p: Column, multiplier: Column, direction: Column) -> Column:
+    """Why a leg is left out, or eligible."""
+    return (
+        F.when(direction == "downward", "falling").when(kelly(p, multiplier)[0] <= 0, "no expected gain")
+        .when(p < 0.05, "improbable").when(multiplier < 1.1, "low multiplier").otherwise("eligible")
+    )
+
+
+def concentration(allocated: DataFrame, key: list[str], budget: float, cap: float = 0.2) -> DataFrame:
+    """Per subject its diversification, largest share, allocated and free amount, expected total and whether all keep the cap."""
+    return allocated.groupBy(*key).agg(
+        (1 - F.sum(F.col("fraction") ** 2)).alias("diversification"), F.max("fraction").alias("largest"), F.sum("amount").alias("allocated"),
+        (budget - F.sum("amount")).alias("free"), F.sum("expected").alias("expected_total"), F.bool_and(F.col("fraction") <= cap).alias("within_limit"),
+    )

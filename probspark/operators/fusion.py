@@ -39,11 +39,11 @@ def beta_update(alpha: Column, beta: Column, successes: Column, trials: Column)
     return {"alpha": a, "beta": b, "mean": mean, "sd": sd, "low": clip(mean - 1.96 * sd, 0.0, 1.0), "high": clip(mean + 1.96 * sd, 0.0, 1.0)}
 
 
-def source_weights(evidence: DataFrame, as_of: str, half_life_hours: float = 720.0) -> DataFrame:
+def source_weights(evidence: DataFrame, as_of: str | Column, half_life_hours: float = 24.0) -> DataFrame:
     """Reliability times confidence, halved with every half-life of age; shares of their subject's sum (equal where it is 0)."""
     grade = F.coalesce(*(F.when(F.col("grade") == g, w) for g, w in GRADE_WEIGHTS.items()))
-    age = F.greatest(F.datediff(F.lit(as_of).cast("date"), F.col("ts")) * 24.0, F.lit(0.0))
-    w = Window.partitionBy("subject")
+    age = F.greatest(F.datediff(F.lit(as_of).cast("date") if isinstance(as_of, str) else as_of, F.col("ts")) * 24.0, F.lit(0.0))
+    w = Window.partitionBy("subject")  # one row per source
     df = evidence.withColumn("raw", grade * F.col("confidence") * F.pow(F.lit(2.0), -age / half_life_hours))
     total = F.sum("raw").over(w)
     return df.withColumn("weight", F.when(total <= 0, 1.0 / F.count(F.lit(1)).over(w)).otherwise(F.col("raw") / total))
@@ -95,3 +95,15 @@ def source_diversity(evidence: DataFrame) -> DataFrame:
     df = df.withColumn("mean_difference", F.col("total") / (F.col("n") * (F.col("n") - 1) / 2))
     df = df.withColumn("diversity", F.least(F.col("mean_difference") / 0.5, F.lit(1.0)))
     return df.withColumn("effective", 1 + (F.col("n") - 1) * F.col("diversity"))
+
+
+#: Lower bounds of the grades of a numeric reliability, and reliabilities of source types; fixed values.
+GRADE_BOUNDS = [(0.9, "A"), (0.7, "B"), (0.5, "C"), (0.3, "D")]
+RELIABILITY = {"market": 0.95, "model": 0.70, "expert": 0.60, "nlp": 0.50, "sensor": 0.80, "llm": 0.55, "api": 0.75}
+
+
+def reliability_grade(weight: Column) -> Column:
+    out = F.when(weight >= GRADE_BOUNDS[0][0], GRADE_BOUNDS[0][1])
+    for bound, grade in GRADE_BOUNDS[1:]:
+        out = out.when(weight >= bound, grade)
+    return out.otherwise("E")

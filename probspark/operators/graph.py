@@ -5,11 +5,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from probspark.functions.expr import flow_direction, flow_significance
+from probspark.functions.expr import flow_direction, flow_significance, ladder
+from probspark.operators.fusion import amplification_level
 
 SNAPSHOT = ["graph_id", "ts"]
 
@@ -24,12 +25,15 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("graph_id", "src", "dst").union(edges.select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
-def pair_flows(first: DataFrame, last: DataFrame, key: list[str], hours: float) -> DataFrame:
-    """Change of each outcome between two snapshots: missing ones start at 0 and end where they began."""
+def pair_flows(first: DataFrame, last: DataFrame, key: list[str], hours: Column) -> DataFrame:
+    """Change of each outcome between two snapshots: missing ones start at 0 and end where they began.
+
+    ``hours`` lie between the two (0.001 at least).
+    """
     a, b = first.select(*key, F.col("p").alias("p0")), last.select(*key, F.col("p").alias("p1"))
     df = a.join(b, key, "full_outer").withColumn("p0", F.coalesce("p0", F.lit(0.0)))
     df = df.withColumn("p1", F.coalesce("p1", "p0")).withColumn("flow", (F.col("p1") - F.col("p0")) * 100)
-    return df.withColumns({"direction": flow_direction(F.col("flow"), 0.5), "significance": flow_significance(F.col("flow"), 2.0, 5.0), "velocity": F.col("flow") / max(hours, 0.001)})
+    return df.withColumns({"direction": flow_direction(F.col("flow"), 0.5), "significance": flow_significance(F.col("flow"), 2.0, 5.0), "velocity": F.col("flow") / F.greatest(hours, F.lit(0.001))})
 
 
 def neighbours(flows: DataFrame, edges: DataFrame) -> DataFrame:
@@ -59,7 +63,7 @@ def gradient_position(flows: DataFrame) -> DataFrame:
     return flows.withColumn("gradient", F.when(high == low, 0.5).otherwise((high - F.col("p")) / (high - low)))
 
 
-def propagation(flows: DataFrame, edges: DataFrame, decay: float = 0.7, least: float = 0.5, depths: int = 3) -> DataFrame:
+def propagation(flows: DataFrame, edges: DataFrame, decay: float = 0.7, least: float = 1.0, depths: int = 3) -> DataFrame:
     """How many steps a flow's signal spreads through neighbours of the same sign while its strength is ``least`` or more.
 
     A step's strength is the one before times decay^depth.  Outcomes once met are not met again.  One join per depth.
@@ -84,9 +88,81 @@ def propagation(flows: DataFrame, edges: DataFrame, decay: float = 0.7, least: f
     return origin.select(*key).join(deepest.groupBy(*key).agg(F.max("depth").alias("depth")), key, "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
 
 
-def amplification(flows: DataFrame, edges: DataFrame, least: float = 0.5) -> DataFrame:
-    """Score of each flow from its neighbours and its place; small flows score 0 with a tenth of the confidence."""
-    df = gradient_position(consistency_and_momentum(flows, edges))
+#: Levels of scores: of the standard variant (by absolute score) and of the legacy one; fixed values.
+LEGACY_STEPS = [(1, "none"), (3, "low"), (5, "medium"), (10, "high")]
+
+
+def amplification(flows: DataFrame, edges: DataFrame, least: float = 1.0, modifier: str | None = None) -> DataFrame:
+    """Score, level, confidence and depth of each flow from its neighbours, its place and how far its signal spreads.
+
+    ``modifier`` names a column of ``flows`` that multiplies the score (1 where null).  A flow below ``least`` scores 0 at
+    depth 0 with a tenth of the confidence.
+    """
+    key = [*SNAPSHOT, "outcome"]
+    df = gradient_position(consistency_and_momentum(flows, edges)).join(propagation(flows, edges, least=least), key)
+    weight = F.lit(1.0) if modifier is None else F.coalesce(F.col(modifier), F.lit(1.0))
+    small = F.abs("flow") < least
     up = F.col("flow") * (0.5 + 0.5 * F.col("consistency")) * (1 + F.col("gradient")) * F.col("momentum")
-    score = F.when(F.abs("flow") < least, 0.0).when(F.col("direction") == "upward", up).otherwise(F.col("flow") * 0.3 * F.col("consistency"))
-    return df.withColumns({"score": score, "confidence": F.when(F.abs("flow") < least, 0.1).otherwise(1.0)})
+    score = F.when(small, 0.0).otherwise(F.when(F.col("direction") == "upward", up).otherwise(F.col("flow") * 0.3 * F.col("consistency")) * weight)
+    df = df.withColumns({"score": score, "confidence": F.when(small, 0.1 * weight).otherwise(weight), "depth": F.when(small, 0).otherwise(F.col("depth"))})
+    df = df.withColumns({"consistency": F.when(small, 0.0).otherwise(F.col("consistency")), "level": amplification_level(F.col("score"))})
+    reliable = (F.col("confidence") >= 0.5) & (F.col("level") != "none")
+    return df.withColumns({"reliable": reliable, "strength": F.least(F.abs("score") / 10, F.lit(1.0))})
+
+
+def flow_summary(flows: DataFrame, least: float = 2.0) -> DataFrame:
+    """Per snapshot the flows by direction, their mean, hours since the snapshot before, and the significant ones as text."""
+    n = lambda d: F.count_if(F.col("direction") == d)
+    row = F.when(F.abs("flow") >= least, F.struct("outcome", flow_significance(F.col("flow"), 2.0, 5.0).alias("level")))
+    named = F.transform(F.sort_array(F.collect_list(row)), lambda x: F.concat_ws(":", x["outcome"], x["level"]))  # a snapshot's outcomes
+    return flows.groupBy(*SNAPSHOT).agg(
+        F.count(F.lit(1)).alias("outcomes"), n("upward").alias("ups"), n("downward").alias("downs"), n("stable").alias("stables"), F.avg("flow").alias("momentum"),
+        F.max("hours").alias("hours"), F.concat_ws(",", named).alias("significant"),
+    )
+
+
+def amplification_summary(amplified: DataFrame, top: int = 5) -> DataFrame:
+    """Per snapshot the mean score, the risk of a cascade, the strong and reliable flows and the ``top`` strong ones by score.
+
+    The risk is a fifth of the share of flows scoring above 5 whose neighbours mostly disagree.
+    """
+    strong = F.col("level").isin("high", "very_high", "exceptional")
+    high = F.col("score") > 5
+    row = F.when(strong, F.struct((-F.col("score")).alias("s"), "outcome", "level"))
+    named = F.transform(F.slice(F.sort_array(F.collect_list(row)), 1, top), lambda x: F.concat_ws(":", x["outcome"], x["level"]))
+    return amplified.groupBy(*SNAPSHOT).agg(
+        F.count(F.lit(1)).alias("outcomes"), F.avg("score").alias("momentum"), F.count_if(strong).alias("strong"), F.count_if("reliable").alias("reliable"),
+        F.least(F.coalesce(0.2 * F.try_divide(F.count_if(high & (F.col("consistency") < 0.5)), F.count_if(high)), F.lit(0.0)), F.lit(1.0)).alias("cascade_risk"),
+        F.concat_ws(",", named).alias("top"), F.count_if(strong & (F.col("depth") > 1)).alias("cascading"),
+    )
+
+
+def legacy_flows(first: DataFrame, last: DataFrame, key: list[str]) -> DataFrame:
+    """The other variant's flows: both snapshots (``key, outcome, p``) are normalised first, and only outcomes of the first count.
+
+    Directions change beyond one point; ``p`` is the later probability.
+    """
+    w = Window.partitionBy(*key)
+    a = first.select(*key, "outcome", (F.col("p") / F.sum("p").over(w)).alias("p0"))
+    b = last.select(*key, "outcome", (F.col("p") / F.sum("p").over(w)).alias("p1"))
+    df = a.join(b, [*key, "outcome"], "left").withColumn("p", F.coalesce("p1", "p0"))
+    flow = (F.col("p") - F.col("p0")) * 100
+    direction = F.when(F.col("flow") > 1, "positive").when(F.col("flow") < -1, "negative").otherwise("neutral")
+    significance = F.when(F.abs("flow") >= 5, "high").when(F.abs("flow") >= 2, "medium").otherwise("low")
+    return df.withColumn("flow", flow).withColumns({"direction": direction, "significance": significance})
+
+
+def legacy_amplification(flows: DataFrame, edges: DataFrame, least: float = 2.0, modifier: str | None = None) -> DataFrame:
+    """The other variant's scores: positive flows only, consistency by positive neighbours, place among the neighbours.
+
+    The level comes before the confidence; flows below ``least`` score 0 with the modifier (0 where there is none) as confidence.
+    """
+    near = neighbours(flows, edges).groupBy(*SNAPSHOT, "outcome").agg(
+        (F.count_if(F.col("adj_direction") == "positive") / F.count(F.lit(1))).alias("consistency"), F.max("adj_p").alias("high"), F.min("adj_p").alias("low")
+    )
+    df = flows.join(near, [*SNAPSHOT, "outcome"], "left")
+    place = F.when(F.col("high").isNull(), 0.0).when(F.col("high") == F.col("low"), 0.5).otherwise((F.col("high") - F.col("p")) / (F.col("high") - F.col("low")))
+    small, given = F.abs("flow") < least, F.lit(None).cast("double") if modifier is None else F.col(modifier)
+    raw = F.when(~small & (F.col("direction") == "positive"), F.col("flow") * F.coalesce("consistency", F.lit(0.0)) * (1 + place)).otherwise(0.0)
+    df = df.withColumn("raw", raw).withColumn("confidence", F.when(small, F.coalesce(given, F.lit(0.0))).otherwise(F.coalesce(given, F.lit(1.0))))
+    return df.withColumns({"score": F.col("raw") * F.when(small, 0.0).otherwise(F.col("confidence")), "level": ladder(F.col("raw"), LEGACY_STEPS, "very_high")})

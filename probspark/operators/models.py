@@ -1,50 +1,88 @@
-"""Walk-forward scoring of panel rows with a classifier that is fitted on earlier dates only."""
+"""Scoring of panel rows with a classifier that is fitted on earlier dates only."""
 
 from __future__ import annotations
 
 from functools import reduce
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from probspark.sources.stored import stored
 
-def classifier(features: list[str], label: str) -> Pipeline:
-    """Median imputation, scaling and a logistic model with balanced classes (column ``weight``)."""
+
+def classifier(features: list[str], label: str, rows: int, kind: str = "logistic", rounds: int = 200) -> Pipeline:
+    """Median imputation, then a scaled logistic model with balanced classes (column ``weight``) or boosted trees.
+
+    The logistic penalty is 1/``rows`` on scaled features, that of one unit on the sum of losses.
+    """
     filled = [f"{c}__filled" for c in features]
-    return Pipeline(stages=[
-        Imputer(strategy="median", inputCols=features, outputCols=filled),
-        VectorAssembler(inputCols=filled, outputCol="__raw"),
-        StandardScaler(inputCol="__raw", outputCol="__scaled", withMean=True),
-        LogisticRegression(featuresCol="__scaled", labelCol=label, weightCol="weight", maxIter=100, regParam=0.01, probabilityCol="__p"),
-    ])
+    stages = [Imputer(strategy="median", inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="__raw")]
+    if kind == "boosted":
+        return Pipeline(stages=[*stages, GBTClassifier(featuresCol="__raw", labelCol=label, maxIter=rounds, stepSize=0.05, maxDepth=5, seed=7)])
+    if kind != "logistic":
+        raise ValueError(f"unknown model: {kind}")
+    scaler = StandardScaler(inputCol="__raw", outputCol="__scaled", withMean=True)
+    return Pipeline(stages=[*stages, scaler, LogisticRegression(featuresCol="__scaled", labelCol=label, weightCol="weight", maxIter=2000, regParam=1 / max(rows, 1), standardization=False)])
 
 
-def balanced(train: DataFrame, label: str) -> DataFrame | None:
-    """Training rows with weights that make both classes count the same; None where there is one class only."""
+def balanced(train: DataFrame, label: str) -> tuple[DataFrame, int] | None:
+    """Training rows with weights that make both classes count the same, and their number; None where there is one class only."""
     counts = {r[0]: r[1] for r in train.groupBy(label).count().collect()}
     if len(counts) < 2:
         return None
     total = sum(counts.values())
     weight = reduce(lambda c, kv: c.when(F.col(label) == kv[0], total / (2 * kv[1])), counts.items(), F.when(F.lit(False), 1.0))
-    return train.withColumn("weight", weight)
+    return train.withColumn("weight", weight), total
 
 
-def walk_forward(panel: DataFrame, features: list[str], label: str, date: str, refits: list, embargo_months: int) -> DataFrame | None:
+def fold(panel: DataFrame, features: list[str], label: str, date: str, start, end, embargo_months: int, kind: str, rounds: int) -> DataFrame | None:
+    """Rows from ``start`` up to ``end`` (all later ones for None), scored by a model of rows whose label was known by then."""
+    known = panel.filter(F.col(label).isNotNull() & (F.col(date) < F.add_months(F.lit(start), -embargo_months)))
+    train = balanced(known, label)
+    if train is None:
+        return None
+    rows = panel.filter((F.col(date) >= F.lit(start)) & (F.lit(True) if end is None else F.col(date) < F.lit(end)))
+    scored = classifier(features, label, train[1], kind, rounds).fit(train[0]).transform(rows)
+    return scored.select(*panel.columns, vector_to_array("probability")[1].alias("p"), F.lit(str(start)).alias("trained_until"), F.lit(embargo_months).alias("embargo"))
+
+
+def walk_forward(panel: DataFrame, features: list[str], label: str, date: str, refits: list, embargo_months: int, kind: str = "logistic", rounds: int = 200) -> DataFrame | None:
     """Rows from each refit date to the next, scored by a model of rows whose label was known ``embargo_months`` before it.
 
-    A label with a horizon is known only later; the embargo keeps such rows out.  The refit dates are few, and each fold is
-    one distributed fit over the shared panel.
+    A label with a horizon is known only later; the embargo keeps such rows out (0 leaves them in).  The refit dates are few,
+    each fold is one distributed fit over the stored panel, and folds with one class are left out.
     """
-    parts, panel = [], panel.persist()  # every fold reads it; lost parts are computed again
-    for start, end in zip(refits, [*refits[1:], None], strict=True):
-        train = balanced(panel.filter(F.col(label).isNotNull() & (F.col(date) < F.add_months(F.lit(start), -embargo_months))), label)
-        if train is None:
-            continue
-        fold = panel.filter((F.col(date) >= F.lit(start)) & (F.lit(True) if end is None else F.col(date) < F.lit(end)))
-        scored = classifier(features, label).fit(train).transform(fold)
-        parts.append(scored.select(*panel.columns, vector_to_array("__p")[1].alias("probability"), F.lit(str(start)).alias("trained_until")))
+    panel = stored(panel, "folds")
+    parts = [fold(panel, features, label, date, start, end, embargo_months, kind, rounds) for start, end in zip(refits, [*refits[1:], None], strict=True)]
+    parts = [p for p in parts if p is not None]
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def _dates(panel: DataFrame, date: str) -> list:
+    return [r[0] for r in panel.select(date).filter(F.col(date).isNotNull()).distinct().orderBy(date).collect()]  # a calendar
+
+
+def score_latest(panel: DataFrame, features: list[str], label: str, date: str, history_until, embargo_months: int, kind: str = "logistic", rounds: int = 200) -> DataFrame | None:
+    """The last date's rows, labelled or not, scored by a model of all earlier ones; None where the history reaches it already."""
+    last = _dates(panel, date)[-1]
+    if history_until is not None and last <= history_until:
+        return None
+    return fold(panel, features, label, date, last, None, embargo_months, kind, rounds)
+
+
+def score_dates(panel: DataFrame, features: list[str], label: str, date: str, at, look_back: int, embargo_months: int, kind: str = "logistic", rounds: int = 200) -> DataFrame | None:
+    """The ``look_back`` dates up to ``at``, each scored by a model of the dates before it, so that flows can be taken."""
+    dates = _dates(panel, date)
+    if at not in dates:
+        raise ValueError(f"no rows on {at}")
+    until = dates.index(at)
+    wanted = dates[max(0, until - look_back + 1) : until + 1]
+    panel = stored(panel.filter(F.col(date) <= F.lit(at)), "folds")
+    after = [*dates, None]
+    parts = [fold(panel, features, label, date, d, after[dates.index(d) + 1], embargo_months, kind, rounds) for d in wanted]
+    parts = [p for p in parts if p is not None]
     return reduce(DataFrame.unionByName, parts) if parts else None

@@ -1,8 +1,14 @@
-"""Learners whose state depends on the order of events: one group per stream, read in order."""
+"""Learners whose state depends on the order of events.
+
+A stream's rows come to one task sorted, in Arrow batches; only the learner's state and the last, maybe unfinished step are
+carried from batch to batch, so a stream of any length fits.
+"""
 
 from __future__ import annotations
 
 import bisect
+from collections import deque
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,70 +37,203 @@ def remove_margin(quotes: DataFrame, key: list[str], steps: int = 100) -> DataFr
     return df.select(*key, F.explode(F.arrays_zip("o", "p")).alias("x"), "sum").select(*key, F.col("x.o.outcome").alias("outcome"), (F.col("x.p") / F.col("sum")).alias("p"))
 
 
-def online_stacking(forecasts: DataFrame, eta: float = 0.1, mixing: float = 0.01) -> DataFrame:
-    """Multiplicative weights with a share of uniform ones, after each step: ``stream_id, seq, source_id, weight``."""
+def by_stream(df: DataFrame, keys: list[str], step: list[str], learner: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
+    """``learner()`` makes one learner per stream (``keys``); it is called with whole steps (``step`` names their order) in order.
 
-    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index="seq", columns="source_id", values="prediction").sort_index()
-        actual = pdf.groupby("seq").actual.first().to_numpy()
-        x, weights, out = wide.to_numpy(), np.full(wide.shape[1], 1 / wide.shape[1]), []
-        for row, y in zip(x, actual, strict=True):
-            gain = np.maximum(1 - (row - y) ** 2 / max(abs(y), 1e-6), 1e-6)
-            weights = np.maximum(weights * (1 - eta + eta * gain), 1e-12)
-            weights = (1 - mixing) * weights + mixing / len(weights)
-            weights = weights / weights.sum()
-            out.append(weights)
-        return pd.DataFrame({"stream_id": pdf.stream_id.iloc[0], "seq": np.repeat(wide.index, x.shape[1]), "source_id": np.tile(wide.columns, len(x)), "weight": np.concatenate(out)})
+    Its answer comes back with the stream's keys in front, by ``schema``.
+    """
 
-    return forecasts.groupBy("stream_id").applyInPandas(learn, "stream_id long, seq long, source_id string, weight double")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, learn, held = None, None, None
+
+        def answer(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            nonlocal current, learn
+            for own, part in rows.groupby(keys, sort=False, dropna=False):
+                if own != current:
+                    current, learn = own, learner()
+                out = learn(part)
+                if len(out):
+                    for i, k in enumerate(keys):
+                        out.insert(i, k, own[i])
+                    yield out
+
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            last = np.ones(len(rows), bool)
+            for c in [*keys, step[0]]:
+                last &= (rows[c] == rows[c].iloc[-1]).to_numpy() if len(rows) else last
+            held = rows[last]
+            yield from answer(rows[~last])
+        if held is not None and len(held):
+            yield from answer(held)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *step).mapInPandas(run, schema)
+
+
+WEIGHTS = "stream_id long, seq long, source_id string, weight double"
+
+
+class Stacking:
+    """Multiplicative weights with a share of uniform ones; new sources enter at 1/n, absent ones are dropped."""
+
+    def __init__(self, eta: float, mixing: float):
+        self.eta, self.mixing, self.weights = eta, mixing, {}
+
+    def __call__(self, rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for seq, part in rows.groupby("seq", sort=False):
+            names, x, y = part.source_id.tolist(), part.prediction.to_numpy(), float(part.actual.iloc[0])
+            w = np.array([self.weights.get(s, 1 / len(names)) for s in names])
+            gain = np.maximum(1 - (x - y) ** 2 / max(abs(y), 1e-6), 1e-6)
+            w = np.maximum(w / w.sum() * (1 - self.eta + self.eta * gain), 1e-12)
+            w = (1 - self.mixing) * w + self.mixing / len(w)
+            w = w / w.sum()
+            self.weights = dict(zip(names, w, strict=True))
+            out += [(seq, s, v) for s, v in zip(names, w, strict=True)]
+        return pd.DataFrame(out, columns=["seq", "source_id", "weight"])
+
+
+class Ridge:
+    """Weights from the ridge solution over all steps so far, held above 0 and scaled to 1 (kept where all are 0)."""
+
+    def __init__(self, penalty: float):
+        self.penalty, self.names, self.gram, self.sums, self.last = penalty, [], np.zeros((0, 0)), np.zeros(0), {}
+
+    def __call__(self, rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for seq, part in rows.groupby("seq", sort=False):
+            for s in part.source_id:
+                if s not in self.names:
+                    self.names.append(s)
+                    k = len(self.names)
+                    self.gram = np.pad(self.gram, (0, k - len(self.gram)))
+                    self.sums = np.pad(self.sums, (0, k - len(self.sums)))
+            at = [self.names.index(s) for s in part.source_id]
+            x, y = part.prediction.to_numpy(), float(part.actual.iloc[0])
+            self.gram[np.ix_(at, at)] += np.outer(x, x)
+            self.sums[at] += x * y
+            w = np.maximum(np.linalg.solve(self.gram + self.penalty * np.eye(len(self.names)), self.sums), 0)
+            if w.sum() > 0:
+                self.last = dict(zip(self.names, w / w.sum(), strict=True))
+            elif not self.last:
+                self.last = {s: 1 / len(self.names) for s in self.names}
+            out += [(seq, s, self.last.get(s, 0.0)) for s in part.source_id]
+        return pd.DataFrame(out, columns=["seq", "source_id", "weight"])
 
 
-def ridge_stacking(forecasts: DataFrame, penalty: float = 1.0) -> DataFrame:
-    """Weights after each step from a ridge solution over all steps so far, held above 0 and scaled to 1 (kept where all are 0)."""
+def online_stacking(forecasts: DataFrame, eta: float = 0.1, mixing: float = 0.01) -> DataFrame:
+    """Weights after each step: ``stream_id, seq, source_id, weight`` for ``stream_id, seq, source_id, prediction, actual``."""
+    return by_stream(forecasts.select("stream_id", "seq", "source_id", "prediction", "actual"), ["stream_id"], ["seq", "source_id"], lambda: Stacking(eta, mixing), WEIGHTS)
 
-    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index="seq", columns="source_id", values="prediction").sort_index()
-        x, y = wide.to_numpy(), pdf.groupby("seq").actual.first().to_numpy()
-        k = x.shape[1]
-        gram = np.cumsum(x[:, :, None] * x[:, None, :], axis=0) + penalty * np.eye(k)
-        solved = np.maximum(np.linalg.solve(gram, np.cumsum(x * y[:, None], axis=0)[:, :, None])[:, :, 0], 0)
-        weights, last = np.empty_like(solved), np.full(k, 1 / k)
-        for i, w in enumerate(solved):
-            last = w / w.sum() if w.sum() > 0 else last
-            weights[i] = last
-        return pd.DataFrame({"stream_id": pdf.stream_id.iloc[0], "seq": np.repeat(wide.index, k), "source_id": np.tile(wide.columns, len(x)), "weight": weights.reshape(-1)})
 
-    return forecasts.groupBy("stream_id").applyInPandas(learn, "stream_id long, seq long, source_id string, weight double")
+def ridge_stacking(forecasts: DataFrame, penalty: float = 1.0) -> DataFrame:
+    return by_stream(forecasts.select("stream_id", "seq", "source_id", "prediction", "actual"), ["stream_id"], ["seq", "source_id"], lambda: Ridge(penalty), WEIGHTS)
+
+
+class SortedScores:
+    """Sorted numbers in blocks, so that adding one moves a block only; with a window, the oldest one leaves."""
+
+    def __init__(self, window: int | None = None, block: int = 1000):
+        self.blocks, self.n, self.block, self.order = [[]], 0, block, deque() if window else None
+        self.window = window
+
+    def add(self, score: float) -> None:
+        i = max(0, bisect.bisect_left([b[0] for b in self.blocks if b], score) - 1) if self.n else 0
+        bisect.insort(self.blocks[i], score)
+        self.n += 1
+        if len(self.blocks[i]) > 2 * self.block:
+            b = self.blocks[i]
+            self.blocks[i : i + 1] = [b[: self.block], b[self.block :]]
+        if self.window:
+            self.order.append(score)
+            if self.n > self.window:
+                self.remove(self.order.popleft())
+
+    def remove(self, score: float) -> None:
+        for i, b in enumerate(self.blocks):
+            if b and b[0] <= score <= b[-1]:
+                del b[bisect.bisect_left(b, score)]
+                self.n -= 1
+                if not b and len(self.blocks) > 1:
+                    del self.blocks[i]
+                return
+
+    def kth(self, k: int) -> float:
+        for b in self.blocks:
+            if k < len(b):
+                return b[k]
+            k -= len(b)
+        raise IndexError(k)
+
+    def quantile(self, alpha: float) -> float:
+        """The smallest score that covers 1 - alpha with the correction for a finite sample; 1 without scores."""
+        if not self.n:
+            return 1.0
+        return self.kth(min(max(int(np.ceil((self.n + 1) * (1 - alpha))), 1), self.n) - 1)
 
 
 class AdaptiveConformal:
     """Threshold, then update: the miss rate asked for moves with every miss."""
 
-    def __init__(self, alpha: float = 0.1, gamma: float = 0.05):
-        self.target, self.alpha, self.gamma, self.scores = alpha, alpha, gamma, []
+    def __init__(self, alpha: float = 0.1, gamma: float = 0.01, window: int | None = None):
+        self.target, self.alpha, self.gamma, self.scores = alpha, alpha, gamma, SortedScores(window)
 
     def threshold(self) -> float:
-        n = len(self.scores)
-        if not n:
-            return 1.0
-        k = min(max(int(np.ceil((n + 1) * (1 - self.alpha))), 1), n)
-        return self.scores[k - 1]
+        return self.scores.quantile(self.alpha)
 
     def update(self, score: float) -> int:
         """Whether the score was above the threshold; the score joins the others afterwards."""
         miss = int(score > self.threshold() + 1e-12)
-        bisect.insort(self.scores, score)
+        self.scores.add(score)
         self.alpha = min(max(self.alpha + self.gamma * (miss - self.target), 0.001), 0.999)
         return miss
 
+    def __call__(self, rows: pd.DataFrame) -> pd.DataFrame:
+        out = [(seq, self.threshold(), self.update(score), self.alpha) for seq, score in zip(rows.seq, rows.score, strict=True)]
+        return pd.DataFrame(out, columns=["seq", "threshold", "miss", "alpha"])
+
+
+#: Rates of the aggregated learner; fixed values.
+GAMMAS = (0.001, 0.01, 0.05, 0.1)
+
+
+class AggregatedConformal(AdaptiveConformal):
+    """Several rates at once: the weighted mean of their thresholds decides, and all see the same miss.
+
+    Weights are a softmax of -2 times each rate's distance from the coverage asked for over the last 50 steps; as all see the
+    same misses, they stay equal.  ``alpha`` is the weighted mean of the rates' own.
+    """
+
+    def __init__(self, alpha: float = 0.1, gammas: tuple[float, ...] = GAMMAS, window: int | None = None):
+        super().__init__(alpha, 0.0, window)
+        self.gammas, self.alphas = np.array(gammas), np.full(len(gammas), alpha)
+        self.weights, self.misses = np.full(len(gammas), 1 / len(gammas)), [deque(maxlen=50) for _ in gammas]
+
+    def threshold(self) -> float:
+        return float(sum(w * self.scores.quantile(a) for w, a in zip(self.weights, self.alphas, strict=True)) / self.weights.sum())
+
+    def update(self, score: float) -> int:
+        miss = int(score > self.threshold() + 1e-12)
+        self.scores.add(score)
+        self.alphas = np.clip(self.alphas + self.gammas * (miss - self.target), 0.001, 0.999)
+        for m in self.misses:
+            m.append(miss)
+        off = np.array([-abs((1 - sum(m) / len(m)) - (1 - self.target)) for m in self.misses])
+        e = np.exp(2 * (off - off.max()))
+        self.weights = e / e.sum()
+        self.alpha = float((self.alphas * self.weights).sum())
+        return miss
+
+
+CONFORMAL = "seq long, threshold double, miss int, alpha double"
+
 
-def adaptive_conformal(scored: DataFrame, alpha: float = 0.1, gamma: float = 0.05) -> DataFrame:
-    """``stream_id, seq, threshold, miss, alpha`` for ``stream_id, seq, score``."""
+def adaptive_conformal(scored: DataFrame, keys: dict[str, str], alpha: float = 0.1, gamma: float = 0.01, window: int | None = None) -> DataFrame:
+    """``keys..., seq, threshold, miss, alpha`` for ``keys..., seq, score``; ``keys`` gives the types of a stream's columns."""
+    schema = ", ".join(f"{k} {t}" for k, t in keys.items()) + f", {CONFORMAL}"
+    return by_stream(scored.select(*keys, "seq", "score"), list(keys), ["seq"], lambda: AdaptiveConformal(alpha, gamma, window), schema)
 
-    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, state, rows = pdf.sort_values("seq"), AdaptiveConformal(alpha, gamma), []
-        for score in pdf.score:
-            rows.append((state.threshold(), state.update(score), state.alpha))
-        return pdf[["stream_id", "seq"]].assign(**dict(zip(("threshold", "miss", "alpha"), zip(*rows, strict=True), strict=True)))
 
-    return scored.groupBy("stream_id").applyInPandas(learn, "stream_id long, seq long, threshold double, miss int, alpha double")
+def aggregated_conformal(scored: DataFrame, keys: dict[str, str], alpha: float = 0.1, gammas: tuple[float, ...] = GAMMAS, window: int | None = None) -> DataFrame:
+    schema = ", ".join(f"{k} {t}" for k, t in keys.items()) + f", {CONFORMAL}"
+    return by_stream(scored.select(*keys, "seq", "score"), list(keys), ["seq"], lambda: AggregatedConformal(alpha, gammas, window), schema)

@@ -109,9 +109,3 @@ def top_per(df: DataFrame, partition: list[str], value: str, tie: list[str], n:
 
 def group_size(df: DataFrame, key: list[str]) -> DataFrame:
     return df.withColumn("group_rows", F.count(F.lit(1)).over(Window.partitionBy(*key)))
-
-
-def turn_labels(df: DataFrame, forward: str, partition: list[str], quantile: float = 0.8) -> DataFrame:
-    """1 where the forward return is among the best of its date, 0 elsewhere, null where it isn't known."""
-    df = df.withColumn("forward_rank_pct", rank_pct(F.col(forward), partition))
-    return df.withColumn("label", F.when(F.col(forward).isNotNull(), (F.col("forward_rank_pct") >= quantile).cast("int")))

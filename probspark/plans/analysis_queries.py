@@ -22,79 +22,6 @@ def w16(shares):
     return N.snapshot_momentum(shares, ["subject", "outcome"], "ts")
 
 
-_PRIOR = "SELECT subject, outcome, p FROM shares WHERE ts = DATE '1996-01-01'"
-_SHIFTS = """SELECT 'AFRICA' AS subject, 'PROMO' AS outcome, 0.4e0 AS weight, 0.8e0 AS p UNION ALL SELECT 'AFRICA', NULL, 0.3e0, 0.6e0
-    UNION ALL SELECT 'ASIA', 'LARGE', 0.5e0, 0.3e0 UNION ALL SELECT 'EUROPE', NULL, 1.0e0, 0.5e0"""
-
-
-@query("g10_evidence_update", "shares", keep="subject outcome", doubles="posterior", sql=f"""
-    WITH prior AS ({_PRIOR}), ev AS ({_SHIFTS}),
-    moved AS (SELECT a.subject, a.outcome, {_LOGIT.format('a.p')} + coalesce(sum(CASE WHEN e.weight IS NULL THEN 0 WHEN e.outcome IS NULL THEN e.weight * a.p / a.total
-        WHEN e.outcome = a.outcome THEN e.weight ELSE 0 END * ({_LOGIT.format('e.p')} - {_LOGIT.format('a.p')})), 0) AS lo
-        FROM (SELECT *, sum(p) OVER (PARTITION BY subject) AS total FROM prior) a LEFT JOIN ev e ON a.subject = e.subject GROUP BY a.subject, a.outcome, a.p)
-SELECT subject, outcome, exp(lo) / sum(exp(lo)) OVER (PARTITION BY subject) AS posterior FROM moved""")
-def g10(shares):
-    prior = shares.filter("ts = date '1996-01-01'").select("subject", "outcome", "p")
-    rows = [("AFRICA", "PROMO", 0.4, 0.8), ("AFRICA", None, 0.3, 0.6), ("ASIA", "LARGE", 0.5, 0.3), ("EUROPE", None, 1.0, 0.5)]
-    return N.evidence_update(prior, shares.sparkSession.createDataFrame(rows, "subject string, outcome string, weight double, p double"))
-
-
-@query("a3_signal_ingestion", "quotes shares", keep="subject ts outcome", doubles="posterior", sql="""
-    WITH raw AS (SELECT s.subject, s.ts, s.outcome, s.p AS prior, CASE WHEN s.outcome < 'MEDIUM' THEN q.value END AS odds, CASE WHEN s.outcome > 'PROMO' THEN s.p * 1.5e0 END AS direct
-        FROM shares s LEFT JOIN quotes q ON s.subject = q.subject AND s.ts = q.ts AND s.outcome = q.outcome),
-    n AS (SELECT *, count(odds) OVER w AS k, sum(1 / odds) OVER w AS implied, sum(direct) OVER w AS total FROM raw WINDOW w AS (PARTITION BY subject, ts)),
-    m AS (SELECT *, coalesce(direct / CASE WHEN total > 1.05 THEN total ELSE 1 END, CASE WHEN k >= 2 THEN 1 / odds / implied END, prior) AS merged FROM n)
-SELECT subject, ts, outcome, merged / sum(merged) OVER (PARTITION BY subject, ts) AS posterior FROM m""")
-def a3(quotes, shares):
-    odds = F.when(F.col("outcome") < "MEDIUM", F.col("value"))
-    df = shares.withColumnRenamed("p", "prior").join(quotes.select("subject", "ts", "outcome", "value"), ["subject", "ts", "outcome"], "left")
-    df = df.withColumns({"odds": odds, "direct": F.when(F.col("outcome") > "PROMO", F.col("prior") * 1.5)})
-    return N.ingest_signals(df, ["subject", "ts"])
-
-
-_ASSESS = f"""SELECT w.subject, sources, aggregate, consensus, anomalous, confidence FROM (
-    SELECT *, least(greatest(0.35e0 * consensus + 0.25e0 * least(sources / 5.0e0, 1) + 0.2e0 * least(effective, 1) + 0.2e0 * reliability - 0.05e0 * anomalous, 0), 1) AS confidence FROM (
-        SELECT m.subject, count(*) AS sources, sum(weight * p) AS aggregate, 1 - least(sqrt(sum(weight * (p - mean) * (p - mean))) / 0.5e0, 1) AS consensus,
-            sum(raw) / count(*) AS effective, avg(CASE grade WHEN 'A' THEN 1.0e0 WHEN 'B' THEN 0.8e0 ELSE 0.6e0 END) AS reliability, coalesce(max(odd), 0) AS anomalous
-        FROM (SELECT *, sum(weight * p) OVER (PARTITION BY subject) AS mean FROM ({_WEIGHTED}) x) m
-        LEFT JOIN (SELECT subject, count(*) AS odd FROM ({_ANOMALIES}) a GROUP BY subject) o ON m.subject = o.subject GROUP BY m.subject) q) w"""
-
-
-@query("a14_situation", "evidence", keep="subject sources anomalous", doubles="aggregate consensus confidence", sql=_ASSESS)
-def a14(evidence):
-    return N.assess(evidence, AS_OF)
-
-
-_BUNDLES = """SELECT o_orderkey, count(*) AS legs, product(l_quantity / 20 + 0.5e0) AS odds, count(DISTINCT l_suppkey) AS matches, min(l_discount) AS weakest
-    FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey GROUP BY o_orderkey"""
-
-
-@query("a35_p19_bundle_rules", "orders lineitem", keep="o_orderkey legs risk errors", sql=f"""
-    SELECT o_orderkey, legs, CASE WHEN odds < 5 THEN 'conservative' WHEN odds < 20 THEN 'balanced' WHEN odds < 100 THEN 'aggressive' ELSE 'extreme' END AS risk,
-        concat_ws(',', CASE WHEN weakest <= 0 THEN 'flow' END, CASE WHEN odds < 3 THEN 'odds' END, CASE WHEN matches < legs THEN 'same_match' END, CASE WHEN legs > 8 THEN 'depth' END) AS errors FROM ({_BUNDLES}) b""")
-def a35(orders, lineitem):
-    """Orders stand for bundles and their lines for legs."""
-    legs = lineitem.join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey").withColumnRenamed("l_orderkey", "o_orderkey")
-    return N.check_bundles(legs.withColumns({"odds": F.col("l_quantity") / 20 + 0.5, "match": F.col("l_suppkey"), "flow": F.col("l_discount")}), "o_orderkey")
-
-
-@query("k7_reliable_bundles", "flows", keep="graph_id ts outcome place", sql="""
-    SELECT * FROM (SELECT graph_id, ts, outcome, row_number() OVER (PARTITION BY graph_id, ts ORDER BY abs(flow) DESC, outcome) AS place FROM flows WHERE direction <> 'stable' AND abs(flow) / 10 >= 0.1) q WHERE place <= 3""")
-def k7(flows):
-    reliable = flows.filter("direction <> 'stable' and abs(flow) / 10 >= 0.1").withColumn("size", F.abs("flow"))
-    return W.first_rank(reliable, ["graph_id", "ts"], "size", ["outcome"], "place").filter("place <= 3")
-
-
-@query("s14_bar_normalisation", "lineitem", keep="code bars", doubles="turnover", sql="""
-    SELECT lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS code, count(*) AS bars, sum(l_tax) * 100 AS turnover FROM lineitem WHERE l_shipdate IS NOT NULL AND l_quantity IS NOT NULL GROUP BY l_suppkey""", digits=4)
-def s14(lineitem):
-    """Raw text columns: codes of six digits, numbers cast (bad ones become null), turnover in per cent, rows without date or price dropped."""
-    raw = lineitem.select(F.concat(F.lit("x"), F.col("l_suppkey").cast("string")).alias("symbol"), F.col("l_shipdate").cast("string").alias("day"), F.col("l_quantity").cast("string").alias("close"), F.col("l_tax").cast("string").alias("turnover"))
-    raw = raw.union(raw.limit(5).withColumn("close", F.lit("n/a")))
-    bars = N.normal_bars(raw)
-    return bars.groupBy("code").agg(F.count(F.lit(1)).alias("bars"), F.sum("turnover").alias("turnover"))
-
-
 @query("a21_long_term_performance", "shares", keep="subject forecasts", doubles="accuracy mean_brier mean_log mean_p", sql="""
     SELECT subject, count(*) AS forecasts, avg(CAST(top = actual AS INT)) AS accuracy, avg(brier) AS mean_brier, avg(-ln(p_actual)) AS mean_log, avg(p_actual) AS mean_p FROM (
         SELECT subject, ts, first(outcome ORDER BY p DESC, outcome) AS top, max(CASE WHEN hit THEN outcome END) AS actual, avg((p - CAST(hit AS INT)) * (p - CAST(hit AS INT))) AS brier, max(CASE WHEN hit THEN p END) AS p_actual FROM (

@@ -48,15 +48,6 @@ def f4(quotes):
     return quotes.filter("value * 1.1 > 1").withColumns({"expected_value": value, "fraction": fraction})
 
 
-@query("f5_eligibility", "quotes", keep="subject ts outcome reason", sql="""
-    SELECT subject, ts, outcome, CASE WHEN p * (value * 1.1e0 - 1) - (1 - p) <= 0 THEN 'no expected gain' WHEN p < 0.05 THEN 'improbable'
-        WHEN value * 1.1e0 < 1.1 THEN 'low multiplier' ELSE 'eligible' END AS reason FROM (SELECT *, 1 / value AS p FROM quotes) q""")
-def f5(quotes):
-    p, multiplier = 1 / F.col("value"), F.col("value") * 1.1
-    reason = F.when(X.kelly(p, multiplier)[0] <= 0, "no expected gain").when(p < 0.05, "improbable").when(multiplier < 1.1, "low multiplier").otherwise("eligible")
-    return quotes.withColumn("reason", reason)
-
-
 @query("f15_losses", "forecasts", keep="stream_id seq source_id", doubles="square absolute log_loss", sql="""
     SELECT stream_id, seq, source_id, (prediction - actual) * (prediction - actual) AS square, abs(prediction - actual) AS absolute,
         -(a * ln(p) + (1 - a) * ln(1 - p)) AS log_loss FROM (
@@ -122,7 +113,7 @@ _WEIGHTED = """SELECT *, CASE WHEN sum(raw) OVER (PARTITION BY subject) <= 0 THE
 
 @query("a7_source_weights", "evidence", keep="subject source", doubles="weight", sql=_WEIGHTED, digits=9)
 def a7(evidence):
-    return P.source_weights(evidence, AS_OF)
+    return P.source_weights(evidence, AS_OF, 720.0)
 
 
 @query("a8_a12_pools", "evidence", keep="subject sources", doubles="linear log_odds bayesian hybrid consensus", sql=f"""
@@ -132,7 +123,7 @@ def a7(evidence):
             SELECT *, sum(weight * p) OVER (PARTITION BY subject) AS mean FROM ({_WEIGHTED}) w) m GROUP BY subject) q""")
 def a8(evidence):
     """With weights that sum to 1 the prior cancels, so the Bayesian pool equals the log-odds pool."""
-    return P.pools(P.source_weights(evidence, AS_OF))
+    return P.pools(P.source_weights(evidence, AS_OF, 720.0))
 
 
 _ANOMALIES = f"""SELECT subject, source, distance FROM (SELECT *, abs(p - mean) / deviation AS distance FROM (
@@ -142,20 +133,7 @@ _ANOMALIES = f"""SELECT subject, source, distance FROM (SELECT *, abs(p - mean)
 
 @query("a13_anomalies", "evidence", keep="subject source", doubles="distance", sql=_ANOMALIES)
 def a13(evidence):
-    return P.anomalies(P.source_weights(evidence, AS_OF))
-
-
-@query("p18_stability", "evidence", keep="subject anomalous stability", doubles="consensus", sql=f"""
-    WITH pool AS (SELECT subject, 1 - least(sqrt(sum(weight * (p - mean) * (p - mean))) / 0.5e0, 1) AS consensus, (sum(weight * p) - 0.5e0) * 100 AS momentum FROM (
-        SELECT *, sum(weight * p) OVER (PARTITION BY subject) AS mean FROM ({_WEIGHTED}) w) m GROUP BY subject),
-    odd AS (SELECT subject, count(*) AS anomalous FROM ({_ANOMALIES}) a GROUP BY subject)
-SELECT pool.subject, consensus, coalesce(anomalous, 0) AS anomalous, CASE WHEN coalesce(anomalous, 0) > 0 THEN 'anomalous' WHEN consensus >= 0.7 THEN 'stable'
-    WHEN consensus <= 0.3 THEN 'unstable' WHEN abs(momentum) > 2 THEN 'emerging' ELSE 'ambiguous' END AS stability FROM pool LEFT JOIN odd ON pool.subject = odd.subject""")
-def p18(evidence):
-    weighted = P.source_weights(evidence, AS_OF)
-    odd = P.anomalies(weighted).groupBy("subject").agg(F.count(F.lit(1)).alias("odd"))
-    df = P.pools(weighted).join(odd, "subject", "left").withColumn("anomalous", F.coalesce("odd", F.lit(0)))
-    return df.withColumn("stability", P.stability(F.col("consensus"), F.col("anomalous"), (F.col("linear") - 0.5) * 100))
+    return P.anomalies(P.source_weights(evidence, AS_OF, 720.0))
 
 
 @query("j13_source_diversity", "evidence", keep="subject n", doubles="mean_difference diversity effective", sql="""
@@ -290,8 +268,3 @@ def w21(forecasts):
 def a34(shares):
     return shares.groupBy("subject", "ts").agg(F.sum("p").between(0.95, 1.05).alias("valid"))
 
-
-@query("a33_concentration", "shares", keep="subject ts", doubles="diversification largest", sql="""
-    SELECT subject, ts, 1 - sum(p * p) AS diversification, max(p) AS largest FROM shares GROUP BY subject, ts""")
-def a33(shares):
-    return shares.groupBy("subject", "ts").agg((1 - F.sum(F.col("p") * F.col("p"))).alias("diversification"), F.max("p").alias("largest"))

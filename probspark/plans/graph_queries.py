@@ -36,16 +36,6 @@ def g1(nation):
     return chain.unionByName(complete)
 
 
-@query("g2_pair_flows", "nation_shares", keep="graph_id outcome direction significance", doubles="flow velocity", sql="""
-    SELECT graph_id, outcome, flow, flow / 24 AS velocity, CASE WHEN abs(flow) < 0.5 THEN 'stable' WHEN flow > 0 THEN 'upward' ELSE 'downward' END AS direction,
-        CASE WHEN abs(flow) < 2 THEN 'low' WHEN abs(flow) < 5 THEN 'medium' ELSE 'high' END AS significance FROM (
-        SELECT coalesce(a.graph_id, b.graph_id) AS graph_id, coalesce(a.outcome, b.outcome) AS outcome, (coalesce(b.p, a.p, 0) - coalesce(a.p, 0)) * 100 AS flow
-        FROM (SELECT * FROM nation_shares WHERE ts = DATE '1996-01-01') a FULL JOIN (SELECT * FROM nation_shares WHERE ts = DATE '1997-01-01') b ON a.graph_id = b.graph_id AND a.outcome = b.outcome) q""")
-def g2(shares):
-    day = lambda d: shares.filter(F.col("ts") == d)
-    return G.pair_flows(day("1996-01-01"), day("1997-01-01"), ["graph_id", "outcome"], 24.0)
-
-
 @query("g3_g5_consistency_momentum", "flows edges", keep="graph_id ts outcome", doubles="consistency momentum", sql=_PULL)
 def g3(flows, edges):
     return G.consistency_and_momentum(flows, edges)
@@ -56,46 +46,11 @@ def g4(flows):
     return G.gradient_position(flows)
 
 
-@query("g6_propagation_depth", "flows edges", keep="graph_id ts outcome depth", sql="""
-    SELECT f.graph_id, f.ts, f.outcome, CASE WHEN abs(f.flow) * 0.7e0 >= 0.5 AND EXISTS (SELECT 1 FROM flows g WHERE g.graph_id = f.graph_id AND g.ts = f.ts
-        AND g.outcome <> f.outcome AND (g.flow >= 0) = (f.flow >= 0)) THEN 1 ELSE 0 END AS depth FROM flows f""")
-def g6(flows, edges):
-    """The graphs here are complete, so every neighbour is met at the first depth."""
-    return G.propagation(flows, edges)
-
-
-@query("g7_amplification", "flows edges", keep="graph_id ts outcome level", doubles="score confidence", digits=5, sql=f"""
-    SELECT *, CASE WHEN abs(score) < 1 THEN 'none' WHEN abs(score) < 3 THEN 'low' WHEN abs(score) < 6 THEN 'medium' WHEN abs(score) < 10 THEN 'high'
-        WHEN abs(score) < 15 THEN 'very_high' ELSE 'exceptional' END AS level FROM (
-        SELECT g.graph_id, g.ts, g.outcome, CASE WHEN abs(flow) < 0.5 THEN 0.1e0 ELSE 1.0e0 END AS confidence, CASE WHEN abs(flow) < 0.5 THEN 0.0e0
-            WHEN direction = 'upward' THEN flow * (0.5e0 + 0.5e0 * consistency) * (1 + gradient) * momentum ELSE flow * 0.3e0 * consistency END AS score
-        FROM ({_GRADIENT}) g JOIN ({_PULL}) p ON g.graph_id = p.graph_id AND g.ts = p.ts AND g.outcome = p.outcome) q""")
-def g7(flows, edges):
-    return G.amplification(flows, edges).withColumn("level", P.amplification_level(F.col("score")))
-
-
-@query("j11_outcome_alignment", "shares", keep="subject outcome", doubles="p0 p1", sql="""
-    SELECT coalesce(a.subject, b.subject) AS subject, coalesce(a.outcome, b.outcome) AS outcome, coalesce(a.p, 0) AS p0, coalesce(b.p, a.p, 0) AS p1
-    FROM (SELECT * FROM shares WHERE ts = DATE '1996-01-01' AND outcome <> 'PROMO') a FULL JOIN (SELECT * FROM shares WHERE ts = DATE '1996-04-01' AND outcome <> 'SMALL') b
-    ON a.subject = b.subject AND a.outcome = b.outcome""")
-def j11(shares):
-    first = shares.filter("ts = date '1996-01-01' and outcome <> 'PROMO'")
-    return G.pair_flows(first, shares.filter("ts = date '1996-04-01' and outcome <> 'SMALL'"), ["subject", "outcome"], 1.0)
-
-
 @query("j12_adjacency", "flows edges", keep="graph_id ts outcome adj", doubles="adj_flow", sql=_NEAR)
 def j12(flows, edges):
     return G.neighbours(flows, edges)
 
 
-@query("a31_flow_summary", "flows", keep="graph_id ts ups downs stables", doubles="total", sql="""
-    SELECT graph_id, ts, count(*) FILTER (direction = 'upward') AS ups, count(*) FILTER (direction = 'downward') AS downs,
-        count(*) FILTER (direction = 'stable') AS stables, sum(abs(flow)) AS total FROM flows GROUP BY graph_id, ts""")
-def a31(flows):
-    n = lambda d: F.count_if(F.col("direction") == d)
-    return flows.groupBy("graph_id", "ts").agg(n("upward").alias("ups"), n("downward").alias("downs"), n("stable").alias("stables"), F.sum(F.abs("flow")).alias("total"))
-
-
 _ALLOCATED = """SELECT *, held / greatest(sum(held) OVER (PARTITION BY subject, ts), 1) AS fraction FROM (
     SELECT *, least(raw / greatest(sum(raw) OVER (PARTITION BY subject, ts), 1), 0.2e0) AS held FROM (
         SELECT *, optimal * 0.25e0 * confidence AS raw, row_number() OVER (PARTITION BY subject, ts ORDER BY value DESC, outcome) AS place FROM (
@@ -171,18 +126,3 @@ def p20(part):
 def a36(flows):
     return flows.groupBy("direction").agg(F.count(F.lit(1)).alias("n"))
 
-
-@query("f13_string_parsing", "part", keep="p_partkey code digits", doubles="number", sql="""
-    SELECT p_partkey, right(lpad(regexp_replace(p_brand, '[^0-9]', '', 'g'), 6, '0'), 6) AS code, regexp_replace(p_brand, '[^0-9]', '', 'g') AS digits,
-        TRY_CAST(nullif(regexp_extract(p_brand, '([-+]?[0-9]+(\\.[0-9]+)?)', 1), '') AS DOUBLE) AS number FROM part""")
-def f13(part):
-    digits = F.regexp_replace("p_brand", "[^0-9]", "")
-    number = F.regexp_extract("p_brand", r"([-+]?[0-9]+(\.[0-9]+)?)", 1).try_cast("double")
-    return part.withColumns({"digits": digits, "code": F.right(F.lpad(digits, 6, "0"), F.lit(6)), "number": number})
-
-
-@query("f14_dates", "events", keep="event_id day hour next_week", sql="""
-    SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, hour(ts) AS hour, strftime(CAST(ts AS DATE) + INTERVAL 7 DAY, '%Y%m%d') AS next_week FROM events""")
-def f14(events):
-    return events.select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.hour("ts").cast("long").alias("hour"), F.date_format(F.date_add(F.to_date("ts"), 7), "yyyyMMdd").alias("next_week"))
-

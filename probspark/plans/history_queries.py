@@ -66,41 +66,6 @@ def s6(panel, part):
     return plan.withColumn("known_until", F.coalesce(F.col("latest").cast("string"), F.lit("never")))
 
 
-@query("s7_merge_last", "panel", keep="entity dt", doubles="close", sql=f"""
-    SELECT coalesce(b.entity, a.entity) AS entity, coalesce(b.dt, a.dt) AS dt, coalesce(b.close, a.close) AS close
-    FROM ({_STORED}) a FULL JOIN ({_BATCH}) b ON a.entity = b.entity AND a.dt = b.dt""")
-def s7(panel):
-    return H.merge_last(_stored(panel), _batch(panel).drop("volume"), ["entity", "dt"])
-
-
-@query("s8_coverage_window", "panel", keep="entity served rows_in_window", sql="""
-    SELECT entity, CASE WHEN max(dt) >= DATE '1999-06-01' THEN 'cache' ELSE 'tail' END AS served,
-        count(*) FILTER (dt BETWEEN DATE '1998-06-01' AND DATE '1999-06-01') AS rows_in_window FROM panel WHERE dt < DATE '2000-01-01' GROUP BY entity""")
-def s8(panel):
-    served = F.when(F.max("dt") >= "1999-06-01", "cache").otherwise("tail")
-    inside = F.count_if(F.col("dt").between("1998-06-01", "1999-06-01"))
-    return _stored(panel).groupBy("entity").agg(served.alias("served"), inside.alias("rows_in_window"))
-
-
-@query("s9_reliable_time", "events", keep="event_id period reliable", sql="""
-    SELECT event_id, period, CASE WHEN period = '1d' THEN strftime(ts, '%Y-%m-%d') || ' 00:00:00' WHEN strftime(ts, '%H:%M') >= '15:03' THEN strftime(ts, '%Y-%m-%d %H:%M:%S')
-        ELSE strftime(ts - INTERVAL 15 MINUTE, '%Y-%m-%d %H:%M:%S') END AS reliable FROM (SELECT *, CASE event_id % 2 WHEN 0 THEN '1d' ELSE '15m' END AS period FROM events) e""")
-def s9(events):
-    df = events.withColumn("period", F.when(F.col("event_id") % 2 == 0, "1d").otherwise("15m"))
-    reliable = H.reliable_time(F.col("period"), F.col("ts").cast("timestamp"), F.col("ts").cast("timestamp"))
-    return df.withColumn("reliable", F.date_format(reliable, "yyyy-MM-dd HH:mm:ss"))
-
-
-@query("s12_manifest", "panel", keep="dataset row_count first_date last_date", sql="SELECT 'panel' AS dataset, count(*) AS row_count, min(dt) AS first_date, max(dt) AS last_date FROM panel")
-def s12(panel):
-    return H.manifest(panel, "panel", "dt")
-
-
-@query("s13_group_counts", "members", keep="grp n", sql="SELECT grp, count(*) AS n FROM members GROUP BY grp")
-def s13(members):
-    return members.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("s15_series_normalisation", "panel", keep="entity dt", doubles="change_pct swing", digits=4, sql="""
     SELECT entity, dt, 100 * (close / prev - 1) AS change_pct, 100 * (high - low) / prev AS swing FROM (
         SELECT *, lag(close) OVER (PARTITION BY entity ORDER BY dt) AS prev FROM panel) q""")
@@ -128,21 +93,6 @@ def s19(customer, orders):
     return df.select(F.lpad(F.col("c_custkey").cast("string"), 6, "0").alias("code"), F.col("c_mktsegment").alias("segment"))
 
 
-@query("s22_membership", "members", keep="grp member place", sql="""
-    SELECT grp, member, place FROM (SELECT grp, member, row_number() OVER (PARTITION BY grp ORDER BY sum(amount) DESC, member) AS place FROM members GROUP BY grp, member) q WHERE place <= 8""")
-def s22(members):
-    sums = members.groupBy("grp", "member").agg(F.sum("amount").alias("amount"))
-    return W.first_rank(sums, ["grp"], "amount", ["member"], "place").filter("place <= 8")
-
-
-@query("u1_union_columns", "panel", keep="entity dt kind", doubles="close amount", sql="""
-    SELECT entity, dt, 'a' AS kind, close, NULL::DOUBLE AS amount FROM panel WHERE dt < DATE '1996-01-01'
-    UNION ALL SELECT entity, dt, NULL AS kind, close, amount FROM panel WHERE dt >= DATE '2001-01-01'""")
-def u1(panel):
-    first = panel.filter("dt < date '1996-01-01'").select("entity", "dt", F.lit("a").alias("kind"), "close")
-    return first.unionByName(panel.filter("dt >= date '2001-01-01'").select("entity", "dt", "close", "amount"), allowMissingColumns=True)
-
-
 @query("u2_history_upsert", "panel", keep="entity dt written", doubles="close", sql="""
     SELECT entity, dt, CASE WHEN entity < 'Brand#12' THEN 2 ELSE 1 END AS written, CASE WHEN entity < 'Brand#12' THEN close * 3 ELSE close END AS close FROM panel""")
 def u2(panel):

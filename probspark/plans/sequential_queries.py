@@ -1,4 +1,4 @@
-"""Queries of order-dependent learners, streams and walk-forward models.  SQL expresses the streams' results."""
+"""Queries of order-dependent learners, ratings, models and streams.  SQL expresses ratings and the streams' results."""
 
 from __future__ import annotations
 
@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from probspark.operators import models as M
 from probspark.operators import online as O
-from probspark.operators import windows as W
-from probspark.plans.registry import ORACLE_SQL, QUERIES
+from probspark.operators import ratings as R
+from probspark.operators import turning as T
+from probspark.plans.registry import ORACLE_SQL, QUERIES, query
 from probspark.sources.inputs import load
-from probspark.streaming import monitors as T
+from probspark.sources.stored import fresh_path
+from probspark.streaming import monitors as S
 
 
 def g9_margin_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,40 +27,144 @@ def g12_ridge_stacking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.ridge_stacking(load(spark, sf_dir, "forecasts"))
 
 
+KEYS = {"stream_id": "long", "source_id": "string"}
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source of every stream is a stream of scores."""
+    return load(spark, sf_dir, "forecasts").select("stream_id", "source_id", "seq", F.least(F.abs(F.col("prediction") - F.col("actual")), F.lit(1.0)).alias("score"))
+
+
 def g13_adaptive_conformal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = load(spark, sf_dir, "forecasts").filter("source_id = 'last'").select("stream_id", "seq", F.least(F.abs(F.col("prediction") - F.col("actual")), F.lit(1.0)).alias("score"))
-    return O.adaptive_conformal(scored)
+    return O.adaptive_conformal(_scores(spark, sf_dir), KEYS)
 
 
-def m2_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = W.turn_labels(load(spark, sf_dir, "features"), "fwd_3", ["dt"], 0.7)
-    panel = panel.select("entity", "dt", "ret_1", "ret_3", "ret_5", "amount_ratio", "position_in_bar", "label", "fwd_3")
-    refits = [d.dt for d in panel.select("dt").distinct().orderBy("dt").collect()][36::12]  # a table of months
-    scored = M.walk_forward(panel, ["ret_1", "ret_3", "ret_5", "amount_ratio", "position_in_bar"], "label", "dt", refits, 3)
-    empty = panel.limit(0).withColumn("probability", F.lit(0.0)).withColumn("trained_until", F.lit(""))
+def g14_aggregated_conformal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.aggregated_conformal(_scores(spark, sf_dir), KEYS)
+
+
+_RESULTS = """sums AS (SELECT l_orderkey, l_suppkey, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS amount FROM lineitem GROUP BY l_orderkey, l_suppkey),
+pairs AS (SELECT l_orderkey, min(l_suppkey) AS home, max(l_suppkey) AS away FROM sums GROUP BY l_orderkey HAVING min(l_suppkey) < max(l_suppkey)),
+games AS (SELECT CAST(extract(year FROM o.o_orderdate) AS INT) AS period, p.home, p.away, CASE WHEN h.amount > 1.2 * a.amount THEN 1.0e0 WHEN a.amount > 1.2 * h.amount THEN 0.0e0 ELSE 0.5e0 END AS score
+    FROM pairs p JOIN orders o ON p.l_orderkey = o.o_orderkey JOIN sums h ON h.l_orderkey = p.l_orderkey AND h.l_suppkey = p.home JOIN sums a ON a.l_orderkey = p.l_orderkey AND a.l_suppkey = p.away),
+results AS (SELECT period, home AS team, away AS opponent, score FROM games UNION ALL SELECT period, away, home, 1 - score FROM games)"""
+
+
+def _rated(k: int) -> str:
+    return f"""m{k} AS (SELECT x.team, x.score, t.mu, 1 / sqrt(1 + 3 * o.phi * o.phi / (pi() * pi())) AS g, o.mu AS mu_o FROM results x JOIN r{k - 1} t ON x.team = t.team JOIN r{k - 1} o ON x.opponent = o.team WHERE x.period = (SELECT period FROM years WHERE n = {k})),
+e{k} AS (SELECT *, 1 / (1 + exp(-g * (mu - mu_o))) AS e FROM m{k}),
+u{k} AS (SELECT team, sum(g * g * e * (1 - e)) AS vs, sum(g * (score - e)) AS ds, count(*) AS n FROM e{k} GROUP BY team),
+s{k} AS (SELECT r.*, u.vs, u.ds, u.n, CASE WHEN abs(u.ds / u.vs) > 1 THEN 1.0e0 ELSE r.sigma END AS sn FROM r{k - 1} r LEFT JOIN u{k} u ON r.team = u.team),
+t{k} AS (SELECT *, 1 / sqrt(1 / (phi * phi + sn * sn) + vs) AS pn FROM s{k}),
+r{k} AS (SELECT team, CASE WHEN n IS NULL THEN mu ELSE mu + pn * pn * ds END AS mu, CASE WHEN n IS NULL THEN phi ELSE pn END AS phi, CASE WHEN n IS NULL THEN sigma ELSE sn END AS sigma, games + coalesce(n, 0) AS games FROM t{k})"""
+
+
+_YEARS = 8
+
+
+@query("g15_period_ratings", "lineitem orders supplier", keep="period team games", doubles="rating rd volatility", digits=4, sql=f"""
+    WITH {_RESULTS},
+years AS (SELECT period, row_number() OVER (ORDER BY period) AS n FROM (SELECT DISTINCT period FROM results) d),
+r0 AS (SELECT s_suppkey AS team, 0.0e0 AS mu, 350 / 173.7178e0 AS phi, 0.06e0 AS sigma, 0 AS games FROM supplier),
+{{ratings}}
+SELECT y.period, r.team, 1500 + 173.7178e0 * r.mu AS rating, 173.7178e0 * r.phi AS rd, r.sigma AS volatility, r.games FROM years y JOIN ({{all}}) r ON y.n = r.k""".replace("{ratings}", ",\n".join(_rated(k) for k in range(1, _YEARS + 1))).replace("{all}", " UNION ALL ".join(f"SELECT {k} AS k, * FROM r{k}" for k in range(1, _YEARS + 1))))
+def g15(lineitem, orders, supplier):
+    """Suppliers of one order have played each other; a year is a period."""
+    sums = lineitem.groupBy("l_orderkey", "l_suppkey").agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("amount"))
+    pairs = sums.groupBy("l_orderkey").agg(F.min(F.struct("l_suppkey", "amount")).alias("h"), F.max(F.struct("l_suppkey", "amount")).alias("a")).filter("h.l_suppkey < a.l_suppkey")
+    games = pairs.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), F.year("o_orderdate").alias("period")), "l_orderkey")
+    score = F.when(F.expr("h.amount > 1.2 * a.amount"), 1.0).when(F.expr("a.amount > 1.2 * h.amount"), 0.0).otherwise(0.5)
+    games = games.select("period", F.col("h.l_suppkey").alias("team"), F.col("a.l_suppkey").alias("opponent"), score.alias("score"))
+    both = games.unionByName(games.select("period", F.col("opponent").alias("team"), F.col("team").alias("opponent"), (1 - F.col("score")).alias("score")))
+    return R.period_ratings(both, supplier.select(F.col("s_suppkey").alias("team")))
+
+
+FEATURES = ["ret_1", "ret_3", "ret_5", "amount_ratio_5_20", "intraday_position", "ma_gap_5_20"]
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = T.bar_features(load(spark, sf_dir, "panel"), ["entity"], "dt").withColumn("ret_5_rank", F.lit(0.5))
+    return T.turning_labels(bars, "dt", quantile=0.6).select("entity", "dt", *FEATURES, F.col("label_turn_3").alias("label"), "fwd_ret_3")
+
+
+def _or_none(scored: DataFrame | None, panel: DataFrame) -> DataFrame:
+    empty = panel.limit(0).withColumns({"p": F.lit(0.0), "trained_until": F.lit(""), "embargo": F.lit(0)})
     return empty if scored is None else scored
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.read_events(spark, f"{sf_dir}/events.parquet")
+def m1_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boosted trees (20 rounds here) fitted on all but the last year, which they score."""
+    panel = _labelled(spark, sf_dir)
+    refits = M._dates(panel, "dt")[-12:-11]
+    return _or_none(M.walk_forward(panel, FEATURES, "label", "dt", refits, 3, "boosted", 20), panel)
+
+
+def m2_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel = _labelled(spark, sf_dir)
+    return _or_none(M.walk_forward(panel, FEATURES, "label", "dt", M._dates(panel, "dt")[36::12], 3), panel)
+
+
+def m3_score_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel = _labelled(spark, sf_dir)
+    return _or_none(M.score_latest(panel, FEATURES, "label", "dt", M._dates(panel.filter("label is not null"), "dt")[-1], 3), panel)
+
+
+def m4_look_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel = _labelled(spark, sf_dir)
+    return _or_none(M.score_dates(panel, FEATURES, "label", "dt", M._dates(panel, "dt")[-1], 3, 3), panel)
+
+
+PARTS = 4
+LATE = "20 days"
+
+
+def staged_events(spark: SparkSession, sf_dir: str) -> tuple[str, object]:
+    """(folder, schema): the events as files of a week and more, a tenth of the rows a file late, and a tenth coming again."""
+    events = load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    first = events.agg(F.min("ts").alias("t0"), F.max("ts").alias("t1")).first()
+    width = max(1.0, (first.t1 - first.t0).total_seconds() / PARTS + 1) if first.t0 else 1.0
+    part = F.floor((F.unix_timestamp("ts") - F.unix_timestamp(F.lit(first.t0))) / width)
+    number = F.col("event_id") % 10
+    late = F.least(part + F.when(number == 3, 1).otherwise(0), F.lit(PARTS - 1))
+    parts = F.when(number == 7, F.array(late, F.least(late + 1, F.lit(PARTS - 1)))).otherwise(F.array(late))
+    rows = events.withColumn("part", F.explode(parts).cast("int"))
+    return S.stage_files(rows, "part", PARTS, fresh_path(spark, "events")), events.schema
+
+
+def x1_snapshot_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel = load(spark, sf_dir, "panel").select("entity", "dt", "amount").withColumn("part", F.when(F.year("dt") < 1997, 0).when(F.year("dt") < 1999, 1).otherwise(2))
+    again = panel.filter("part = 1 and year(dt) = 1998").withColumn("part", F.lit(2))
+    path = S.stage_files(panel.unionByName(again), "part", 3, fresh_path(spark, "snapshots"))
+    history, _ = S.monitor_snapshots(spark, S.read_files(spark, path, panel.drop("part").schema), "entity", "dt", "amount")
+    return history.select("entity", "dt", F.col("rank").cast("long").alias("rank"), F.round("rank_pct", 6).alias("rank_pct"))
 
 
 def x2_stream_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.deltas_to_previous(spark, _events(spark, sf_dir)).withColumn("delta", F.round("delta", 6))
+    return S.deltas_to_previous(spark, *staged_events(spark, sf_dir), LATE).withColumn("delta", F.round("delta", 6))
 
 
 def x3_stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.upsert_history(spark, _events(spark, sf_dir), ["event_id"]).select("event_id", "user_id", "event_type")
+    path, schema = staged_events(spark, sf_dir)
+    return S.upsert_history(spark, S.read_files(spark, path, schema), ["event_id"]).select("event_id", "user_id", "event_type")
+
+
+def x4_stream_learner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.conformal_on_stream(spark, *staged_events(spark, sf_dir), LATE)
 
 
 def x5_stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    counts = T.window_counts(spark, events, "ts", "event_type", "1 day", "60 days")
+    path, schema = staged_events(spark, sf_dir)
+    counts = S.window_counts(spark, S.read_files(spark, path, schema), "ts", "event_type", "event_id", "1 day", LATE)
     return counts.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 3).alias("total"))
 
 
-QUERIES.update({f.__name__: f for f in (g9_margin_removal, g11_online_stacking, g12_ridge_stacking, g13_adaptive_conformal, m2_walk_forward, x2_stream_deltas, x3_stream_history, x5_stream_windows)})
+QUERIES.update({f.__name__: f for f in (
+    g9_margin_removal, g11_online_stacking, g12_ridge_stacking, g13_adaptive_conformal, g14_aggregated_conformal, m1_boosted_trees, m2_walk_forward, m3_score_latest, m4_look_back,
+    x1_snapshot_monitor, x2_stream_deltas, x3_stream_history, x4_stream_learner, x5_stream_windows,
+)})
 ORACLE_SQL.update({
+    "x1_snapshot_monitor": """WITH p AS (SELECT p_brand AS entity, CAST(date_trunc('month', l_shipdate) AS DATE) AS dt, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS amount FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)
+        SELECT entity, dt, row_number() OVER (PARTITION BY dt ORDER BY amount DESC, entity) AS rank, round((rank() OVER (PARTITION BY dt ORDER BY amount) + (count(*) OVER (PARTITION BY dt, amount) - 1) / 2.0) / count(*) OVER (PARTITION BY dt), 6) AS rank_pct FROM p""",
     "x2_stream_deltas": "SELECT user_id, event_id, round(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 6) AS delta FROM events",
     "x3_stream_history": "SELECT event_id, user_id, event_type FROM events",
     "x5_stream_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2",

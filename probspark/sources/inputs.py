@@ -60,12 +60,18 @@ INPUTS: dict[str, tuple[tuple[str, ...], str]] = {
         CROSS JOIN (SELECT 'last' AS source_id UNION ALL SELECT 'older' UNION ALL SELECT 'half') s"""),
     "edges": ((), """SELECT n1.n_regionkey AS graph_id, n1.n_name AS src, n2.n_name AS dst FROM nation n1 JOIN nation n2
         ON n1.n_regionkey = n2.n_regionkey AND n1.n_name < n2.n_name"""),
+    "chain": ((), """SELECT graph_id, src, dst FROM (SELECT n_regionkey AS graph_id, n_name AS src, lead(n_name) OVER (PARTITION BY n_regionkey ORDER BY n_name) AS dst FROM nation) q
+        WHERE dst IS NOT NULL"""),
     "nation_shares": ((), """SELECT graph_id, ts, outcome, amount / sum(amount) OVER (PARTITION BY graph_id, ts) AS p FROM (
         SELECT n.n_regionkey AS graph_id, CAST(date_trunc('year', l.l_shipdate) AS DATE) AS ts, n.n_name AS outcome,
         CAST(sum(CAST(l.l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS amount FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey
         JOIN nation n ON s.s_nationkey = n.n_nationkey GROUP BY n.n_regionkey, date_trunc('year', l.l_shipdate), n.n_name) q"""),
     "flows": (("nation_shares",), """SELECT graph_id, ts, outcome, p, flow, CASE WHEN abs(flow) < 0.5 THEN 'stable' WHEN flow > 0 THEN 'upward' ELSE 'downward' END AS direction
         FROM (SELECT *, (p - lag(p) OVER (PARTITION BY graph_id, outcome ORDER BY ts)) * 100 AS flow FROM nation_shares) q WHERE flow IS NOT NULL"""),
+    "slot_evidence": (("shares",), """SELECT subject, ts, source, CASE k % 4 WHEN 0 THEN 'market' WHEN 1 THEN 'model' WHEN 2 THEN 'sensor' ELSE 'rumour' END AS source_type,
+        CASE WHEN k % 3 = 0 THEN NULL ELSE outcome END AS outcome, p, 0.7e0 AS confidence, seen FROM (
+        SELECT subject, ts, outcome || '-desk' AS source, outcome, round(least(greatest(p * 1.4e0, 0.02e0), 0.9e0), 9) AS p, CAST(ts + INTERVAL 30 DAY AS DATE) AS seen,
+            row_number() OVER (PARTITION BY subject, ts ORDER BY outcome) AS k FROM shares) q"""),
     "legs": (("quotes",), """SELECT subject, ts, outcome, least(1 / value * 1.3e0, 0.9e0) AS p, value AS multiplier, 0.8e0 AS confidence FROM quotes"""),
     "features": (("panel",), """SELECT entity, dt, close, high, low, amount,
         close / lag(close, 1) OVER w - 1 AS ret_1, close / lag(close, 3) OVER w - 1 AS ret_3, close / lag(close, 5) OVER w - 1 AS ret_5,

@@ -1,80 +1,166 @@
-"""Streams whose result over a table is that of the batch operators."""
+"""Streams whose result over a table is that of the batch operators, also where rows come late or twice."""
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from probspark.functions.expr import rank_pct
+from probspark.operators.windows import first_rank
+from probspark.sources.stored import fresh_path
 
-def stream_dir(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that the cluster names for checkpoints; in /tmp only where none is named."""
-    import tempfile
 
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def stage_files(df: DataFrame, part: str, parts: int, path: str) -> str:
+    """``df`` as files that a stream reads one after the other: rows of part 0 (column ``part``) first, and so on."""
+    for i in range(parts):
+        df.filter(F.col(part) == i).drop(part).coalesce(1).write.mode("append").parquet(path)
+    return path
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """The table, a file or a folder, as a file stream with its own schema."""
-    pattern = f"{path[:-1]}[{path[-1]}]"  # a stream takes a single file only by a pattern
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(pattern)
+def read_files(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A folder as a file stream, a file in each micro-batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def run_available(stream: DataFrame, write, mode: str, at: str) -> None:
+def run_available(stream: DataFrame, write: Callable[[DataFrame, int], None], mode: str, at: str) -> None:
     """All that is there, in micro-batches that ``write`` takes."""
     stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
+def appender(at: str) -> Callable[[DataFrame, int], None]:
+    """Writes a batch's rows to a folder of its own, so that a batch which runs again replaces itself."""
+    return lambda df, batch: df.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{at}/rows/b={batch}")
+
+
+def written(spark: SparkSession, at: str, schema) -> DataFrame:
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{at}/rows")
+
+
 def latest_per_key(batches: DataFrame, key: list[str]) -> DataFrame:
     """Of all batches' rows the last written of each key."""
     last = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("batch")))
     return batches.withColumn("__n", last).filter("__n = 1").drop("__n", "batch")
 
 
-def window_counts(spark: SparkSession, stream: DataFrame, time: str, by: str, width: str, late: str) -> DataFrame:
-    """Rows and sums of ``value`` per window and ``by``; rows later than ``late`` are not counted.
+def window_counts(spark: SparkSession, stream: DataFrame, time: str, by: str, key: str, width: str, late: str) -> DataFrame:
+    """Rows and sums of ``value`` per window and ``by``; rows later than ``late`` aren't counted, repeats of ``key`` once.
 
     Updates of a window are written with their batch, and the last one counts.
     """
-    at = stream_dir(spark, "windows")
-    counts = stream.withWatermark(time, late).groupBy(F.window(time, width), by).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
-
-    def write(df: DataFrame, batch: int) -> None:
-        df.select(F.col("window.start").alias("start"), by, "n", "total", F.lit(batch).alias("batch")).write.mode("append").parquet(f"{at}/rows")
-
-    run_available(counts, write, "update", at)
-    return latest_per_key(spark.read.parquet(f"{at}/rows"), ["start", by])
+    at = fresh_path(spark, "windows")
+    once = stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+    counts = once.groupBy(F.window(time, width), by).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    rows = counts.select(F.col("window.start").alias("start"), by, "n", "total")
+    run_available(rows, appender(at), "update", at)
+    return latest_per_key(written(spark, at, f"start timestamp, {by} string, n long, total double, batch int"), ["start", by])
 
 
 def upsert_history(spark: SparkSession, stream: DataFrame, key: list[str]) -> DataFrame:
     """History keyed by ``key``: rows that come again replace the earlier ones."""
-    at = stream_dir(spark, "history")
+    at = fresh_path(spark, "history")
+    one = lambda df, batch: appender(at)(df.dropDuplicates(key), batch)
+    run_available(stream, one, "append", at)
+    return latest_per_key(written(spark, at, stream.schema.add("batch", "int")), key)
+
+
+def monitor_snapshots(spark: SparkSession, stream: DataFrame, entity: str, time: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """(history, latest): each micro-batch scores its snapshots across all entities, is appended to the history and becomes the latest.
+
+    A snapshot (all rows of one ``time``) comes whole in a batch; one that comes again replaces itself.
+    """
+    at = fresh_path(spark, "monitor")
 
-    def write(df: DataFrame, batch: int) -> None:
-        df.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{at}/rows")
+    def once(df: DataFrame, batch: int) -> None:
+        df = df.dropDuplicates([entity, time])
+        scored = first_rank(df.withColumn("rank_pct", rank_pct(F.col(value), [time])), [time], value, [entity])
+        appender(at)(scored, batch)
+        newest = scored.agg(F.max(time).alias("__t"))
+        scored.join(F.broadcast(newest), F.col(time) == F.col("__t")).drop("__t").write.mode("overwrite").parquet(f"{at}/latest")  # one row
 
-    run_available(stream, write, "append", at)
-    return latest_per_key(spark.read.parquet(f"{at}/rows"), key)
+    run_available(stream, once, "append", at)
+    schema = stream.schema.add("rank_pct", "double").add("rank", "int")
+    return latest_per_key(written(spark, at, schema.add("batch", "int")), [entity, time]), spark.read.parquet(f"{at}/latest")
 
 
-def _previous(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-    before = state.get[0] if state.exists else None
+BUFFER = "memo string, ids array<long>, times array<long>, values array<double>"
+FLUSH = -1  # user of the row that moves the watermark past all others
+
+
+def in_event_order(stream: DataFrame, late: str, advance: Callable[[str | None, pd.DataFrame], tuple[str, pd.DataFrame]], schema: str) -> DataFrame:
+    """``advance(memo, rows) -> (memo, answer)`` for each user's rows in order of (ts, event_id), each row once.
+
+    Rows wait as state until the watermark (``late`` behind the newest row) has passed them, so late and repeated rows within
+    it change nothing; a row that comes later than rows already passed on is left out.  ``memo`` is the learner's state.
+    """
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        memo, ids, times, values = state.get if state.exists else (None, [], [], [])
+        held = {i: (t, v) for i, t, v in zip(ids, times, values, strict=True)}
+        passed = state.getCurrentWatermarkMs()
+        for f in frames:
+            for i, t, v in zip(f.event_id, f.ts.astype("int64") // 1_000_000 if str(f.ts.dtype).endswith("[ns]") or "ns" in str(f.ts.dtype) else f.ts.astype("datetime64[ms]").astype("int64"), f.value, strict=True):
+                if t > passed:
+                    held[int(i)] = (int(t), float(v))
+        ready = sorted((t, i, v) for i, (t, v) in held.items() if t <= passed)
+        left = sorted((t, i, v) for i, (t, v) in held.items() if t > passed)
+        out = None
+        if ready:
+            rows = pd.DataFrame(ready, columns=["ts", "event_id", "value"])
+            memo, out = advance(memo, rows)
+        state.update((memo, [i for _, i, _ in left], [t for t, _, _ in left], [v for _, _, v in left]))
+        if left:
+            state.setTimeoutTimestamp(max(left[0][0], passed + 1))
+        if out is not None:
+            out.insert(0, "user_id", key[0])
+            yield out
+
+    kept = stream.select("user_id", "event_id", "ts", "value").withWatermark("ts", late)
+    return kept.groupBy("user_id").applyInPandasWithState(run, f"user_id long, {schema}", BUFFER, "append", "EventTimeTimeout")
+
+
+def run_in_order(spark: SparkSession, path: str, events_schema, late: str, advance, schema: str, name: str) -> DataFrame:
+    """Runs ``in_event_order`` over the files of ``path``, then once more with a row far in the future that lets all waiting rows pass."""
+    at = fresh_path(spark, name)
+
+    def run() -> None:
+        stream = in_event_order(read_files(spark, path, events_schema), late, advance, schema)
+        run_available(stream, appender(at), "append", at)
+
+    run()
+    end = spark.range(1).select(F.lit(FLUSH).cast("long").alias("event_id"), F.lit("2200-01-01").cast("timestamp").alias("ts"), F.lit(FLUSH).cast("long").alias("user_id"), F.lit(0.0).alias("value"))
+    end.write.mode("append").parquet(path)
+    run()
+    return written(spark, at, f"user_id long, {schema}, batch int").filter(F.col("user_id") != FLUSH).drop("batch")
+
+
+def _deltas(memo: str | None, rows: pd.DataFrame) -> tuple[str, pd.DataFrame]:
     values = rows.value.tolist()
-    state.update((values[-1],))
-    yield pd.DataFrame({"user_id": key[0], "event_id": rows.event_id, "delta": [None if a is None else b - a for a, b in zip([before, *values[:-1]], values, strict=True)]})
+    before = [None if memo is None else json.loads(memo), *values[:-1]]
+    return json.dumps(values[-1]), pd.DataFrame({"event_id": rows.event_id, "delta": [None if a is None else b - a for a, b in zip(before, values, strict=True)]})
 
 
-def deltas_to_previous(spark: SparkSession, stream: DataFrame) -> DataFrame:
+def deltas_to_previous(spark: SparkSession, path: str, schema, late: str) -> DataFrame:
     """Each event's value less that of the same user's event before it; the last value of every user is kept as state."""
-    at = stream_dir(spark, "deltas")
-    deltas = stream.select("user_id", "event_id", "ts", "value").groupBy("user_id").applyInPandasWithState(
-        _previous, "user_id long, event_id long, delta double", "last double", "append", "NoTimeout"
-    )
-    run_available(deltas, lambda df, batch: df.write.mode("append").parquet(f"{at}/rows"), "append", at)
-    return spark.read.schema("user_id long, event_id long, delta double").parquet(f"{at}/rows")
+    return run_in_order(spark, path, schema, late, _deltas, "event_id long, delta double", "deltas")
+
+
+def _conformal(memo: str | None, rows: pd.DataFrame) -> tuple[str, pd.DataFrame]:
+    from probspark.operators.online import AdaptiveConformal
+
+    learner = AdaptiveConformal()
+    if memo is not None:
+        learner.alpha, scores = json.loads(memo)
+        for s in scores:
+            learner.scores.add(s)
+    out = [(i, learner.threshold(), learner.update(min(abs(v) / 100, 1.0)), learner.alpha) for i, v in zip(rows.event_id, rows.value, strict=True)]
+    return json.dumps([learner.alpha, [s for b in learner.scores.blocks for s in b]]), pd.DataFrame(out, columns=["event_id", "threshold", "miss", "alpha"])
+
+
+def conformal_on_stream(spark: SparkSession, path: str, schema, late: str) -> DataFrame:
+    """The adaptive conformal learner of each user, predicting and then learning from every event in order."""
+    return run_in_order(spark, path, schema, late, _conformal, "event_id long, threshold double, miss int, alpha double", "learner")
