@@ -127,7 +127,7 @@ def staged_events(spark: SparkSession, sf_dir: str) -> tuple[str, object]:
     number = F.col("event_id") % 10
     late = F.least(part + F.when(number == 3, 1).otherwise(0), F.lit(PARTS - 1))
     parts = F.when(number == 7, F.array(late, F.least(late + 1, F.lit(PARTS - 1)))).otherwise(F.array(late))
-    rows = events.withColumn("part", F.explode(parts).cast("int"))
+    rows = events.withColumn("part", F.explode(parts)).withColumn("part", F.col("part").cast("int"))
     return S.stage_files(rows, "part", PARTS, fresh_path(spark, "events")), events.schema
 
 

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from probspark.functions.expr import rank_pct
@@ -37,6 +38,10 @@ def appender(at: str) -> Callable[[DataFrame, int], None]:
     return lambda df, batch: df.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{at}/rows/b={batch}")
 
 
+def more(schema: StructType, ddl: str) -> StructType:
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def written(spark: SparkSession, at: str, schema) -> DataFrame:
     return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{at}/rows")
 
@@ -65,7 +70,7 @@ def upsert_history(spark: SparkSession, stream: DataFrame, key: list[str]) -> Da
     at = fresh_path(spark, "history")
     one = lambda df, batch: appender(at)(df.dropDuplicates(key), batch)
     run_available(stream, one, "append", at)
-    return latest_per_key(written(spark, at, stream.schema.add("batch", "int")), key)
+    return latest_per_key(written(spark, at, more(stream.schema, "batch int")), key)
 
 
 def monitor_snapshots(spark: SparkSession, stream: DataFrame, entity: str, time: str, value: str) -> tuple[DataFrame, DataFrame]:
@@ -83,8 +88,7 @@ def monitor_snapshots(spark: SparkSession, stream: DataFrame, entity: str, time:
         scored.join(F.broadcast(newest), F.col(time) == F.col("__t")).drop("__t").write.mode("overwrite").parquet(f"{at}/latest")  # one row
 
     run_available(stream, once, "append", at)
-    schema = stream.schema.add("rank_pct", "double").add("rank", "int")
-    return latest_per_key(written(spark, at, schema.add("batch", "int")), [entity, time]), spark.read.parquet(f"{at}/latest")
+    return latest_per_key(written(spark, at, more(stream.schema, "rank_pct double, rank int, batch int")), [entity, time]), spark.read.parquet(f"{at}/latest")
 
 
 BUFFER = "memo string, ids array<long>, times array<long>, values array<double>"
@@ -103,18 +107,19 @@ def in_event_order(stream: DataFrame, late: str, advance: Callable[[str | None,
         held = {i: (t, v) for i, t, v in zip(ids, times, values, strict=True)}
         passed = state.getCurrentWatermarkMs()
         for f in frames:
-            for i, t, v in zip(f.event_id, f.ts.astype("int64") // 1_000_000 if str(f.ts.dtype).endswith("[ns]") or "ns" in str(f.ts.dtype) else f.ts.astype("datetime64[ms]").astype("int64"), f.value, strict=True):
-                if t > passed:
-                    held[int(i)] = (int(t), float(v))
-        ready = sorted((t, i, v) for i, (t, v) in held.items() if t <= passed)
-        left = sorted((t, i, v) for i, (t, v) in held.items() if t > passed)
+            for i, t, v in zip(f.event_id, f.ts, f.value, strict=True):
+                at = pd.Timestamp(t).value // 1000
+                if at // 1000 > passed:
+                    held[int(i)] = (at, float(v))
+        ready = sorted((t, i, v) for i, (t, v) in held.items() if t // 1000 <= passed)
+        left = sorted((t, i, v) for i, (t, v) in held.items() if t // 1000 > passed)
         out = None
         if ready:
             rows = pd.DataFrame(ready, columns=["ts", "event_id", "value"])
             memo, out = advance(memo, rows)
         state.update((memo, [i for _, i, _ in left], [t for t, _, _ in left], [v for _, _, v in left]))
         if left:
-            state.setTimeoutTimestamp(max(left[0][0], passed + 1))
+            state.setTimeoutTimestamp(max(left[0][0] // 1000 + 1, passed + 1))
         if out is not None:
             out.insert(0, "user_id", key[0])
             yield out
@@ -149,16 +154,20 @@ def deltas_to_previous(spark: SparkSession, path: str, schema, late: str) -> Dat
     return run_in_order(spark, path, schema, late, _deltas, "event_id long, delta double", "deltas")
 
 
+#: Scores that a learner on a stream keeps: its state stays bounded.
+KEPT_SCORES = 1000
+
+
 def _conformal(memo: str | None, rows: pd.DataFrame) -> tuple[str, pd.DataFrame]:
     from probspark.operators.online import AdaptiveConformal
 
-    learner = AdaptiveConformal()
+    learner = AdaptiveConformal(window=KEPT_SCORES)
     if memo is not None:
         learner.alpha, scores = json.loads(memo)
         for s in scores:
             learner.scores.add(s)
     out = [(i, learner.threshold(), learner.update(min(abs(v) / 100, 1.0)), learner.alpha) for i, v in zip(rows.event_id, rows.value, strict=True)]
-    return json.dumps([learner.alpha, [s for b in learner.scores.blocks for s in b]]), pd.DataFrame(out, columns=["event_id", "threshold", "miss", "alpha"])
+    return json.dumps([learner.alpha, list(learner.scores.order)]), pd.DataFrame(out, columns=["event_id", "threshold", "miss", "alpha"])
 
 
 def conformal_on_stream(spark: SparkSession, path: str, schema, late: str) -> DataFrame:
