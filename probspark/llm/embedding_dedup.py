@@ -3,18 +3,24 @@
 1. Equal vectors of a label meet as one representative with a number of copies.
 2. Representatives fall into overlapping cluster shards: a shard above ``most``
    members is split by pivots that it sampled from itself, and every member goes to
-   its two nearest pivots.  Pivots near each other count as one, so a group of near
-   copies is never torn apart; such a shard may stay large and its queries are dealt
-   to several tasks.
-3. Every shard builds a flat graph: nearest candidates, thinned by robust pruning.
-   The adjacency lists of a vector's shards are united.
-4. Every vector is searched in its shards: greedy beam search from the medoids, then
-   expansion through all vectors near the range.  Cosines are verified in double
+   its nearest pivot and to the second one, unless that is so much further that no
+   link can cross.  Pivots near each other count as one, so a group of near copies is
+   never torn apart; such a tight shard may stay large.
+3. In a tight shard, members so near its pivot that any two of them must link (the
+   angle between two is at most the sum of theirs to the pivot) are its core: they are
+   counted, not compared.
+4. Every shard builds a flat graph, a tight one in blocks of ``most`` members: nearest
+   candidates, thinned by robust pruning.  The adjacency lists of a vector's shards
+   are united.
+5. Every vector is searched in its shards, but in none whose core it is in: greedy beam
+   search from the medoids, then expansion through all vectors near the range.  A task
+   holds one block of vectors and one of queries.  Cosines are verified in double
    precision, and a pair that shares several shards counts in the first one.
-5. A bounded set of vectors is audited by brute force against all rows; a recall
-   below ``least_recall`` repeats the search with wider lists.
-6. A shard gives each vector the smallest one that its links reach there, and
-   components of these edges are the classes.
+6. A bounded set of vectors, half of them with links, is audited by brute force against
+   all rows.  A recall below ``least_recall`` repeats the search once with wider lists;
+   if that isn't enough, all pairs of a label are compared in blocks instead.
+7. A task gives each vector the smallest one that its links reach there, and components
+   of these edges are the classes.
 """
 
 from __future__ import annotations
@@ -32,8 +38,9 @@ from probspark.llm.components import components
 RANGE = 0.98
 MOST_MEMBERS = 1500
 PIVOTS = 16
-AUDITED = 100
+AUDITED = 200
 LEVELS = 12
+ENTRIES = 32
 
 
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
@@ -81,18 +88,20 @@ def _padded(pairs: np.ndarray, n: int) -> np.ndarray:
     return table
 
 
-def range_search(x: np.ndarray, table: np.ndarray, queries: np.ndarray, beam: int, threshold: float = RANGE, slack: float = 0.05) -> np.ndarray:
+def range_search(x: np.ndarray, table: np.ndarray, asked: np.ndarray, own: np.ndarray, beam: int, threshold: float = RANGE, slack: float = 0.05) -> np.ndarray:
     """Boolean queries x rows: the rows found within ``threshold``; all queries walk together.
 
-    ``queries`` are rows of ``x``: each starts from the medoids and from its own place in the graph.
+    ``asked`` are the queries' vectors and ``own`` their rows of ``x`` (-1 for others).  Each starts from the medoids, from
+    evenly dealt entries, which reach parts of the graph that no path joins, and from its own place; it doesn't find itself.
     """
-    n, rows = len(x), np.arange(len(queries))[:, None]
+    n, rows = len(x), np.arange(len(asked))[:, None]
     centre = x @ x.mean(0)
-    medoids = np.unique([centre.argmax(), centre.argmin(), np.abs(centre).argmin()])
-    cosine = np.full((len(queries), n + 1), -2.0)  # of the rows seen; the last column takes the padding
-    expanded = np.zeros((len(queries), n + 1), bool)
-    cosine[:, medoids] = x[queries] @ x[medoids].T
-    cosine[np.arange(len(queries)), queries] = 1.0
+    medoids = np.unique([centre.argmax(), centre.argmin(), np.abs(centre).argmin(), *np.linspace(0, n - 1, min(n, ENTRIES)).astype(int)])
+    cosine = np.full((len(asked), n + 1), -2.0)  # of the rows seen; the last column takes the padding
+    expanded = np.zeros((len(asked), n + 1), bool)
+    cosine[:, medoids] = asked @ x[medoids].T
+    here = np.flatnonzero(own >= 0)
+    cosine[here, own[here]] = 1.0
     expanded[:, n] = True
 
     def visit(whose: np.ndarray, nodes: np.ndarray) -> None:
@@ -107,7 +116,7 @@ def range_search(x: np.ndarray, table: np.ndarray, queries: np.ndarray, beam: in
             who, next_ = key // n, key % n
             for at in range(0, len(who), 20_000):
                 a, b = who[at : at + 20_000], next_[at : at + 20_000]
-                cosine[a, b] = np.einsum("ij,ij->i", x[queries[a]], x[b])
+                cosine[a, b] = np.einsum("ij,ij->i", asked[a], x[b])
 
     width = min(beam, n)
     while True:  # greedy: the best rows seen so far that aren't expanded, for every query at once
@@ -124,11 +133,11 @@ def range_search(x: np.ndarray, table: np.ndarray, queries: np.ndarray, beam: in
             break
         visit(who, nodes)
     found = cosine[:, :n] >= threshold
-    found[np.arange(len(queries)), queries] = False
+    found[here, own[here]] = False
     return found
 
 
-def _split(table: pa.Table) -> pa.Table:
+def _split(table: pa.Table, threshold: float = RANGE) -> pa.Table:
     """Members of one block of an oversized shard, each with its two nearest pivots."""
     table = table.sort_by("n")  # pivots arrive in any order, and a cell's blocks must choose and name alike
     pivot = table.column("pivot").to_numpy()
@@ -141,16 +150,21 @@ def _split(table: pa.Table) -> pa.Table:
     rows, names = table.filter(pa.array(~pivot)), table.column("n").to_numpy()[pivot][apart]
     cosines = x[~pivot] @ heads[apart].T
     nearest = np.argsort(-cosines, axis=1, kind="stable")[:, :2]
-    own = np.repeat(np.arange(len(rows)), nearest.shape[1])
-    mark = "!" if len(apart) == 1 else "/"
-    cells = [f"{c.as_py()}{mark}{p}" for c, p in zip(rows.column("cell").take(pa.array(own)), names[nearest.reshape(-1)], strict=True)]
+    angle = np.arccos(np.clip(np.take_along_axis(cosines, nearest, 1), -1, 1))
+    use = angle <= angle[:, :1] + 2 * np.arccos(threshold) + 1e-6  # beyond, the other side of a link has no nearer pivot there
+    own = np.flatnonzero(use) // nearest.shape[1]
+    tight = len(apart) == 1
+    cells = [f"{c.as_py()}{'!' if tight else '/'}{p}" for c, p in zip(rows.column("cell").take(pa.array(own)), names[nearest[use]], strict=True)]
+    # two vectors at half the range's angle from the pivot are within the range of each other
+    core = (np.take_along_axis(cosines, nearest, 1) >= ((1 + threshold) / 2) ** 0.5 + 1e-9)[use] & tight
     out = rows.take(pa.array(own))
-    return pa.table({"rep": out.column("rep"), "copies": out.column("copies"), "embedding": out.column("embedding"), "cell": pa.array(cells, pa.string())})
+    return pa.table({"rep": out.column("rep"), "copies": out.column("copies"), "embedding": out.column("embedding"), "cell": pa.array(cells, pa.string()), "core": core})
 
 
-def cluster_shards(vectors: DataFrame, most: int = MOST_MEMBERS) -> DataFrame:
-    """``rep, copies, embedding, cell``: members of shards; a row in each shard that holds the vector."""
-    done, open_ = [], vectors
+def cluster_shards(vectors: DataFrame, most: int = MOST_MEMBERS, threshold: float = RANGE) -> DataFrame:
+    """``rep, copies, embedding, cell, core``: members of shards; a row in each shard that holds the vector."""
+    open_ = vectors.withColumn("core", F.lit(False))
+    done, schema = [], open_.schema
     for level in range(LEVELS):
         sizes = open_.groupBy("cell").count()
         open_ = open_.join(sizes, "cell")
@@ -164,7 +178,7 @@ def cluster_shards(vectors: DataFrame, most: int = MOST_MEMBERS) -> DataFrame:
         blocks = F.ceil(F.col("count") / 4096).cast("int")
         pivots = pivots.select(F.lit(-1).cast("long").alias("rep"), F.lit(0).cast("long").alias("copies"), "embedding", "cell", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(True).alias("pivot"), "n")
         members = open_.select("rep", "copies", "embedding", "cell", F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"), F.lit(False).alias("pivot"), F.lit(PIVOTS).cast("long").alias("n"))
-        split = members.unionByName(pivots).groupBy("cell", "block").applyInArrow(_split, vectors.schema)
+        split = members.unionByName(pivots).groupBy("cell", "block").applyInArrow(lambda table: _split(table, threshold), schema)
         open_ = stored(split.dropDuplicates(["rep", "cell"]), "shard-members")
     else:
         done.append(open_)
@@ -175,12 +189,13 @@ def cluster_shards(vectors: DataFrame, most: int = MOST_MEMBERS) -> DataFrame:
 
 
 def near_duplicates(vectors: DataFrame, degree: int = 20, candidates: int = 48, beam: int = 32, threshold: float = RANGE, most: int = MOST_MEMBERS, least_recall: float = 0.95) -> DataFrame:
-    """``vec_id, n_links, component_id, kept`` for each row of ``vectors`` (``vec_id, embedding, label``).
+    """``vec_id, n_links, component_id, kept, audit_recall`` for each row of ``vectors`` (``vec_id, embedding, label``).
 
-    Vectors link when labels and lengths are equal and their cosine is ``threshold`` or
-    more.  Null, empty and zero vectors, those with null or non-finite components and those
-    without a label link with nothing.  Equal rows are copies that link with each other; a
-    null ``vec_id`` gives a row without links.  Empty tables give no rows.
+    Vectors link when labels and lengths are equal and their cosine is ``threshold`` or more.  Null, empty
+    and zero vectors, those with null or non-finite components and those without a label link with nothing.  Equal rows are
+    copies that link with each other; a null ``vec_id`` gives a row without links.  Empty tables give no rows.  Other columns
+    are not read.  ``audit_recall`` is the share of the audited vectors' links that the search found (null where they have
+    none); 1 after the comparison of all pairs.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
     usable = (
@@ -191,30 +206,52 @@ def near_duplicates(vectors: DataFrame, degree: int = 20, candidates: int = 48,
     linkable = rows.filter("usable").select("vec_id", "embedding", F.concat_ws(":", F.col("label").cast("string"), F.size("embedding").cast("string")).alias("cell"))
     groups = stored(linkable.groupBy("cell", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")).select("rep", "copies", "embedding", "cell"), "vectors")
     ids = stored(linkable.join(groups, ["cell", "embedding"]).select("vec_id", "rep", "copies"), "vector-ids")
-    members = stored(cluster_shards(groups, most), "shards")
-    sizes = members.groupBy("cell").count()
-    shards = members.groupBy("rep").agg(F.sort_array(F.collect_list(F.xxhash64("cell"))).alias("shards"))  # two per level at most
-    sample = groups.orderBy(F.xxhash64("rep")).limit(AUDITED)
-    truth = {r[0]: r[1] for r in _brute_force(groups, sample, threshold).collect()}
-    while True:
-        graph = members.groupBy("cell").applyInArrow(_builder(degree, candidates), "rep long, near array<long>")
+    links, edges, recall = graph_links(groups, degree, candidates, beam, threshold, most, least_recall)
+    classes = components(edges)
+    linked = ids.join(links, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
+    linked = linked.select("vec_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
+    alone = rows.filter("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    return out.withColumn("audit_recall", F.lit(recall).cast("double"))
+
+
+def graph_links(groups: DataFrame, degree: int, candidates: int, beam: int, threshold: float, most: int, least_recall: float) -> tuple[DataFrame, DataFrame, float | None]:
+    """(``rep, links``; edges whose components are the classes; audited recall) of distinct vectors ``rep, copies, embedding, cell``."""
+    members = stored(cluster_shards(groups, most, threshold), "shards")
+    sizes = members.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("blocks"))
+    members = members.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("own", F.xxhash64("cell"))
+    # a vector is in at most two shards a level, and in the core of one
+    known = members.groupBy("rep").agg(F.sort_array(F.collect_list("own")).alias("shards"), F.min(F.when(F.col("core"), F.col("own"))).alias("core"))
+    cores = known.filter("core is not null").join(groups.select("rep", "copies"), "rep")
+    heads = cores.groupBy("core").agg(F.sum("copies").alias("total"), F.min("rep").alias("head"))
+    cores = stored(cores.join(heads, "core").select("rep", (F.col("total") - F.col("copies")).alias("links"), F.col("head").alias("least")), "cores")
+    members = stored(members.drop("core").join(known, "rep"), "members")
+    for _ in range(2):
+        graph = members.groupBy("cell", "block").applyInArrow(_builder(degree, candidates), "rep long, near array<long>")
         graph = graph.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-        known = members.join(graph, "rep").join(shards, "rep").join(sizes, "cell")
-        parts = F.ceil(F.col("count") / (4 * most)).cast("int")
-        known = known.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("asks", F.pmod(F.xxhash64("rep"), parts) == F.col("part"))
-
-        found = stored(known.select("cell", F.xxhash64("cell").alias("own"), "part", "rep", "copies", "embedding", "near", "shards", "asks").groupBy("cell", "part").applyInArrow(_searcher(beam, threshold), "rep long, links long, least long"), "links")
+        found = stored(_search(members.join(graph, "rep"), beam, threshold, most).unionByName(cores), "links")
         links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-        got = {r[0]: r[1] for r in links.join(F.broadcast(sample.select("rep")), "rep").collect()}
-        wanted = sum(truth.values())
-        if not wanted or sum(min(n, got.get(r, 0)) for r, n in truth.items()) >= least_recall * wanted or beam > 400:
+        recall = audited_recall(groups, links, threshold)
+        if recall is None or recall >= least_recall:
             break
         degree, candidates, beam = 2 * degree, 2 * candidates, 2 * beam
-    classes = components(found.filter("least < rep").select("rep", "least"))
-    linked = ids.join(links, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-    linked = linked.select("vec_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
-    alone = rows.filter("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    else:
+        found, recall = stored(all_pairs(groups, threshold, most), "links"), 1.0
+        links = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    return links, found.filter("least < rep").select("rep", "least"), recall
+
+
+def _search(members: DataFrame, beam: int, threshold: float, most: int) -> DataFrame:
+    """Tasks of one block of a shard's vectors and one block of its queries; vectors of the shard's own core aren't queries."""
+    rows = members.withColumn("asks", ~F.col("core").eqNullSafe(F.col("own")))
+    queries = rows.filter("asks").groupBy("cell").agg(F.count(F.lit(1)).alias("n")).join(rows.select("cell", "blocks").distinct(), "cell")
+    parts = queries.select("cell", F.least(F.ceil(F.col("n") / most), F.col("blocks")).cast("int").alias("parts"))
+    rows = rows.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
+    over = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["cell", "own", "rep", "copies", "embedding", "near", "shards", "core"]
+    data = rows.select(*columns, F.col("block").alias("d"), over("parts").alias("q"), F.lit(False).alias("asks"))
+    asked = rows.filter("asks").withColumn("near", F.lit(None).cast("array<long>")).select(*columns, over("blocks").alias("d"), F.col("part").alias("q"), F.lit(True).alias("asks"))
+    return data.unionByName(asked).groupBy("cell", "d", "q").applyInArrow(_searcher(beam, threshold), "rep long, links long, least long")
 
 
 def _builder(degree: int, candidates: int):
@@ -231,54 +268,92 @@ def _searcher(beam: int, threshold: float):
 
 
 def _search_shard(table: pa.Table, beam: int, threshold: float) -> pa.Table:
-    """Per vector of a shard: copies of the vectors it links with here and in no earlier shard (for those that ask here), and the smallest one it reaches."""
-    order = np.argsort(table.column("rep").to_numpy(), kind="stable")
-    table = table.take(pa.array(order))
+    """Per vector of a task: copies of the vectors it links with here and in no earlier shard, and the smallest one it reaches.
+
+    A vector of the shard's own core asks nothing here, so a link that finds it counts for both.
+    """
+    table = table.take(pa.array(np.lexsort((table.column("rep").to_numpy(), table.column("asks").to_numpy(zero_copy_only=False)))))
+    asks = table.column("asks").to_numpy(zero_copy_only=False)
     rep, copies = table.column("rep").to_numpy(), table.column("copies").to_numpy()
+    core = table.column("core").fill_null(0).to_numpy()
+    core = np.where(table.column("core").is_valid().to_numpy(), core, np.arange(-1, -1 - len(core), -1))  # no two alike, where there is none
     x = unit_rows(_matrix(table.column("embedding")))
-    near = table.column("near").combine_chunks()
-    source = np.repeat(np.arange(len(rep)), np.diff(near.offsets.to_numpy()))
-    at = np.minimum(np.searchsorted(rep, near.flatten().to_numpy()), len(rep) - 1)
+    n = int((~asks).sum())  # the first n rows are the block's vectors, by number
+    empty = pa.table({"rep": rep[:0], "links": rep[:0], "least": rep[:0]})
+    if not n or n == len(rep):
+        return empty
+    near = table.column("near").slice(0, n).combine_chunks()
+    source = np.repeat(np.arange(n), np.diff(near.offsets.to_numpy()))
+    at = np.minimum(np.searchsorted(rep[:n], near.flatten().to_numpy()), n - 1)
     here = rep[at] == near.flatten().to_numpy()
-    graph = _padded(np.stack([source[here], at[here]], 1), len(rep))
+    graph = _padded(np.stack([source[here], at[here]], 1), n)
     # shards that a vector shares with others come in one order everywhere: the first common one counts a pair
     names = table.column("shards").to_pylist()
-    number = {s: i for i, s in enumerate(sorted({s for n in names for s in n}))}
-    own = number[table.column("own")[0].as_py()]
-    earlier = np.zeros((len(rep), max(1, own)), bool)
-    for i, n in enumerate(names):
-        for s in n:
-            if number[s] < own:
+    own = table.column("own")[0].as_py()
+    number = {s: i for i, s in enumerate(sorted({s for k in names for s in k if s < own}))}
+    earlier = np.zeros((len(rep), max(1, len(number))), bool)
+    for i, k in enumerate(names):
+        for s in k:
+            if s < own:
                 earlier[i, number[s]] = True
-    queries = np.flatnonzero(table.column("asks").to_numpy(zero_copy_only=False))
+    silent = core == own
+    queries = np.flatnonzero(asks)
+    place = np.minimum(np.searchsorted(rep[:n], rep), n - 1)
+    place = np.where(rep[place] == rep, place, -1)
     links, root = np.zeros(len(rep), np.int64), np.arange(len(rep))
-    block = max(1, min(512, 2_000_000 // max(1, len(rep))))
+    root[queries] = np.where(place[queries] >= 0, place[queries], queries)
+    block = max(1, min(512, 2_000_000 // n))
     for low in range(0, len(queries), block):
         some = queries[low : low + block]
-        found = range_search(x, graph, some, beam, threshold)
-        a, b = np.nonzero(found)
-        counted = ~(earlier[some[a]] & earlier[b]).any(1)
-        links[some] = np.bincount(a[counted], copies[b[counted]], len(some)).astype(np.int64)
-        root = unite(root, some[a], b)
+        a, b = np.nonzero(range_search(x[:n], graph, x[some], place[some], beam, threshold))
+        a = some[a]
+        other = core[a] != core[b]
+        a, b = a[other], b[other]
+        counted = ~(earlier[a] & earlier[b]).any(1)
+        np.add.at(links, a[counted], copies[b[counted]])
+        both = counted & silent[b]
+        np.add.at(links, b[both], copies[a[both]])
+        root = unite(root, a, b, rep)
     return pa.table({"rep": rep, "links": links, "least": rep[root]})
 
 
-def unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest member of each member's class once the pairs (a, b) are joined to the classes of ``root``."""
+def unite(root: np.ndarray, a: np.ndarray, b: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
+    """The member with the smallest ``order`` (its number) of each one's class once the pairs (a, b) are joined to the classes of ``root``."""
+    order = np.arange(len(root)) if order is None else order
     while True:
-        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
-        apart = low < high
+        ra, rb = root[a], root[b]
+        swap = order[ra] > order[rb]
+        low, high = np.where(swap, rb, ra), np.where(swap, ra, rb)
+        apart = low != high
+        apart &= order[low] < order[high]
         if not apart.any():
             return root
+        low, high = low[apart], high[apart]
+        by = np.lexsort((order[low], high))
+        low, high = low[by], high[by]
+        first = np.ones(len(high), bool)
+        first[1:] = high[1:] != high[:-1]
         root = root.copy()
-        np.minimum.at(root, high[apart], low[apart])
+        root[high[first]] = low[first]
         while (root[root] != root).any():
             root = root[root]
 
 
-def _brute_force(groups: DataFrame, sample: DataFrame, threshold: float) -> DataFrame:
-    """``rep, links`` of the sampled representatives (at most AUDITED), counted against all rows."""
-    asked = sample.select("rep", "copies", "embedding", "cell").collect()
+def audited_recall(groups: DataFrame, links: DataFrame, threshold: float) -> float | None:
+    """Share of the links of AUDITED vectors, half of them with links where there are as many, that were found; None if they have none."""
+    order = F.xxhash64("rep")
+    linked = links.filter("links > 0").join(groups, "rep").select("rep", "copies", "embedding", "cell").orderBy(order).limit(AUDITED // 2)
+    sample = linked.unionByName(groups.select("rep", "copies", "embedding", "cell").orderBy(order).limit(AUDITED // 2)).dropDuplicates(["rep"])
+    asked = sample.collect()  # AUDITED vectors at most
+    truth = {r[0]: r[1] for r in _brute_force(groups, asked, threshold).collect()}
+    ids = groups.sparkSession.createDataFrame([(r[0],) for r in asked], "rep long")
+    got = {r[0]: r[1] for r in links.join(F.broadcast(ids), "rep").collect()}
+    wanted = sum(truth.values())
+    return sum(min(n, got.get(r, 0)) for r, n in truth.items()) / wanted if wanted else None
+
+
+def _brute_force(groups: DataFrame, asked: list, threshold: float) -> DataFrame:
+    """``rep, links`` of the asked vectors (at most AUDITED), counted against all rows."""
     ids, cells = np.array([r[0] for r in asked], np.int64), [r[3] for r in asked]
     by_cell = {c: (ids[[i for i, x in enumerate(cells) if x == c]], unit_rows(np.array([r[2] for r in asked if r[3] == c]))) for c in set(cells)}
 
@@ -294,3 +369,25 @@ def _brute_force(groups: DataFrame, sample: DataFrame, threshold: float) -> Data
                     yield pa.RecordBatch.from_arrays([pa.array(own), pa.array((near * some.column("copies").to_numpy()).sum(1))], ["rep", "links"])
 
     return groups.mapInArrow(count, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
+
+
+def all_pairs(groups: DataFrame, threshold: float, most: int) -> DataFrame:
+    """``rep, links, least`` from all pairs of each label, a block against a block in each task: the exact way, at quadratic cost."""
+    blocks = groups.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("blocks"))
+    rows = groups.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    over = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = rows.select("cell", "rep", "copies", "embedding", F.col("block").alias("i"), over.alias("j"), F.lit(True).alias("asks"))
+    right = rows.select("cell", "rep", "copies", "embedding", over.alias("i"), F.col("block").alias("j"), F.lit(False).alias("asks"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").to_numpy(zero_copy_only=False)
+        rep, copies, x = table.column("rep").to_numpy(), table.column("copies").to_numpy(), unit_rows(_matrix(table.column("embedding")))
+        left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
+        near = (x[left] @ x[right].T >= threshold) & (rep[left][:, None] != rep[right])
+        links = np.zeros(len(rep), np.int64)
+        links[left] = (near * copies[right]).sum(1)
+        a, b = np.nonzero(near)
+        root = unite(np.arange(len(rep)), left[a], right[b], rep)
+        return pa.table({"rep": rep, "links": links, "least": rep[root]})
+
+    return left.unionByName(right).groupBy("cell", "i", "j").applyInArrow(compare, "rep long, links long, least long")

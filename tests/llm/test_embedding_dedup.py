@@ -56,6 +56,29 @@ def test_large_near_copy_group_stays_whole(spark):
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == brute(rows)
 
 
+def test_tight_shard_counts_its_core_and_searches_the_rest_in_blocks(spark):
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=16)
+    unit = lambda v: v / np.linalg.norm(v)
+    rows = [(i, (unit(centre) + 0.012 * rng.normal(size=16)).tolist(), 1, 0, "") for i in range(400)]
+    rows += [(1000 + i, (unit(centre) + 0.05 * rng.normal(size=16)).tolist(), 1, 0, "") for i in range(120)]
+    rows += [(2000 + i, rows[i][1], 1, 0, "") for i in range(50)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    got = E.near_duplicates(frame, most=60).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == brute(rows)
+    shards = E.cluster_shards(frame.select(F.col("vec_id").alias("rep"), F.lit(1).cast("long").alias("copies"), F.col("embedding").cast("array<double>").alias("embedding"), F.lit("a").alias("cell")), 60)
+    assert shards.filter("core").count() > 300
+
+
+@pytest.mark.parametrize("most", [40, 1500])
+def test_a_poor_graph_is_noticed_and_the_result_still_right(spark, rows, most, monkeypatch):
+    monkeypatch.setattr(E, "robust_graph", lambda x, degree, candidates: [np.zeros(0, np.int64) for _ in x])
+    monkeypatch.setattr(E, "ENTRIES", 1)
+    got = E.near_duplicates(spark.createDataFrame(rows, SCHEMA), most=most).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == brute(rows)
+    assert {r.audit_recall for r in got} == {1.0}
+
+
 def test_blocks_name_cells_alike_in_any_order_of_pivots():
     rng = np.random.default_rng(2)
     heads, member = rng.normal(size=(6, 16)), rng.normal(size=(3, 16))
