@@ -31,6 +31,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 BLOCK = 256
 OUTPUT_SHARDS = 64
 SLOT_RUN = 8192
+ROWS_PER_CELL = 50_000
 WORD = r"[^\x20\x09-\x0D]+"
 _MASK = np.uint64(0xFFFFFFFF)
 
@@ -149,8 +150,9 @@ def mixture_slots(docs: DataFrame, block: int = BLOCK, shards: int = OUTPUT_SHAR
     slots: ``output_shard, position, source_no, block_no, words``: the blocks of every output shard in order.
     """
     spark = docs.sparkSession
-    cell = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1024)).cast("int")
-    docs = stored(docs.withColumn("cell", cell), "mix-sizes")
+    docs = stored(docs, "mix-sizes")
+    cells = max(64, -(-docs.count() // ROWS_PER_CELL))  # however many rows there are, a sort has so many
+    docs = docs.withColumn("cell", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", "again"), F.lit(cells)).cast("int"))
     cells = docs.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"))
     sums = cells.groupBy("source").agg(F.sum("cell_size").alias("n")).collect()  # one row per source
     sums.sort(key=lambda r: (r[0] is None, r[0] or ""))
@@ -230,7 +232,8 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
 
     A null source is a source of its own, last in the order of weights; an empty
     string is an ordinary one.  Documents without words are taken 0 times.  Repeated
-    rows are mixed each for itself.  An empty table gives no rows.
+    rows are mixed each for itself, in an order that their number decides.  Columns but these
+    three are not read, whatever their names.  An empty table gives no rows.
     """
     rows = docs.select("doc_id", "source", F.col("size").cast("long").alias("size"))
     pieces = _with_cuts(*mixture_slots(_numbered(rows), **options))
@@ -247,6 +250,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     where all are taken, else the taken words joined by one space (``n_chars``, where there
     is one, follows).  Documents of which nothing is taken don't come.  Rows that repeat
     ``doc_id``, ``source`` and number of words are mixed as one, and each comes as that one does.
+    Null texts have no words; long ones are cut into blocks like others; columns may have any
+    names; an empty table gives no rows.
     """
     names = by_bytes(docs).columns
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")

@@ -24,7 +24,7 @@ from probspark.llm.words import pieces, spans, text_bytes, word_hashes
 
 PASSAGE = 64
 SAMPLE_ROWS = 4000
-TRAINING_PASSAGES = 2000
+SAMPLE_BYTES = 32 << 20
 
 # Byte classes that a passage's features count.
 _CLASSES = [
@@ -162,43 +162,57 @@ def class_weights(labels: np.ndarray, counts: dict[int, int]) -> np.ndarray:
     return np.where(labels == 1, share[1], share[0])
 
 
-def _even(features: np.ndarray) -> np.ndarray:
-    """Passages of a training document: all, or evenly spread ones of a very long document."""
-    n = len(features)
-    return features if n <= TRAINING_PASSAGES else features[np.linspace(0, n - 1, TRAINING_PASSAGES).astype(int)]
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int, most_bytes: int, seed: int = 3) -> tuple[DataFrame | None, dict[int, int]]:
+    """(``doc_id, label, text`` of a bounded sample; rows of each class): at most ``rows`` documents and ``most_bytes`` of text.
 
-
-def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", rows: int = SAMPLE_ROWS) -> AttentionBag | None:
-    """The model learned from at most ``rows`` labelled documents; None where there are none.
-
-    The executors turn the sampled texts into passage features; only these come to the driver.
+    Documents come in the sample's hashed order, whole; one that doesn't fit into what is left of the bytes is passed over.
+    Of rows that repeat an id the smallest text counts, and a null text is empty.  None where there is nothing to learn from.
     """
-    sample, counts = labelled_sample(labels, label, learn, rows)
+    sample, counts = labelled_sample(labels, label, learn, rows, seed)
     if not counts:
+        return None, counts
+    text = F.coalesce("text", F.lit(""))
+    known = docs.select("doc_id", text.alias("text")).join(F.broadcast(sample), "doc_id")  # ``rows`` rows
+    sizes = known.select("doc_id", "label", F.octet_length("text").alias("bytes")).groupBy("doc_id", "label").agg(F.max("bytes").alias("bytes"))
+    left, taken = most_bytes, []
+    for r in sizes.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").collect():  # ``rows`` rows
+        if r["bytes"] <= left:
+            left -= r["bytes"]
+            taken.append((r["doc_id"], r["label"]))
+    if not taken:
+        return None, counts
+    chosen = docs.sparkSession.createDataFrame(taken, "doc_id long, label int")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(chosen), "doc_id")
+    return texts.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("text").alias("text")), counts
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> AttentionBag | None:
+    """The model learned from at most ``rows`` labelled documents of ``most_bytes`` in all; None where there are none.
+
+    The executors turn the sampled texts into passage features; only these (a fifth of the texts' bytes) come to the driver.
+    """
+    chosen, counts = labelled_texts(docs, labels, label, learn, rows, most_bytes)
+    if chosen is None:
         return None
-    # the sample has at most ``rows`` rows
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch):
                 x, bounds = passage_features(piece.column("text"))
-                bags = [_even(x[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                bags = [x[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id").cast(pa.int64()), piece.column("label"), pa.array(bags, pa.binary())], ["doc_id", "label", "bag"])
 
-    found = chosen.mapInArrow(features, "doc_id long, label int, bag binary").collect()
-    if not found:
-        return None
-    found.sort(key=lambda r: (r[0], bytes(r[2])))
+    found = chosen.mapInArrow(features, "doc_id long, label int, bag binary").collect()  # ``rows`` rows
+    found.sort(key=lambda r: r[0])
     bags = [np.frombuffer(r[2], np.float32).reshape(-1, FEATURES) for r in found]
     y = np.array([r[1] for r in found], float)
     return AttentionBag.start(np.concatenate(bags)).fit(bags, y, class_weights(y, counts))
 
 
-def score_quality(docs: DataFrame, model: AttentionBag | None) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1; 0.5 without a model).  Null and empty texts are scored as an empty passage."""
+def score_quality(docs: DataFrame, model: AttentionBag | None, name: str = "score") -> DataFrame:
+    """``docs`` with a column ``name`` (0 to 1; 0.5 without a model).  Null and empty texts are scored as an empty passage."""
     if model is None:
-        return docs.withColumn("score", F.lit(0.5))
+        return docs.withColumn(name, F.lit(0.5))
     names = docs.columns
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,16 +220,17 @@ def score_quality(docs: DataFrame, model: AttentionBag | None) -> DataFrame:
             for piece in pieces(batch):
                 x, bounds = passage_features(piece.column("text"))
                 y = model.forward(x, bounds)["y"]
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(y, pa.float64())], [*names, "score"])
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(y, pa.float64())], [*names, name])
 
-    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``docs`` (``doc_id, text`` and more) with a quality ``score`` for every row.
+def quality_scores(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", rows: int = SAMPLE_ROWS, name: str = "score") -> DataFrame:
+    """``docs`` (``doc_id, text`` and more) with a quality score ``name`` for every row, from every passage of its whole text.
 
-    ``learn`` is a condition on ``labels`` rows that may be learned from.  A column named ``score`` is replaced.
-    Repeated rows get equal scores; an empty table gives no rows.
+    ``learn`` is a condition on ``labels`` rows that may be learned from.  A column called ``name`` is replaced, others
+    stay whatever their names.  Repeated rows and equal texts get equal scores; a text is scored as a whole, however long;
+    an empty table gives no rows.
     """
-    docs = by_bytes(docs.drop("score"))
-    return score_quality(docs, fit_quality(docs, labels, learn, label, rows))
+    docs = by_bytes(docs.drop(name))
+    return score_quality(docs, fit_quality(docs, labels, learn, label, rows), name)

@@ -3,11 +3,11 @@
 1. Rows fall into origins by a hash of their key; origins are counted.
 2. The matrix of rows that go from each origin to each shard is drawn from the
    multivariate hypergeometric law, so its margins are the origins' counts and
-   the shards' sizes exactly.  It has one row per million input rows or so.
+   the shards' sizes exactly.  It has one row per 200000 input rows, ``MOST_ORIGINS`` at most.
 3. Each origin permutes its rows (a rank by a keyed hash) and deals them out by
    its row of the matrix.
-4. Each shard permutes what it got.  A shard is ranked in cells of its hash
-   range, with the cells' counts added up, so no task sorts a whole shard.
+4. Each shard permutes what it got.  Origins and shards are ranked in cells of
+   their hash range, with the cells' counts added up, so no task sorts a whole one.
 
 The main path is DataFrame functions only.
 """
@@ -22,6 +22,7 @@ from pyspark.sql.window import Window
 from probspark.llm.common import stored
 
 ROWS_PER_ORIGIN = 200_000
+MOST_ORIGINS = 4096
 
 
 def shuffle_into_shards(
@@ -37,31 +38,32 @@ def shuffle_into_shards(
     """
     rows = rows.drop("shard", "slot")
     number = rows.count()
-    origins = max(least_origins, -(-number // rows_per_origin))
+    origins = min(MOST_ORIGINS, max(least_origins, -(-number // rows_per_origin)))
     hash_of = lambda salt: F.xxhash64(F.lit(seed * 10 + salt), *keys)
     rows = rows.withColumn("__origin", F.pmod(hash_of(1), F.lit(origins)).cast("int"))
-    counts = dict(rows.groupBy("__origin").count().collect())  # one row per origin
+    counts = dict(rows.groupBy("__origin").count().collect())  # MOST_ORIGINS rows
     bounds = _matrix_bounds(rows.sparkSession, counts, number, shards, seed)
-    within = Window.partitionBy("__origin").orderBy(hash_of(2), *keys)
     dealt = (
-        rows.withColumn("__rank", F.row_number().over(within) - 1)
-        .join(F.broadcast(bounds), "__origin")
+        _ranked(rows, "__origin", hash_of(2), keys, -(-number // (origins * rows_per_origin)), "__rank")
+        .join(F.broadcast(bounds), "__origin")  # MOST_ORIGINS rows of one long per shard
         .withColumn("shard", F.size(F.filter("__bounds", lambda b: b <= F.col("__rank"))))
         .drop("__origin", "__rank", "__bounds")
     )
-    cells = max(1, origins // shards)
-    order = F.shiftrightunsigned(hash_of(3), 2)  # 62 bits, never negative
+    return _ranked(stored(dealt, "shards"), "shard", hash_of(3), keys, max(1, -(-number // (shards * rows_per_origin))), "slot")
+
+
+def _ranked(rows: DataFrame, part: str, order, keys: list[str], cells: int, name: str) -> DataFrame:
+    """``rows`` with their rank from 0 in each ``part``, by a hash: ranks of ``cells`` ranges of it, and the ranges' counts before."""
+    order = F.shiftrightunsigned(order, 2)  # 62 bits, never negative
+    if cells <= 1:
+        return rows.withColumn(name, (F.row_number().over(Window.partitionBy(part).orderBy(order, *keys)) - 1).cast("long"))
     cell = F.least(F.floor(order / F.lit(float(1 << 62)) * cells), F.lit(cells - 1)).cast("int")
-    dealt = stored(dealt.withColumn("__order", order).withColumn("__cell", cell), "shards")
-    before = Window.partitionBy("shard").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy("shard", "__cell").count().select("shard", "__cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
-    place = Window.partitionBy("shard", "__cell").orderBy("__order", *keys)
-    return (
-        dealt.withColumn("__place", F.row_number().over(place) - 1)
-        .join(starts, ["shard", "__cell"])
-        .withColumn("slot", (F.col("__start") + F.col("__place")).cast("long"))
-        .drop("__cell", "__order", "__place", "__start")
-    )
+    rows = rows.withColumn("__order", order).withColumn("__cell", cell)
+    before = Window.partitionBy(part).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(part, "__cell").count().select(part, "__cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
+    place = F.row_number().over(Window.partitionBy(part, "__cell").orderBy("__order", *keys)) - 1
+    ranked = rows.withColumn("__place", place).join(starts, [part, "__cell"])
+    return ranked.withColumn(name, (F.col("__start") + F.col("__place")).cast("long")).drop("__cell", "__order", "__place", "__start")
 
 
 def communication_matrix(origin_counts: list[int], shard_sizes: list[int], seed: int) -> np.ndarray:
@@ -79,18 +81,34 @@ def communication_matrix(origin_counts: list[int], shard_sizes: list[int], seed:
     return matrix
 
 
+NUMPY_LIMIT = 10**9
+
+
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, drawn: int) -> int:
-    """numpy's draw is limited to 10**9 rows; larger ones use the normal law with its exact mean and variance."""
+    """How many of ``drawn`` rows are good ones; beyond numpy's limit by the inverse of the exact law."""
     if drawn == 0 or good == 0:
         return 0
     if bad == 0:
         return min(drawn, good)
-    if max(good, bad) < 10**9:
+    if max(good, bad) < NUMPY_LIMIT:
         return int(rng.hypergeometric(good, bad, drawn))
+    return exact_draw(rng.random(), good, bad, drawn)
+
+
+def exact_draw(u: float, good: int, bad: int, drawn: int) -> int:
+    """The hypergeometric law's value at ``u``: ratios of its neighbouring terms, from 14 deviations below the mean to as many above.
+
+    What lies outside has less than 1e-40 of the mass, far below what a double tells apart.
+    """
     total = good + bad
     p = good / total
-    deviation = (drawn * p * (1 - p) * (total - drawn) / max(1, total - 1)) ** 0.5
-    return int(min(good, drawn, max(0, drawn - bad, round(rng.normal(drawn * p, deviation)))))
+    mean, deviation = drawn * p, (drawn * p * (1 - p) * (total - drawn) / max(1, total - 1)) ** 0.5
+    low, high = max(0, drawn - bad, int(mean - 14 * deviation) - 20), min(good, drawn, int(mean + 14 * deviation) + 20)
+    k = np.arange(low, high, dtype=np.float64)
+    ratios = np.log(good - k) + np.log(drawn - k) - np.log(k + 1) - np.log(bad - drawn + k + 1)
+    terms = np.concatenate(([0.0], np.cumsum(ratios)))
+    sums = np.cumsum(np.exp(terms - terms.max()))
+    return low + int(np.searchsorted(sums, u * sums[-1], side="right"))
 
 
 def _matrix_bounds(spark, counts: dict[int, int], number: int, shards: int, seed: int) -> DataFrame:

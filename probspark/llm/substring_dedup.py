@@ -14,7 +14,7 @@ would pass every shard.  Therefore
    stretches in order of ids, word by word; the length of the newest state's suffix link
    is the matching statistic against all earlier text of the shard, and where it
    reaches the window length the window goes.
-3. Windows that are first in their shard meet the other shards' by a 64-bit
+3. Windows that are first in their shard meet the other shards' by a 128-bit
    fingerprint, and all but the first go.  A shard sends each repeated window once, so
    a passage that a third of all documents share weighs one entry a shard.
 4. Every document gets its windows' places back and drops the maximal spans they cover.
@@ -34,14 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probspark.llm.common import by_bytes
-from probspark.llm.words import gram_hashes, mix, pieces, spans, text_bytes, word_hashes
+from probspark.llm.words import gram_hashes, mix, pieces, spans, text_bytes, word_checks, word_hashes
 
 WINDOW = 20
 GRAM = 5
 SHARD_BYTES = 2 << 20
 _NO_ID = -(1 << 63)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
-_PACKED = "bucket long, first binary, second binary, third binary"
+_PACKED = "bucket long, first binary, second binary, third binary, fourth binary"
 
 
 def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -86,8 +86,9 @@ class ShardWords:
         values = np.where(repeated[: len(self.grams)], self.grams, _TOP)
         return self.inside & (_sliding(values, self.width, np.minimum) == self.least)
 
-    def fingerprints(self) -> np.ndarray:
-        return gram_hashes(self.hashes, self.window)
+    def fingerprints(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent 64-bit hashes of every window: 128 bits tell any number of windows apart that a corpus holds."""
+        return gram_hashes(self.hashes, self.window), gram_hashes(word_checks(self.data, self.start, self.end), self.window)
 
 
 class SuffixAutomaton:
@@ -168,12 +169,12 @@ def _pack(bucket: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
     cuts = np.flatnonzero(np.diff(bucket, prepend=bucket[0] - 1)) if len(bucket) else np.zeros(0, np.int64)
     ends = np.append(cuts[1:], len(bucket)) if len(bucket) else cuts
     packed = [[c[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)] for c in (c[order] for c in columns)]
-    packed += [[None] * len(cuts)] * (3 - len(columns))
-    return pa.RecordBatch.from_arrays([pa.array(bucket[cuts], pa.int64()), *(pa.array(c, pa.binary()) for c in packed)], ["bucket", "first", "second", "third"])
+    packed += [[None] * len(cuts)] * (4 - len(columns))
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cuts], pa.int64()), *(pa.array(c, pa.binary()) for c in packed)], ["bucket", "first", "second", "third", "fourth"])
 
 
 def _unpack(table: pa.Table, *kinds) -> list[np.ndarray]:
-    return [np.frombuffer(b"".join(table.column(i + 1).to_pylist()), k) for i, k in enumerate(kinds)]
+    return [np.frombuffer(b"".join(x for x in table.column(i + 1).to_pylist() if x is not None), k) for i, k in enumerate(kinds)]
 
 
 def _reply(ids: np.ndarray, places: np.ndarray, buckets: int) -> pa.RecordBatch:
@@ -187,11 +188,12 @@ def _meeting(first_too: bool, buckets: int):
     def meet(table: pa.Table) -> pa.Table:
         if table.column("bucket")[0].as_py() < 0:
             return table
-        keys, ids, places = _unpack(table, np.uint64, np.int64, np.int32)
-        order = np.lexsort((places, ids, keys))
-        keys, ids, places = keys[order], ids[order], places[order]
+        keys, ids, places, checks = _unpack(table, np.uint64, np.int64, np.int32, np.uint64)
+        checks = checks if len(checks) else np.zeros(len(keys), np.uint64)
+        order = np.lexsort((places, ids, checks, keys))
+        keys, ids, places, checks = keys[order], ids[order], places[order], checks[order]
         same = np.zeros(len(keys), bool)
-        same[1:] = keys[1:] == keys[:-1]
+        same[1:] = (keys[1:] == keys[:-1]) & (checks[1:] == checks[:-1])
         if first_too:
             same[:-1] |= same[1:]
         else:  # rows that repeat the first entry's id and place are that entry again
@@ -241,7 +243,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
 
     ``kept_text`` holds the kept words joined by one space.  Null and empty texts have no
     words.  Null ids come before all others.  ``doc_id`` names a document: rows that repeat
-    it repeat its text and don't remove each other's words.  An empty table gives no rows.
+    it repeat its text and don't remove each other's words.  Columns but these two are not
+    read, whatever their names.  A text of any length is one document of one shard.  An empty
+    table gives no rows.
     """
     docs = by_bytes(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = 1 + (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // shard_bytes
@@ -264,7 +268,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
 
     def windows(texts: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(texts) or not len(replies):
-            return pa.Table.from_batches([_pack(np.zeros(0, np.int64), *[np.zeros(0)] * 3)])
+            return pa.Table.from_batches([_pack(np.zeros(0, np.int64), *[np.zeros(0)] * 4)])
         texts = _sorted(texts)
         ids = _ids(texts.column("doc_id"))
         words = ShardWords(_texts(texts), window, gram)
@@ -275,10 +279,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
         gone = repeats_in_shard(words, candidate)
         first = np.flatnonzero(candidate & ~gone)
         gone = np.flatnonzero(gone)
-        keys = words.fingerprints()[first]
+        keys, checks = (f[first] for f in words.fingerprints())
         return pa.Table.from_batches([
             _reply(ids[words.row[gone]], words.place[gone], buckets),
-            _pack((keys % np.uint64(buckets)).astype(np.int64), keys, ids[words.row[first]], words.place[first].astype(np.int32)),
+            _pack((keys % np.uint64(buckets)).astype(np.int64), keys, ids[words.row[first]], words.place[first].astype(np.int32), checks),
         ])
 
     texts = _compressed(docs, buckets)

@@ -8,6 +8,10 @@ its n-grams.  A document is as toxic as its most toxic passage: in training, pas
 of a non-toxic document are all non-toxic, and a toxic document's label goes to its
 passages in proportion to a softmax of their logits that sharpens with time.
 
+Only subwords that ``LEAST_TOXIC`` toxic documents of the sample hold, at ``LEAST_LIFT`` times
+the base rate or more, have vectors: a model over all of them learns its sample by heart.
+Others weigh nothing, but count in the average.
+
 With two classes a subword acts through one number, the product of its vector and the
 difference of the class vectors, and so does its gradient; both are computed over
 distinct words.
@@ -25,16 +29,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from probspark.llm.common import by_bytes
-from probspark.llm.quality import class_weights, labelled_sample
+from probspark.llm.quality import class_weights, labelled_texts
 from probspark.llm.words import _BYTE_VALUES, LOWER, mix, pieces, spans, text_bytes, word_hashes
 
 PASSAGE = 8
 GRAMS = (3, 4, 5, 6)
 BUCKETS = 1 << 17
 DIM = 8
-SAMPLE_ROWS = 3000
+SAMPLE_ROWS = 4000
+SAMPLE_BYTES = 16 << 20
 WORDS_AT_ONCE = 20_000
-TRAINING_BYTES = 1 << 20
+LEAST_TOXIC = 4  # toxic documents of the sample that a subword must occur in
+LEAST_LIFT = 2.0  # their share among its documents, in base rates
 
 
 def word_subwords(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,11 +110,38 @@ class Passages:
     def sizes(self) -> np.ndarray:
         return np.maximum(1, _runs(np.diff(self.word_bounds)[self.words], self.passage_bounds))
 
-    def spread(self, of_passage: np.ndarray) -> np.ndarray:
+    def telling(self, labels: np.ndarray) -> np.ndarray:
+        """Mask of the subwords that tell toxic documents (label 1) from others, by the documents that hold them."""
+        document = np.repeat(np.repeat(np.arange(len(labels)), np.diff(self.document_bounds)), np.diff(self.passage_bounds))
+        distinct = np.unique(document * (len(self.word_bounds) - 1) + self.words) if len(self.words) else np.zeros(0, np.int64)
+        document, word = np.divmod(distinct, max(1, len(self.word_bounds) - 1))
+        held, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
+        cuts = np.searchsorted(document, np.arange(len(labels) + 1))
+        for i, label in enumerate(labels):  # one document's subwords at a time
+            own = word[cuts[i] : cuts[i + 1]]
+            n = self.word_bounds[own + 1] - self.word_bounds[own]
+            at = np.repeat(self.word_bounds[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            b = np.unique(self.buckets[at])
+            held[b] += 1
+            toxic[b] += label
+        return (toxic >= LEAST_TOXIC) & (toxic >= LEAST_LIFT * labels.mean() * held)
+
+    def only(self, chosen: np.ndarray) -> Passages:
+        """The same passages with the chosen subwords only, and with the words that hold some."""
+        keep = chosen[self.buckets]
+        kept = np.concatenate(([0], np.cumsum(keep)))[self.word_bounds]
+        some = np.flatnonzero(np.diff(kept) > 0)
+        number = np.full(len(self.word_bounds), -1, np.int64)
+        number[some] = np.arange(len(some))
+        place = number[self.words] >= 0
+        before = np.concatenate(([0], np.cumsum(place)))[self.passage_bounds]
+        return Passages(self.buckets[keep], np.append(kept[some], keep.sum()), number[self.words][place], before, self.document_bounds)
+
+    def spread(self, of_passage: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
         """The transpose of ``sums``: per bucket the sum of its passages' values."""
         by_place = np.repeat(of_passage, np.diff(self.passage_bounds))
         by_word = np.bincount(self.words, by_place, len(self.word_bounds) - 1)
-        return np.bincount(self.buckets, np.repeat(by_word, np.diff(self.word_bounds)), BUCKETS)
+        return np.bincount(self.buckets, np.repeat(by_word, np.diff(self.word_bounds)), buckets)
 
 
 def _runs(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -133,9 +166,12 @@ class SubwordSoftmax:
     def fit(texts: pa.Array, labels: np.ndarray, weights: np.ndarray, steps: int = 200, rate: float = 5.0, decay: float = 1e-6, seed: int = 8) -> SubwordSoftmax:
         rng = np.random.default_rng(seed)
         bags = Passages.of(texts)
-        model = SubwordSoftmax(rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.5, (2, DIM)), np.zeros(2))
+        size, telling = bags.sizes(), bags.telling(labels)
+        bags = bags.only(telling)
+        bags.buckets = (np.cumsum(telling) - 1)[bags.buckets]  # numbers among the telling ones
+        model = SubwordSoftmax(rng.normal(0, 0.1, (int(telling.sum()), DIM)), rng.normal(0, 0.5, (2, DIM)), np.zeros(2))
         first, count = bags.document_bounds[:-1], np.diff(bags.document_bounds)
-        size, y = bags.sizes(), np.repeat(labels, count)
+        y = np.repeat(labels, count)
         m, v = [0.0] * 3, [0.0] * 3
         for step in range(1, steps + 1):
             difference = model.classes[1] - model.classes[0]
@@ -147,54 +183,36 @@ class SubwordSoftmax:
             # half of a clean document's weight is spread evenly, half goes where the model errs most
             share = np.where(y == 1, share, 0.5 * share + 0.5 / np.repeat(count, count))
             error = share * np.repeat(weights, count) * (p - y) / len(labels)
-            by_bucket = bags.spread(error / size)
+            by_bucket = bags.spread(error / size, len(model.vectors))
             grads = [by_bucket[:, None] * difference, np.outer([-1.0, 1.0], by_bucket @ model.vectors), np.array([-1.0, 1.0]) * error.sum()]
             for k, (value, g) in enumerate(zip((model.vectors, model.classes, model.bias), grads, strict=True)):
                 m[k] = 0.9 * m[k] + 0.1 * g
                 # one step size for each array, so frequent subwords move most
                 v[k] = 0.99 * v[k] + 0.01 * float((g * g).sum())
                 value -= rate * (1 - 0.9 * step / steps) * (m[k] / (1 - 0.9**step) / ((v[k] / (1 - 0.99**step)) ** 0.5 + 1e-12) + decay * value)
-        return model
-
-
-def _training_text(text: bytes) -> bytes:
-    """A training document's text: all of it, or evenly spread stretches of a very long one."""
-    if len(text) <= TRAINING_BYTES:
-        return text
-    words = text.split()
-    runs = [words[i : i + PASSAGE] for i in range(0, len(words), PASSAGE)]
-    keep = np.linspace(0, len(runs) - 1, max(1, int(len(runs) * TRAINING_BYTES / len(text)))).astype(int)
-    return b" ".join(b" ".join(runs[i]) for i in keep)
-
+        vectors = np.zeros((BUCKETS, DIM))
+        vectors[telling] = model.vectors
+        return SubwordSoftmax(vectors, model.classes, model.bias)
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", rows: int = SAMPLE_ROWS) -> SubwordSoftmax | None:
-    """The model learned from at most ``rows`` labelled documents; None where there are none."""
-    sample, counts = labelled_sample(labels, label, learn, rows, seed=4)
-    if not counts:
-        return None
-    # the sample has at most ``rows`` rows
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-
-    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in pieces(batch):
-                texts = [_training_text((t or "").encode()) for t in piece.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id").cast(pa.int64()), piece.column("label"), pa.array(texts, pa.binary())], ["doc_id", "label", "text"])
 
-    found = chosen.mapInArrow(shorten, "doc_id long, label int, text binary").collect()
-    if not found:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> SubwordSoftmax | None:
+    """The model learned from at most ``rows`` labelled documents, whole, of ``most_bytes`` in all; None where there are none."""
+    chosen, counts = labelled_texts(docs, labels, label, learn, rows, most_bytes, seed=4)
+    if chosen is None:
         return None
-    found.sort(key=lambda r: (r[0], bytes(r[2])))
+    found = sorted(chosen.select("doc_id", "label", "text").collect(), key=lambda r: r[0])  # ``most_bytes`` of text
     y = np.array([r[1] for r in found], float)
-    return SubwordSoftmax.fit(pa.array([bytes(r[2]) for r in found], pa.large_binary()), y, class_weights(y, counts))
+    return SubwordSoftmax.fit(pa.array([r[2] for r in found], pa.large_string()), y, class_weights(y, counts))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", rows: int = SAMPLE_ROWS) -> DataFrame:
     """``docs`` (``doc_id, text`` and more) with a toxicity ``score`` (0 to 1; 0.5 without labelled rows).
 
     ``learn`` is a condition on ``labels`` rows that may be learned from.  Null and empty
-    texts score as a passage without subwords.  A column named ``score`` is replaced.
-    Repeated rows get equal scores; an empty table gives no rows.
+    texts score as a passage without subwords.  A column named ``score`` is replaced, others
+    stay whatever their names.  Every passage of a text counts, however long it is: longer
+    texts have more passages that may be taken for toxic.  Repeated rows and equal texts get
+    equal scores; an empty table gives no rows.
     """
     docs = by_bytes(docs.drop("score"))
     model = fit_toxicity(docs, labels, learn, label, rows)
