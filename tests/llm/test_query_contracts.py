@@ -60,7 +60,7 @@ def sf(spark, texts, tmp_path_factory):
 @pytest.mark.parametrize("name,parts,part,least", [("op1_quality", 4, 2, 0.7), ("op4_toxicity", 5, 0, 0.5)])
 def test_scores(spark, sf, name, parts, part, least):
     rows = Q.QUERIES[name](spark, sf[0]).collect()
-    assert Counter(r.doc_id for r in rows) == Counter(sf[1])
+    assert Counter(r.doc_id for r in rows) == Counter(list(sf[1]))
     by_text = defaultdict(set)
     for r in rows:
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % parts == part)
