@@ -117,9 +117,9 @@ def p17(features):
 
 
 @query("p20_name_filters", "part", keep="p_partkey p_name", sql="""
-    SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '[aeiou]') AND contains(lower(p_name), 'a') ORDER BY p_name, p_partkey LIMIT 100""")
+    SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '[aeiou]') AND contains(lower(p_name), 'a')""")
 def p20(part):
-    return part.filter(F.col("p_name").rlike("[aeiou]") & F.lower("p_name").contains("a")).orderBy("p_name", "p_partkey").limit(100)
+    return part.filter(F.col("p_name").rlike("[aeiou]") & F.lower("p_name").contains("a"))
 
 
 @query("a36_state_counts", "flows", keep="direction n", sql="SELECT direction, count(*) AS n FROM flows GROUP BY direction")
