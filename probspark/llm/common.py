@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,17 +30,37 @@ def by_bytes(docs: DataFrame) -> DataFrame:
     return docs
 
 
+_within: ContextVar[str] = ContextVar("within", default="")
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark).rstrip('/')}/{_within.get()}{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again: later jobs start from the table, not from its lineage."""
-    path = fresh_path(df.sparkSession, name)
+    path = path or fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder of ``fresh_path``, on whatever file system it is; one that isn't there is no error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def finished(spark: SparkSession, rows: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``rows()`` as a stored table; the tables stored on the way to it are removed, whether it succeeds or not."""
+    path, folder = fresh_path(spark, name), fresh_path(spark, f"{name}-parts")
+    before = _within.set(f"{_within.get()}{folder.rsplit('/', 1)[1]}/")
+    try:
+        return stored(rows(), name, path)
+    finally:
+        _within.reset(before)
+        remove(spark, folder)
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-cases A-Z only; other letters stay as they are."""
     return F.translate(text, _UPPER, _LOWER)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probspark.llm.common import stored
+from probspark.llm.common import fresh_path, remove, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,12 +14,15 @@ def components(edges: DataFrame) -> DataFrame:
     Every round aggregates each node's smallest neighbour (partial sums before the
     shuffle) and hangs its other neighbours there; edges end as stars after a number
     of rounds that grows with the logarithm of the longest path.  Rounds are stored,
-    so a lost executor repeats one round at most.  Loops and repeated edges are allowed.
+    so a lost executor repeats one round at most, and a round's table goes when the
+    next one is written.  Loops and repeated edges are allowed.
     """
+    spark = edges.sparkSession
     a, b = edges.columns
     edges = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     nodes = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
-    stars = stored(edges.filter("u <> v").distinct(), "edges")
+    path = fresh_path(spark, "edges")
+    stars = stored(edges.filter("u <> v").distinct(), "edges", path)
     before = None
     while (now := _fingerprint(stars)) != before and now[0]:
         before = now
@@ -29,7 +32,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.union(stars.join(least, "u").select("u", F.col("m").alias("v"))).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.greatest("v", "m").alias("u"), "m").union(least)
-        stars = stored(small.toDF("u", "v").filter("u <> v").distinct(), "edges")
+        done, path = path, fresh_path(spark, "edges")
+        stars = stored(small.toDF("u", "v").filter("u <> v").distinct(), "edges", path)
+        remove(spark, done)
     return nodes.join(stars.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")), "node", "left").select(
         "node", F.coalesce("m", "node").alias("component_id")
     )
