@@ -94,6 +94,27 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from probspark.llm.alignment import align_tokenizers
+
+    rows, _ = align_tokenizers(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+    return rows
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from probspark.llm.token_files import read_token_files, write_token_files
+
+    folder = fresh_path(spark, "token-files")
+    write_token_files(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), folder)
+    return read_token_files(spark, folder)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from probspark.llm.divergence import source_divergence
+
+    return source_divergence(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -105,6 +126,9 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,
+    "op11_alignment": op11_alignment,
+    "op12_token_files": op12_token_files,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLE_SQL = {
@@ -115,4 +139,31 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(norm) AS text_sha256
         FROM t WINDOW same AS (PARTITION BY norm)""",
+    "op13_source_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
+            FROM documents),
+        t AS (SELECT r, lang, source, unnest(regexp_extract_all(norm, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+        v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+        n AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+        g AS (
+            SELECT lang, source, coalesce(v, 0) AS v, coalesce(total, 0) AS total
+            FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN v USING (lang)
+            LEFT JOIN (SELECT lang, source, sum(n) AS total FROM n GROUP BY lang, source) USING (lang, source)),
+        p AS (
+            SELECT lang, source, term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 5)) // (total + 5 * v) AS p
+            FROM g JOIN kept USING (lang) LEFT JOIN n USING (lang, source, term)),
+        q AS (
+            SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 5)) // (sum(sum(n)) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang)) AS q
+            FROM n GROUP BY lang, term),
+        sums AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS f FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+        rows AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0) AS f
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+            UNION ALL SELECT lang, source, 'term', term, p - q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, f::BIGINT AS value, rank::INTEGER AS rank
+        FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY f DESC, encode(item)) AS rank FROM rows)
+        WHERE part = 'pair' OR rank <= 50""",
 }

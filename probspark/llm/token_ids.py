@@ -18,7 +18,7 @@ import pyarrow as pa
 from probspark.llm.words import IS_SPACE, LOWER, spans, text_bytes, word_checks, word_hashes
 
 #: White space outside ASCII, in UTF-8; fixed values.
-_WIDE_SPACE = rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
+WIDE_SPACE = rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
 #: A sign that is one token of its own; it stands between words that are encoded together.
 _MARK = "\u2665"
 CACHED_CHUNKS = 1_500_000
@@ -41,7 +41,7 @@ class ChunkEncoder:
         self.keep_space, self.cached = keep_space, cached
         tokens = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         tokens += [] if keep_space else [_MARK.encode()]
-        self.apart = re.compile(b"|".join([_WIDE_SPACE, *map(re.escape, tokens)]))
+        self.apart = re.compile(b"|".join([WIDE_SPACE, *map(re.escape, tokens)]))
         if keep_space:
             size = self.tokenizer.get_vocab_size()
             self.bytes_of = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
