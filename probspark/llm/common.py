@@ -37,10 +37,10 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{_within.get()}{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, path: str | None = None, compression: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again: later jobs start from the table, not from its lineage."""
     path = path or fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probspark.llm.common import by_bytes, stored
+from probspark.llm.common import by_bytes, fresh_path, remove, stored
 from probspark.llm.token_ids import encoder
 from probspark.llm.words import pieces
 
@@ -114,7 +114,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
     """
     spark, kind = docs.sparkSession, id_type(tokenizer_path, end_id)
     width = int(kind[2])
-    rows = stored(encoded(docs, tokenizer_path, end_id), "encoded-documents")
+    kept = fresh_path(spark, "encoded-documents")
+    rows = stored(encoded(docs, tokenizer_path, end_id), "encoded-documents", kept, "zstd")
     if parts is None:
         total = rows.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
         parts = max(spark.sparkContext.defaultParallelism, -(-total // PART_BYTES))
@@ -122,7 +123,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
     system.create_dir(root, recursive=True)
     ordered = rows.repartitionByRange(parts, "doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row")
     made = ordered.select("doc_id", "ids").mapInArrow(_writer(folder, width), "part long, documents long, nulls long, ids long").collect()  # a row per file
-    made = sorted((r for r in made), key=lambda r: r.part)
+    remove(spark, kept)
+    made = sorted(made, key=lambda r: r.part)
     bases = np.cumsum([0, *(r.ids for r in made)], dtype="<u8")
     about = {
         "ids": kind, "end_id": end_id, "parts": [r.part for r in made], "documents": [r.documents for r in made],
