@@ -121,6 +121,28 @@ class Ridge:
         return pd.DataFrame(out, columns=["seq", "source_id", "weight"])
 
 
+class ExpertWeights:
+    """Weights by losses so far: ``ewa`` by an exponential of the total, ``poly`` by the mean, both against the best of the step."""
+
+    def __init__(self, kind: str, eta: float = 2.0):
+        self.kind, self.eta, self.losses = kind, eta, {}
+
+    def __call__(self, rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for seq, part in rows.groupby("seq", sort=False):
+            for s, x, y in zip(part.source_id, part.prediction, part.actual, strict=True):
+                total, n = self.losses.get(s, (0.0, 0))
+                self.losses[s] = (total + (x - y) ** 2, n + 1)
+            so_far = np.array([self.losses[s] for s in part.source_id])
+            if self.kind == "ewa":
+                raw = np.exp(-self.eta * (so_far[:, 0] - so_far[:, 0].min()))
+            else:
+                mean = so_far[:, 0] / so_far[:, 1]
+                raw = 1 / (1 + self.eta * (mean - mean.min()))
+            out += [(seq, s, w) for s, w in zip(part.source_id, raw / raw.sum(), strict=True)]
+        return pd.DataFrame(out, columns=["seq", "source_id", "weight"])
+
+
 def online_stacking(forecasts: DataFrame, eta: float = 0.1, mixing: float = 0.01) -> DataFrame:
     """Weights after each step: ``stream_id, seq, source_id, weight`` for ``stream_id, seq, source_id, prediction, actual``."""
     return by_stream(forecasts.select("stream_id", "seq", "source_id", "prediction", "actual"), ["stream_id"], ["seq", "source_id"], lambda: Stacking(eta, mixing), WEIGHTS)

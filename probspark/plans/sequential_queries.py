@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from probspark.operators import models as M
 from probspark.operators import online as O
@@ -13,6 +14,7 @@ from probspark.plans.registry import ORACLE_SQL, QUERIES, query
 from probspark.sources.inputs import load
 from probspark.sources.stored import fresh_path
 from probspark.streaming import monitors as S
+from probspark.streaming import ordered as Ordered
 
 
 def g9_margin_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,8 +120,8 @@ PARTS = 4
 LATE = "20 days"
 
 
-def staged_events(spark: SparkSession, sf_dir: str) -> tuple[str, object]:
-    """(folder, schema): the events as files of a week and more, a tenth of the rows a file late, and a tenth coming again."""
+def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with the file they come in (``part``): a week and more a file, a tenth of the rows a file late, a tenth coming twice."""
     events = load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     first = events.agg(F.min("ts").alias("t0"), F.max("ts").alias("t1")).first()
     width = max(1.0, (first.t1 - first.t0).total_seconds() / PARTS + 1) if first.t0 else 1.0
@@ -127,8 +129,23 @@ def staged_events(spark: SparkSession, sf_dir: str) -> tuple[str, object]:
     number = F.col("event_id") % 10
     late = F.least(part + F.when(number == 3, 1).otherwise(0), F.lit(PARTS - 1))
     parts = F.when(number == 7, F.array(late, F.least(late + 1, F.lit(PARTS - 1)))).otherwise(F.array(late))
-    rows = events.withColumn("part", F.explode(parts)).withColumn("part", F.col("part").cast("int"))
-    return S.stage_files(rows, "part", PARTS, fresh_path(spark, "events")), events.schema
+    return events.withColumn("part", F.explode(parts)).withColumn("part", F.col("part").cast("int"))
+
+
+def staged_events(spark: SparkSession, sf_dir: str) -> tuple[str, object]:
+    """(folder, schema) of the arrivals as files."""
+    rows = _arrivals(spark, sf_dir)
+    return S.stage_files(rows, "part", PARTS, fresh_path(spark, "events")), rows.drop("part").schema
+
+
+def read_twice(spark: SparkSession, rows: DataFrame, name: str, stream) -> object:
+    """``stream(folder, schema)`` run over the first two files of ``rows``, and again when the others have come."""
+    path, made = fresh_path(spark, name), None
+    for first in (0, 2):
+        S.stage_files(rows.filter(F.col("part").between(first, first + 1)).withColumn("part", F.col("part") - first), "part", 2, path)
+        made = made or stream(path, rows.drop("part").schema)
+        made.run()
+    return made
 
 
 def x1_snapshot_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +157,9 @@ def x1_snapshot_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def x2_stream_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.deltas_to_previous(spark, *staged_events(spark, sf_dir), LATE).withColumn("delta", F.round("delta", 6))
+    rows = _arrivals(spark, sf_dir).select("user_id", "event_id", "ts", "value", "part")
+    stream = lambda path, schema: Ordered.OrderedStream(spark, path, schema, ["user_id"], "ts", ["event_id"], LATE, Ordered.Deltas, "event_id long, delta double", "deltas")
+    return read_twice(spark, rows, "events", stream).result().withColumn("delta", F.round("delta", 6))
 
 
 def x3_stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,23 +168,89 @@ def x3_stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def x4_stream_learner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.conformal_on_stream(spark, *staged_events(spark, sf_dir), LATE)
+    """The adaptive conformal learner of each user, predicting and then learning from every event in order, on all scores so far."""
+    rows = _arrivals(spark, sf_dir).select("user_id", "event_id", "ts", "value", "part")
+    learner = lambda: Ordered.Conformal(O.AdaptiveConformal)
+    stream = lambda path, schema: Ordered.OrderedStream(spark, path, schema, ["user_id"], "ts", ["event_id"], LATE, learner, "event_id long, threshold double, miss int, alpha double", "learner")
+    return read_twice(spark, rows, "events", stream).result()
+
+
+def all_learners() -> Ordered.Several:
+    """Every learner of forecasts, as the batch operators run them."""
+    return Ordered.Several({"stacking": O.Stacking(0.1, 0.01), "ridge": O.Ridge(1.0), **expert_weights().weights}, {"conformal": O.AdaptiveConformal, "aggregated": O.AggregatedConformal})
+
+
+def expert_weights() -> Ordered.Several:
+    return Ordered.Several({"ewa": O.ExpertWeights("ewa"), "poly": O.ExpertWeights("poly")}, {})
+
+
+def forecasts_on_stream(spark: SparkSession, sf_dir: str, learner) -> DataFrame:
+    """The learners of each user's forecasts, on forecasts that come as files, late and twice."""
+    keys = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    steps = load(spark, sf_dir, "events").withColumn("seq", F.row_number().over(keys).cast("long")).select(F.col("user_id").alias("stream_id"), "seq", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    rows = load(spark, sf_dir, "forecasts").join(steps, ["stream_id", "seq"]).join(_arrivals(spark, sf_dir).select("event_id", "part"), "event_id")
+    rows = rows.select("stream_id", "seq", "source_id", "prediction", "actual", "ts", "part")
+    stream = lambda path, schema: Ordered.OrderedStream(spark, path, schema, ["stream_id"], "ts", ["seq", "source_id"], LATE, learner, Ordered.LEARNED, "learners")
+    return read_twice(spark, rows, "forecasts", stream).result()
+
+
+def x4_stream_learners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six learners of each user's forecasts on one stream: weights of sources, thresholds of each source."""
+    return forecasts_on_stream(spark, sf_dir, all_learners)
+
+
+def x4_stream_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two weights by losses so far, on the stream of forecasts."""
+    rows = forecasts_on_stream(spark, sf_dir, expert_weights)
+    return rows.select("stream_id", "seq", "source_id", "learner", (F.floor(F.col("value") * 1e6 + 0.5) / 1e6).alias("weight"))
+
+
+X5_LATE = "6 days"
+
+
+def _days(spark: SparkSession, sf_dir: str) -> S.BoundedDays:
+    rows = _arrivals(spark, sf_dir)
+    stream = lambda path, schema: _Days(S.BoundedDays(spark, schema, "ts", "event_type", "event_id", "value", X5_LATE), path)
+    return read_twice(spark, rows, "events", stream).days
+
+
+class _Days:
+    def __init__(self, days: S.BoundedDays, path: str):
+        self.days, self.path = days, path
+
+    def run(self) -> None:
+        self.days.run(self.path)
 
 
 def x5_stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, schema = staged_events(spark, sf_dir)
-    counts = S.window_counts(spark, S.read_files(spark, path, schema), "ts", "event_type", "event_id", "1 day", LATE)
-    return counts.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 3).alias("total"))
+    """Counts per day and type of the rows that came in time; every row behind the boundary is in the count of late rows of its day."""
+    days = _days(spark, sf_dir)
+    late = days.late_rows().groupBy("day", "event_type").agg(F.count(F.lit(1)).alias("late"))
+    return days.counts().join(late, ["day", "event_type"], "full").select(
+        F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", F.coalesce("n", F.lit(0)).alias("n"), F.round("total", 3).alias("total"), F.coalesce("late", F.lit(0)).alias("late")
+    )
 
 
 QUERIES.update({f.__name__: f for f in (
     g9_margin_removal, g11_online_stacking, g12_ridge_stacking, g13_adaptive_conformal, g14_aggregated_conformal, m1_boosted_trees, m2_walk_forward, m3_score_latest, m4_look_back,
-    x1_snapshot_monitor, x2_stream_deltas, x3_stream_history, x4_stream_learner, x5_stream_windows,
+    x1_snapshot_monitor, x2_stream_deltas, x3_stream_history, x4_stream_learner, x4_stream_learners, x4_stream_weights, x5_stream_windows,
 )})
 ORACLE_SQL.update({
     "x1_snapshot_monitor": """WITH p AS (SELECT p_brand AS entity, CAST(date_trunc('month', l_shipdate) AS DATE) AS dt, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS amount FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)
         SELECT entity, dt, row_number() OVER (PARTITION BY dt ORDER BY amount DESC, entity) AS rank, round((rank() OVER (PARTITION BY dt ORDER BY amount) + (count(*) OVER (PARTITION BY dt, amount) - 1) / 2.0) / count(*) OVER (PARTITION BY dt), 6) AS rank_pct FROM p""",
     "x2_stream_deltas": "SELECT user_id, event_id, round(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 6) AS delta FROM events",
     "x3_stream_history": "SELECT event_id, user_id, event_type FROM events",
-    "x5_stream_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2",
+    "x4_stream_weights": " UNION ALL ".join(
+        f"SELECT stream_id, seq, source_id, '{name}' AS learner, weight FROM ({sql}) AS {name}" for name, sql in ((n, ORACLE_SQL[q]) for n, q in (("ewa", "w17_ewa_weights"), ("poly", "w18_poly_weights")))
+    ),
+    "x5_stream_windows": f"""WITH bounds AS (SELECT min(ts) AS t0, greatest(1.0e0, epoch(max(ts)) - epoch(min(ts))) / {PARTS} + 1 AS width FROM events),
+        e AS (SELECT events.*, least(CAST(floor((floor(epoch(ts)) - floor(epoch(t0))) / width) AS INT) + CASE WHEN event_id % 10 = 3 THEN 1 ELSE 0 END, {PARTS - 1}) AS part FROM events, bounds),
+        a AS (SELECT * FROM e UNION ALL SELECT * REPLACE (least(part + 1, {PARTS - 1}) AS part) FROM e WHERE event_id % 10 = 7),
+        seen AS (SELECT p.part, (SELECT max(ts) FROM a b WHERE b.part < p.part) - INTERVAL {X5_LATE} AS boundary FROM (SELECT DISTINCT part FROM a) p),
+        s AS (SELECT a.*, boundary IS NOT NULL AND ts < boundary AS is_late FROM a JOIN seen ON a.part = seen.part),
+        once AS (SELECT DISTINCT event_id, CAST(ts AS DATE) AS day, event_type, value FROM s WHERE NOT is_late),
+        n AS (SELECT day, event_type, count(*) AS n, sum(value) AS total FROM once GROUP BY 1, 2),
+        l AS (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS late FROM s WHERE is_late GROUP BY 1, 2)
+        SELECT strftime(coalesce(n.day, l.day), '%Y-%m-%d') AS day, coalesce(n.event_type, l.event_type) AS event_type, coalesce(n, 0) AS n, round(total, 3) AS total, coalesce(late, 0) AS late
+        FROM n FULL JOIN l ON n.day = l.day AND n.event_type = l.event_type""",
 })

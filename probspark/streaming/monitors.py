@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -52,17 +50,75 @@ def latest_per_key(batches: DataFrame, key: list[str]) -> DataFrame:
     return batches.withColumn("__n", last).filter("__n = 1").drop("__n", "batch")
 
 
-def window_counts(spark: SparkSession, stream: DataFrame, time: str, by: str, key: str, width: str, late: str) -> DataFrame:
-    """Rows and sums of ``value`` per window and ``by``; rows later than ``late`` aren't counted, repeats of ``key`` once.
+class BoundedDays:
+    """Counts per day and group of a stream of which rows may come late, by a boundary ``late`` behind the newest row of earlier batches.
 
-    Updates of a window are written with their batch, and the last one counts.
+    Rows behind the boundary go to a side table and are counted nowhere else.  A day that the boundary has passed is counted
+    once and stored; days that may still get rows, the last one among them, are counted anew from their rows
+    whenever they are asked for, and never stored.  A row of one ``key`` counts once.
     """
-    at = fresh_path(spark, "windows")
-    once = stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
-    counts = once.groupBy(F.window(time, width), by).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
-    rows = counts.select(F.col("window.start").alias("start"), by, "n", "total")
-    run_available(rows, appender(at), "update", at)
-    return latest_per_key(written(spark, at, f"start timestamp, {by} string, n long, total double, batch int"), ["start", by])
+
+    def __init__(self, spark: SparkSession, schema: StructType, time: str, by: str, key: str, value: str, late: str):
+        self.spark, self.schema, self.time, self.by, self.key, self.value = spark, schema, time, by, key, value
+        self.late, self.at = F.expr(f"INTERVAL {late}"), fresh_path(spark, "days")
+        self.rows_schema = more(schema, "day date, batch int")
+
+    def run(self, path: str) -> BoundedDays:
+        """Takes the files of ``path`` that it has not taken yet."""
+        run_available(read_files(self.spark, path, self.schema), self._take, "append", self.at)
+        return self
+
+    def _boundary(self, batches: str) -> DataFrame:
+        """One row: ``boundary``, behind which rows of a batch after ``batches`` are late; null before the first."""
+        return self._table("seen", "newest timestamp, batch int").filter(batches).agg((F.max("newest") - self.late).alias("boundary"))
+
+    def _table(self, name: str, schema) -> DataFrame:
+        at = f"{self.at}/{name}"
+        jvm = self.spark._jvm.org.apache.hadoop.fs.Path(at)
+        if not jvm.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(jvm):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(at)
+
+    def _write(self, df: DataFrame, name: str, batch: int, *parts: str) -> None:
+        """A batch's rows in a folder of its own: a batch that runs again replaces itself."""
+        df.drop("batch").write.mode("overwrite").partitionBy(*parts).parquet(f"{self.at}/{name}/batch={batch}")
+
+    def _take(self, df: DataFrame, batch: int) -> None:
+        before = self._boundary(f"batch < {batch}").first().boundary
+        held = df.withColumn("day", F.to_date(self.time))
+        is_late = F.lit(False) if before is None else F.coalesce(F.col(self.time) < F.lit(before), F.lit(False))
+        self._write(held.filter(is_late), "late", batch)
+        self._write(held.filter(~is_late), "rows", batch, "day")
+        self._write(df.agg(F.max(self.time).alias("newest")), "seen", batch)
+        after = self._boundary(f"batch <= {batch}").first().boundary
+        if after is not None:
+            closed = F.col("day") < F.to_date(F.lit(after))
+            if before is not None:
+                closed &= F.col("day") >= F.to_date(F.lit(before))
+            self._write(self._counts(self._rows().filter(f"batch <= {batch}").filter(closed)), "closed", batch)
+
+    def _rows(self) -> DataFrame:
+        return self._table("rows", self.rows_schema)
+
+    def _counts(self, rows: DataFrame) -> DataFrame:
+        once = rows.dropDuplicates(["day", self.key])
+        return once.groupBy("day", self.by).agg(F.count(F.lit(1)).alias("n"), F.sum(self.value).alias("total"))
+
+    def closed(self) -> DataFrame:
+        kind = self.schema[self.by].dataType.simpleString()
+        return self._table("closed", f"day date, {self.by} {kind}, n long, total double, batch int").drop("batch")
+
+    def open(self) -> DataFrame:
+        """Counts so far of the days that the boundary has not passed, from the rows of those days only."""
+        boundary = self._boundary("true").first().boundary
+        rows = self._rows()
+        return self._counts(rows if boundary is None else rows.filter(F.col("day") >= F.to_date(F.lit(boundary))))
+
+    def late_rows(self) -> DataFrame:
+        return self._table("late", self.rows_schema).drop("batch")
+
+    def counts(self) -> DataFrame:
+        return self.closed().unionByName(self.open())
 
 
 def upsert_history(spark: SparkSession, stream: DataFrame, key: list[str]) -> DataFrame:
@@ -89,87 +145,3 @@ def monitor_snapshots(spark: SparkSession, stream: DataFrame, entity: str, time:
 
     run_available(stream, once, "append", at)
     return latest_per_key(written(spark, at, more(stream.schema, "rank_pct double, rank int, batch int")), [entity, time]), spark.read.parquet(f"{at}/latest")
-
-
-BUFFER = "memo string, ids array<long>, times array<long>, values array<double>"
-FLUSH = -1  # user of the row that moves the watermark past all others
-
-
-def in_event_order(stream: DataFrame, late: str, advance: Callable[[str | None, pd.DataFrame], tuple[str, pd.DataFrame]], schema: str) -> DataFrame:
-    """``advance(memo, rows) -> (memo, answer)`` for each user's rows in order of (ts, event_id), each row once.
-
-    Rows wait as state until the watermark (``late`` behind the newest row) has passed them, so late and repeated rows within
-    it change nothing; a row that comes later than rows already passed on is left out.  ``memo`` is the learner's state.
-    """
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        memo, ids, times, values = state.get if state.exists else (None, [], [], [])
-        held = {i: (t, v) for i, t, v in zip(ids, times, values, strict=True)}
-        passed = state.getCurrentWatermarkMs()
-        for f in frames:
-            for i, t, v in zip(f.event_id, f.ts, f.value, strict=True):
-                at = pd.Timestamp(t).value // 1000
-                if at // 1000 > passed:
-                    held[int(i)] = (at, float(v))
-        ready = sorted((t, i, v) for i, (t, v) in held.items() if t // 1000 <= passed)
-        left = sorted((t, i, v) for i, (t, v) in held.items() if t // 1000 > passed)
-        out = None
-        if ready:
-            rows = pd.DataFrame(ready, columns=["ts", "event_id", "value"])
-            memo, out = advance(memo, rows)
-        state.update((memo, [i for _, i, _ in left], [t for t, _, _ in left], [v for _, _, v in left]))
-        if left:
-            state.setTimeoutTimestamp(max(left[0][0] // 1000 + 1, passed + 1))
-        if out is not None:
-            out.insert(0, "user_id", key[0])
-            yield out
-
-    kept = stream.select("user_id", "event_id", "ts", "value").withWatermark("ts", late)
-    return kept.groupBy("user_id").applyInPandasWithState(run, f"user_id long, {schema}", BUFFER, "append", "EventTimeTimeout")
-
-
-def run_in_order(spark: SparkSession, path: str, events_schema, late: str, advance, schema: str, name: str) -> DataFrame:
-    """Runs ``in_event_order`` over the files of ``path``, then once more with a row far in the future that lets all waiting rows pass."""
-    at = fresh_path(spark, name)
-
-    def run() -> None:
-        stream = in_event_order(read_files(spark, path, events_schema), late, advance, schema)
-        run_available(stream, appender(at), "append", at)
-
-    run()
-    end = spark.range(1).select(F.lit(FLUSH).cast("long").alias("event_id"), F.lit("2200-01-01").cast("timestamp").alias("ts"), F.lit(FLUSH).cast("long").alias("user_id"), F.lit(0.0).alias("value"))
-    end.write.mode("append").parquet(path)
-    run()
-    return written(spark, at, f"user_id long, {schema}, batch int").filter(F.col("user_id") != FLUSH).drop("batch")
-
-
-def _deltas(memo: str | None, rows: pd.DataFrame) -> tuple[str, pd.DataFrame]:
-    values = rows.value.tolist()
-    before = [None if memo is None else json.loads(memo), *values[:-1]]
-    return json.dumps(values[-1]), pd.DataFrame({"event_id": rows.event_id, "delta": [None if a is None else b - a for a, b in zip(before, values, strict=True)]})
-
-
-def deltas_to_previous(spark: SparkSession, path: str, schema, late: str) -> DataFrame:
-    """Each event's value less that of the same user's event before it; the last value of every user is kept as state."""
-    return run_in_order(spark, path, schema, late, _deltas, "event_id long, delta double", "deltas")
-
-
-#: Scores that a learner on a stream keeps: its state stays bounded.
-KEPT_SCORES = 1000
-
-
-def _conformal(memo: str | None, rows: pd.DataFrame) -> tuple[str, pd.DataFrame]:
-    from probspark.operators.online import AdaptiveConformal
-
-    learner = AdaptiveConformal(window=KEPT_SCORES)
-    if memo is not None:
-        learner.alpha, scores = json.loads(memo)
-        for s in scores:
-            learner.scores.add(s)
-    out = [(i, learner.threshold(), learner.update(min(abs(v) / 100, 1.0)), learner.alpha) for i, v in zip(rows.event_id, rows.value, strict=True)]
-    return json.dumps([learner.alpha, list(learner.scores.order)]), pd.DataFrame(out, columns=["event_id", "threshold", "miss", "alpha"])
-
-
-def conformal_on_stream(spark: SparkSession, path: str, schema, late: str) -> DataFrame:
-    """The adaptive conformal learner of each user, predicting and then learning from every event in order."""
-    return run_in_order(spark, path, schema, late, _conformal, "event_id long, threshold double, miss int, alpha double", "learner")

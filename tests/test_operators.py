@@ -233,21 +233,6 @@ def test_amplification_spreads_along_a_chain(spark):
     assert (rows["f"].score, rows["f"].confidence, rows["f"].depth) == (0.0, 0.1, 0)
 
 
-def test_fast_and_late_streams_give_the_batch_result(spark):
-    from probspark.plans import sequential_queries as Q
-    from probspark.sources.inputs import load
-
-    sf = "/root/testdata/sf0.001"
-    got = {r.event_id: (r.threshold, r.miss, r.alpha) for r in Q.x4_stream_learner(spark, sf).collect()}
-    events = load(spark, sf, "events").toPandas().sort_values(["user_id", "ts", "event_id"])
-    assert set(got) == set(events.event_id)
-    for _, own in events.groupby("user_id"):
-        learner = online.AdaptiveConformal(window=1000)
-        for i, v in zip(own.event_id, own.value, strict=True):
-            want = (learner.threshold(), learner.update(min(abs(v) / 100, 1.0)), learner.alpha)
-            assert got[i] == pytest.approx(want)
-
-
 def test_group_files_that_are_gone_are_removed(spark, tmp_path):
     df = frame(spark, [("a", 1), ("b", 2), ("b", 3)], "g string, v int")
     stored.write_groups(df, "g", str(tmp_path / "x"))
