@@ -9,7 +9,7 @@
 3. Second pass: shards are broadcast, at most ``ROUND_BYTES`` of them at a time, and
    each task increments dense slot arrays of its (language, source) groups.
 4. Shares and differences are exact integers.  Pairs of sources are compared within
-   blocks of ``BLOCK`` sources and one shard's terms, and the blocks' sums are added.
+   blocks of ``BLOCK`` sources and ``BLOCK_SLOTS`` of a shard's slots, and the blocks' sums are added.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ SHARD_KEYS = 32_768
 ROUND_BYTES = 64 << 20
 LIVE_CELLS = 4 << 20
 BLOCK = 32
+BLOCK_SLOTS = 2048
 LEVELS = 40
 
 IN_TERM = np.zeros(256, bool)
@@ -329,10 +330,11 @@ def _pairs(shares: DataFrame, groups: DataFrame, keys: DataFrame, block: int) ->
     blocks = blocks.withColumn("block", F.pmod(F.xxhash64("source"), F.col("blocks")).cast("int"))
     to_pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"))))
     placed = blocks.select("lang", "source", "block", "p0", to_pairs.alias("at")).select("lang", "source", "block", "p0", "at.i", "at.j")
-    in_shard = keys.groupBy("lang", "shard").agg(F.count(F.lit(1)).alias("terms"))
+    cut = F.floor(F.col("slot") / BLOCK_SLOTS).cast("int").alias("cut")
+    in_shard = keys.groupBy("lang", "shard", cut).agg(F.count(F.lit(1)).alias("terms"))
     members = placed.join(in_shard, "lang")
-    held = shares.select("lang", "source", "shard", "slot", "p").join(placed.select("lang", "source", "i", "j"), ["lang", "source"])
-    by = ["lang", "shard", "i", "j"]
+    held = shares.select("lang", "source", "shard", cut, "slot", "p").join(placed.select("lang", "source", "i", "j"), ["lang", "source"])
+    by = ["lang", "shard", "cut", "i", "j"]
     held, members = (x.toDF(*x.columns) for x in (held, members))  # columns of their own: both come from the groups
 
     def compare(key, cells: pa.Table, sources: pa.Table) -> pa.Table:
@@ -344,7 +346,7 @@ def _pairs(shares: DataFrame, groups: DataFrame, keys: DataFrame, block: int) ->
         of = cells.column("source").combine_chunks().dictionary_encode()
         rank = np.array([number[x] for x in of.dictionary.to_pylist()], np.int64)
         shares_of[rank[of.indices.to_numpy(zero_copy_only=False)] if len(rank) else np.zeros(0, np.int64), column] = cells.column("p").to_numpy()
-        i, j = key[2].as_py(), key[3].as_py()
+        i, j = key[3].as_py(), key[4].as_py()
         out = ([], [], [])
         for k in range(len(names)):
             for m in range(k + 1, len(names)):

@@ -215,7 +215,10 @@ def plain_divergence(rows, least, top):
 
 
 @pytest.mark.parametrize("shard_keys,round_bytes,block", [(32768, 64 << 20, 32), (16, 1500, 2)])
-def test_divergence(spark, shard_keys, round_bytes, block):
+def test_divergence(spark, shard_keys, round_bytes, block, monkeypatch):
+    from probspark.llm import divergence
+
+    monkeypatch.setattr(divergence, "BLOCK_SLOTS", 5 if block == 2 else 2048)
     rng = random.Random(9)
     texts = [*ODD, *make_texts(7, 150), *["Tie tie one two"] * 6, "only ascii 123 _ [x]`y{z}"]
     rows = [(t, rng.choice(["en", "en", "de", None, "", "rare"]), rng.choice(["a", "b", "ü", None, "", "c", "d"])) for t in texts]
