@@ -11,6 +11,7 @@ from probspark.operators import fusion as P
 from probspark.operators import graph as G
 from probspark.operators import windows as W
 from probspark.plans.registry import query
+from probspark.sources.stored import stored
 
 _BOTH = "SELECT graph_id, src, dst FROM edges UNION SELECT graph_id, dst AS src, src AS dst FROM edges"
 _NEAR = f"""SELECT f.graph_id, f.ts, f.outcome, f.flow, f.direction, e.dst AS adj, g.p AS adj_p, g.flow AS adj_flow, g.direction AS adj_direction
@@ -38,7 +39,7 @@ def g1(nation):
 
 @query("g3_g5_consistency_momentum", "flows edges", keep="graph_id ts outcome", doubles="consistency momentum", sql=_PULL)
 def g3(flows, edges):
-    return G.consistency_and_momentum(flows, edges)
+    return G.consistency_and_momentum(stored(flows, "flows"), stored(edges, "edges"))
 
 
 @query("g4_gradient_position", "flows", keep="graph_id ts outcome", doubles="gradient", sql=_GRADIENT)

@@ -14,6 +14,7 @@ from probspark.operators import graph as G
 from probspark.plans.fusion_queries import _LOGIT, AS_OF
 from probspark.plans.graph_queries import _ALLOCATED
 from probspark.plans.registry import query
+from probspark.sources.stored import stored
 
 LIFE = 720.0
 
@@ -50,7 +51,7 @@ _TO_AMPLIFIED = f"WITH {_AMPLIFIED}"
 
 def amplified(flows, chain):
     modifier = 0.4 + 0.1 * (F.length("outcome") % 5)
-    return G.amplification(flows.withColumn("modifier", modifier), chain, modifier="modifier")
+    return G.amplification(stored(flows.withColumn("modifier", modifier), "flows"), stored(chain, "edges"), modifier="modifier")
 
 
 @query("g2_pair_flows", "nation_shares", keep="graph_id ts outcome direction significance", doubles="flow velocity", sql="""
@@ -87,7 +88,7 @@ def j11(shares):
 @query("g6_propagation_depth", "flows chain nation", keep="graph_id ts outcome depth", sql=f"{_TO_AMPLIFIED}\nSELECT * FROM deep")
 def g6(flows, chain, nation):
     """Over chains, so that signals pass up to three nodes, end at the other sign and at nodes without a flow."""
-    return G.propagation(flows, chain)
+    return G.propagation(stored(flows, "flows"), stored(chain, "edges"))
 
 
 @query("g7_amplification", "flows chain nation", keep="graph_id ts outcome level depth", doubles="score confidence", digits=5, sql=f"{_TO_AMPLIFIED}\nSELECT * FROM amplified")

@@ -252,3 +252,25 @@ def test_walk_forward_keeps_the_embargo(spark):
     last = df.agg(F.max("dt")).first()[0]
     assert models.score_latest(df, ["x"], "label", "dt", last, 3) is None
     assert {r.dt for r in models.score_dates(df, ["x"], "label", "dt", last, 2, 0).collect()} == set(sorted({r.dt for r in df.collect()})[-2:])
+
+
+def test_spread_in_rows_equals_spread_by_joins(spark, monkeypatch):
+    import random
+
+    rng, names = random.Random(3), [f"n{i}" for i in range(14)]
+    flows = [(g, t, n, rng.choice([0.1, 0.2, 0.2, 0.5]), f, "stable" if abs(f) < 0.5 else "upward" if f > 0 else "downward") for g in (1, 2) for t in (0, 1) for n in names if rng.random() < 0.8 for f in [round(rng.uniform(-9, 9), 3)]]
+    flows = frame(spark, flows, "graph_id long, ts int, outcome string, p double, flow double, direction string")
+    edges = frame(spark, [(1, *rng.sample(names, 2)) for _ in range(18)] + [(1, "n1", "gone")], "graph_id long, src string, dst string")  # graph 2 has none
+    key = ["graph_id", "ts", "outcome"]
+
+    def rows():
+        out = {}
+        for df in (graph.amplification(flows, edges), graph.propagation(flows, edges), graph.consistency_and_momentum(flows, edges)):
+            for r in df.select(*key, *sorted(set(df.columns) - set(key))).collect():
+                out.setdefault(tuple(r[:3]), []).append(tuple(round(v, 9) if isinstance(v, float) else v for v in r[3:]))
+        return out
+
+    held = rows()
+    monkeypatch.setattr(graph, "ROW_OUTCOMES", 3)
+    assert not graph.fits_in_rows(flows, edges)
+    assert rows() == held and len(held) == flows.count() and {x[0][2] for x in held.values()} >= {0, 1}
