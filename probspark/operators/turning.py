@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from probspark.functions.expr import clip, market_regime, rank_pct, rolling
 from probspark.operators.windows import by, first_rank, price_grid, probability_flow
+from probspark.operators.ranks import joined, quantiles
 from probspark.sources.stored import stored
 
 #: Weights of the regime score, the divergence score, the visibility score and the strategy score; fixed values.
@@ -72,14 +73,15 @@ def daily_context(df: DataFrame, date: str) -> DataFrame:
     share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
     daily = df.groupBy(date).agg(
         F.count(F.lit(1)).alias("universe"),
-        *(F.median(c).alias(f"{c}_median") for c in ("ret_1", "ret_3", "ret_5", "ret_10", "amount_ratio_5_20", "volatility_ratio_5_20")),
-        F.median("intraday_position").alias("intraday_median"),
         F.stddev_samp("ret_5").alias("ret_5_dispersion"),
         share(F.col("ret_1") > 0).alias("breadth_up_1"),
         share(F.col("ret_5") > 0).alias("breadth_up_5"),
         share(F.col("price_reclaim_20") > 0).alias("breadth_above_ma20"),
         share(F.col("amount_ratio_5_20") > 1).alias("breadth_expand"),
     )
+    medians = {f"{c}_median": (F.col(c), 0.5) for c in ("ret_1", "ret_3", "ret_5", "ret_10", "amount_ratio_5_20", "volatility_ratio_5_20")}
+    medians["intraday_median"] = (F.col("intraday_position"), 0.5)
+    daily = joined(daily, quantiles(df, [date], medians), [date], "left")
     score = None
     for name, weight in REGIME.items():
         part = F.coalesce(clip(F.col(name), 0.0, 1.0), F.lit(0.0)) * weight

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from probspark.functions.expr import flow_direction, flow_significance, rank_pct, rolling
+from probspark.functions.expr import flow_direction, flow_significance, rolling
+from probspark.operators.ranks import rank_percentiles
 
 
 def by(key: list[str], order: list[str]):
@@ -57,7 +58,8 @@ def future_maximum(df: DataFrame, key: list[str], order: str, value: str, width:
 
 
 def cross_section_ranks(df: DataFrame, partition: list[str], columns: list[str]) -> DataFrame:
-    return df.withColumns({f"{c}_rank_pct": rank_pct(F.col(c), partition) for c in columns})
+    """Average-rank percentiles in groups of any size: ranges of values are ranked, not whole groups."""
+    return rank_percentiles(df, partition, {f"{c}_rank_pct": c for c in columns})
 
 
 def first_rank(df: DataFrame, partition: list[str], value: str, tie: list[str], name: str = "rank") -> DataFrame:

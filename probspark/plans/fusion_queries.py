@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from probspark.functions import expr as X
 from probspark.operators import fusion as P
 from probspark.operators import scoring as S
+from probspark.operators.ranks import joined, quantiles
 from probspark.plans.registry import query
 
 AS_OF = "2001-12-01"
@@ -190,8 +191,9 @@ SELECT event_type, sum((f - CAST(x >= y AS INT)) * (f - CAST(x >= y AS INT)) * d
 def a20(events):
     """Left Riemann sum over the deciles of each event type against its latest value."""
     levels = [k / 10 for k in range(1, 11)]
-    seen = events.groupBy("event_type").agg(F.percentile("value", F.array(*map(F.lit, levels))).alias("q"), F.max_by("value", F.struct("ts", "event_id")).alias("y"))
-    points = seen.select("event_type", "y", F.posexplode("q").alias("k", "x")).withColumn("f", (F.col("k") + 1) / 10)
+    seen = events.groupBy("event_type").agg(F.max_by("value", F.struct("ts", "event_id")).alias("y"))
+    seen = joined(seen, quantiles(events, ["event_type"], {f"q{k}": (F.col("value"), q) for k, q in enumerate(levels)}), ["event_type"])
+    points = seen.select("event_type", "y", F.posexplode(F.array(*(f"q{k}" for k in range(10)))).alias("k", "x")).withColumn("f", (F.col("k") + 1) / 10)
     steps = points.withColumn("dx", F.lead("x").over(Window.partitionBy("event_type").orderBy("x", "f")) - F.col("x")).filter("dx > 0")
     miss = F.col("f") - (F.col("x") >= F.col("y")).cast("int")
     return steps.groupBy("event_type").agg(F.sum(miss * miss * F.col("dx")).alias("crps"))

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from probspark.operators import lowbuy as L
 from probspark.operators.windows import first_rank
+from probspark.operators.ranks import joined, quantiles
 from probspark.plans.registry import query
+from probspark.sources.stored import stored
 
 KEY = ["entity"]
 RULES = L.RULES | {"amount": 1000.0, "ma10_break": 0.6}  # months of invented prices move more than days
@@ -159,9 +161,10 @@ _FEATURES = ("runup_8", "amplitude", "ret_1", "signal_score")
 long AS ({' UNION ALL '.join(f"SELECT big, '{c}' AS feature, {c} AS value FROM outs WHERE big IS NOT NULL" for c in _FEATURES)})
 SELECT big, feature, count(value) AS n, avg(value) AS mean, median(value) AS median, quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.75) AS p75 FROM long GROUP BY big, feature""")
 def d2(panel):
-    long = outcomes(panel).filter("big is not null").unpivot("big", list(_FEATURES), "feature", "value")
-    at = lambda q: F.percentile("value", F.lit(q))
-    return long.groupBy("big", "feature").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.median("value").alias("median"), at(0.25).alias("p25"), at(0.75).alias("p75"))
+    long = stored(outcomes(panel).filter("big is not null").unpivot("big", list(_FEATURES), "feature", "value"), "features")
+    key, value = ["big", "feature"], F.col("value")
+    means = long.groupBy(*key).agg(F.count("value").alias("n"), F.avg("value").alias("mean"))
+    return joined(means, quantiles(long, key, {"median": (value, 0.5), "p25": (value, 0.25), "p75": (value, 0.75)}), key)
 
 
 _COMBOS = {"all": "TRUE", "busy": "amount >= 20000", "steep": "runup_8 >= 0.5", "busy and steep": "amount >= 20000 AND runup_8 >= 0.5", "wide": "amplitude >= 0.8"}

@@ -7,7 +7,9 @@ from pyspark.sql.window import Window
 
 from probspark.functions import expr as X
 from probspark.operators import windows as W
+from probspark.operators.ranks import first_ranks
 from probspark.plans.registry import query
+from probspark.sources.stored import stored
 
 KEY = ["entity"]
 _W = "(PARTITION BY entity ORDER BY dt)"
@@ -71,13 +73,13 @@ def w6(panel):
 @query("w7_rank_percentile", "features", keep="entity dt", doubles="ret_5_rank_pct amount_ratio_rank_pct", sql=f"""
     SELECT entity, dt, {_rank('ret_5')} AS ret_5_rank_pct, {_rank('amount_ratio')} AS amount_ratio_rank_pct FROM features""")
 def w7(features):
-    return W.cross_section_ranks(features, ["dt"], ["ret_5", "amount_ratio"])
+    return W.cross_section_ranks(stored(features, "features"), ["dt"], ["ret_5", "amount_ratio"])
 
 
 @query("w8_first_rank", "features", keep="entity dt rank", doubles="ret_3", sql="""
     SELECT entity, dt, ret_3, row_number() OVER (PARTITION BY dt ORDER BY ret_3 DESC NULLS LAST, entity) AS rank FROM features""")
 def w8(features):
-    return W.first_rank(features, ["dt"], "ret_3", ["entity"])
+    return first_ranks(features, ["dt"], "ret_3", ["entity"])
 
 
 @query("w9_difference", "features", keep="entity dt", doubles="ret_5_diff_3", sql=f"""

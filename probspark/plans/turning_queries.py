@@ -9,6 +9,7 @@ from probspark.operators import breadth as B
 from probspark.operators import turning as T
 from probspark.plans.panel_queries import _rank
 from probspark.plans.registry import query
+from probspark.sources.stored import stored
 
 E = ["entity"]
 P = "p"
@@ -71,7 +72,7 @@ _TO_RANKED = f"{_TO_LABELS},\n{_RANKED}"
 
 
 def scored(panel):
-    bars = T.bar_features(panel, E, "dt")
+    bars = stored(T.bar_features(panel, E, "dt"), "bars")  # the context and its join read it
     return T.turning_scores(bars.join(T.daily_context(bars, "dt").select("dt", "regime_score", "regime"), "dt"), E, "dt")
 
 
@@ -92,12 +93,12 @@ _CONTEXT = "ret_1_median ret_3_median ret_5_median ret_10_median amount_ratio_5_
 
 @query("a24_market_context", "panel", keep="dt universe", doubles=_CONTEXT, sql=f"{_TO_DAILY}\nSELECT * FROM daily")
 def a24(panel):
-    return T.daily_context(T.bar_features(panel, E, "dt"), "dt")
+    return T.daily_context(stored(T.bar_features(panel, E, "dt"), "bars"), "dt")
 
 
 @query("w11_series_context", "panel", keep="dt regime", doubles="regime_score regime_score_ma5 regime_score_5_delta", sql=f"{_TO_DAILY}\nSELECT * FROM daily")
 def w11(panel):
-    return T.daily_context(T.bar_features(panel, E, "dt"), "dt")
+    return T.daily_context(stored(T.bar_features(panel, E, "dt"), "bars"), "dt")
 
 
 @query("j8_context_join", "panel", keep="entity dt universe regime", doubles="ret_5 ret_5_median regime_score", sql=f"{_TO_DAILY}\nSELECT b.entity, b.dt, b.ret_5, d.universe, d.regime, d.ret_5_median, d.regime_score FROM bars b LEFT JOIN daily d ON b.dt = d.dt")
@@ -175,9 +176,15 @@ bt0 AS (SELECT k.dt, k.config, max(h.exit_date) AS exit_date, avg(h.r) AS ret, c
 events AS (SELECT a.*, b.bench, b.bench_count, b.regime_median, m.regime_mode, a.ret - b.bench AS excess FROM bt0 a JOIN bench b ON a.dt = b.dt JOIN modes m ON a.dt = m.dt WHERE a.exit_date IS NOT NULL AND a.ret IS NOT NULL)"""
 
 
+def backtested(panel):
+    """Candidates, benchmark and prices read the ranked panel and the bars: both are stored once."""
+    panel = stored(panel, "panel")
+    return T.backtest(stored(ranked(panel), "ranked"), panel, "entity", "dt", P)
+
+
 @query("j14_rebalanced_backtest", "panel", keep="dt config exit_date picks bench_count regime_mode names", doubles="ret bench excess regime_median mean_p mean_rank mean_score", digits=5, sql=f"{_TO_RANKED},\n{_CONFIGS},\n{_BACKTEST}\nSELECT * FROM events")
 def j14(panel):
-    return T.backtest(ranked(panel), panel, "entity", "dt", P)
+    return backtested(panel)
 
 
 @query("a28_strategy_summary", "panel", keep="config events", doubles="mean_ret median_ret win_rate mean_bench mean_excess excess_win_rate best worst max_drawdown mean_picks", digits=5, sql=f"""{_TO_RANKED},
@@ -188,7 +195,7 @@ peaks AS (SELECT *, equity / max(equity) OVER (PARTITION BY config ORDER BY dt)
 SELECT config, count(*) AS events, avg(ret) AS mean_ret, median(ret) AS median_ret, avg(CAST(ret > 0 AS INT)) AS win_rate, avg(bench) AS mean_bench, avg(excess) AS mean_excess,
     avg(CAST(excess > 0 AS INT)) AS excess_win_rate, max(ret) AS best, min(ret) AS worst, min(fall) AS max_drawdown, avg(picks) AS mean_picks FROM peaks GROUP BY config""")
 def a28(panel):
-    return T.strategy_summary(T.backtest(ranked(panel), panel, "entity", "dt", P), "dt")
+    return T.strategy_summary(backtested(panel), "dt")
 
 
 _KNOWN = "SELECT * FROM ranked WHERE label_turn_3 IS NOT NULL"
@@ -219,7 +226,7 @@ def a30(panel):
     from probspark.operators.scoring import rank_quality
 
     known = ranked(panel).filter("label_turn_3 is not null").select("dt", "entity", "p", F.col("label_turn_3").alias("y"), "rank_probability", "fwd_ret_3")
-    return rank_quality(known, date="dt", entity="entity", rank="rank_probability", forward="fwd_ret_3", top_n=5)
+    return rank_quality(stored(known, "known"), date="dt", entity="entity", rank="rank_probability", forward="fwd_ret_3", top_n=5)
 
 
 # Three horizons of probabilities: of entities among all, and of members inside their group.
@@ -343,6 +350,7 @@ def s21(panel, members):
 
 
 def breadth(panel, members):
+    panel = stored(panel, "panel")
     rank = ranked(panel).select("entity", "dt", "p", "rank_probability", "divergence_rank", "visibility_rank", "regime", "signal_state", "position_state")
     record = B.wide_records(info_rows(panel, members), ["entity", "dt"], ITEMS)
     df = B.breadth_scores(rank.join(record, ["entity", "dt"], "left"), ["dt"], E, P)
