@@ -3,8 +3,10 @@
 1. Equal vectors of a label meet as one representative with a number of copies.
 2. Representatives fall into overlapping cluster shards: a shard above ``most``
    members is split by pivots that it sampled from itself, and every member goes to
-   its nearest pivot and to the second one, unless that is so much further that no
-   link can cross.  Pivots near each other count as one, so a group of near copies is
+   its nearest pivot and to those at which a link's other end may have its nearest: all
+   whose angle is within the range's angle over the root of the dimensions, ``SPREAD`` times, of the
+   nearest one's (the second one within twice the range's angle).  Labels that are split are split
+   twice, by other pivots, so a pair that the first split parts has another chance.  Pivots near each other count as one, so a group of near copies is
    never torn apart; such a tight shard may stay large.
 3. In a tight shard, members so near its pivot that any two of them must link (the
    angle between two is at most the sum of theirs to the pivot) are its core: they are
@@ -15,9 +17,12 @@
 5. Every vector is searched in its shards, but in none whose core it is in: greedy beam
    search from the medoids, then expansion through all vectors near the range.  A task
    holds one block of vectors and one of queries.  Cosines are verified in double
-   precision, and a pair that shares several shards counts in the first one.
+   precision, and a pair that shares several shards counts in the first one.  A pair found
+   from one end counts at both: a shard of one task is closed under exchange of ends, and blocks
+   of a tight shard are verified whole.
 6. A bounded set of vectors, half of them with links, is audited by brute force against
-   all rows.  A recall below ``least_recall`` repeats the search once with wider lists;
+   all rows, each vector's recall by itself, so a small group weighs as much as a large one.
+   A mean or a tenth (lowest) below ``least_recall`` repeats the search once with wider lists;
    if that isn't enough, all pairs of a label are compared in blocks instead.
 7. A task gives each vector the smallest one that its links reach there, and components
    of these edges are the classes.
@@ -40,6 +45,7 @@ MOST_MEMBERS = 1500
 PIVOTS = 16
 AUDITED = 200
 LEVELS = 12
+SPREAD = 4.0
 ENTRIES = 32
 
 
@@ -138,7 +144,7 @@ def range_search(x: np.ndarray, table: np.ndarray, asked: np.ndarray, own: np.nd
 
 
 def _split(table: pa.Table, threshold: float = RANGE) -> pa.Table:
-    """Members of one block of an oversized shard, each with its two nearest pivots."""
+    """Members of one block of an oversized shard, each at the pivots where it and the other ends of its links are."""
     table = table.sort_by("n")  # pivots arrive in any order, and a cell's blocks must choose and name alike
     pivot = table.column("pivot").to_numpy()
     x = unit_rows(_matrix(table.column("embedding")))
@@ -149,9 +155,11 @@ def _split(table: pa.Table, threshold: float = RANGE) -> pa.Table:
             apart.append(i)
     rows, names = table.filter(pa.array(~pivot)), table.column("n").to_numpy()[pivot][apart]
     cosines = x[~pivot] @ heads[apart].T
-    nearest = np.argsort(-cosines, axis=1, kind="stable")[:, :2]
+    nearest = np.argsort(-cosines, axis=1, kind="stable")
     angle = np.arccos(np.clip(np.take_along_axis(cosines, nearest, 1), -1, 1))
-    use = angle <= angle[:, :1] + 2 * np.arccos(threshold) + 1e-6  # beyond, the other side of a link has no nearer pivot there
+    reach = np.arccos(threshold)  # a link turns the angle to a pivot by this at most, and mostly by its share in one dimension
+    use = angle <= angle[:, :1] + min(2.0, SPREAD / x.shape[1] ** 0.5) * reach + 1e-6
+    use[:, :2] = angle[:, :2] <= angle[:, :1] + 2 * reach + 1e-6
     own = np.flatnonzero(use) // nearest.shape[1]
     tight = len(apart) == 1
     cells = [f"{c.as_py()}{'!' if tight else '/'}{p}" for c, p in zip(rows.column("cell").take(pa.array(own)), names[nearest[use]], strict=True)]
@@ -161,9 +169,22 @@ def _split(table: pa.Table, threshold: float = RANGE) -> pa.Table:
     return pa.table({"rep": out.column("rep"), "copies": out.column("copies"), "embedding": out.column("embedding"), "cell": pa.array(cells, pa.string()), "core": core})
 
 
-def cluster_shards(vectors: DataFrame, most: int = MOST_MEMBERS, threshold: float = RANGE) -> DataFrame:
-    """``rep, copies, embedding, cell, core``: members of shards; a row in each shard that holds the vector."""
-    open_ = vectors.withColumn("core", F.lit(False))
+def cluster_shards(vectors: DataFrame, most: int = MOST_MEMBERS, threshold: float = RANGE, turns: int = 2) -> DataFrame:
+    """``rep, copies, embedding, cell, core``: members of shards; a row in each shard that holds the vector.
+
+    Cells above ``most`` members are split ``turns`` times, each time by other pivots.
+    """
+    whole = vectors.withColumn("core", F.lit(False))
+    sizes = whole.groupBy("cell").count().filter(F.col("count") > most).select("cell")
+    out = _one_split(whole, most, threshold, 0)
+    if not sizes.isEmpty():
+        for turn in range(1, turns):
+            again = whole.join(sizes, "cell", "left_semi").withColumn("cell", F.concat(F.lit(f"{turn}:"), "cell"))
+            out = out.unionByName(_one_split(again, most, threshold, turn))
+    return out
+
+
+def _one_split(open_: DataFrame, most: int, threshold: float, turn: int) -> DataFrame:
     done, schema = [], open_.schema
     for level in range(LEVELS):
         sizes = open_.groupBy("cell").count()
@@ -173,7 +194,7 @@ def cluster_shards(vectors: DataFrame, most: int = MOST_MEMBERS, threshold: floa
         open_ = open_.filter(~closed)
         if open_.isEmpty():
             break
-        order = F.xxhash64(F.lit(level), "rep")
+        order = F.xxhash64(F.lit(level + LEVELS * turn), "rep")
         pivots = open_.groupBy("cell", "count", F.pmod(order, F.lit(PIVOTS)).alias("n")).agg(F.min_by("embedding", F.struct(order, "rep")).alias("embedding"))
         blocks = F.ceil(F.col("count") / 4096).cast("int")
         pivots = pivots.select(F.lit(-1).cast("long").alias("rep"), F.lit(0).cast("long").alias("copies"), "embedding", "cell", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(True).alias("pivot"), "n")
@@ -194,8 +215,8 @@ def near_duplicates(vectors: DataFrame, degree: int = 20, candidates: int = 48,
     Vectors link when labels and lengths are equal and their cosine is ``threshold`` or more.  Null, empty
     and zero vectors, those with null or non-finite components and those without a label link with nothing.  Equal rows are
     copies that link with each other; a null ``vec_id`` gives a row without links.  Empty tables give no rows.  Other columns
-    are not read.  ``audit_recall`` is the share of the audited vectors' links that the search found (null where they have
-    none); 1 after the comparison of all pairs.
+    are not read.  ``audit_recall`` is the mean share of an audited vector's links that the search found, or the lowest tenth's
+    where that is less (null where they have none); ``audit_way`` is ``graph``, or ``all pairs`` where that was too little.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
     usable = (
@@ -206,17 +227,17 @@ def near_duplicates(vectors: DataFrame, degree: int = 20, candidates: int = 48,
     linkable = rows.filter("usable").select("vec_id", "embedding", F.concat_ws(":", F.col("label").cast("string"), F.size("embedding").cast("string")).alias("cell"))
     groups = stored(linkable.groupBy("cell", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")).select("rep", "copies", "embedding", "cell"), "vectors")
     ids = stored(linkable.join(groups, ["cell", "embedding"]).select("vec_id", "rep", "copies"), "vector-ids")
-    links, edges, recall = graph_links(groups, degree, candidates, beam, threshold, most, least_recall)
+    links, edges, recall, way = graph_links(groups, degree, candidates, beam, threshold, most, least_recall)
     classes = components(edges)
     linked = ids.join(links, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
     linked = linked.select("vec_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
     alone = rows.filter("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
-    return out.withColumn("audit_recall", F.lit(recall).cast("double"))
+    return out.withColumn("audit_recall", F.lit(recall).cast("double")).withColumn("audit_way", F.lit(way))
 
 
-def graph_links(groups: DataFrame, degree: int, candidates: int, beam: int, threshold: float, most: int, least_recall: float) -> tuple[DataFrame, DataFrame, float | None]:
-    """(``rep, links``; edges whose components are the classes; audited recall) of distinct vectors ``rep, copies, embedding, cell``."""
+def graph_links(groups: DataFrame, degree: int, candidates: int, beam: int, threshold: float, most: int, least_recall: float) -> tuple[DataFrame, DataFrame, float | None, str]:
+    """(``rep, links``; edges whose components are the classes; audited recall; way) of distinct vectors ``rep, copies, embedding, cell``."""
     members = stored(cluster_shards(groups, most, threshold), "shards")
     sizes = members.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("blocks"))
     members = members.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("own", F.xxhash64("cell"))
@@ -226,6 +247,7 @@ def graph_links(groups: DataFrame, degree: int, candidates: int, beam: int, thre
     heads = cores.groupBy("core").agg(F.sum("copies").alias("total"), F.min("rep").alias("head"))
     cores = stored(cores.join(heads, "core").select("rep", (F.col("total") - F.col("copies")).alias("links"), F.col("head").alias("least")), "cores")
     members = stored(members.drop("core").join(known, "rep"), "members")
+    way = "graph"
     for _ in range(2):
         graph = members.groupBy("cell", "block").applyInArrow(_builder(degree, candidates), "rep long, near array<long>")
         graph = graph.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
@@ -236,9 +258,10 @@ def graph_links(groups: DataFrame, degree: int, candidates: int, beam: int, thre
             break
         degree, candidates, beam = 2 * degree, 2 * candidates, 2 * beam
     else:
-        found, recall = stored(all_pairs(groups, threshold, most), "links"), 1.0
+        found, way = stored(all_pairs(groups, threshold, most), "links"), "all pairs"
+        recall = 1.0
         links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    return links, found.filter("least < rep").select("rep", "least"), recall
+    return links, found.filter("least < rep").select("rep", "least"), recall, way
 
 
 def _search(members: DataFrame, beam: int, threshold: float, most: int) -> DataFrame:
@@ -248,7 +271,7 @@ def _search(members: DataFrame, beam: int, threshold: float, most: int) -> DataF
     parts = queries.select("cell", F.least(F.ceil(F.col("n") / most), F.col("blocks")).cast("int").alias("parts"))
     rows = rows.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
     over = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["cell", "own", "rep", "copies", "embedding", "near", "shards", "core"]
+    columns = ["cell", "own", "rep", "copies", "embedding", "near", "shards", "core", "blocks"]
     data = rows.select(*columns, F.col("block").alias("d"), over("parts").alias("q"), F.lit(False).alias("asks"))
     asked = rows.filter("asks").withColumn("near", F.lit(None).cast("array<long>")).select(*columns, over("blocks").alias("d"), F.col("part").alias("q"), F.lit(True).alias("asks"))
     return data.unionByName(asked).groupBy("cell", "d", "q").applyInArrow(_searcher(beam, threshold), "rep long, links long, least long")
@@ -290,6 +313,7 @@ def _search_shard(table: pa.Table, beam: int, threshold: float) -> pa.Table:
     # shards that a vector shares with others come in one order everywhere: the first common one counts a pair
     names = table.column("shards").to_pylist()
     own = table.column("own")[0].as_py()
+    divided = table.column("blocks")[0].as_py() > 1
     number = {s: i for i, s in enumerate(sorted({s for k in names for s in k if s < own}))}
     earlier = np.zeros((len(rep), max(1, len(number))), bool)
     for i, k in enumerate(names):
@@ -303,10 +327,24 @@ def _search_shard(table: pa.Table, beam: int, threshold: float) -> pa.Table:
     links, root = np.zeros(len(rep), np.int64), np.arange(len(rep))
     root[queries] = np.where(place[queries] >= 0, place[queries], queries)
     block = max(1, min(512, 2_000_000 // n))
+    found = []
     for low in range(0, len(queries), block):
         some = queries[low : low + block]
         a, b = np.nonzero(range_search(x[:n], graph, x[some], place[some], beam, threshold))
-        a = some[a]
+        found.append(some[a] * n + b)
+        if divided:  # a tight shard's blocks meet in several tasks: what one end finds the other must find in its own
+            a, b = np.nonzero(x[some] @ x[:n].T >= threshold)
+            real = place[some][a] != b
+            found.append(some[a[real]] * n + b[real])
+    found = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    if not divided and len(found):  # all ends are here: what one of them found is the other's too
+        asker = np.full(n, -1, np.int64)  # the query of each row, if it asks
+        asker[place[queries][place[queries] >= 0]] = queries[place[queries] >= 0]
+        a, b = found // n, found % n
+        back = asker[b] >= 0
+        found = np.unique(np.concatenate([found, asker[b[back]] * n + place[a[back]]]))
+    for low in range(0, len(found), 1_000_000):
+        a, b = found[low : low + 1_000_000] // n, found[low : low + 1_000_000] % n
         other = core[a] != core[b]
         a, b = a[other], b[other]
         counted = ~(earlier[a] & earlier[b]).any(1)
@@ -340,7 +378,7 @@ def unite(root: np.ndarray, a: np.ndarray, b: np.ndarray, order: np.ndarray | No
 
 
 def audited_recall(groups: DataFrame, links: DataFrame, threshold: float) -> float | None:
-    """Share of the links of AUDITED vectors, half of them with links where there are as many, that were found; None if they have none."""
+    """Of AUDITED vectors, half of them with links where there are as many, the mean share of a vector's links that was found, or the lowest tenth's if that is less; None if they have none."""
     order = F.xxhash64("rep")
     linked = links.filter("links > 0").join(groups, "rep").select("rep", "copies", "embedding", "cell").orderBy(order).limit(AUDITED // 2)
     sample = linked.unionByName(groups.select("rep", "copies", "embedding", "cell").orderBy(order).limit(AUDITED // 2)).dropDuplicates(["rep"])
@@ -348,8 +386,8 @@ def audited_recall(groups: DataFrame, links: DataFrame, threshold: float) -> flo
     truth = {r[0]: r[1] for r in _brute_force(groups, asked, threshold).collect()}
     ids = groups.sparkSession.createDataFrame([(r[0],) for r in asked], "rep long")
     got = {r[0]: r[1] for r in links.join(F.broadcast(ids), "rep").collect()}
-    wanted = sum(truth.values())
-    return sum(min(n, got.get(r, 0)) for r, n in truth.items()) / wanted if wanted else None
+    own = sorted(min(n, got.get(r, 0)) / n for r, n in truth.items() if n)
+    return min(sum(own) / len(own), own[len(own) // 10]) if own else None
 
 
 def _brute_force(groups: DataFrame, asked: list, threshold: float) -> DataFrame:

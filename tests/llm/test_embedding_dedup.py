@@ -107,3 +107,57 @@ def test_components_of_paths_stars_and_loops(spark):
     assert got == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def matrix_truth(x):
+    """Links and classes of unit rows by all pairs."""
+    near = x @ x.T >= 0.98
+    np.fill_diagonal(near, False)
+    root = np.arange(len(x))
+    while True:
+        low = np.minimum(root, np.where(near, root[None, :], len(x)).min(1))
+        if (low == root).all():
+            return near.sum(1), root
+        root = low
+
+
+def turned(rng, x, angle):
+    """``x`` turned by ``angle`` in a direction of its own."""
+    other = rng.normal(size=x.shape)
+    other -= (other * x).sum(-1, keepdims=True) * x
+    other /= np.linalg.norm(other, axis=-1, keepdims=True)
+    return np.cos(angle) * x + np.sin(angle) * other
+
+
+def unit(x):
+    return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+
+@pytest.mark.parametrize("case", ["clumps", "tight group"])
+def test_no_link_is_lost_or_counted_at_one_end(spark, case):
+    rng = np.random.default_rng(6)
+    if case == "clumps":  # pairs of clumps whose members are near to each other and just in range of the other clump's
+        centres = unit(rng.normal(size=(25, 64)))
+        ends = np.concatenate([centres, turned(rng, centres, 0.19)])
+        x = np.concatenate([unit(np.repeat(ends, 60, axis=0) + 0.0004 * rng.normal(size=(3000, 64))), unit(rng.normal(size=(1500, 64)))])
+    else:
+        tight = unit(unit(rng.normal(size=64)) + 0.02 * rng.normal(size=(1400, 64)))
+        heads = unit(rng.normal(size=(300, 64)))
+        x = np.concatenate([tight, heads, turned(rng, heads, 0.195), unit(rng.normal(size=(3000, 64)))])
+    x = x[rng.permutation(len(x))]
+    links, classes = matrix_truth(x)
+    frame = spark.createDataFrame([(i, v, 0) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.audit_recall, r.audit_way) for r in E.near_duplicates(frame).collect())
+    assert [r[2] for r in got] == classes.tolist()
+    assert [r[1] for r in got] == links.tolist()
+    assert {r[4] for r in got} <= {"graph", "all pairs"} and {r[3] for r in got} == {1.0}
+
+
+def test_audit_weighs_small_groups_like_large_ones(spark):
+    """A large group found whole doesn't hide that small ones are not found."""
+    rng = np.random.default_rng(7)
+    x = np.concatenate([unit(unit(rng.normal(size=32)) + 0.01 * rng.normal(size=(300, 32))), np.repeat(unit(rng.normal(size=(30, 32))), 2, axis=0) + 0.001 * rng.normal(size=(60, 32))])
+    groups = spark.createDataFrame([(i, 1, v, "a") for i, v in enumerate(x.tolist())], "rep long, copies long, embedding array<double>, cell string")
+    links = spark.createDataFrame([(i, 299) for i in range(300)] + [(300, 1)], "rep long, links long")
+    assert E.audited_recall(groups, links, 0.98) == 0.0
+    assert E.audited_recall(groups, spark.createDataFrame([(i, 299 if i < 300 else 1) for i in range(360)], "rep long, links long"), 0.98) == 1.0
