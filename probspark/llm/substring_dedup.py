@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from probspark.llm.common import by_bytes
 from probspark.llm.words import gram_hashes, mix, pieces, spans, text_bytes, word_checks, word_hashes
+from probspark.operators.ranks import joined, numbered
 
 WINDOW = 20
 GRAM = 5
@@ -211,9 +212,25 @@ def _compressed(docs: DataFrame, buckets: int) -> DataFrame:
             for piece in pieces(batch):
                 texts = [packer.compress((t or "").encode()) for t in piece.column("text").to_pylist()]
                 bucket = -1 - _doc_bucket(_ids(piece.column("doc_id")), buckets)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), piece.column("doc_id").cast(pa.int64()), pa.array(texts, pa.binary())], ["bucket", "doc_id", "packed"])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), piece.column("doc_id").cast(pa.int64()), piece.column("own_id"), pa.array(texts, pa.binary())], ["bucket", "doc_id", "own_id", "packed"])
 
-    return docs.mapInArrow(compress, "bucket long, doc_id long, packed binary")
+    return docs.mapInArrow(compress, "bucket long, doc_id long, own_id long, packed binary")
+
+
+def _documents(docs: DataFrame) -> DataFrame:
+    """``doc_id, own_id, text`` where ``doc_id`` tells documents apart and orders them, and ``own_id`` is the row's own.
+
+    Mostly that is the row's id.  Where ids are null or repeat, documents are distinct pairs of id and text, numbered in order of
+    id (null first) and the text's digest, so null ids are as many documents as they have texts, in as many buckets.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("own_id"), "text")
+    again = docs.groupBy("own_id").count().filter("own_id is null or count > 1")
+    if again.isEmpty():
+        return docs.select(F.col("own_id").alias("doc_id"), "own_id", "text")
+    docs = docs.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    key = ["own_id", "digest"]
+    numbers = numbered(docs.select(*key).distinct(), [F.col("own_id").asc_nulls_first(), F.col("digest")], "doc_id")
+    return joined(docs, numbers, key).select("doc_id", "own_id", "text")
 
 
 def _texts(table: pa.Table) -> pa.Array:
@@ -242,12 +259,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
     """One row per row of ``docs`` (``doc_id, text``): ``doc_id, n_words, n_removed, kept_sha256, kept_text``.
 
     ``kept_text`` holds the kept words joined by one space.  Null and empty texts have no
-    words.  Null ids come before all others.  ``doc_id`` names a document: rows that repeat
-    it repeat its text and don't remove each other's words.  Columns but these two are not
-    read, whatever their names.  A text of any length is one document of one shard.  An empty
+    words.  Null ids come before all others.  Rows of equal id and text are one document and
+    don't remove each other's words; rows of one id, or none, and different texts are
+    documents in the order of their texts' digests.  Columns but these two are not read, whatever their names.  A text of any length is one document of one shard.  An empty
     table gives no rows.
     """
-    docs = by_bytes(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = _documents(by_bytes(docs))
     buckets = 1 + (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // shard_bytes
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +281,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
                 if len(first):
                     yield _pack((keys[first] % np.uint64(buckets)).astype(np.int64), keys[first], ids[first], places[first])
 
-    repeated = docs.mapInArrow(anchors, _PACKED).groupBy("bucket").applyInArrow(_meeting(True, buckets), _PACKED)
+    repeated = docs.select("doc_id", "text").mapInArrow(anchors, _PACKED).groupBy("bucket").applyInArrow(_meeting(True, buckets), _PACKED)
 
     def windows(texts: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(texts) or not len(replies):
@@ -310,7 +327,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
         out = [joined[a : max(a, b - 1)] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         count = np.diff(words.before)
         return pa.table({
-            "doc_id": texts.column("doc_id"),
+            "doc_id": texts.column("own_id"),
             "n_words": count,
             "n_removed": count - np.diff(rows),
             "kept_sha256": [hashlib.sha256(t).hexdigest() for t in out],

@@ -423,3 +423,16 @@ def test_scores_on_odd_rows(spark, score, docs):
 
 def test_lower_ascii_leaves_other_letters(spark):
     assert spark.range(1).select(lower_ascii(F.lit("AÉz Ñ")).alias("x")).first().x == "aÉz Ñ"
+
+
+def test_null_and_repeated_ids_are_documents_of_their_own(spark):
+    """A and B without ids come before a document with B; an id with two texts is two documents."""
+    make = lambda tag: " ".join(f"{tag}{i}" for i in range(60))
+    a, b, c, d = map(make, "abcd")
+    rows = [(None, a), (None, b), (7, b), (8, a + " " + c), (None, a), (5, d), (5, c), (9, c), (None, None), (6, "")]
+    got = {}
+    for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        got.setdefault(r.doc_id, []).append((r.n_words, r.n_removed))
+    assert got[7] == [(60, 60)] and got[8] == [(120, 120)] and got[9] == [(60, 60)] and got[6] == [(0, 0)]
+    assert sorted(got[None]) == [(0, 0), (60, 0), (60, 0), (60, 0)]  # the two rows of a are one document
+    assert sorted(got[5]) == [(60, 0), (60, 0)]
