@@ -14,7 +14,7 @@ from probspark.operators import graph as G
 from probspark.plans.fusion_queries import _LOGIT, AS_OF
 from probspark.plans.graph_queries import _ALLOCATED
 from probspark.plans.registry import query
-from probspark.sources.stored import stored
+from probspark.sources.stored import fresh_path, stored
 
 LIFE = 720.0
 
@@ -313,9 +313,12 @@ _PLANNED = """cached AS (SELECT * FROM panel WHERE dt < DATE '2000-01-01' AND en
 plan AS (SELECT u.entity, coalesce(greatest(CAST(l.latest - INTERVAL 60 DAY AS DATE), DATE '1995-01-01'), DATE '1995-01-01') AS a FROM (SELECT DISTINCT entity FROM panel) u LEFT JOIN (SELECT entity, max(dt) AS latest FROM cached GROUP BY entity) l ON u.entity = l.entity)"""
 
 
-@query("e2_pluggable_loader", "panel", keep="entity dt", doubles="close", sql=f"""WITH {_PLANNED}
+_LOADED = f"""WITH {_PLANNED}
 SELECT p.entity, p.dt, CASE WHEN c.entity IS NULL OR p.dt >= plan.a THEN p.close + 1 ELSE c.close END AS close FROM panel p JOIN plan ON p.entity = plan.entity LEFT JOIN cached c ON c.entity = p.entity AND c.dt = p.dt
-    WHERE p.dt <= DATE '2001-06-01' AND (p.dt >= plan.a OR c.entity IS NOT NULL)""")
+    WHERE p.dt <= DATE '2001-06-01' AND (p.dt >= plan.a OR c.entity IS NOT NULL)"""
+
+
+@query("e2_pluggable_loader", "panel", keep="entity dt", doubles="close", sql=_LOADED)
 def e2(panel):
     """A loader is a function from planned ranges to rows; here it reads the panel itself, marked by a higher close."""
     from probspark.operators.history import plan_loads
@@ -324,3 +327,17 @@ def e2(panel):
     plan = plan_loads(cached, panel.select("entity"), "entity", "dt", "1995-01-01", "2001-06-01", 60)
     loader = lambda wanted: panel.join(wanted.select("entity"), "entity", "left_semi").withColumn("close", F.col("close") + 1)
     return D.load_ranges(cached, plan, loader, "entity", "dt")
+
+
+@query("e2_range_source", "panel", keep="entity dt", doubles="close", sql=_LOADED)
+def e2b(panel):
+    """The same load through the data source: a task for each range of entities asks the provider's files for the missing dates only."""
+    from probspark.operators.history import merge_last, plan_loads
+    from probspark.sources.ranges import load_planned
+
+    provider = fresh_path(panel.sparkSession, "provider")
+    panel.withColumn("close", F.col("close") + 1).repartitionByRange(4, "entity").sortWithinPartitions("entity", "dt").write.parquet(provider)
+    cached = panel.filter("dt < date '2000-01-01' and entity < 'Brand#20'")
+    plan = plan_loads(cached, panel.select("entity"), "entity", "dt", "1995-01-01", "2001-12-01", 60)
+    loaded = load_planned(panel.sparkSession, plan, "entity string, dt date, close double", "entity", "dt", provider=provider).filter("dt <= date '2001-06-01'")
+    return merge_last(cached.select("entity", "dt", "close"), loaded, ["entity", "dt"])
