@@ -9,7 +9,8 @@ from probspark.operators import breadth as B
 from probspark.operators import turning as T
 from probspark.plans.panel_queries import _rank
 from probspark.plans.registry import query
-from probspark.sources.stored import stored
+from probspark.sources.stored import fresh_path, stored
+from probspark.streaming import monitors as M
 
 E = ["entity"]
 P = "p"
@@ -349,10 +350,14 @@ def s21(panel, members):
     return B.wide_records(info_rows(panel, members), ["entity", "dt"], ITEMS)
 
 
-def breadth(panel, members):
+def rank_and_records(panel, members):
     panel = stored(panel, "panel")
     rank = ranked(panel).select("entity", "dt", "p", "rank_probability", "divergence_rank", "visibility_rank", "regime", "signal_state", "position_state")
-    record = B.wide_records(info_rows(panel, members), ["entity", "dt"], ITEMS)
+    return rank, B.wide_records(info_rows(panel, members), ["entity", "dt"], ITEMS)
+
+
+def breadth(panel, members):
+    rank, record = rank_and_records(panel, members)
     df = B.breadth_scores(rank.join(record, ["entity", "dt"], "left"), ["dt"], E, P)
     df = B.rotation_breadth(df, ["dt"], E, P)
     return B.dashboard(B.snapshot_deltas(df, E, "dt"))
@@ -412,3 +417,24 @@ def p12(panel, members):
 @query("p13_dashboard_groups", "panel members", keep="entity dt dashboard_group priority", sql=f"{_TO_BREADTH}\nSELECT * FROM boards")
 def p13(panel, members):
     return breadth(panel, members)
+
+
+def monitored(panel, members):
+    """The breadth monitor over the records' snapshots: two years and more a file, one year coming again."""
+    spark = panel.sparkSession
+    rank, record = rank_and_records(panel, members)
+    record = record.withColumn("part", F.greatest(F.lit(0), F.least(F.lit(2), F.floor((F.year("dt") - 1992) / 2.5))).cast("int"))
+    again = record.filter("year(dt) = 1994").withColumn("part", F.lit(2))
+    record = stored(record.unionByName(again), "records")
+    path = M.stage_files(record, "part", 3, fresh_path(spark, "snapshots"))
+    return M.BreadthMonitor(spark, stored(rank, "rank"), record.drop("part").schema, E, "dt", P).run(path)
+
+
+@query("x1_breadth_monitor", "panel members", keep="entity dt rank_turn_breadth intraday_state dashboard_group priority previous_at", doubles="turn_breadth turn_breadth_delta", digits=4, sql=f"{_TO_BREADTH}\nSELECT * FROM boards")
+def x1(panel, members):
+    return monitored(panel, members).history()
+
+
+@query("x1_dashboard", "panel members", keep="entity dt dashboard_group priority rank_turn_breadth intraday_state", sql=f"{_TO_BREADTH}\nSELECT * FROM boards WHERE dt = (SELECT max(dt) FROM boards)")
+def x1b(panel, members):
+    return monitored(panel, members).dashboard()

@@ -10,8 +10,9 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from probspark.functions.expr import rank_pct
+from probspark.operators import breadth as B
 from probspark.operators.windows import first_rank
-from probspark.sources.stored import fresh_path
+from probspark.sources.stored import fresh_path, write_csv, write_summary
 
 
 def stage_files(df: DataFrame, part: str, parts: int, path: str) -> str:
@@ -145,3 +146,76 @@ def monitor_snapshots(spark: SparkSession, stream: DataFrame, entity: str, time:
 
     run_available(stream, once, "append", at)
     return latest_per_key(written(spark, at, more(stream.schema, "rank_pct double, rank int, batch int")), [entity, time]), spark.read.parquet(f"{at}/latest")
+
+
+class BreadthMonitor:
+    """Snapshots of breadth as they come, scored against a rank table: history, dashboard of the newest snapshot and its summary.
+
+    ``rank`` has ``key, at`` and what ``breadth_scores`` reads of a model; a file of the stream has whole snapshots (all records of one
+    ``at``).  A batch's rows get their changes since the key's snapshot before and join the history; a snapshot that comes again
+    replaces itself there, and is compared with what was before it, not with what came in the meantime.
+    """
+
+    def __init__(self, spark: SparkSession, rank: DataFrame, schema: StructType, key: list[str], at: str, probability: str):
+        self.spark, self.rank, self.schema, self.key, self.time, self.probability = spark, rank, schema, key, at, probability
+        self.at, self.history_schema = fresh_path(spark, "breadth"), None
+
+    def run(self, path: str) -> BreadthMonitor:
+        """Takes the files of ``path`` that it has not taken yet."""
+        run_available(read_files(self.spark, path, self.schema), self._take, "append", self.at)
+        return self
+
+    def _batches(self, name: str, condition: str) -> DataFrame | None:
+        """Rows of earlier batches, if there are any."""
+        if self.history_schema is None:
+            return None
+        return self.spark.read.schema(more(self.history_schema, "batch int")).option("basePath", f"{self.at}/{name}").parquet(f"{self.at}/{name}").filter(condition)
+
+    def _take(self, df: DataFrame, batch: int) -> None:
+        df = df.dropDuplicates([*self.key, self.time])
+        first = df.agg(F.min(self.time)).first()[0]
+        if first is None:
+            return
+        times = df.select(self.time).distinct()
+        current = self.rank.join(times, self.time, "left_semi").join(df, [*self.key, self.time], "left")
+        scored = B.rotation_breadth(B.breadth_scores(current, [self.time], self.key, self.probability), [self.time], self.key, self.probability)
+        before = self._before(first, batch)
+        both = scored.withColumn("current", F.lit(True))
+        if before is not None:
+            both = both.unionByName(before.select(*scored.columns).withColumn("current", F.lit(False)))
+        rows = B.dashboard(B.snapshot_deltas(both, self.key, self.time)).filter("current").drop("current")
+        rows.write.mode("overwrite").parquet(f"{self.at}/history/batch={batch}")
+        self.history_schema = rows.schema
+        rows = self.spark.read.schema(rows.schema).parquet(f"{self.at}/history/batch={batch}")
+        last = rows if before is None else rows.unionByName(self._batches("last", f"batch = {batch - 1}").drop("batch"))
+        newest = F.row_number().over(Window.partitionBy(*self.key).orderBy(F.desc(self.time)))
+        last.withColumn("__n", newest).filter("__n = 1").drop("__n").write.mode("overwrite").parquet(f"{self.at}/last/batch={batch}")
+
+    def _before(self, first, batch: int) -> DataFrame | None:
+        """Each key's last row before ``first``: of the table of last rows, or of the history where a snapshot comes again."""
+        last = self._batches("last", f"batch = {batch - 1}")
+        if last is None:
+            return None
+        if last.filter(F.col(self.time) >= F.lit(first)).isEmpty():
+            return last.drop("batch")
+        earlier = latest_per_key(self._batches("history", f"batch < {batch}").filter(F.col(self.time) < F.lit(first)), [*self.key, self.time])
+        n = F.row_number().over(Window.partitionBy(*self.key).orderBy(F.desc(self.time)))
+        return earlier.withColumn("__n", n).filter("__n = 1").drop("__n")
+
+    def history(self) -> DataFrame:
+        return latest_per_key(self._batches("history", "true"), [*self.key, self.time])
+
+    def dashboard(self) -> DataFrame:
+        """The newest snapshot's rows by priority and place."""
+        history = self.history()
+        newest = history.agg(F.max(self.time).alias("__t"))  # one row
+        return history.join(F.broadcast(newest), F.col(self.time) == F.col("__t")).drop("__t").orderBy("priority", "rank_turn_breadth", *self.key)
+
+    def write(self, folder: str) -> None:
+        """The dashboard as text files, and its summary (rows, snapshot, states, groups) as one JSON document."""
+        rows = self.dashboard()
+        write_csv(rows, f"{folder}/dashboard")
+        counts = lambda c: F.map_from_entries(F.sort_array(F.collect_list(F.struct(c, "n"))))
+        states, groups = (rows.groupBy(c).agg(F.count(F.lit(1)).alias("n")).agg(counts(c).alias(f"{c}_counts")) for c in ("intraday_state", "dashboard_group"))  # a few states
+        facts = rows.agg(F.count(F.lit(1)).alias("rows"), F.max(self.time).alias("snapshot"))
+        write_summary(facts.join(states, F.lit(True)).join(groups, F.lit(True)), f"{folder}/summary")
