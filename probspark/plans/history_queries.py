@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from probspark.operators import history as H
 from probspark.operators import windows as W
 from probspark.plans.registry import query
+from probspark.sources.tables import fresh_table
 
 _STORED = "SELECT * FROM panel WHERE dt < DATE '2000-01-01'"
 _BATCH = "SELECT entity, dt, open, close * 2 AS close, high, low, volume, amount FROM panel WHERE dt BETWEEN DATE '1999-06-01' AND DATE '2000-06-01' AND entity < 'Brand#15'"
@@ -27,29 +28,68 @@ def s1(panel):
     return panel.filter(F.col("entity").isin("Brand#1", "Brand#12") & F.col("dt").between("1996-01-01", "1998-12-31"))
 
 
-@query("s2_range_replace", "panel", keep="entity dt", doubles="close", sql=f"""
+_REPLACED = f"""
     WITH st AS ({_STORED}), ba AS ({_BATCH}), sp AS (SELECT entity, min(dt) AS a, max(dt) AS b FROM ba GROUP BY entity)
 SELECT entity, dt, close FROM st WHERE NOT EXISTS (SELECT 1 FROM sp WHERE sp.entity = st.entity AND st.dt BETWEEN a AND b)
-    UNION ALL SELECT entity, dt, close FROM ba""")
+    UNION ALL SELECT entity, dt, close FROM ba"""
+
+
+@query("s2_range_replace", "panel", keep="entity dt", doubles="close", sql=_REPLACED)
 def s2(panel):
     return H.replace_range(_stored(panel), _batch(panel), ["entity"], "dt")
 
 
-@query("s3_series_replace", "factors", keep="entity factor_date", doubles="factor", sql="""
-    SELECT entity, factor_date, CASE WHEN entity < 'Brand#15' THEN factor * 2 ELSE factor END AS factor FROM factors WHERE entity >= 'Brand#15' OR factor_date >= DATE '1998-01-01'""")
+_REBASED = """
+    SELECT entity, factor_date, CASE WHEN entity < 'Brand#15' THEN factor * 2 ELSE factor END AS factor FROM factors WHERE entity >= 'Brand#15' OR factor_date >= DATE '1998-01-01'"""
+
+
+@query("s3_series_replace", "factors", keep="entity factor_date", doubles="factor", sql=_REBASED)
 def s3(factors):
     batch = factors.filter("entity < 'Brand#15' and factor_date >= date '1998-01-01'").withColumn("factor", F.col("factor") * 2)
     return H.replace_keys(factors, batch, ["entity"])
 
 
-@query("s4_status_upsert", "panel", keep="entity period reliable_day source", sql="""
+_STATUS = """
     SELECT entity, 'daily' AS period, max(dt) AS reliable_day, CASE WHEN entity < 'Brand#15' THEN 'new' ELSE 'old' END AS source
-    FROM panel WHERE entity < 'Brand#15' OR dt < DATE '2000-01-01' GROUP BY entity""")
+    FROM panel WHERE entity < 'Brand#15' OR dt < DATE '2000-01-01' GROUP BY entity"""
+
+
+@query("s4_status_upsert", "panel", keep="entity period reliable_day source", sql=_STATUS)
 def s4(panel):
     status = lambda df, source: df.groupBy("entity").agg(F.lit("daily").alias("period"), F.max("dt").alias("reliable_day"), F.lit(source).alias("source"))
     return H.replace_keys(status(_stored(panel), "old"), status(panel.filter("entity < 'Brand#15'"), "new"), ["entity", "period"])
 
 
+@query("s2_stored_replace", "panel", keep="entity dt", doubles="close", sql=_REPLACED)
+def s2_stored(panel):
+    """The same on a table in months: other months' files stay as they are."""
+    table = fresh_table(_stored(panel), ["entity"], "dt")
+    table.replace_range(_batch(panel))
+    return table.read()
+
+
+@query("s3_stored_series", "factors", keep="entity factor_date", doubles="factor", sql=_REBASED)
+def s3_stored(factors):
+    table = fresh_table(factors, ["entity"], buckets=8)
+    table.replace_keys(factors.filter("entity < 'Brand#15' and factor_date >= date '1998-01-01'").withColumn("factor", F.col("factor") * 2))
+    return table.read()
+
+
+@query("s4_stored_status", "panel", keep="entity period reliable_day source", sql=_STATUS)
+def s4_stored(panel):
+    status = lambda df, source: df.groupBy("entity").agg(F.lit("daily").alias("period"), F.max("dt").alias("reliable_day"), F.lit(source).alias("source"))
+    table = fresh_table(status(_stored(panel), "old"), ["entity", "period"], buckets=8)
+    table.replace_keys(status(panel.filter("entity < 'Brand#15'"), "new"))
+    return table.read()
+
+
+@query("s5_stored_truncate", "panel", keep="entity dt", doubles="close", sql="SELECT entity, dt, close FROM panel WHERE dt < DATE '1997-05-01'")
+def s5_stored(panel):
+    table = fresh_table(panel, ["entity"], "dt")
+    table.truncate_from("1997-05-01")
+    return table.read()
+
+
 @query("s5_boundary_truncate", "panel", keep="removed", sql="SELECT count(*) AS removed FROM panel WHERE dt >= DATE '2000-01-01'")
 def s5(panel):
     return H.truncate_from(panel, "dt", "2000-01-01")[1]

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from probspark.operators import breadth as B
 from probspark.operators import history as H
 from probspark.plans.registry import query
+from probspark.sources.tables import fresh_table
 from probspark.sources import stored as S
 
 _W = "(PARTITION BY entity ORDER BY dt)"
@@ -32,9 +33,12 @@ def j1(panel, factors):
     return both[0].unionByName(both[1])
 
 
-@query("s7_merge_last", "panel", keep="entity dt", doubles="close", sql="""
+_MERGED = """
     WITH st AS (SELECT * FROM panel WHERE dt < DATE '2000-01-01'), ba AS (SELECT entity, dt, close * 3 AS close FROM panel WHERE dt >= DATE '1999-06-01' AND entity < 'Brand#15')
-SELECT coalesce(b.entity, a.entity) AS entity, coalesce(b.dt, a.dt) AS dt, coalesce(b.close, a.close) AS close FROM st a FULL JOIN ba b ON a.entity = b.entity AND a.dt = b.dt""")
+SELECT coalesce(b.entity, a.entity) AS entity, coalesce(b.dt, a.dt) AS dt, coalesce(b.close, a.close) AS close FROM st a FULL JOIN ba b ON a.entity = b.entity AND a.dt = b.dt"""
+
+
+@query("s7_merge_last", "panel", keep="entity dt", doubles="close", sql=_MERGED)
 def s7(panel):
     """The batch holds two rows of every key; the later written one stays."""
     batch = panel.filter("dt >= date '1999-06-01' and entity < 'Brand#15'").drop("volume")
@@ -42,6 +46,16 @@ def s7(panel):
     return H.merge_last(panel.filter("dt < date '2000-01-01'"), batch, ["entity", "dt"], "written")
 
 
+@query("s7_stored_merge", "panel", keep="entity dt", doubles="close", sql=_MERGED)
+def s7_stored(panel):
+    """The same on a table in months, of which only those of the batch are read and rewritten."""
+    table = fresh_table(panel.filter("dt < date '2000-01-01'"), ["entity"], "dt")
+    batch = panel.filter("dt >= date '1999-06-01' and entity < 'Brand#15'")
+    batch = batch.select("*", F.explode(F.array(F.lit(2), F.lit(3))).alias("written")).withColumn("close", F.col("close") * F.col("written"))
+    table.merge_last(batch, ["entity", "dt"], "written")
+    return table.read()
+
+
 @query("s8_coverage_window", "panel", keep="entity served tail_start rows_in_window", sql="""
     SELECT entity, CASE WHEN max(dt) >= DATE '1999-06-01' THEN 'cache' ELSE 'tail' END AS served, CASE WHEN max(dt) < DATE '1999-06-01' THEN greatest(CAST(max(dt) + INTERVAL 1 DAY AS DATE), DATE '1998-06-01') END AS tail_start,
         count(*) FILTER (dt BETWEEN DATE '1998-06-01' AND DATE '1999-06-01') AS rows_in_window FROM panel WHERE dt < DATE '1999-01-01' OR entity < 'Brand#15' GROUP BY entity""")
