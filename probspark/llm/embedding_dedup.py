@@ -3,10 +3,10 @@
 1. Equal vectors of a label meet as one representative with a number of copies.
 2. Representatives fall into overlapping cluster shards: a shard above ``most``
    members is split by pivots that it sampled from itself, and every member goes to
-   its nearest pivot and to those at which a link's other end may have its nearest: all
-   whose angle is within the range's angle over the root of the dimensions, ``SPREAD`` times, of the
-   nearest one's (the second one within twice the range's angle).  Labels that are split are split
-   twice, by other pivots, so a pair that the first split parts has another chance.  Pivots near each other count as one, so a group of near copies is
+   its nearest pivot and to the second one, unless that is so much further that no
+   link can cross.  All pivots within that margin would hold every link, but in many dimensions all
+   pivots are within it, so labels that are split are split twice, by other pivots: a pair that one
+   split parts meets in the other.  Pivots near each other count as one, so a group of near copies is
    never torn apart; such a tight shard may stay large.
 3. In a tight shard, members so near its pivot that any two of them must link (the
    angle between two is at most the sum of theirs to the pivot) are its core: they are
@@ -45,7 +45,6 @@ MOST_MEMBERS = 1500
 PIVOTS = 16
 AUDITED = 200
 LEVELS = 12
-SPREAD = 4.0
 ENTRIES = 32
 
 
@@ -64,23 +63,25 @@ def robust_graph(x: np.ndarray, degree: int, candidates: int, alpha: float = 1.2
     """Each row's neighbours among its nearest ``candidates``: one is dropped when a kept one is ``alpha`` times nearer to it."""
     n = len(x)
     k = min(candidates, n - 1)
+    if k < 1:
+        return [np.zeros(0, np.int64) for _ in range(n)]
     lists = []
-    for low in range(0, n, 512):
-        near = x[low : low + 512] @ x.T
-        near[np.arange(len(near)), np.arange(low, low + len(near))] = -2
-        top = np.argpartition(-near, k - 1, axis=1)[:, :k] if k else np.zeros((len(near), 0), int)
-        for i, own in enumerate(top):
-            own = own[np.argsort(-near[i, own], kind="stable")]
-            distance = np.sqrt(np.maximum(0, 2 - 2 * near[i, own]))
-            between = np.sqrt(np.maximum(0, 2 - 2 * (x[own] @ x[own].T)))
-            alive, kept = np.ones(len(own), bool), []
-            for j in range(len(own)):
-                if alive[j]:
-                    kept.append(own[j])
-                    if len(kept) == degree:
-                        break
-                    alive &= alpha * between[j] > distance
-            lists.append(np.array(kept, np.int64))
+    together = max(1, min(512, 4_000_000 // (k * max(k, x.shape[1]))))
+    for low in range(0, n, together):
+        near = x[low : low + together] @ x.T
+        rows = np.arange(len(near))[:, None]
+        near[rows[:, 0], np.arange(low, low + len(near))] = -2
+        top = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        top = top[rows, np.argsort(-near[rows, top], axis=1, kind="stable")]
+        own = x[top]
+        distance = np.sqrt(np.maximum(0, 2 - 2 * near[rows, top]))
+        between = np.sqrt(np.maximum(0, 2 - 2 * (own @ own.transpose(0, 2, 1))))
+        alive, kept, count = np.ones(top.shape, bool), np.zeros(top.shape, bool), np.zeros(len(top), np.int64)
+        for j in range(k):  # the j-th nearest candidate of every row at once
+            kept[:, j] = alive[:, j] & (count < degree)
+            count += kept[:, j]
+            alive &= ~kept[:, j, None] | (alpha * between[:, j] > distance)
+        lists += [t[m] for t, m in zip(top, kept, strict=True)]
     return lists
 
 
@@ -125,14 +126,32 @@ def range_search(x: np.ndarray, table: np.ndarray, asked: np.ndarray, own: np.nd
                 cosine[a, b] = np.einsum("ij,ij->i", asked[a], x[b])
 
     width = min(beam, n)
-    while True:  # greedy: the best rows seen so far that aren't expanded, for every query at once
-        top = np.argpartition(-cosine[:, :n], width - 1, axis=1)[:, :width]
-        open_ = ~expanded[rows, top] & (cosine[rows, top] > -2)
-        if not open_.any():
+    start = np.where(np.isin(own, medoids) | (own < 0), n, own)[:, None]
+    top = np.concatenate([np.broadcast_to(medoids, (len(asked), len(medoids))), start], axis=1)
+    top = np.concatenate([top, np.full((len(asked), max(0, width - top.shape[1])), n)], axis=1)
+
+    def best(some: np.ndarray, of: np.ndarray) -> np.ndarray:
+        kept = np.argpartition(-cosine[some[:, None], of], width - 1, axis=1)[:, :width]
+        return np.take_along_axis(of, kept, 1)
+
+    top = best(np.arange(len(asked)), top)
+    while True:  # greedy: the best row of each query's beam that isn't expanded, for every query at once
+        value = np.where(expanded[rows, top], -3.0, cosine[rows, top])
+        who = np.flatnonzero(value.max(1) > -2)
+        if not len(who):
             break
-        best = np.where(open_, cosine[rows, top], -3).argmax(1)
-        who = np.flatnonzero(open_.any(1))
-        visit(who, top[who, best[who]])
+        node = top[who, value[who].argmax(1)]
+        expanded[who, node] = True
+        step = max(1, 400_000 // table.shape[1])  # neighbours at a time
+        for low in range(0, len(who), step):
+            some = who[low : low + step]
+            next_ = table[node[low : low + step]]
+            next_ = np.where((next_ >= 0) & (cosine[some[:, None], next_] == -2.0), next_, n)
+            i, j = np.nonzero(next_ < n)
+            for at in range(0, len(i), 20_000):
+                a, b = some[i[at : at + 20_000]], next_[i[at : at + 20_000], j[at : at + 20_000]]
+                cosine[a, b] = np.einsum("ij,ij->i", asked[a], x[b])
+            top[some] = best(some, np.concatenate([top[some], next_], axis=1))
     while True:  # range: every row near the range is expanded
         who, nodes = np.nonzero((cosine[:, :n] >= threshold - slack) & ~expanded[:, :n])
         if not len(who):
@@ -155,11 +174,9 @@ def _split(table: pa.Table, threshold: float = RANGE) -> pa.Table:
             apart.append(i)
     rows, names = table.filter(pa.array(~pivot)), table.column("n").to_numpy()[pivot][apart]
     cosines = x[~pivot] @ heads[apart].T
-    nearest = np.argsort(-cosines, axis=1, kind="stable")
+    nearest = np.argsort(-cosines, axis=1, kind="stable")[:, :2]
     angle = np.arccos(np.clip(np.take_along_axis(cosines, nearest, 1), -1, 1))
-    reach = np.arccos(threshold)  # a link turns the angle to a pivot by this at most, and mostly by its share in one dimension
-    use = angle <= angle[:, :1] + min(2.0, SPREAD / x.shape[1] ** 0.5) * reach + 1e-6
-    use[:, :2] = angle[:, :2] <= angle[:, :1] + 2 * reach + 1e-6
+    use = angle <= angle[:, :1] + 2 * np.arccos(threshold) + 1e-6  # beyond, the other side of a link has no nearer pivot there
     own = np.flatnonzero(use) // nearest.shape[1]
     tight = len(apart) == 1
     cells = [f"{c.as_py()}{'!' if tight else '/'}{p}" for c, p in zip(rows.column("cell").take(pa.array(own)), names[nearest[use]], strict=True)]
