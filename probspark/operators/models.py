@@ -5,26 +5,23 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from probspark.operators import boosting
 from probspark.sources.stored import stored
 
 
-def classifier(features: list[str], label: str, rows: int, kind: str = "logistic", rounds: int = 200) -> Pipeline:
-    """Median imputation, then a scaled logistic model with balanced classes (column ``weight``) or boosted trees.
+def classifier(features: list[str], label: str, rows: int) -> Pipeline:
+    """Median imputation, then a scaled logistic model with balanced classes (column ``weight``).
 
-    The logistic penalty is 1/``rows`` on scaled features, that of one unit on the sum of losses.
+    The penalty is 1/``rows`` on scaled features, that of one unit on the sum of losses.
     """
     filled = [f"{c}__filled" for c in features]
     stages = [Imputer(strategy="median", inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="__raw")]
-    if kind == "boosted":
-        return Pipeline(stages=[*stages, GBTClassifier(featuresCol="__raw", labelCol=label, maxIter=rounds, stepSize=0.05, maxDepth=5, seed=7)])
-    if kind != "logistic":
-        raise ValueError(f"unknown model: {kind}")
     scaler = StandardScaler(inputCol="__raw", outputCol="__scaled", withMean=True)
     return Pipeline(stages=[*stages, scaler, LogisticRegression(featuresCol="__scaled", labelCol=label, weightCol="weight", maxIter=2000, regParam=1 / max(rows, 1), standardization=False)])
 
@@ -40,14 +37,20 @@ def balanced(train: DataFrame, label: str) -> tuple[DataFrame, int] | None:
 
 
 def fold(panel: DataFrame, features: list[str], label: str, date: str, start, end, embargo_months: int, kind: str, rounds: int) -> DataFrame | None:
-    """Rows from ``start`` up to ``end`` (all later ones for None), scored by a model of rows whose label was known by then."""
+    """Rows from ``start`` up to ``end`` (all later ones for None), scored by a model of rows whose label was known by then; None without both classes."""
     known = panel.filter(F.col(label).isNotNull() & (F.col(date) < F.add_months(F.lit(start), -embargo_months)))
-    train = balanced(known, label)
-    if train is None:
-        return None
     rows = panel.filter((F.col(date) >= F.lit(start)) & (F.lit(True) if end is None else F.col(date) < F.lit(end)))
-    scored = classifier(features, label, train[1], kind, rounds).fit(train[0]).transform(rows)
-    return scored.select(*panel.columns, vector_to_array("probability")[1].alias("p"), F.lit(str(start)).alias("trained_until"), F.lit(embargo_months).alias("embargo"))
+    if kind == "boosted":
+        model = boosting.fit(known, features, label, rounds)
+        scored = None if model is None else model.scored(rows)
+    elif kind == "logistic":
+        train = balanced(known, label)
+        scored = None if train is None else classifier(features, label, train[1]).fit(train[0]).transform(rows).withColumn("p", vector_to_array("probability")[1])
+    else:
+        raise ValueError(f"unknown model: {kind}")
+    if scored is None:
+        return None
+    return scored.select(*panel.columns, "p", F.lit(str(start)).alias("trained_until"), F.lit(embargo_months).alias("embargo"))
 
 
 def walk_forward(panel: DataFrame, features: list[str], label: str, date: str, refits: list, embargo_months: int, kind: str = "logistic", rounds: int = 200) -> DataFrame | None:

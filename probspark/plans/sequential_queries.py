@@ -12,7 +12,7 @@ from probspark.operators import ratings as R
 from probspark.operators import turning as T
 from probspark.plans.registry import ORACLE_SQL, QUERIES, query
 from probspark.sources.inputs import load
-from probspark.sources.stored import fresh_path
+from probspark.sources.stored import fresh_path, stored
 from probspark.streaming import monitors as S
 from probspark.streaming import ordered as Ordered
 
@@ -96,7 +96,7 @@ def _or_none(scored: DataFrame | None, panel: DataFrame) -> DataFrame:
 
 def m1_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boosted trees (20 rounds here) fitted on all but the last year, which they score."""
-    panel = _labelled(spark, sf_dir)
+    panel = stored(_labelled(spark, sf_dir), "labelled")
     refits = M._dates(panel, "dt")[-12:-11]
     return _or_none(M.walk_forward(panel, FEATURES, "label", "dt", refits, 3, "boosted", 20), panel)
 
