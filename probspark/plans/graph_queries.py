@@ -99,17 +99,29 @@ def p6(features):
     return _states(features).withColumns({"regime": X.market_regime(F.col("probability")), "direction": X.flow_direction(flow, 2), "significance": X.flow_significance(flow, 2, 5)})
 
 
+#: States of a group and of a member, by place, probability, its change and the mean of three changes; fixed values.
+GROUP_STATES = ["strong_rising_theme", "rising_candidate", "cooling_theme", "neutral_or_wait"]
+MEMBER_STATES = ["leader_candidate", "rising_candidate", "weak_or_cooling", "neutral_or_wait"]
+
+
+def _ranked_state(names: list[str], first: int, second: int, low: float):
+    """The first state within place ``first``, the second within ``second``, the third below ``low``."""
+    rank, p, flow, momentum = (F.col(c) for c in ("rank", "probability", "flow_pp", "momentum_3"))
+    state = F.when((rank <= first) & (p >= 0.65) & (momentum > 0), names[0]).when((rank <= second) & (p >= 0.55) & (flow > 0), names[1])
+    return state.when((p < low) & (flow < 0), names[2]).otherwise(names[3])
+
+
+def _ranked_state_sql(names: list[str], first: int, second: int, low: float) -> str:
+    return f"""CASE WHEN rank <= {first} AND probability >= 0.65 AND momentum_3 > 0 THEN '{names[0]}' WHEN rank <= {second} AND probability >= 0.55 AND flow > 0 THEN '{names[1]}'
+        WHEN probability < {low} AND flow < 0 THEN '{names[2]}' ELSE '{names[3]}' END"""
+
+
 @query("p8_p10_signal_states", "features", keep="entity dt group_state member_state", sql=f"""
-    SELECT entity, dt, CASE WHEN rank <= 10 AND probability >= 0.65 AND ret_1 > 0 THEN 'strong' WHEN rank <= 20 AND probability >= 0.55 AND flow > 0 THEN 'rising'
-        WHEN probability < 0.35 AND flow < 0 THEN 'cooling' ELSE 'neutral' END AS group_state,
-        CASE WHEN rank <= 3 AND probability >= 0.65 AND ret_1 > 0 THEN 'leader_candidate' WHEN rank <= 10 AND probability >= 0.55 AND flow > 0 THEN 'rising_candidate'
-        WHEN probability < 0.40 AND flow < 0 THEN 'weak_or_cooling' ELSE 'neutral_or_wait' END AS member_state FROM ({_STATE_IN}) s""")
+    SELECT entity, dt, {_ranked_state_sql(GROUP_STATES, 10, 20, 0.35)} AS group_state, {_ranked_state_sql(MEMBER_STATES, 3, 10, 0.40)} AS member_state
+    FROM (SELECT *, CASE WHEN count(flow) OVER m = 3 THEN avg(flow) OVER m END AS momentum_3 FROM ({_STATE_IN}) s WINDOW m AS (PARTITION BY entity ORDER BY dt ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)) t""")
 def p8(features):
-    rank, p, flow, momentum = (F.col(c) for c in ("rank", "probability", "flow", "ret_1"))
-    group = F.when((rank <= 10) & (p >= 0.65) & (momentum > 0), "strong").when((rank <= 20) & (p >= 0.55) & (flow > 0), "rising").when((p < 0.35) & (flow < 0), "cooling").otherwise("neutral")
-    member = F.when((rank <= 3) & (p >= 0.65) & (momentum > 0), "leader_candidate").when((rank <= 10) & (p >= 0.55) & (flow > 0), "rising_candidate")
-    member = member.when((p < 0.40) & (flow < 0), "weak_or_cooling").otherwise("neutral_or_wait")
-    return _states(features).withColumns({"group_state": group, "member_state": member})
+    df = W.probability_flow(_states(features).drop("flow"), ["entity"], "dt", "probability")
+    return df.withColumns({"group_state": _ranked_state(GROUP_STATES, 10, 20, 0.35), "member_state": _ranked_state(MEMBER_STATES, 3, 10, 0.40)})
 
 
 @query("p17_coalesced_columns", "features", keep="entity dt", doubles="first_known", sql="SELECT entity, dt, coalesce(amount_ratio, ret_5, ret_1) AS first_known FROM features")
