@@ -42,6 +42,8 @@ def drop_copies(docs: DataFrame, first_digit: int = FIRST_DIGIT) -> DataFrame:
     """``docs`` (all columns) without the rows whose text equals that of a row with a larger ``doc_id``.
 
     One row of each group stays, also where rows repeat the largest id or all ids are null.
+    Null counts as empty and stays null.  Texts of any length are compared whole.  Other columns may
+    have any name.  An empty table gives no rows.
     """
     names = docs.columns
     others = F.struct(*(n for n in names if n != "text"), F.col("text").isNull().alias("__null"))

@@ -119,7 +119,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, e
 
     A document is its text's ids and ``end_id``; null and empty texts are that id
     alone.  Repeated rows are packed once each; a null ``doc_id`` is carried.  An
-    empty table gives no rows.  ``sequence_id`` tells sequences apart (it starts
+    empty table gives no rows.  A text of any length is encoded whole and cut into windows; of equally
+    good fill levels the fullest is taken.  Other columns are not read.  ``sequence_id`` tells sequences apart (it starts
     with the partition's number); ``offset`` is gapless from 0 in each.
     """
 

@@ -33,7 +33,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     """One row per row of ``docs`` (``doc_id, text``): ``doc_id, n_bytes, n_tokens, over_limit``.
 
     Normalising leaves text as it is but for null, which counts as empty (0 tokens).
-    Special tokens' strings are handled as the library does by default.  Repeated rows
+    Special tokens' strings are handled as the library does by default.  A text of any length is
+    encoded whole; a null ``doc_id`` is carried.  Repeated rows
     give a row each; other columns are not read; an empty table gives no rows.
     ``cache_path`` is a Parquet folder, made if missing; the file at
     ``tokenizer_path`` must be on every executor.
