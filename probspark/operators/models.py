@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probspark.operators import boosting
+from probspark.operators import boosting, folds
 from probspark.sources.stored import stored
 
 
@@ -53,12 +53,29 @@ def fold(panel: DataFrame, features: list[str], label: str, date: str, start, en
     return scored.select(*panel.columns, "p", F.lit(str(start)).alias("trained_until"), F.lit(embargo_months).alias("embargo"))
 
 
+def side_by_side(panel: DataFrame, features: list[str], label: str, date: str, starts: list, until, embargo_months: int) -> DataFrame | None:
+    """Rows from the first of ``starts`` on (up to ``until``), each scored by the logistic model of its fold; all folds are fitted together."""
+    if not starts:
+        return None
+    spark = panel.sparkSession
+    cutoffs = spark.range(1).select(*(F.add_months(F.lit(s), -embargo_months).alias(f"c{i}") for i, s in enumerate(starts))).first()
+    model = folds.fit_folds(panel, features, label, date, list(cutoffs))
+    if not model.rows.any():
+        return None
+    rows = panel if until is None else panel.filter(F.col(date) <= F.lit(until))
+    scored = folds.score_folds(rows, features, date, starts, model)
+    names = F.array(*(F.lit(str(s)) for s in starts))
+    return scored.select(*panel.columns, "p", F.get(names, F.col("fold")).alias("trained_until"), F.lit(embargo_months).alias("embargo"))
+
+
 def walk_forward(panel: DataFrame, features: list[str], label: str, date: str, refits: list, embargo_months: int, kind: str = "logistic", rounds: int = 200) -> DataFrame | None:
     """Rows from each refit date to the next, scored by a model of rows whose label was known ``embargo_months`` before it.
 
-    A label with a horizon is known only later; the embargo keeps such rows out (0 leaves them in).  The refit dates are few,
-    each fold is one distributed fit over the stored panel, and folds with one class are left out.
+    A label with a horizon is known only later; the embargo keeps such rows out (0 leaves them in).  Logistic folds are fitted side
+    by side, boosted ones one after the other over the stored panel; folds with one class are left out.
     """
+    if kind == "logistic":
+        return side_by_side(panel, features, label, date, refits, None, embargo_months)
     panel = stored(panel, "folds")
     parts = [fold(panel, features, label, date, start, end, embargo_months, kind, rounds) for start, end in zip(refits, [*refits[1:], None], strict=True)]
     parts = [p for p in parts if p is not None]
@@ -84,6 +101,8 @@ def score_dates(panel: DataFrame, features: list[str], label: str, date: str, at
         raise ValueError(f"no rows on {at}")
     until = dates.index(at)
     wanted = dates[max(0, until - look_back + 1) : until + 1]
+    if kind == "logistic":
+        return side_by_side(panel, features, label, date, wanted, at, embargo_months)
     panel = stored(panel.filter(F.col(date) <= F.lit(at)), "folds")
     after = [*dates, None]
     parts = [fold(panel, features, label, date, d, after[dates.index(d) + 1], embargo_months, kind, rounds) for d in wanted]
