@@ -6,6 +6,7 @@ A probability question is a *subject* with *outcomes*; a panel has *entities* wi
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels")
 
@@ -83,10 +84,14 @@ INPUTS: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
-def _needed(names: tuple[str, ...]) -> list[str]:
+#: Monthly bars and the columns of ``part`` that key them: Spark builds these from partial aggregates, see ``monthly_bars``.
+BARS = {"panel": {"p_brand": "entity"}, "members": {"p_type": "grp", "p_brand": "member"}, "groups": {"p_type": "grp"}}
+
+
+def _needed(names: tuple[str, ...], without: tuple[str, ...] = ()) -> list[str]:
     found: list[str] = []
-    for name in names:
-        for x in (*_needed(INPUTS[name][0]), name):
+    for name in (n for n in names if n not in without):
+        for x in (*_needed(INPUTS[name][0], without), name):
             if x not in found:
                 found.append(x)
     return found
@@ -97,12 +102,33 @@ def ctes(*names: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({INPUTS[n][1]})" for n in _needed(names))
 
 
+def monthly_bars(lineitem: DataFrame, part: DataFrame, key: dict[str, str]) -> DataFrame:
+    """Bars per key and month: prices of the first and the last line in order, extremes and sums.
+
+    The SQL of these bars numbers all lines of a key's month in one task; here each task sends one partial row per bar.
+    """
+    order, price = F.struct(*_ORDER.split(", ")), F.col("l_extendedprice") / F.col("l_quantity")
+    total = lambda c: F.sum(F.col(c).cast("decimal(18,2)")).cast("double")
+    month = F.date_trunc("month", "l_shipdate").cast("date").alias("dt")
+    return lineitem.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(*(F.col(c).alias(n) for c, n in key.items()), month).agg(
+        F.min_by(price, order).alias("open"), F.max_by(price, order).alias("close"), F.max(price).alias("high"), F.min(price).alias("low"),
+        total("l_quantity").alias("volume"), total("l_extendedprice").alias("amount"),
+    )
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A base table, or an input derived from base tables."""
+    read = lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet")
     if name in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    sql = f"{ctes(name)} SELECT * FROM {name}"
+        return read(name)
+    if name in BARS:
+        return monthly_bars(read("lineitem"), read("part"), BARS[name])
+    built = tuple(n for n in INPUTS[name][0] if n in BARS)
+    for bars in built:
+        load(spark, sf_dir, bars).createOrReplaceTempView(bars)
+    needed = _needed((name,), built)
+    sql = "WITH " + ",\n".join(f"{n} AS ({INPUTS[n][1]})" for n in needed) + f" SELECT * FROM {name}"
     for table in TABLES:
         if table in sql:
-            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+            read(table).createOrReplaceTempView(table)
     return spark.sql(sql)
