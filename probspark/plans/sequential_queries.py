@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from probspark.operators import model_ranks as MR
 from probspark.operators import models as M
 from probspark.operators import online as O
 from probspark.operators import ratings as R
@@ -116,6 +117,26 @@ def m4_look_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _or_none(M.score_dates(panel, FEATURES, "label", "dt", M._dates(panel, "dt")[-1], 3, 3), panel)
 
 
+def _model_ranks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(bars, ranks by a model that is refitted every twelve months from the 37th labelled one on)."""
+    panel = stored(load(spark, sf_dir, "panel"), "panel")
+    table = MR.model_table(panel, ["entity"], "dt", quantile=0.6, least_runup=0.02)
+    scores = MR.model_scores(table, MR.FEATURES, "label_turn_3", "dt", 36, 12, 3)
+    scores = _or_none(scores, table)
+    return panel, stored(MR.model_ranks(scores, ["entity"], "dt"), "model-ranks")
+
+
+def m2_model_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model's probabilities with rank, flow, momentum, signal state and strategy score; the last date's rows have no label."""
+    return _model_ranks(spark, sf_dir)[1].select("entity", "dt", "p", "rank_probability", "flow_pp", "momentum_3", "signal_state", "strategy_score", "label_turn_3", "trained_until")
+
+
+def m2_model_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Backtest of each configuration on the model's ranks, and the quality of its probabilities."""
+    panel, ranks = _model_ranks(spark, sf_dir)
+    return MR.model_report(ranks, panel, "entity", "dt", "label_turn_3", "fwd_ret_3")
+
+
 PARTS = 4
 LATE = "20 days"
 
@@ -233,6 +254,7 @@ def x5_stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES.update({f.__name__: f for f in (
     g9_margin_removal, g11_online_stacking, g12_ridge_stacking, g13_adaptive_conformal, g14_aggregated_conformal, m1_boosted_trees, m2_walk_forward, m3_score_latest, m4_look_back,
+    m2_model_ranks, m2_model_report,
     x1_snapshot_monitor, x2_stream_deltas, x3_stream_history, x4_stream_learner, x4_stream_learners, x4_stream_weights, x5_stream_windows,
 )})
 ORACLE_SQL.update({
