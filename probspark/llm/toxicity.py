@@ -9,7 +9,7 @@ of a non-toxic document are all non-toxic, and a toxic document's label goes to
 passages in proportion to a softmax of their logits that sharpens with time.
 
 Only subwords that ``LEAST_TOXIC`` toxic documents of the sample hold, at ``LEAST_LIFT`` times
-the base rate or more, have vectors: a model over all of them learns its sample by heart.
+the sample's odds or more, have vectors: a model over all of them learns its sample by heart.
 Others weigh nothing, but count in the average.
 
 With two classes a subword acts through one number, the product of its vector and the
@@ -40,7 +40,7 @@ SAMPLE_ROWS = 4000
 SAMPLE_BYTES = 16 << 20
 WORDS_AT_ONCE = 20_000
 LEAST_TOXIC = 4  # toxic documents of the sample that a subword must occur in
-LEAST_LIFT = 2.0  # their share among its documents, in base rates
+LEAST_LIFT = 2.0  # odds of toxic among its documents, in odds of the whole sample: any class balance can be learned from
 
 
 def word_subwords(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +124,8 @@ class Passages:
             b = np.unique(self.buckets[at])
             held[b] += 1
             toxic[b] += label
-        return (toxic >= LEAST_TOXIC) & (toxic >= LEAST_LIFT * labels.mean() * held)
+        clean = held - toxic
+        return (toxic >= LEAST_TOXIC) & (toxic * (1 - labels).sum() >= LEAST_LIFT * labels.sum() * clean)
 
     def only(self, chosen: np.ndarray) -> Passages:
         """The same passages with the chosen subwords only, and with the words that hold some."""
