@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +118,20 @@ def test_conformal_matches_a_plain_loop(spark, window):
     assert sum(misses) / len(misses) <= 0.15
 
 
+def test_streams_of_a_batch_are_learned_in_one_frame():
+    """A frame for each stream took most of the time where there are many streams."""
+    rows = pd.DataFrame([(k, i, ((i * 7919 + (k or 9)) % 1000) / 1000) for k in (*range(40), None) for i in range(20)], columns=["k", "seq", "score"])
+    for make in (online.AdaptiveConformal, online.AggregatedConformal):
+        learners = {}
+        halves = [online.learn_streams(rows[part].reset_index(drop=True), ["k"], ["seq"], make, learners) for part in (rows.seq < 9, rows.seq >= 9)]
+        assert [len(h) for h in halves] == [41 * 9, 41 * 11] and len(learners) == 41
+        for k, own in rows.groupby("k", dropna=False):
+            one = make()
+            want = [(*one.step(s), one.alpha) for s in own.score]
+            got = pd.concat([h[h.k.isna() if pd.isna(k) else h.k == k] for h in halves])
+            assert list(got[["threshold", "miss", "alpha"]].itertuples(index=False, name=None)) == want
+
+
 def test_aggregated_conformal_keeps_uniform_weights():
     learner = online.AggregatedConformal()
     misses = [learner.update(((i * 7919) % 1000) / 1000) for i in range(200)]
