@@ -139,6 +139,8 @@ def m2_model_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PARTS = 4
 LATE = "20 days"
+#: Files of a part where a learner's result doesn't depend on micro-batches: within ``LATE`` their order is of no account.
+FILES = 16
 
 
 def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,11 +161,11 @@ def staged_events(spark: SparkSession, sf_dir: str) -> tuple[str, object]:
     return S.stage_files(rows, "part", PARTS, fresh_path(spark, "events")), rows.drop("part").schema
 
 
-def read_twice(spark: SparkSession, rows: DataFrame, name: str, stream) -> object:
-    """``stream(folder, schema)`` run over the first two files of ``rows``, and again when the others have come."""
-    path, made = fresh_path(spark, name), None
+def read_twice(spark: SparkSession, rows: DataFrame, name: str, stream, files: int = 1) -> object:
+    """``stream(folder, schema)`` run over the first two parts of ``rows``, and again when the others have come."""
+    path, made, rows = fresh_path(spark, name), None, stored(rows, name)
     for first in (0, 2):
-        S.stage_files(rows.filter(F.col("part").between(first, first + 1)).withColumn("part", F.col("part") - first), "part", 2, path)
+        S.stage_files(rows.filter(F.col("part").between(first, first + 1)).withColumn("part", F.col("part") - first), "part", 2, path, files)
         made = made or stream(path, rows.drop("part").schema)
         made.run()
     return made
@@ -179,8 +181,8 @@ def x1_snapshot_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def x2_stream_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _arrivals(spark, sf_dir).select("user_id", "event_id", "ts", "value", "part")
-    stream = lambda path, schema: Ordered.OrderedStream(spark, path, schema, ["user_id"], "ts", ["event_id"], LATE, Ordered.Deltas, "event_id long, delta double", "deltas")
-    return read_twice(spark, rows, "events", stream).result().withColumn("delta", F.round("delta", 6))
+    stream = lambda path, schema: Ordered.OrderedStream(spark, path, schema, ["user_id"], "ts", ["event_id"], LATE, Ordered.Deltas, "event_id long, delta double", "deltas", files=FILES)
+    return read_twice(spark, rows, "events", stream, FILES).result().withColumn("delta", F.round("delta", 6))
 
 
 def x3_stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,8 +194,8 @@ def x4_stream_learner(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The adaptive conformal learner of each user, predicting and then learning from every event in order, on all scores so far."""
     rows = _arrivals(spark, sf_dir).select("user_id", "event_id", "ts", "value", "part")
     learner = lambda: Ordered.Conformal(O.AdaptiveConformal)
-    stream = lambda path, schema: Ordered.OrderedStream(spark, path, schema, ["user_id"], "ts", ["event_id"], LATE, learner, "event_id long, threshold double, miss int, alpha double", "learner")
-    return read_twice(spark, rows, "events", stream).result()
+    stream = lambda path, schema: Ordered.OrderedStream(spark, path, schema, ["user_id"], "ts", ["event_id"], LATE, learner, "event_id long, threshold double, miss int, alpha double", "learner", files=FILES)
+    return read_twice(spark, rows, "events", stream, FILES).result()
 
 
 def all_learners() -> Ordered.Several:
@@ -209,10 +211,10 @@ def forecasts_on_stream(spark: SparkSession, sf_dir: str, learner) -> DataFrame:
     """The learners of each user's forecasts, on forecasts that come as files, late and twice."""
     keys = Window.partitionBy("user_id").orderBy("ts", "event_id")
     steps = load(spark, sf_dir, "events").withColumn("seq", F.row_number().over(keys).cast("long")).select(F.col("user_id").alias("stream_id"), "seq", "event_id", F.col("ts").cast("timestamp").alias("ts"))
-    rows = load(spark, sf_dir, "forecasts").join(steps, ["stream_id", "seq"]).join(_arrivals(spark, sf_dir).select("event_id", "part"), "event_id")
-    rows = rows.select("stream_id", "seq", "source_id", "prediction", "actual", "ts", "part")
-    stream = lambda path, schema: Ordered.OrderedStream(spark, path, schema, ["stream_id"], "ts", ["seq", "source_id"], LATE, learner, Ordered.LEARNED, "learners")
-    return read_twice(spark, rows, "forecasts", stream).result()
+    steps = steps.join(_arrivals(spark, sf_dir).select("event_id", "part"), "event_id")
+    rows = load(spark, sf_dir, "forecasts").join(steps, ["stream_id", "seq"]).select("stream_id", "seq", "source_id", "prediction", "actual", "ts", "part")
+    stream = lambda path, schema: Ordered.OrderedStream(spark, path, schema, ["stream_id"], "ts", ["seq", "source_id"], LATE, learner, Ordered.learned(learner()), "learners", files=FILES)
+    return Ordered.one_row_each(read_twice(spark, rows, "forecasts", stream, FILES).result(), ["stream_id"], learner())
 
 
 def x4_stream_learners(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,16 +15,17 @@ from probspark.operators.windows import first_rank
 from probspark.sources.stored import fresh_path, write_csv, write_summary
 
 
-def stage_files(df: DataFrame, part: str, parts: int, path: str) -> str:
-    """``df`` as files that a stream reads one after the other: rows of part 0 (column ``part``) first, and so on."""
+def stage_files(df: DataFrame, part: str, parts: int, path: str, files: int = 1) -> str:
+    """``df`` as files that a stream reads one after the other: rows of part 0 (column ``part``) first, and so on; ``files`` for each part."""
     for i in range(parts):
-        df.filter(F.col(part) == i).drop(part).coalesce(1).write.mode("append").parquet(path)
+        rows = df.filter(F.col(part) == i).drop(part)
+        (rows.coalesce(1) if files == 1 else rows.repartition(files)).write.mode("append").parquet(path)
     return path
 
 
-def read_files(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A folder as a file stream, a file in each micro-batch."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+def read_files(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
+    """A folder as a file stream, so many files in each micro-batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def run_available(stream: DataFrame, write: Callable[[DataFrame, int], None], mode: str, at: str) -> None:

@@ -1,6 +1,6 @@
 """Learners on streams: rows of a key go to its learner in order of event time, also where files come late or twice.
 
-Rows wait in a list state until the watermark has passed them; a timer lets them go.  What
+Keys are dealt to a number of groups.  A group's rows wait in a list state until the watermark has passed them; a timer lets them go.  What
 still waits when a run ends is not forced out: ``result`` reads the waiting rows and the learners from the
 checkpoint, as a batch, and adds the answers they would get now.  So a folder can
 be read again when new files have come, and nothing is ever written into it.
@@ -8,9 +8,8 @@ be read again when new files have come, and nothing is ever written into it.
 
 from __future__ import annotations
 
-import json
 import pickle
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,94 +17,131 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+from probspark.operators import online as O
+from probspark.operators.online import Learner, learn_streams
 from probspark.sources.stored import fresh_path
 from probspark.streaming.monitors import appender, read_files, run_available, written
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-#: ``learner()`` makes a key's learner.  It is called with a frame of rows in order and answers with a frame; what it needs
-#: for the next call is its pickled state and, if it has ``take_history``, numbers that are only ever added to.
-Learner = Callable[[pd.DataFrame], pd.DataFrame]
+#: How many groups the keys are dealt to.  A group's waiting rows and its keys' learners are one task's work at a time, so many more keys want more.
+BUCKETS = 512
 
 
 class InOrder(StatefulProcessor):
-    """One key's waiting rows, learner and history of numbers as state."""
+    """Waiting rows, learners and histories of a group of keys as state.
 
-    def __init__(self, learner: Callable[[], Learner], keys: list[str], columns: list[str], time: str, order: list[str], waiting_schema: str):
-        self.keys, self.learner, self.columns, self.time, self.order, self.waiting_schema = keys, learner, columns, time, order, waiting_schema
+    A row of state is a pickled frame: asking the state store once for each key and row takes longer than learning from it.
+    Waiting rows are only added to until the watermark has passed the first of them.
+    """
+
+    def __init__(self, learner: Callable[[], Learner], keys: list[str], columns: list[str], order: list[str]):
+        self.learner, self.keys, self.columns, self.order = learner, keys, columns, order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.waiting_schema)
-        self.memo = handle.getValueState("memo", "passed long, learner binary")
-        self.history = handle.getListState("history", "number double")
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.times = handle.getValueState("times", "passed long, first long")
+        self.memo = handle.getValueState("memo", "learners binary")
+        self.history = handle.getListState("history", "numbers binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = [tuple(_plain(v) for v in row) for frame in rows for row in frame[self.columns].itertuples(index=False)]
-        yield from self._advance(key, new, timerValues.getCurrentWatermarkInMs())
+        yield from self._advance([frame[[*self.keys, *self.columns]] for frame in rows], timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._advance(key, [], timerValues.getCurrentWatermarkInMs())
-
-    def _advance(self, key, new: list[tuple], watermark: int) -> Iterator[pd.DataFrame]:
-        memo = self.memo.get() if self.memo.exists() else None
-        passed = memo[0] if memo else -(1 << 62)
-        old = list(self.waiting.get())
-        t, at = self.columns.index(self.time), [self.columns.index(c) for c in self.order]
-        held = {tuple(r[i] for i in at): tuple(r) for r in old}  # a row that comes again is the same row
-        held |= {tuple(r[i] for i in at): r for r in new if r[t] // 1000 > passed}
-        in_order = [held[k] for k in sorted(held)]
-        ready = [r for r in in_order if r[t] // 1000 <= watermark]
-        left = in_order[len(ready) :]
-        if left != old:
-            self.waiting.put(left) if left else self.waiting.clear()
-        if left and (not old or ready or left[0][t] < old[0][t]):
-            self.handle.registerTimer(left[0][t] // 1000 + 1)
-        if ready:
-            learner = restored(self.learner, memo and memo[1], (x[0] for x in self.history.get()))
-            answer = learner(pd.DataFrame(ready, columns=self.columns))
-            added = learner.take_history() if hasattr(learner, "take_history") else []
-            if added:
-                self.history.appendList([(float(x),) for x in added])
-            self.memo.update((watermark, pickle.dumps(learner)))
-            yield with_key(self.keys, key, answer)
+        yield from self._advance([], timerValues.getCurrentWatermarkInMs())
+
+    def _advance(self, new: list[pd.DataFrame], watermark: int) -> Iterator[pd.DataFrame]:
+        passed, before = self.times.get() if self.times.exists() else (NEVER, None)
+        new = [f[f.event_us > passed * 1000] for f in new]
+        new = [f for f in new if len(f)]
+        first = min([int(f.event_us.min()) for f in new] + ([] if before is None else [before]), default=None)
+        if first is None:
+            return
+        if first > watermark * 1000:
+            if new:
+                self.waiting.appendValue((packed(pd.concat(new, ignore_index=True)),))
+                self._wait(passed, first, before)
+            return
+        rows = in_order([*(unpacked(x[0]) for x in self.waiting.get()), *new], self.keys, self.order)
+        is_ready = rows.event_us <= watermark * 1000
+        ready, left = rows[is_ready], rows[~is_ready]
+        learners = restored(self.memo.get()[0] if self.memo.exists() else None, (x[0] for x in self.history.get()))
+        yield learn_streams(ready, self.keys, list(self.learner().kept), self.learner, learners)
+        memo, history = kept_apart(learners)
+        self.memo.update((memo,))
+        if history is not None:
+            self.history.appendValue((history,))
+        if len(left):
+            self.waiting.put([(packed(left),)])
+            self._wait(watermark, int(left.event_us.min()), None)
+        else:
+            self.waiting.clear()
+            self.times.update((watermark, None))
+
+    def _wait(self, passed: int, first: int, before: int | None) -> None:
+        if before is None or first < before:
+            self.handle.registerTimer(first // 1000 + 1)
+        self.times.update((passed, first))
 
     def close(self) -> None:
         pass
 
 
-def restored(learner: Callable[[], Learner], memo: bytes | None, history) -> Learner:
-    made = pickle.loads(memo) if memo else learner()
-    if hasattr(made, "add_history"):
-        made.add_history(history)
-    return made
+#: A watermark before all times.
+NEVER = -(1 << 50)
+
+
+def packed(rows: pd.DataFrame) -> bytes:
+    return pickle.dumps({c: rows[c].to_numpy() for c in rows.columns}, protocol=5)
+
+
+def unpacked(rows: bytes) -> pd.DataFrame:
+    return pd.DataFrame(pickle.loads(rows))
 
 
-def with_key(names: list[str], key: tuple, answer: pd.DataFrame) -> pd.DataFrame:
-    for i, (name, k) in enumerate(zip(names, key, strict=True)):
-        answer.insert(i, name, k)
-    return answer
+def in_order(frames: list[pd.DataFrame], keys: list[str], order: list[str]) -> pd.DataFrame:
+    """Rows of each key by ``order``; a row that comes again is the same row."""
+    rows = pd.concat(frames, ignore_index=True)
+    return rows.drop_duplicates([*keys, *order], keep="last").sort_values([*keys, *order], kind="stable", ignore_index=True)
 
 
-def _plain(value):
-    """A row's value as state holds it."""
-    return value.item() if hasattr(value, "item") else value
+def kept_apart(learners: dict[tuple, Learner]) -> tuple[bytes, bytes | None]:
+    """(learners without their histories, what their histories have got since the last time)."""
+    added = {key: x.take_history() for key, x in learners.items() if hasattr(x, "take_history")}
+    added = {key: numbers for key, numbers in added.items() if numbers}
+    return pickle.dumps(learners, protocol=5), pickle.dumps(added, protocol=5) if added else None
+
+
+def restored(memo: bytes | None, histories: Iterable[bytes]) -> dict[tuple, Learner]:
+    learners = pickle.loads(memo) if memo else {}
+    for numbers in histories:
+        for key, own in pickle.loads(numbers).items():
+            learners[key].add_history(own)
+    return learners
 
 
 class OrderedStream:
     """A folder of files read as a stream, with a learner for each key.
 
     ``time`` is the event-time column, ``order`` tells rows of a key apart and orders them (by event time first), ``late`` is how far behind
-    the newest row a row may come; later rows are left out.  ``answer`` is the learner's schema.  Null keys are a key.
+    the newest row a row may come; later rows, and rows without a time, are left out.  ``learner()`` makes a key's learner, which has ``reads`` and
+    ``answers`` (see ``learn_streams``) and ``kept``, the columns that its answers keep; ``answer`` is the schema of both.  What a learner needs
+    for the next rows is its pickled state and, if it has ``take_history``, numbers that are only ever added to.
+    Null keys are a key; keys go through text and back, so their types must survive that.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: StructType, keys: list[str], time: str, order: list[str], late: str, learner: Callable[[], Learner], answer: str, name: str):
+    def __init__(
+        self, spark: SparkSession, path: str, schema: StructType, keys: list[str], time: str, order: list[str], late: str, learner: Callable[[], Learner], answer: str, name: str,
+        buckets: int = BUCKETS, files: int = 1,
+    ):
         self.spark, self.path, self.schema, self.keys, self.time, self.late, self.learner = spark, path, schema, keys, time, late, learner
-        self.order, self.at = [time, *(c for c in order if c != time)], fresh_path(spark, name)
-        self.columns = [f.name for f in schema.fields if f.name not in keys]
+        self.at, self.buckets, self.files = fresh_path(spark, name), buckets, files
+        self.order = ["event_us", *(c for c in order if c != time)]
+        self.columns = ["event_us", *(f.name for f in schema.fields if f.name not in (*keys, time))]
         types = {f.name: f.dataType.simpleString() for f in schema.fields}
-        self.waiting_schema = ", ".join(f"{c} {'bigint' if c == time else types[c]}" for c in self.columns)
+        self.text_schema = ", ".join([*(f"{k} string" for k in keys), answer])
         self.out_schema = ", ".join([*(f"{k} {types[k]}" for k in keys), answer])
 
     def run(self) -> OrderedStream:
@@ -113,41 +149,42 @@ class OrderedStream:
         before = self.spark.conf.get(PROVIDER, None)
         self.spark.conf.set(PROVIDER, ROCKS_DB)
         try:
-            rows = read_files(self.spark, self.path, self.schema).withWatermark(self.time, self.late)
-            micros = rows.withColumn("event_us", F.unix_micros(F.col(self.time)))
-            processor = InOrder(self.learner, self.keys, [c if c != self.time else "event_us" for c in self.columns], "event_us", ["event_us", *self.order[1:]], self.waiting_schema.replace(f"{self.time} bigint", "event_us bigint"))
-            answers = micros.groupBy(*self.keys).transformWithStateInPandas(processor, self.out_schema, "append", "eventTime")
-            run_available(answers, appender(self.at), "append", self.at)
+            rows = read_files(self.spark, self.path, self.schema, self.files).filter(F.col(self.time).isNotNull()).withWatermark(self.time, self.late)
+            texts = rows.withColumn("event_us", F.unix_micros(F.col(self.time))).withColumns({k: F.col(k).cast("string") for k in self.keys})
+            dealt = texts.withColumn("bucket", F.pmod(F.hash(*self.keys), F.lit(self.buckets))).select("bucket", self.time, *self.keys, *self.columns)
+            processor = InOrder(self.learner, self.keys, self.columns, self.order)
+            answers = dealt.groupBy("bucket").transformWithStateInPandas(processor, self.text_schema, "append", "eventTime")
+            run_available(self._typed(answers), appender(self.at), "append", self.at)
         finally:
             self.spark.conf.unset(PROVIDER) if before is None else self.spark.conf.set(PROVIDER, before)
         return self
 
+    def _typed(self, answers: DataFrame) -> DataFrame:
+        """Keys as they came."""
+        types = {f.name: f.dataType for f in self.schema.fields}
+        return answers.withColumns({k: F.col(k).cast(types[k]) for k in self.keys})
+
     def passed(self) -> DataFrame:
         """Answers to rows that the watermark has passed: they don't change any more."""
         return written(self.spark, self.at, f"{self.out_schema}, batch int").drop("batch")
 
-    def _state(self, variable: str) -> DataFrame:
-        return self.spark.read.format("statestore").option("stateVarName", variable).load(f"{self.at}/checkpoint")
+    def _state(self, variable: str, value: str) -> DataFrame:
+        state = self.spark.read.format("statestore").option("stateVarName", variable).load(f"{self.at}/checkpoint")
+        return state.select("key.bucket", F.lit(variable).alias("variable"), F.col(value).alias("data"))
 
     def waiting(self) -> DataFrame:
         """Answers that the waiting rows would get now, in order after the passed ones; they may change with the next files."""
-        learner, columns = self.learner, [c if c != self.time else "event_us" for c in self.columns]
-        kinds = [*(f"key.{k}" for k in self.keys)]
-        held = self._state("waiting").select(F.struct(*kinds).alias("key"), F.col("list_element").alias("row"))
-        rows = held.groupBy("key").agg(F.collect_list("row").alias("rows"))  # rows within the lateness
-        memo = self._state("memo").select(F.struct(*kinds).alias("key"), F.col("value.learner").alias("memo"))
-        numbers = self._state("history").select(F.struct(*kinds).alias("key"), F.col("list_element.number").alias("n")).groupBy("key").agg(F.collect_list("n").alias("history"))
-        table = rows.join(memo, "key", "left").join(numbers, "key", "left").select("key.*", "rows", "memo", "history")
-        keys, order = self.keys, ["event_us", *self.order[1:]]
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                for row in frame.to_dict("records"):
-                    made = restored(learner, row["memo"], [] if row["history"] is None else row["history"])
-                    ready = pd.DataFrame(list(row["rows"]), columns=columns).sort_values(order, ignore_index=True)
-                    yield with_key(keys, tuple(row[k] for k in keys), made(ready))
-
-        return table.mapInPandas(run, self.out_schema)
+        learner, keys, order = self.learner, self.keys, self.order
+        state = self._state("waiting", "list_element.rows").unionByName(self._state("memo", "value.learners")).unionByName(self._state("history", "list_element.numbers"))
+
+        def run(parts: pd.DataFrame) -> pd.DataFrame:
+            found = {name: list(own) for name, own in parts.groupby("variable")["data"]}
+            if "waiting" not in found:
+                return pd.DataFrame(columns=[*keys, *list(learner().kept), *learner().answers])
+            learners = restored(found["memo"][0] if "memo" in found else None, found.get("history", []))
+            return learn_streams(in_order([unpacked(x) for x in found["waiting"]], keys, order), keys, list(learner().kept), learner, learners)
+
+        return self._typed(state.groupBy("bucket").applyInPandas(run, self.text_schema))
 
     def result(self) -> DataFrame:
         """Passed and waiting rows' answers: those of a batch over all rows that came in time."""
@@ -157,22 +194,22 @@ class OrderedStream:
 class Deltas:
     """Each row's ``value`` less that of the row before it."""
 
+    reads, answers, kept = ("value",), ("delta",), ("event_id",)
     last: float | None = None
 
-    def __call__(self, rows: pd.DataFrame) -> pd.DataFrame:
-        values = rows.value.tolist()
+    def __call__(self, values: list) -> tuple[list]:
         before = [self.last, *values[:-1]]
         self.last = values[-1]
-        return pd.DataFrame({"event_id": rows.event_id, "delta": [None if a is None else b - a for a, b in zip(before, values, strict=True)]})
+        return ([None if a is None else b - a for a, b in zip(before, values, strict=True)],)
 
 
-class Conformal:
-    """A conformal learner of the key's own scores, ``value`` / 100 at most 1; scores are kept as history."""
+class Kept:
+    """A conformal learner whose scores are a history of their own, and its pickled state without them."""
 
-    def __init__(self, make: Callable[[], Learner]):
+    def __init__(self, make: Callable[[], O.AdaptiveConformal]):
         self.make, self.learner, self.new = make, make(), []
 
-    def add_history(self, numbers) -> None:
+    def add_history(self, numbers: list[float]) -> None:
         for score in numbers:
             self.learner.scores.add(score)
 
@@ -187,62 +224,72 @@ class Conformal:
         self.make, self.learner, self.new = held["make"], held["make"](), []
         vars(self.learner).update(held["learner"])
 
-    def __call__(self, rows: pd.DataFrame) -> pd.DataFrame:
-        scores = (rows.value.abs() / 100).clip(upper=1.0)
-        self.new += scores.tolist()
-        return self.learner(pd.DataFrame({"seq": rows.event_id, "score": scores})).rename(columns={"seq": "event_id"})
+    def __call__(self, scores: list) -> tuple[list, list, list]:
+        self.new += scores
+        return self.learner(scores)
 
 
-LEARNED = "learner string, seq long, source_id string, value double, miss int, alpha double"
+class Conformal(Kept):
+    """A conformal learner of the key's own scores, ``value`` / 100 at most 1; scores are kept as history."""
+
+    reads, answers, kept = ("value",), ("threshold", "miss", "alpha"), ("event_id",)
+
+    def __call__(self, values: list) -> tuple[list, list, list]:
+        return super().__call__([v if v != v else min(abs(v) / 100, 1.0) for v in values])
 
 
 class Several:
     """Learners of forecasts side by side: ``weights`` have a weight per source, ``conformal`` a threshold per step of each source.
 
     Rows have ``seq, source_id, prediction, actual``.  The conformal learners score the distance of a source's forecast, at most 1.
+    A row's answers are side by side, ``learned`` names them.
     """
 
-    def __init__(self, weights: dict[str, Learner], conformal: dict[str, Callable[[], Learner]]):
-        self.weights, self.conformal, self.own, self.rest = weights, conformal, {}, {}
-
-    def add_history(self, numbers) -> None:
-        """All scores so far, as (source's number, score) one after another."""
-        numbers = list(numbers)
-        sources = list(self.own)
-        for at, score in zip(numbers[::2], numbers[1::2], strict=True):
-            for learner in self.own[sources[int(at)]].values():
-                learner.scores.add(score)
-
-    def take_history(self) -> list[float]:
-        added, self.rest = self.rest, {}
-        sources = {s: i for i, s in enumerate(self.own)}
-        return [x for s, scores in added.items() for score in scores for x in (float(sources[s]), score)]
-
-    def __getstate__(self) -> dict:
-        """Without scores, which are the history."""
-        own = {s: {n: {k: v for k, v in vars(x).items() if k != "scores"} for n, x in learners.items()} for s, learners in self.own.items()}
-        return {"weights": self.weights, "conformal": self.conformal, "own": own}
-
-    def __setstate__(self, held: dict) -> None:
-        self.weights, self.conformal, self.rest, self.own = held["weights"], held["conformal"], {}, {}
-        for s, learners in held["own"].items():
-            self.own[s] = {}
-            for name, state in learners.items():
-                self.own[s][name] = self.conformal[name]()
-                vars(self.own[s][name]).update(state)
-
-    def __call__(self, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for name, learner in self.weights.items():
-            found = learner(rows)
-            out += [(name, a, s, w, None, None) for a, s, w in zip(found.seq, found.source_id, found.weight, strict=True)]
-        for source, part in rows.groupby("source_id", sort=False):
-            learners = self.own.setdefault(source, {name: make() for name, make in self.conformal.items()})
-            scored = pd.DataFrame({"seq": part.seq, "score": (part.prediction - part.actual).abs().clip(upper=1.0)})
-            self.rest.setdefault(source, []).extend(scored.score.tolist())
-            for name, learner in learners.items():
-                found = learner(scored)
-                out += [(name, *r) for r in zip(found.seq, [source] * len(found), found.threshold, found.miss, found.alpha, strict=True)]
-        return pd.DataFrame(out, columns=["learner", "seq", "source_id", "value", "miss", "alpha"]).astype({"miss": "Int64"})
-
-
+    reads, kept = ("seq", "source_id", "prediction", "actual"), ("seq", "source_id")
+
+    def __init__(self, weights: dict[str, Learner], conformal: dict[str, Callable[[], O.AdaptiveConformal]]):
+        self.weights, self.conformal, self.own = weights, conformal, {}
+        self.answers = (*weights, *(f"{n}_{c}" for n in conformal for c in ("threshold", "miss", "alpha")))
+
+    def add_history(self, numbers: dict) -> None:
+        for source, scores in numbers.items():
+            for learner in self.own[source].values():
+                learner.add_history(scores)
+
+    def take_history(self) -> dict:
+        """All new scores of each source."""
+        added = {}
+        for source, learners in self.own.items():
+            for learner in learners.values():
+                scores = learner.take_history()
+                if scores:
+                    added[source] = scores
+        return added
+
+    def __call__(self, seq: list, source: list, prediction: list, actual: list) -> tuple[list, ...]:
+        weights = [learner(seq, source, prediction, actual)[0] for learner in self.weights.values()]
+        places = {}
+        for i, s in enumerate(source):
+            places.setdefault(s, []).append(i)
+        answers = [[None] * len(seq) for _ in range(3 * len(self.conformal))]
+        for s, at in places.items():
+            scores = [v if (v := abs(prediction[i] - actual[i])) <= 1.0 or v != v else 1.0 for i in at]
+            learners = self.own.setdefault(s, {name: Kept(make) for name, make in self.conformal.items()})
+            for n, learner in enumerate(learners.values()):
+                for out, found in zip(answers[3 * n :], learner(scores), strict=False):
+                    for i, v in zip(at, found, strict=True):
+                        out[i] = v
+        return (*weights, *answers)
+
+
+def learned(several: Several) -> str:
+    """The schema of its answers."""
+    return ", ".join(["seq long, source_id string", *(f"{c} {'int' if c.endswith('_miss') else 'double'}" for c in several.answers)])
+
+
+def one_row_each(answers: DataFrame, keys: list[str], several: Several) -> DataFrame:
+    """A row for each learner: ``keys..., learner, seq, source_id, value, miss, alpha``."""
+    none = [F.lit(None).cast("int").alias("miss"), F.lit(None).cast("double").alias("alpha")]
+    rows = [F.struct(F.lit(n).alias("learner"), F.col(n).alias("value"), *none) for n in several.weights]
+    rows += [F.struct(F.lit(n).alias("learner"), F.col(f"{n}_threshold").alias("value"), F.col(f"{n}_miss").alias("miss"), F.col(f"{n}_alpha").alias("alpha")) for n in several.conformal]
+    return answers.select(*keys, "seq", "source_id", F.explode(F.array(*rows)).alias("x")).select(*keys, "x.learner", "seq", "source_id", "x.value", "x.miss", "x.alpha")

@@ -74,6 +74,26 @@ def test_a_folder_is_read_again_and_late_rows_are_left_out(spark, tmp_path):
     assert spark.read.parquet(path).filter("event_id > 9 or ts > '2025-01-01'").count() == 0  # no row of ours in the folder
 
 
+def test_keys_of_a_group_share_their_state(spark, tmp_path):
+    """State that is asked for once for each key took most of the time where there are many keys."""
+    path = str(tmp_path / "in")
+    day = lambda n: T0 + timedelta(days=n)
+    users = [*range(60), None, 2**60 + 1]
+    write(spark, path, [(u, 1000 * n + i, day(n), float(n * i)) for i, u in enumerate(users) for n in range(5)])
+    stream = ordered.OrderedStream(spark, path, spark.createDataFrame([], EVENTS).schema, ["user_id"], "ts", ["event_id"], "3 days", ordered.Deltas, "event_id long, delta double", "deltas", buckets=3).run()
+    got = {(r.user_id, r.event_id): r.delta for r in stream.result().collect()}
+    assert got == {(u, 1000 * n + i): float(i) if n else None for i, u in enumerate(users) for n in range(5)}
+    assert 0 < stream.passed().count() < len(got) and stream._state("times", "value.first").count() <= 3
+
+
+def test_a_part_is_staged_as_many_files(spark, tmp_path):
+    """One task used to write, and to read, all rows of a part."""
+    path = str(tmp_path / "in")
+    monitors.stage_files(spark.range(4000).withColumn("part", F.col("id") % 2), "part", 2, path, 8)
+    files = [f for f in os.listdir(path) if f.endswith(".parquet")]
+    assert len(files) == 16 and spark.read.parquet(path).count() == 4000
+
+
 def test_an_empty_folder_gives_nothing(spark, tmp_path):
     path = str(tmp_path / "in")
     write(spark, path, [])
