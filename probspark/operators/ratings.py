@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probspark.sources.stored import stored
+from probspark.sources.stored import fresh_path, stored
 
 #: Scale of the ratings, first rating, deviation and volatility, and the largest change before volatility jumps; fixed values.
 SCALE, RATING, DEVIATION, VOLATILITY, TAU = 173.7178, 1500.0, 350.0, 0.06, 1.0
@@ -41,11 +41,20 @@ def rate_period(ratings: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
+def by_period(results: DataFrame) -> DataFrame:
+    """``results`` stored with a folder for each period."""
+    path = fresh_path(results.sparkSession, "results")
+    results.write.partitionBy("period").parquet(path)
+    return results.sparkSession.read.schema(results.schema).parquet(path)
+
+
 def period_ratings(results: DataFrame, teams: DataFrame) -> DataFrame:
     """``period, team, rating, rd, volatility, games`` after each period of ``results`` (``period`` and the columns of one period).
 
     Periods follow each other; teams are rated side by side.  Each period's table is stored, so a lost executor repeats one.
+    The results are stored by period, so that a period reads its own and doesn't work all of them out again.
     """
+    results = by_period(results.select("period", "team", "opponent", "score"))
     periods = [r[0] for r in results.select("period").distinct().orderBy("period").collect()]  # a calendar
     now, out = new_ratings(teams), None
     for p in periods:

@@ -31,6 +31,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a task of a wide step gets, about.
+ROWS_A_TASK = 1_000_000
+
+
+def tasks_for(df: DataFrame) -> int:
+    """Partitions for a step over ``df``: more for more rows, so that what a task holds at once doesn't grow with the table."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.count() // ROWS_A_TASK + 1)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Text files with a header; null is an empty field, an empty text is quoted."""
     df.write.mode("overwrite").option("header", True).option("emptyValue", '""').option("timestampFormat", "yyyy-MM-dd HH:mm:ss").csv(path)

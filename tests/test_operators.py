@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from probspark.functions import expr as X
 from probspark.operators import analysis, breadth, fusion, graph, history, lowbuy, models, online, ratings, turning, windows
 from probspark.sources import stored
+from probspark.sources.stored import tasks_for
 
 
 def one(spark, column):
@@ -161,6 +162,26 @@ def test_ratings_of_one_period(spark):
     assert rows["a"].rating == pytest.approx(1500 + 173.7178 * new**2 * d) and rows["a"].rd == pytest.approx(173.7178 * new)
 
 
+def test_periods_read_results_that_are_worked_out_once(spark):
+    """Every period worked out the results of all periods again."""
+    rows = [(p, a, b, s) for p in (1, 2, 3) for a, b, s in (("a", "b", 1.0), ("b", "a", 0.0))]
+    worked = spark.sparkContext.accumulator(0)
+
+    def seen(score):
+        worked.add(1)
+        return score
+
+    results = frame(spark, rows, "period int, team string, opponent string, score double").withColumn("score", F.udf(seen, "double").asNondeterministic()("score"))
+    out = ratings.period_ratings(results, frame(spark, [("a",), ("b",), ("c",)], "team string"))
+    assert {(r.period, r.team): r.games for r in out.collect()} == {(p, t): 0 if t == "c" else p for p in (1, 2, 3) for t in "abc"}
+    assert worked.value == len(rows)
+
+
+def test_wide_steps_get_more_tasks_for_more_rows(spark):
+    assert tasks_for(spark.range(5)) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert tasks_for(spark.range(9_500_000)) == 10
+
+
 def test_situation_of_three_sources(spark):
     df = frame(spark, [("s", "1", 0.70, 0.8, "B", "2026-01-01"), ("s", "2", 0.68, 0.9, "A", "2026-01-01"), ("s", "3", 0.65, 0.5, "C", "2026-01-01")], "subject string, source string, p double, confidence double, grade string, ts string")
     df = df.withColumn("ts", F.to_date("ts"))
