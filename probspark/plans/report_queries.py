@@ -14,7 +14,7 @@ from probspark.operators import graph as G
 from probspark.plans.fusion_queries import _LOGIT, AS_OF
 from probspark.plans.graph_queries import _ALLOCATED
 from probspark.plans.registry import query
-from probspark.sources.stored import fresh_path, stored
+from probspark.sources.stored import fresh_path, stored, tasks_for
 
 LIFE = 720.0
 
@@ -175,8 +175,9 @@ _BUNDLES = """SELECT o_orderkey, count(*) AS legs, product(l_quantity / 20 + 0.5
         CASE WHEN multiplier > 99 THEN 'multiplier' END, CASE WHEN stake < 2 THEN 'stake' END) AS errors FROM ({_BUNDLES}) b""")
 def a35(orders, lineitem):
     """Orders stand for bundles, their lines for legs, suppliers for matches and return flags for markets."""
-    o = orders.select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderkey") % 120).alias("multiplier"), (F.col("o_custkey") % 20).alias("stake"))
-    legs = lineitem.join(o, "l_orderkey").withColumnRenamed("l_orderkey", "o_orderkey")
+    n = tasks_for(lineitem)
+    o = orders.select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderkey") % 120).alias("multiplier"), (F.col("o_custkey") % 20).alias("stake")).repartition(n, "l_orderkey")
+    legs = lineitem.select("l_orderkey", "l_quantity", "l_suppkey", "l_returnflag", "l_discount").repartition(n, "l_orderkey").join(o, "l_orderkey").withColumnRenamed("l_orderkey", "o_orderkey")
     return N.check_bundles(legs.withColumns({"odds": F.col("l_quantity") / 20 + 0.5, "match": F.col("l_suppkey"), "market": F.col("l_returnflag"), "flow": F.col("l_discount")}), "o_orderkey", ["R"])
 
 
