@@ -103,17 +103,18 @@ def m1_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def m2_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = _labelled(spark, sf_dir)
+    panel = stored(_labelled(spark, sf_dir), "labelled")
     return _or_none(M.walk_forward(panel, FEATURES, "label", "dt", M._dates(panel, "dt")[36::12], 3), panel)
 
 
 def m3_score_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = _labelled(spark, sf_dir)
+    """The fit reads its rows once for each step: bars, features and labels are worked out once, before it."""
+    panel = stored(_labelled(spark, sf_dir), "labelled")
     return _or_none(M.score_latest(panel, FEATURES, "label", "dt", M._dates(panel.filter("label is not null"), "dt")[-1], 3), panel)
 
 
 def m4_look_back(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = _labelled(spark, sf_dir)
+    panel = stored(_labelled(spark, sf_dir), "labelled")
     return _or_none(M.score_dates(panel, FEATURES, "label", "dt", M._dates(panel, "dt")[-1], 3, 3), panel)
 
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from probspark.operators import model_ranks as MR
+from probspark.plans import sequential_queries as Q
 from probspark.sources.stored import stored
 
 MONTHS, ENTITIES, LAST = 30, 20, 3  # labels of the last three months aren't known
@@ -92,3 +93,20 @@ def test_report_counts_all_labelled_rows(spark, ranks, rows):
 def test_nothing_to_learn_from_gives_none(spark, rows):
     table = spark.createDataFrame([(*r[:4], None, *r[5:]) for r in rows], COLUMNS)
     assert MR.model_scores(table, ["a", "b"], "y", "dt", 12, 6, 1) is None
+
+
+def test_latest_scores_work_labels_out_once(spark, monkeypatch):
+    """Each step of the fit built bars, features and labels from the lines again."""
+    plain, worked = Q._labelled, spark.sparkContext.accumulator(0)
+
+    def seen(label):
+        worked.add(1)
+        return label
+
+    def counted(spark, sf_dir):
+        df = plain(spark, sf_dir)
+        return df.withColumn("label", F.udf(seen, df.schema["label"].dataType)("label"))
+
+    monkeypatch.setattr(Q, "_labelled", counted)
+    assert Q.m3_score_latest(spark, "/root/testdata/sf0.01").count() > 0
+    assert worked.value == plain(spark, "/root/testdata/sf0.01").count()
