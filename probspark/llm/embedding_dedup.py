@@ -1,25 +1,23 @@
 """Near-duplicate vectors through a robust-pruned flat graph.
 
 1. Equal vectors of a label meet as one representative with a number of copies.
-2. Representatives fall into overlapping cluster shards: a shard above ``most``
-   members is split by pivots that it sampled from itself, and every member goes to
-   its nearest pivot and to the second one, unless that is so much further that no
-   link can cross.  All pivots within that margin would hold every link, but in many dimensions all
-   pivots are within it, so labels that are split are split twice, by other pivots: a pair that one
-   split parts meets in the other.  Pivots near each other count as one, so a group of near copies is
-   never torn apart; such a tight shard may stay large.
-3. In a tight shard, members so near its pivot that any two of them must link (the
+2. A label above ``most`` vectors is split once into shards, by pivots sampled from it, one for half of
+   ``most`` vectors; pivots near each other count as one, so a group of near copies is never torn apart.
+   A vector is stored in its home shard alone, that of its nearest pivot.  It asks there, and in each shard to
+   whose side it has at most half the range's chord to go.  The ends of a link are a chord apart at most, and the
+   plane that parts their homes lies between them, so the nearer one asks in the other's home: no link is lost
+   between shards, and no vector is stored or built into a graph twice.
+3. In a shard above ``most`` members, those so near its pivot that any two of them must link (the
    angle between two is at most the sum of theirs to the pivot) are its core: they are
    counted, not compared.
-4. Every shard builds a flat graph, a tight one in blocks of ``most`` members: nearest
-   candidates, thinned by robust pruning.  The adjacency lists of a vector's shards
-   are united.
-5. Every vector is searched in its shards, but in none whose core it is in: greedy beam
+4. Every shard builds a flat graph, one above ``most`` members in blocks of that size: nearest
+   candidates, thinned by robust pruning.
+5. Vectors are searched in the shards where they ask, but in none whose core they are in: greedy beam
    search from the medoids, then expansion through all vectors near the range.  A task
    holds one block of vectors and one of queries.  Cosines are verified in double
-   precision, and a pair that shares several shards counts in the first one.  A pair found
-   from one end counts at both: a shard of one task is closed under exchange of ends, and blocks
-   of a tight shard are verified whole.
+   precision, and a pair whose ends ask in each other's homes counts in the first one.  A pair found
+   from one end counts at both: a shard of one task is closed under exchange of ends, and guests
+   of a shard and blocks of a large one are verified whole.
 6. A bounded set of vectors, half of them with links, is audited by brute force against
    all rows, each vector's recall by itself, so a small group weighs as much as a large one.
    A mean or a tenth (lowest) below ``least_recall`` repeats the search once with wider lists;
@@ -42,10 +40,9 @@ from probspark.llm.components import components
 
 RANGE = 0.98
 MOST_MEMBERS = 1500
-PIVOTS = 16
 AUDITED = 200
-LEVELS = 12
 ENTRIES = 32
+SHARDS = "rep long, copies long, embedding array<double>, label string, cell string, home long, visits array<long>, core boolean"
 
 
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
@@ -85,145 +82,134 @@ def robust_graph(x: np.ndarray, degree: int, candidates: int, alpha: float = 1.2
     return lists
 
 
-def _padded(pairs: np.ndarray, n: int) -> np.ndarray:
-    """Neighbour table of undirected pairs, padded with -1."""
+def _adjacency(pairs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each row's neighbours begin, one end more, and the neighbours of undirected pairs."""
     pairs = np.unique(np.concatenate([pairs, pairs[:, ::-1]]), axis=0)
-    count = np.bincount(pairs[:, 0], minlength=n)
-    table = np.full((n, max(1, count.max(initial=0))), -1, np.int64)
-    rank = np.arange(len(pairs)) - np.repeat(np.cumsum(count) - count, count)
-    table[pairs[:, 0], rank] = pairs[:, 1]
-    return table
+    return np.concatenate([[0], np.cumsum(np.bincount(pairs[:, 0], minlength=n))]), pairs[:, 1]
 
 
-def range_search(x: np.ndarray, table: np.ndarray, asked: np.ndarray, own: np.ndarray, beam: int, threshold: float = RANGE, slack: float = 0.05) -> np.ndarray:
+def range_search(x: np.ndarray, graph: tuple[np.ndarray, np.ndarray], asked: np.ndarray, own: np.ndarray, beam: int, threshold: float = RANGE, slack: float = 0.05) -> np.ndarray:
     """Boolean queries x rows: the rows found within ``threshold``; all queries walk together.
 
     ``asked`` are the queries' vectors and ``own`` their rows of ``x`` (-1 for others).  Each starts from the medoids, from
     evenly dealt entries, which reach parts of the graph that no path joins, and from its own place; it doesn't find itself.
     """
-    n, rows = len(x), np.arange(len(asked))[:, None]
+    n, m = len(x), len(asked)
+    starts, neighbours = graph
     centre = x @ x.mean(0)
     medoids = np.unique([centre.argmax(), centre.argmin(), np.abs(centre).argmin(), *np.linspace(0, n - 1, min(n, ENTRIES)).astype(int)])
-    cosine = np.full((len(asked), n + 1), -2.0)  # of the rows seen; the last column takes the padding
-    expanded = np.zeros((len(asked), n + 1), bool)
+    cosine = np.full((m, n), -2.0)  # of the rows seen
+    expanded = np.zeros((m, n), bool)
     cosine[:, medoids] = asked @ x[medoids].T
     here = np.flatnonzero(own >= 0)
     cosine[here, own[here]] = 1.0
-    expanded[:, n] = True
-
-    def visit(whose: np.ndarray, nodes: np.ndarray) -> None:
-        expanded[whose, nodes] = True
-        step = max(1, 400_000 // table.shape[1])  # neighbours at a time
-        for low in range(0, len(nodes), step):
-            next_ = table[nodes[low : low + step]]
-            who = np.repeat(whose[low : low + step], next_.shape[1])
-            next_ = next_.reshape(-1)
-            new = (next_ >= 0) & (cosine[who, next_] == -2.0)
-            key = np.unique(who[new] * n + next_[new])
-            who, next_ = key // n, key % n
-            for at in range(0, len(who), 20_000):
-                a, b = who[at : at + 20_000], next_[at : at + 20_000]
-                cosine[a, b] = np.einsum("ij,ij->i", asked[a], x[b])
+    flat = cosine.reshape(-1)
+
+    def unseen(who: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        count = starts[nodes + 1] - starts[nodes]
+        next_ = neighbours[np.arange(count.sum()) + np.repeat(starts[nodes] - np.cumsum(count) + count, count)]
+        who = np.repeat(who, count)
+        new = flat[who * n + next_] == -2.0
+        return who[new], next_[new]
+
+    def see(who: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        out = np.empty(len(who))
+        for at in range(0, len(who), 20_000):
+            out[at : at + 20_000] = np.einsum("ij,ij->i", asked[who[at : at + 20_000]], x[nodes[at : at + 20_000]])
+        flat[who * n + nodes] = out
+        return out
 
     width = min(beam, n)
-    start = np.where(np.isin(own, medoids) | (own < 0), n, own)[:, None]
-    top = np.concatenate([np.broadcast_to(medoids, (len(asked), len(medoids))), start], axis=1)
-    top = np.concatenate([top, np.full((len(asked), max(0, width - top.shape[1])), n)], axis=1)
-
-    def best(some: np.ndarray, of: np.ndarray) -> np.ndarray:
-        kept = np.argpartition(-cosine[some[:, None], of], width - 1, axis=1)[:, :width]
-        return np.take_along_axis(of, kept, 1)
-
-    top = best(np.arange(len(asked)), top)
+    start = np.where(np.isin(own, medoids) | (own < 0), -1, own)[:, None]
+    top = np.concatenate([np.broadcast_to(medoids, (m, len(medoids))), start], axis=1)
+    top = np.concatenate([top, np.full((m, max(0, width - top.shape[1])), -1)], axis=1)
+    value = np.where(top >= 0, np.take_along_axis(cosine, np.maximum(top, 0), 1), -4.0)
+    kept = np.argpartition(-value, width - 1, axis=1)[:, :width]
+    top, value = np.take_along_axis(top, kept, 1), np.take_along_axis(value, kept, 1)
+    left = value.copy()  # -4 where expanded
     while True:  # greedy: the best row of each query's beam that isn't expanded, for every query at once
-        value = np.where(expanded[rows, top], -3.0, cosine[rows, top])
-        who = np.flatnonzero(value.max(1) > -2)
+        at = left.argmax(1)
+        who = np.flatnonzero(left[np.arange(m), at] > -2)
         if not len(who):
             break
-        node = top[who, value[who].argmax(1)]
+        node = top[who, at[who]]
+        left[who, at[who]] = -4.0
         expanded[who, node] = True
-        step = max(1, 400_000 // table.shape[1])  # neighbours at a time
-        for low in range(0, len(who), step):
-            some = who[low : low + step]
-            next_ = table[node[low : low + step]]
-            next_ = np.where((next_ >= 0) & (cosine[some[:, None], next_] == -2.0), next_, n)
-            i, j = np.nonzero(next_ < n)
-            for at in range(0, len(i), 20_000):
-                a, b = some[i[at : at + 20_000]], next_[i[at : at + 20_000], j[at : at + 20_000]]
-                cosine[a, b] = np.einsum("ij,ij->i", asked[a], x[b])
-            top[some] = best(some, np.concatenate([top[some], next_], axis=1))
+        whose, next_ = unseen(who, node)
+        seen = see(whose, next_)
+        enters = seen > value.min(1)[whose]
+        whose, next_, seen = whose[enters], next_[enters], seen[enters]
+        if not len(whose):
+            continue
+        some, row, count = np.unique(whose, return_inverse=True, return_counts=True)
+        column = np.arange(len(whose)) - np.repeat(np.cumsum(count) - count, count)
+        nodes, values = np.full((len(some), count.max()), -1), np.full((len(some), count.max()), -4.0)
+        nodes[row, column], values[row, column] = next_, seen
+        all_ = np.concatenate([value[some], values], axis=1)
+        kept = np.argpartition(-all_, width - 1, axis=1)[:, :width]
+        value[some] = np.take_along_axis(all_, kept, 1)
+        top[some] = np.take_along_axis(np.concatenate([top[some], nodes], axis=1), kept, 1)
+        left[some] = np.take_along_axis(np.concatenate([left[some], values], axis=1), kept, 1)
+    step = max(1, 400_000 // max(1, np.diff(starts).max()))  # rows at a time
     while True:  # range: every row near the range is expanded
-        who, nodes = np.nonzero((cosine[:, :n] >= threshold - slack) & ~expanded[:, :n])
+        who, nodes = np.nonzero((cosine >= threshold - slack) & ~expanded)
         if not len(who):
             break
-        visit(who, nodes)
-    found = cosine[:, :n] >= threshold
+        expanded[who, nodes] = True
+        for low in range(0, len(who), step):
+            whose, next_ = unseen(who[low : low + step], nodes[low : low + step])
+            flat[whose * n + next_] = -3.0  # to be seen, once
+        see(*np.nonzero(cosine == -3.0))
+    found = cosine >= threshold
     found[here, own[here]] = False
     return found
 
 
 def _split(table: pa.Table, threshold: float = RANGE) -> pa.Table:
-    """Members of one block of an oversized shard, each at the pivots where it and the other ends of its links are."""
-    table = table.sort_by("n")  # pivots arrive in any order, and a cell's blocks must choose and name alike
+    """Members of one block of an oversized label, each with its home shard and the shards where it asks."""
+    table = table.sort_by("n")  # pivots arrive in any order, and a label's blocks must choose and name alike
     pivot = table.column("pivot").to_numpy()
     x = unit_rows(_matrix(table.column("embedding")))
     heads = x[pivot]
+    half = ((1 + threshold) / 2) ** 0.5 + 1e-9  # two vectors at half the range's angle from the pivot are within the range of each other
+    step = max(1, 4_000_000 // len(heads))
+    central = np.concatenate([(heads[low : low + step] @ heads.T >= half).sum(1) for low in range(0, len(heads), step)])
     apart: list[int] = []
-    for i in range(len(heads)):
+    for i in np.argsort(-central, kind="stable"):  # of pivots in a group of near copies, the most central one
         if not apart or (heads[apart] @ heads[i]).max() < 0.8:
             apart.append(i)
-    rows, names = table.filter(pa.array(~pivot)), table.column("n").to_numpy()[pivot][apart]
-    cosines = x[~pivot] @ heads[apart].T
-    nearest = np.argsort(-cosines, axis=1, kind="stable")[:, :2]
-    angle = np.arccos(np.clip(np.take_along_axis(cosines, nearest, 1), -1, 1))
-    use = angle <= angle[:, :1] + 2 * np.arccos(threshold) + 1e-6  # beyond, the other side of a link has no nearer pivot there
-    own = np.flatnonzero(use) // nearest.shape[1]
-    tight = len(apart) == 1
-    cells = [f"{c.as_py()}{'!' if tight else '/'}{p}" for c, p in zip(rows.column("cell").take(pa.array(own)), names[nearest[use]], strict=True)]
-    # two vectors at half the range's angle from the pivot are within the range of each other
-    core = (np.take_along_axis(cosines, nearest, 1) >= ((1 + threshold) / 2) ** 0.5 + 1e-9)[use] & tight
-    out = rows.take(pa.array(own))
-    return pa.table({"rep": out.column("rep"), "copies": out.column("copies"), "embedding": out.column("embedding"), "cell": pa.array(cells, pa.string()), "core": core})
-
-
-def cluster_shards(vectors: DataFrame, most: int = MOST_MEMBERS, threshold: float = RANGE, turns: int = 2) -> DataFrame:
-    """``rep, copies, embedding, cell, core``: members of shards; a row in each shard that holds the vector.
-
-    Cells above ``most`` members are split ``turns`` times, each time by other pivots.
-    """
-    whole = vectors.withColumn("core", F.lit(False))
-    sizes = whole.groupBy("cell").count().filter(F.col("count") > most).select("cell")
-    out = _one_split(whole, most, threshold, 0)
-    if not sizes.isEmpty():
-        for turn in range(1, turns):
-            again = whole.join(sizes, "cell", "left_semi").withColumn("cell", F.concat(F.lit(f"{turn}:"), "cell"))
-            out = out.unionByName(_one_split(again, most, threshold, turn))
-    return out
-
-
-def _one_split(open_: DataFrame, most: int, threshold: float, turn: int) -> DataFrame:
-    done, schema = [], open_.schema
-    for level in range(LEVELS):
-        sizes = open_.groupBy("cell").count()
-        open_ = open_.join(sizes, "cell")
-        closed = (F.col("count") <= most) | F.col("cell").contains("!")
-        done.append(open_.filter(closed).drop("count"))
-        open_ = open_.filter(~closed)
-        if open_.isEmpty():
-            break
-        order = F.xxhash64(F.lit(level + LEVELS * turn), "rep")
-        pivots = open_.groupBy("cell", "count", F.pmod(order, F.lit(PIVOTS)).alias("n")).agg(F.min_by("embedding", F.struct(order, "rep")).alias("embedding"))
-        blocks = F.ceil(F.col("count") / 4096).cast("int")
-        pivots = pivots.select(F.lit(-1).cast("long").alias("rep"), F.lit(0).cast("long").alias("copies"), "embedding", "cell", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(True).alias("pivot"), "n")
-        members = open_.select("rep", "copies", "embedding", "cell", F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"), F.lit(False).alias("pivot"), F.lit(PIVOTS).cast("long").alias("n"))
-        split = members.unionByName(pivots).groupBy("cell", "block").applyInArrow(lambda table: _split(table, threshold), schema)
-        open_ = stored(split.dropDuplicates(["rep", "cell"]), "shard-members")
-    else:
-        done.append(open_)
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
+    heads, names = heads[apart], table.column("n").to_numpy()[pivot][apart]
+    rows, x = table.filter(pa.array(~pivot)), x[~pivot]
+    home, core, visits = np.zeros(len(x), np.int64), np.zeros(len(x), bool), []
+    for low in range(0, len(x), step):
+        cosines = x[low : low + step] @ heads.T
+        at = cosines.argmax(1)
+        best = np.take_along_axis(cosines, at[:, None], 1)
+        between = np.sqrt(np.maximum(0, 2 - 2 * (heads[at] @ heads.T)))
+        asks = best - cosines <= (0.5 * (2 - 2 * threshold) ** 0.5 + 1e-9) * between  # how far the plane between the two pivots is
+        asks[np.arange(len(at)), at] = True
+        home[low : low + step], core[low : low + step] = names[at], best[:, 0] >= half
+        visits += [names[v] for v in asks]
+    cells = [f"{c.as_py()}/{h}" for c, h in zip(rows.column("cell"), home, strict=True)]
+    out = {k: rows.column(k) for k in ("rep", "copies", "embedding")}
+    return pa.table(out | {"label": rows.column("cell"), "cell": pa.array(cells, pa.string()), "home": home, "visits": pa.array(visits, pa.list_(pa.int64())), "core": core})
+
+
+def cluster_shards(vectors: DataFrame, most: int = MOST_MEMBERS, threshold: float = RANGE) -> DataFrame:
+    """``rep, copies, embedding, label, cell, home, visits, core``: a row per vector, with its shard (``cell``, number ``home`` of its label) and those where it asks."""
+    large = F.broadcast(vectors.groupBy("cell").count().filter(F.col("count") > most))  # a row for ``most`` vectors at most
+    whole = vectors.join(large, "cell", "left_anti").select(
+        "rep", "copies", "embedding", F.col("cell").alias("label"), F.concat("cell", F.lit("/0")).alias("cell"), F.lit(0).cast("long").alias("home"), F.array(F.lit(0).cast("long")).alias("visits"), F.lit(False).alias("core")
+    )
+    split = vectors.join(large, "cell").withColumn("pivots", F.ceil(2 * F.col("count") / most))
+    order = F.xxhash64(F.lit(0), "rep")
+    pivots = split.groupBy("cell", "count", "pivots", F.pmod(order, "pivots").alias("n")).agg(F.min_by("embedding", F.struct(order, "rep")).alias("embedding"))
+    blocks = F.ceil(F.col("count") / F.greatest(F.lit(4096), 8 * F.col("pivots"))).cast("int")
+    pivots = pivots.select(F.lit(-1).cast("long").alias("rep"), F.lit(0).cast("long").alias("copies"), "embedding", "cell", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(True).alias("pivot"), "n")
+    members = split.select("rep", "copies", "embedding", "cell", F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"), F.lit(False).alias("pivot"), F.col("pivots").alias("n"))
+    # a union of parts dealt alike isn't dealt anew, though they may be coalesced or split each in its way: deal it here
+    parts = members.unionByName(pivots).repartition("cell", "block").groupBy("cell", "block").applyInArrow(lambda table: _split(table, threshold), SHARDS)
+    return whole.unionByName(parts)
 
 
 def near_duplicates(vectors: DataFrame, degree: int = 20, candidates: int = 48, beam: int = 32, threshold: float = RANGE, most: int = MOST_MEMBERS, least_recall: float = 0.95) -> DataFrame:
@@ -257,18 +243,14 @@ def graph_links(groups: DataFrame, degree: int, candidates: int, beam: int, thre
     """(``rep, links``; edges whose components are the classes; audited recall; way) of distinct vectors ``rep, copies, embedding, cell``."""
     members = stored(cluster_shards(groups, most, threshold), "shards")
     sizes = members.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("blocks"))
-    members = members.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("own", F.xxhash64("cell"))
-    # a vector is in at most two shards a level, and in the core of one
-    known = members.groupBy("rep").agg(F.sort_array(F.collect_list("own")).alias("shards"), F.min(F.when(F.col("core"), F.col("own"))).alias("core"))
-    cores = known.filter("core is not null").join(groups.select("rep", "copies"), "rep")
-    heads = cores.groupBy("core").agg(F.sum("copies").alias("total"), F.min("rep").alias("head"))
-    cores = stored(cores.join(heads, "core").select("rep", (F.col("total") - F.col("copies")).alias("links"), F.col("head").alias("least")), "cores")
-    members = stored(members.drop("core").join(known, "rep"), "members")
+    sizes = F.broadcast(sizes.filter("blocks > 1"))
+    members = _or_one(members, sizes, "blocks").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("core", F.col("core") & (F.col("blocks") > 1))
+    cores = members.filter("core")
+    heads = cores.groupBy("cell").agg(F.sum("copies").alias("total"), F.min("rep").alias("head"))
+    cores = stored(cores.join(heads, "cell").select("rep", (F.col("total") - F.col("copies")).alias("links"), F.col("head").alias("least")), "cores")
     way = "graph"
     for _ in range(2):
-        graph = members.groupBy("cell", "block").applyInArrow(_builder(degree, candidates), "rep long, near array<long>")
-        graph = graph.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-        found = stored(_search(members.join(graph, "rep"), beam, threshold, most).unionByName(cores), "links")
+        found = stored(_search(members, sizes, degree, candidates, beam, threshold, most).unionByName(cores), "links")
         links = found.groupBy("rep").agg(F.sum("links").alias("links"))
         recall = audited_recall(groups, links, threshold)
         if recall is None or recall >= least_recall:
@@ -281,24 +263,34 @@ def graph_links(groups: DataFrame, degree: int, candidates: int, beam: int, thre
     return links, found.filter("least < rep").select("rep", "least"), recall, way
 
 
-def _search(members: DataFrame, beam: int, threshold: float, most: int) -> DataFrame:
+def _or_one(rows: DataFrame, numbers: DataFrame, *names: str) -> DataFrame:
+    """``rows`` with the numbers of their cell, 1 where it has none."""
+    return rows.join(numbers, "cell", "left").withColumns({k: F.coalesce(k, F.lit(1)) for k in names})
+
+
+def _search(members: DataFrame, sizes: DataFrame, degree: int, candidates: int, beam: int, threshold: float, most: int) -> DataFrame:
     """Tasks of one block of a shard's vectors and one block of its queries; vectors of the shard's own core aren't queries."""
-    rows = members.withColumn("asks", ~F.col("core").eqNullSafe(F.col("own")))
-    queries = rows.filter("asks").groupBy("cell").agg(F.count(F.lit(1)).alias("n")).join(rows.select("cell", "blocks").distinct(), "cell")
-    parts = queries.select("cell", F.least(F.ceil(F.col("n") / most), F.col("blocks")).cast("int").alias("parts"))
-    rows = rows.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
+    asked = members.select("label", "rep", "copies", "embedding", "home", "core", F.explode("visits").alias("visit"))
+    asked = asked.withColumn("cell", F.concat_ws("/", "label", F.col("visit").cast("string"))).withColumn("guest", F.col("visit") != F.col("home")).filter("guest or not core")
+    asked = _or_one(asked, sizes, "blocks")
+    numbers = asked.groupBy("cell", "blocks").agg(F.count_if("guest").alias("guests"), F.count_if(~F.col("guest")).alias("own"))
+    parts = numbers.select("cell", F.greatest(F.lit(1), F.least(F.ceil(F.col("own") / most), "blocks")).cast("int").alias("owns"), F.ceil(F.col("guests") / (2 * most)).cast("int").alias("guests"))
+    parts = F.broadcast(parts.select("cell", "owns", F.greatest("owns", "guests").alias("parts")).filter("parts > 1"))  # shards of split labels alone have several
     over = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["cell", "own", "rep", "copies", "embedding", "near", "shards", "core", "blocks"]
-    data = rows.select(*columns, F.col("block").alias("d"), over("parts").alias("q"), F.lit(False).alias("asks"))
-    asked = rows.filter("asks").withColumn("near", F.lit(None).cast("array<long>")).select(*columns, over("blocks").alias("d"), F.col("part").alias("q"), F.lit(True).alias("asks"))
-    return data.unionByName(asked).groupBy("cell", "d", "q").applyInArrow(_searcher(beam, threshold), "rep long, links long, least long")
+    columns = ["cell", "rep", "copies", "embedding", "home", "blocks"]
+    built = members.groupBy("cell", "block").applyInArrow(_builder(degree, candidates), "cell string, block int, rep long, copies long, embedding array<double>, home long, blocks int, visits array<long>, core boolean, near array<long>")
+    data = _or_one(built, parts, "owns", "parts").select(*columns, "visits", "core", "near", F.col("block").alias("d"), over("parts").alias("q"), F.lit(False).alias("asks"))
+    asked = _or_one(asked, parts, "owns", "parts").withColumn("part", F.pmod(F.xxhash64("rep"), F.when(F.col("guest"), F.col("parts")).otherwise(F.col("owns"))).cast("int"))
+    asked = asked.select(*columns, F.lit(None).cast("array<long>").alias("visits"), F.lit(False).alias("core"), F.lit(None).cast("array<long>").alias("near"), over("blocks").alias("d"), F.col("part").alias("q"), F.lit(True).alias("asks"))
+    return data.unionByName(asked).repartition("cell", "d", "q").groupBy("cell", "d", "q").applyInArrow(_searcher(beam, threshold), "rep long, links long, least long")
 
 
 def _builder(degree: int, candidates: int):
     def build(table: pa.Table) -> pa.Table:
         rep = table.column("rep").to_numpy()
         lists = robust_graph(unit_rows(_matrix(table.column("embedding"))), degree, candidates)
-        return pa.table({"rep": rep, "near": pa.array([rep[x] for x in lists], pa.list_(pa.int64()))})
+        columns = table.select(["cell", "block", "rep", "copies", "embedding", "home", "blocks", "visits", "core"])
+        return columns.append_column("near", pa.array([rep[x] for x in lists], pa.list_(pa.int64())))
 
     return build
 
@@ -310,13 +302,12 @@ def _searcher(beam: int, threshold: float):
 def _search_shard(table: pa.Table, beam: int, threshold: float) -> pa.Table:
     """Per vector of a task: copies of the vectors it links with here and in no earlier shard, and the smallest one it reaches.
 
-    A vector of the shard's own core asks nothing here, so a link that finds it counts for both.
+    A vector of the shard's own core asks nothing here, nor does any vector ask for guests, so a link of these counts for both.
     """
     table = table.take(pa.array(np.lexsort((table.column("rep").to_numpy(), table.column("asks").to_numpy(zero_copy_only=False)))))
     asks = table.column("asks").to_numpy(zero_copy_only=False)
     rep, copies = table.column("rep").to_numpy(), table.column("copies").to_numpy()
-    core = table.column("core").fill_null(0).to_numpy()
-    core = np.where(table.column("core").is_valid().to_numpy(), core, np.arange(-1, -1 - len(core), -1))  # no two alike, where there is none
+    home, core = table.column("home").to_numpy(), table.column("core").to_numpy(zero_copy_only=False)
     x = unit_rows(_matrix(table.column("embedding")))
     n = int((~asks).sum())  # the first n rows are the block's vectors, by number
     empty = pa.table({"rep": rep[:0], "links": rep[:0], "least": rep[:0]})
@@ -326,18 +317,13 @@ def _search_shard(table: pa.Table, beam: int, threshold: float) -> pa.Table:
     source = np.repeat(np.arange(n), np.diff(near.offsets.to_numpy()))
     at = np.minimum(np.searchsorted(rep[:n], near.flatten().to_numpy()), n - 1)
     here = rep[at] == near.flatten().to_numpy()
-    graph = _padded(np.stack([source[here], at[here]], 1), n)
-    # shards that a vector shares with others come in one order everywhere: the first common one counts a pair
-    names = table.column("shards").to_pylist()
-    own = table.column("own")[0].as_py()
+    graph = _adjacency(np.stack([source[here], at[here]], 1), n)
+    # a pair whose ends ask in each other's homes is found in both: the first one counts it
+    visits = table.column("visits").slice(0, n).combine_chunks()
+    own, shards = home[0], 1 + max(home.max(), visits.flatten().to_numpy().max())
     divided = table.column("blocks")[0].as_py() > 1
-    number = {s: i for i, s in enumerate(sorted({s for k in names for s in k if s < own}))}
-    earlier = np.zeros((len(rep), max(1, len(number))), bool)
-    for i, k in enumerate(names):
-        for s in k:
-            if s < own:
-                earlier[i, number[s]] = True
-    silent = core == own
+    meets = np.repeat(np.arange(n), np.diff(visits.offsets.to_numpy())) * shards + visits.flatten().to_numpy()
+    guest = home != own
     queries = np.flatnonzero(asks)
     place = np.minimum(np.searchsorted(rep[:n], rep), n - 1)
     place = np.where(rep[place] == rep, place, -1)
@@ -349,7 +335,9 @@ def _search_shard(table: pa.Table, beam: int, threshold: float) -> pa.Table:
         some = queries[low : low + block]
         a, b = np.nonzero(range_search(x[:n], graph, x[some], place[some], beam, threshold))
         found.append(some[a] * n + b)
-        if divided:  # a tight shard's blocks meet in several tasks: what one end finds the other must find in its own
+        if not divided:  # the other end of a guest's link may ask elsewhere, or not at all
+            some = some[guest[some]]
+        if len(some):  # a large shard's blocks meet in several tasks: what one end finds the other must find in its own
             a, b = np.nonzero(x[some] @ x[:n].T >= threshold)
             real = place[some][a] != b
             found.append(some[a[real]] * n + b[real])
@@ -358,15 +346,13 @@ def _search_shard(table: pa.Table, beam: int, threshold: float) -> pa.Table:
         asker = np.full(n, -1, np.int64)  # the query of each row, if it asks
         asker[place[queries][place[queries] >= 0]] = queries[place[queries] >= 0]
         a, b = found // n, found % n
-        back = asker[b] >= 0
+        back = (asker[b] >= 0) & ~guest[a]
         found = np.unique(np.concatenate([found, asker[b[back]] * n + place[a[back]]]))
     for low in range(0, len(found), 1_000_000):
         a, b = found[low : low + 1_000_000] // n, found[low : low + 1_000_000] % n
-        other = core[a] != core[b]
-        a, b = a[other], b[other]
-        counted = ~(earlier[a] & earlier[b]).any(1)
+        counted = (home[a] >= own) | ~np.isin(b * shards + home[a], meets)
         np.add.at(links, a[counted], copies[b[counted]])
-        both = counted & silent[b]
+        both = counted & (guest[a] | core[b])
         np.add.at(links, b[both], copies[a[both]])
         root = unite(root, a, b, rep)
     return pa.table({"rep": rep, "links": links, "least": rep[root]})

@@ -161,3 +161,31 @@ def test_audit_weighs_small_groups_like_large_ones(spark):
     links = spark.createDataFrame([(i, 299) for i in range(300)] + [(300, 1)], "rep long, links long")
     assert E.audited_recall(groups, links, 0.98) == 0.0
     assert E.audited_recall(groups, spark.createDataFrame([(i, 299 if i < 300 else 1) for i in range(360)], "rep long, links long"), 0.98) == 1.0
+
+
+@pytest.mark.parametrize("width", [3, 64])
+def test_a_vector_is_in_one_shard_and_every_link_meets_in_a_home(spark, width):
+    rng = np.random.default_rng(8)
+    x = unit(rng.normal(size=(900, width)))
+    x = np.concatenate([x, turned(rng, x, rng.uniform(0.15, 0.2, size=(900, 1)))])
+    groups = spark.createDataFrame([(i, 1, v, "a") for i, v in enumerate(x.tolist())], "rep long, copies long, embedding array<double>, cell string")
+    shards = E.cluster_shards(groups, 300).collect()
+    assert sorted(r.rep for r in shards) == list(range(len(x)))
+    home, visits = {r.rep: r.home for r in shards}, {r.rep: set(r.visits) for r in shards}
+    assert len(set(home.values())) > 6 and all(home[i] in visits[i] for i in home)
+    near = np.argwhere(np.triu(x @ x.T >= 0.98, 1)).tolist()
+    assert len(near) >= 800 and sum(home[a] != home[b] for a, b in near) > 50
+    assert all(home[a] in visits[b] or home[b] in visits[a] for a, b in near)
+
+
+@pytest.mark.parametrize("width", [3, 16])
+def test_links_across_shards_count_once_at_both_ends(spark, width):
+    rng = np.random.default_rng(9)
+    x = unit(rng.normal(size=(500, width)))
+    x = np.concatenate([x, turned(rng, x, 0.19), turned(rng, x, 0.05)])
+    links, classes = matrix_truth(x)
+    frame = spark.createDataFrame([(i, v, 0) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.audit_way) for r in E.near_duplicates(frame, most=120).collect())
+    assert [r[1] for r in got] == links.tolist()
+    assert [r[2] for r in got] == classes.tolist()
+    assert {r[3] for r in got} == {"graph"}
