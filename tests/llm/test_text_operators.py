@@ -8,10 +8,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
-from probspark.llm import exact_dedup, jaccard_join, mixing, packing, quality, sharding, substring_dedup, token_counts, token_ids, toxicity
+from probspark.llm import common, exact_dedup, jaccard_join, mixing, packing, quality, sharding, substring_dedup, token_counts, token_ids, toxicity
 from probspark.llm.common import fresh_path, lower_ascii
 
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -210,6 +211,52 @@ def test_jaccard_odd_tables(spark):
     assert got == [(-1, 2, -1), (2, 2, 2), (2, 2, 2), (4, 0, 4), (9, 2, 2)]
 
 
+def test_near_copies_store_little_beside_the_texts(spark, monkeypatch, tmp_path):
+    """Every signature was stored, a third of the texts' bytes."""
+    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path))
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(3000)]
+    texts = [rng.choices(words, k=400) for _ in range(1500)]
+    for i in range(0, 150, 3):  # some have a near copy
+        texts[i + 1] = [*texts[i][:200], "other", *texts[i][201:]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert jaccard_join.one_of_each_group(docs).count() == 1450
+    stored = sum(f.stat().st_size for f in tmp_path.rglob("*") if f.is_file())
+    assert 0 < stored * 10 < sum(len(" ".join(t)) for t in texts)
+
+
+def test_bits_hold_every_id_and_few_others(spark, monkeypatch):
+    rows = spark.range(-500, 20_000).withColumnRenamed("id", "doc_id").union(spark.createDataFrame([(None,)], "doc_id long"))
+    ids = spark.range(0, 2000, 2).withColumnRenamed("id", "k")
+    got = common.may_be_in(rows, ids, "doc_id", "word").filter("word").select("doc_id")
+    assert got.join(ids, got.doc_id == ids.k).count() == 1000 and got.count() < 3000
+    monkeypatch.setattr(common, "MOST_WORDS", 1)  # chance grows, no id is lost
+    got = common.may_be_in(rows, ids, "doc_id", "word").filter("word").select("doc_id")
+    assert got.join(ids, got.doc_id == ids.k).count() == 1000
+    assert common.may_be_in(rows, ids.limit(0), "doc_id", "word").filter("word").count() == 0
+
+
+def test_blocks_of_signatures_give_all_edges():
+    rng = np.random.default_rng(5)
+    signs, docs = rng.integers(0, 1 << 64, 3000, dtype=np.uint64)[rng.integers(0, 3000, 9000)], rng.integers(-(1 << 62), 1 << 62, 9000)
+    sent = [jaccard_join._blocks([(signs[i : i + 1000], docs[i : i + 1000]), (signs[i + 1000 : i + 3000], docs[i + 1000 : i + 3000])], 7) for i in range(0, 9000, 3000)]
+    sent, root = pa.Table.from_batches(sent), {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for b in range(7):
+        out = jaccard_join._meet(sent.filter(pc.equal(sent.column("bucket"), b)))
+        for u, v in zip(out.column("a").to_pylist(), out.column("b").to_pylist(), strict=True):
+            assert v < u
+            root[find(u)] = find(v)
+    for sign in np.unique(signs):
+        assert len({find(int(d)) for d in docs[signs == sign]}) == 1
+    assert len({find(int(d)) for d in docs}) == len(np.unique(signs))
+
+
 def test_occurrence_search_finds_all_partners():
     rng = random.Random(7)
     for _ in range(20):
