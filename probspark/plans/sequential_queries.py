@@ -47,39 +47,33 @@ def g14_aggregated_conformal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RESULTS = """sums AS (SELECT l_orderkey, l_suppkey, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS amount FROM lineitem GROUP BY l_orderkey, l_suppkey),
-pairs AS (SELECT l_orderkey, min(l_suppkey) AS home, max(l_suppkey) AS away FROM sums GROUP BY l_orderkey HAVING min(l_suppkey) < max(l_suppkey)),
-games AS (SELECT CAST(extract(year FROM o.o_orderdate) AS INT) AS period, p.home, p.away, CASE WHEN h.amount > 1.2 * a.amount THEN 1.0e0 WHEN a.amount > 1.2 * h.amount THEN 0.0e0 ELSE 0.5e0 END AS score
-    FROM pairs p JOIN orders o ON p.l_orderkey = o.o_orderkey JOIN sums h ON h.l_orderkey = p.l_orderkey AND h.l_suppkey = p.home JOIN sums a ON a.l_orderkey = p.l_orderkey AND a.l_suppkey = p.away),
-results AS (SELECT period, home AS team, away AS opponent, score FROM games UNION ALL SELECT period, away, home, 1 - score FROM games)"""
-
-
-def _rated(k: int) -> str:
-    return f"""m{k} AS (SELECT x.team, x.score, t.mu, 1 / sqrt(1 + 3 * o.phi * o.phi / (pi() * pi())) AS g, o.mu AS mu_o FROM results x JOIN r{k - 1} t ON x.team = t.team JOIN r{k - 1} o ON x.opponent = o.team WHERE x.period = (SELECT period FROM years WHERE n = {k})),
-e{k} AS (SELECT *, 1 / (1 + exp(-g * (mu - mu_o))) AS e FROM m{k}),
-u{k} AS (SELECT team, sum(g * g * e * (1 - e)) AS vs, sum(g * (score - e)) AS ds, count(*) AS n FROM e{k} GROUP BY team),
-s{k} AS (SELECT r.*, u.vs, u.ds, u.n, CASE WHEN abs(u.ds / u.vs) > 1 THEN 1.0e0 ELSE r.sigma END AS sn FROM r{k - 1} r LEFT JOIN u{k} u ON r.team = u.team),
-t{k} AS (SELECT *, 1 / sqrt(1 / (phi * phi + sn * sn) + vs) AS pn FROM s{k}),
-r{k} AS (SELECT team, CASE WHEN n IS NULL THEN mu ELSE mu + pn * pn * ds END AS mu, CASE WHEN n IS NULL THEN phi ELSE pn END AS phi, CASE WHEN n IS NULL THEN sigma ELSE sn END AS sigma, games + coalesce(n, 0) AS games FROM t{k})"""
-
-
-_YEARS = 8
+games AS (SELECT CAST(extract(year FROM o.o_orderdate) AS INT) AS period, h.l_suppkey AS home, a.l_suppkey AS away, CASE WHEN h.amount > 1.2 * a.amount THEN 1.0e0 WHEN a.amount > 1.2 * h.amount THEN 0.0e0 ELSE 0.5e0 END AS score
+    FROM sums h JOIN sums a ON h.l_orderkey = a.l_orderkey AND h.l_suppkey < a.l_suppkey JOIN orders o ON h.l_orderkey = o.o_orderkey),
+results AS MATERIALIZED (SELECT period, home AS team, away AS opponent, score FROM games UNION ALL SELECT period, away, home, 1 - score FROM games)"""
 
 
 @query("g15_period_ratings", "lineitem orders supplier", keep="period team games", doubles="rating rd volatility", digits=4, sql=f"""
-    WITH {_RESULTS},
+    WITH RECURSIVE {_RESULTS},
 years AS (SELECT period, row_number() OVER (ORDER BY period) AS n FROM (SELECT DISTINCT period FROM results) d),
-r0 AS (SELECT s_suppkey AS team, 0.0e0 AS mu, 350 / 173.7178e0 AS phi, 0.06e0 AS sigma, 0 AS games FROM supplier),
-{{ratings}}
-SELECT y.period, r.team, 1500 + 173.7178e0 * r.mu AS rating, 173.7178e0 * r.phi AS rd, r.sigma AS volatility, r.games FROM years y JOIN ({{all}}) r ON y.n = r.k""".replace("{ratings}", ",\n".join(_rated(k) for k in range(1, _YEARS + 1))).replace("{all}", " UNION ALL ".join(f"SELECT {k} AS k, * FROM r{k}" for k in range(1, _YEARS + 1))))
+rated AS (SELECT CAST(0 AS BIGINT) AS k, s_suppkey AS team, 0.0e0 AS mu, 350 / 173.7178e0 AS phi, 0.06e0 AS sigma, CAST(0 AS BIGINT) AS games FROM supplier
+    UNION ALL
+    SELECT k + 1, team, CASE WHEN n IS NULL THEN mu ELSE mu + pn * pn * ds END, CASE WHEN n IS NULL THEN phi ELSE pn END, CASE WHEN n IS NULL THEN sigma ELSE sn END, games + coalesce(n, 0)
+    FROM (SELECT *, 1 / sqrt(1 / (phi * phi + sn * sn) + vs) AS pn
+        FROM (SELECT r.*, u.vs, u.ds, u.n, CASE WHEN abs(u.ds / u.vs) > 1 THEN 1.0e0 ELSE r.sigma END AS sn
+            FROM rated r LEFT JOIN (SELECT team, sum(g * g * e * (1 - e)) AS vs, sum(g * (score - e)) AS ds, count(*) AS n
+                FROM (SELECT *, 1 / (1 + exp(-g * (mu - mu_o))) AS e
+                    FROM (SELECT x.team, x.score, t.mu, 1 / sqrt(1 + 3 * o.phi * o.phi / (pi() * pi())) AS g, o.mu AS mu_o
+                        FROM results x JOIN years y ON x.period = y.period JOIN rated t ON x.team = t.team AND t.k + 1 = y.n JOIN rated o ON x.opponent = o.team) m) e GROUP BY team) u ON r.team = u.team
+            WHERE r.k < (SELECT count(*) FROM years)) s) t)
+SELECT y.period, r.team, 1500 + 173.7178e0 * r.mu AS rating, 173.7178e0 * r.phi AS rd, r.sigma AS volatility, r.games FROM years y JOIN rated r ON y.n = r.k""")
 def g15(lineitem, orders, supplier):
-    """Suppliers of one order have played each other; a year is a period."""
+    """Every two suppliers of one order have played each other; a year is a period."""
     sums = lineitem.groupBy("l_orderkey", "l_suppkey").agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("amount"))
-    pairs = sums.groupBy("l_orderkey").agg(F.min(F.struct("l_suppkey", "amount")).alias("h"), F.max(F.struct("l_suppkey", "amount")).alias("a")).filter("h.l_suppkey < a.l_suppkey")
-    games = pairs.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), F.year("o_orderdate").alias("period")), "l_orderkey")
-    score = F.when(F.expr("h.amount > 1.2 * a.amount"), 1.0).when(F.expr("a.amount > 1.2 * h.amount"), 0.0).otherwise(0.5)
-    games = games.select("period", F.col("h.l_suppkey").alias("team"), F.col("a.l_suppkey").alias("opponent"), score.alias("score"))
-    both = games.unionByName(games.select("period", F.col("opponent").alias("team"), F.col("team").alias("opponent"), (1 - F.col("score")).alias("score")))
-    return R.period_ratings(both, supplier.select(F.col("s_suppkey").alias("team")))
+    home, away = (sums.select("l_orderkey", F.col("l_suppkey").alias(side), F.col("amount").alias(f"{side}_amount")) for side in ("home", "away"))
+    games = home.join(away, "l_orderkey").filter("home < away").join(orders.select(F.col("o_orderkey").alias("l_orderkey"), F.year("o_orderdate").alias("period")), "l_orderkey")
+    score = F.when(F.expr("home_amount > 1.2 * away_amount"), 1.0).when(F.expr("away_amount > 1.2 * home_amount"), 0.0).otherwise(0.5)
+    sides = [F.struct(F.col(a).alias("team"), F.col(b).alias("opponent"), s.alias("score")) for a, b, s in (("home", "away", score), ("away", "home", 1 - score))]
+    return R.period_ratings(games.select("period", F.inline(F.array(*sides))), supplier.select(F.col("s_suppkey").alias("team")))
 
 
 FEATURES = ["ret_1", "ret_3", "ret_5", "amount_ratio_5_20", "intraday_position", "ma_gap_5_20"]

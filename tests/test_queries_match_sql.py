@@ -45,6 +45,22 @@ def test_query(spark, duck, name):
             assert got[c].tolist() == want[c].tolist(), c
 
 
+def test_ratings_take_every_pair_of_suppliers_and_every_period(spark, tmp_path):
+    """Of an order's suppliers the first and the last alone had played, and the SQL ended after eight periods."""
+    years = range(1990, 2000)
+    orders = pd.DataFrame({"o_orderkey": range(10), "o_orderdate": pd.to_datetime([f"{y}-05-01" for y in years])})
+    lines = pd.DataFrame([(o, s, 100.0 * (1 + (s * 7 + o) % 5)) for o in range(10) for s in (1, 2, 3, 4, 4) if s != 1 or o], columns=["l_orderkey", "l_suppkey", "l_extendedprice"])
+    connection = duckdb.connect()
+    for name, table in (("orders", orders), ("lineitem", lines), ("supplier", pd.DataFrame({"s_suppkey": range(1, 6)}))):
+        spark.createDataFrame(table).write.parquet(f"{tmp_path}/{name}.parquet")
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    got = normal(plans.queries()["g15_period_ratings"](spark, str(tmp_path)).toPandas())
+    want = normal(connection.sql(plans.oracle_sql()["g15_period_ratings"]).df())
+    pd.testing.assert_frame_equal(got, want, check_dtype=False)
+    games = {(r.period, r.team): r.games for r in got.itertuples()}
+    assert len(games) == 50 and all(games[y, t] == (0 if t == 5 else 3 * k - 3 if t == 1 else 3 * k - 1) for k, y in enumerate(years, 1) for t in range(1, 6))
+
+
 def test_entry_has_every_query(spark):
     import __spark_entry__
 
